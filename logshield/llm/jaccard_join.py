@@ -13,8 +13,8 @@ by groups of three kinds; a group of a kind that forgives k differences takes k
 By the pigeonhole principle two similar sets agree on some key. The kinds of a band are chosen
 by cost: index rows plus expected verifications, which grow with the square of the band's rows.
 
-Groups of copies are never expanded. Equal sets are one node from the start. Every node is
-verified against one hub of its buckets; only pairs of nodes of one bucket that are not yet
+Groups of copies are never expanded. Equal sets are one node from the start. Nodes are verified against
+one hub per bucket and round; only pairs of nodes of one bucket that are not yet
 connected, and that a 512-bit parity sketch (a lower bound of the true difference) does not
 rule out, are verified after that. All verification is by intersection of the whole sets of
 64-bit shingle hashes.
@@ -36,6 +36,8 @@ from logshield.llm.graph import components
 PICK_ROWS = 2_000_000
 #: Rows of one bucket that one task pairs with each other; larger buckets are dealt in blocks.
 BLOCK = 1024
+#: Rounds of verification against one hub per bucket before the pairs that are still apart.
+HUBS = 3
 #: Cost model: chance that a token of a loosely related pair agrees, share of such pairs,
 #: cost of a verification in index rows.
 AGREE, RELATED, VERIFY = 0.66, 1e-4, 20.0
@@ -243,8 +245,8 @@ def jaccard_components(
     first, groups = plan({r["n"]: r["k"] for r in counted}, num, den, kinds)
     entries = docs.where("doc_id IS NOT NULL").mapInArrow(partial(_keys, words=words, band_first=first, groups=groups), "key long, node long")
 
-    shared = cut(entries.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key", "low"))
-    members = cut(entries.join(shared, "key").dropDuplicates(["key", "node"]).select("key", "low", "node"))
+    shared = cut(entries.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key"))
+    members = cut(entries.join(shared, "key").dropDuplicates(["key", "node"]).select("key", "node"))
     wanted = cut(members.select("node").distinct().join(nodes, "node").select("node", F.col("rep").alias("doc_id")))
     count = wanted.count()
     if not count:
@@ -252,12 +254,20 @@ def jaccard_components(
     texts = docs.join(maybe_broadcast(wanted.select("doc_id").distinct(), count, PICK_ROWS), "doc_id", "left_semi")
     sets = cut(texts.mapInArrow(partial(_whole, words=words), "node long, tokens array<long>").dropDuplicates(["node"]))
 
-    hubs = members.where("node <> low").groupBy("node", "low").count().groupBy("node").agg(F.max_by("low", F.struct("count", "low")).alias("low"))
-    hubs = hubs.select(F.col("low").alias("a"), F.col("node").alias("b"))
-    star = hubs.join(nodes.alias("x"), F.col("a") == F.col("x.node")).join(nodes.alias("y"), F.col("b") == F.col("y.node")).where(_possible(num, den, "x", "y")).select("a", "b")
-    links = cut(_verified(star, sets, num, den))
-
-    known = cut(components(links))
+    # Some rounds of one hub per bucket, another each time, connect most of each group at a cost
+    # in proportion to its members.
+    links, known = None, None
+    for r in range(HUBS):
+        of = members if known is None else members.join(known, "node", "left")
+        of = of.select("key", "node", (F.col("node") if known is None else F.coalesce("root", "node")).alias("comp"))
+        hub = of.groupBy("key").agg(F.min_by(F.struct("node", "comp"), F.xxhash64("node", F.lit(r))).alias("h"))
+        pairs = of.join(hub, "key").where("comp <> h.comp").select(F.greatest("node", "h.node").alias("a"), F.least("node", "h.node").alias("b")).distinct()
+        pairs = pairs.join(nodes.alias("x"), F.col("a") == F.col("x.node")).join(nodes.alias("y"), F.col("b") == F.col("y.node"))
+        found = cut(_verified(pairs.where(_possible(num, den, "x", "y")).select("a", "b"), sets, num, den))
+        links = found if links is None else links.unionByName(found)
+        known = cut(components(links))
+
+    # What is left of the exact work: pairs of one bucket that are still apart.
     left = members.join(known, "node", "left").select("key", "node", F.coalesce("root", "node").alias("comp"))
     mixed = left.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("k")).where("c0 < c1")
     left = cut(left.join(mixed.select("key", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks")), "key").join(nodes.drop("rep"), "node"))
