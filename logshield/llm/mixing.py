@@ -4,7 +4,8 @@ Every document's fractional copy count is its source's rate. Pairs of documents
 then exchange words at random, keeping the pair's words and each document's expectation, until
 one of the two has a whole number of copies. Chunks of a source do so independently and leave
 one fractional document each; those meet in a tree of fan-in FAN until one is left per source,
-so that a source's words differ from its target by less than one document's size.
+so that a source's words differ from its target by half a short document's size. (A document
+longer than the rest of its source together cannot be balanced and may leave half its own.)
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from logshield.llm.common import cut, maybe_broadcast, mix
 
 #: Documents of a chunk, residuals that meet in one node of the tree.
 CHUNK, FAN = 4096, 64
+#: A document is long if it has more than this part of the words that follow it in its chunk.
+LONG = 32
 
 
 def word_count(text: Column) -> Column:
@@ -52,7 +55,22 @@ def _pivot(group: pa.Table, seed: int, level: int, last: bool) -> pa.Table:
     p, s = group["p"].to_numpy().copy(), group["size"].to_numpy().astype(np.float64)
     u = mix(group["h"].to_numpy().astype(np.int64).view(np.uint64) ^ np.uint64((seed * 1_000_003 + level * 7919) % (1 << 63)))
     u = (u >> np.uint64(11)).astype(np.float64) / float(1 << 53)
-    i = None
+    open_ = np.flatnonzero((p > 0) & (p < 1))
+    left, i = open_, None
+    for k in open_.tolist():
+        # A document too long for its fellows to settle one by one meets all that follow at once.
+        left = left[1:]
+        have, room = float(p[left] @ s[left]), float((1 - p[left]) @ s[left])
+        if s[k] * LONG < have + room or not have or not room:
+            left = np.concatenate([[k], left]).astype(np.int64)
+            break
+        up, down = min((1 - p[k]) * s[k], have), min(p[k] * s[k], room)
+        if u[k] * (up + down) < down:
+            p[k], p[left] = p[k] + up / s[k], p[left] * (1 - up / have)
+        else:
+            p[k], p[left] = p[k] - down / s[k], p[left] + (1 - p[left]) * (down / room)
+        near = np.round(p)
+        p = np.where(np.abs(p - near) < 1e-12, near, p)
     for j in np.flatnonzero((p > 0) & (p < 1)).tolist():
         if i is None:
             i = j
@@ -68,7 +86,7 @@ def _pivot(group: pa.Table, seed: int, level: int, last: bool) -> pa.Table:
         if not 1e-12 < p[i] < 1 - 1e-12:  # both became whole at once
             p[i], i = round(p[i]), None
     if last and i is not None:
-        p[i] = float(mix(np.array([i + 1], np.uint64) + np.uint64(abs(int(group["h"][i].as_py()))))[0] >> np.uint64(11)) / float(1 << 53) < p[i]
+        p[i] = round(p[i])
     return group.set_column(group.column_names.index("p"), "p", pa.array(p))
 
 
