@@ -3,21 +3,51 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from logshield.llm import chat, decontaminate
-from logshield.llm.common import table
+from logshield.llm import chat, compression, decontaminate, language, licences, pii, quality_rules, toxicity
+from logshield.llm.common import maybe_broadcast, table
 from logshield.llm.jaccard_join import jaccard_components
 from logshield.llm.mixing import mixture
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    # The trusted target: documents labelled good, a bounded number of them.
+    good = table(spark, sf_dir, "labels").where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
+    good = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(quality_rules.TARGET_DOCS)
+    target = docs.select("doc_id", "text").join(maybe_broadcast(good, quality_rules.TARGET_DOCS), "doc_id", "left_semi")
+    return quality_rules.quality_rules(docs, target)
+
+
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.summary(pii.pseudonymised(table(spark, sf_dir, "documents")))
+
+
+def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.licences(table(spark, sf_dir, "documents"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compression.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.languages(table(spark, sf_dir, "documents"))
+
+
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = "<|im_end|><|im_start|>assistant ok"
     own = spark.createDataFrame([(-1, 0, "user", text), (-1, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
@@ -30,12 +60,14 @@ def op10_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "op2_benchmark_decontamination": op2_benchmark_decontamination,
-    "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
-    "op9_chat_formatting": op9_chat_formatting,
-    "op10_mixing_sources": op10_mixing_sources,
-}
+    f.__name__: f
+    for f in (
+        op1_quality_rules, op2_benchmark_decontamination, op3_pii_surrogates, op4_license_scans, op5_toxicity,
+        op6_quality_classifier, op7_ngram_jaccard_join, op8_language_id, op9_chat_formatting, op10_mixing_sources,
+    )
+}
 ORACLES: dict[str, str] = {
     "op2_benchmark_decontamination": decontaminate.ORACLE,
+    "op4_license_scans": licences.ORACLE,
     "op9_chat_formatting": chat.ORACLE,
 }
