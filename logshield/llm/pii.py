@@ -17,13 +17,15 @@ from __future__ import annotations
 
 import hashlib
 import re
-from functools import lru_cache, partial
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KEY = "change-me"
+#: Surrogates that a task remembers.
+CACHE = 50_000
 
 GIVEN = {
     ("f", "latin"): "Alice Anna Barbara Carla Clara Elena Emily Emma Eva Isabel Julia Laura Linda Lucia Maria Marie Martha Mary Nina Olivia Paula Rosa Sarah Sofia Susan Teresa".split(),
@@ -228,7 +230,6 @@ def _secret(text: str, key: str) -> str:
     return head + _shaped(body, _alphabets(body, False), key, tag)
 
 
-@lru_cache(maxsize=50_000)
 def surrogate(kind: str, text: str, key: str) -> str:
     if kind == "email":
         local, _, host = text.rpartition("@")
@@ -277,20 +278,28 @@ def entities(text: str, types: tuple[str, ...] = TYPES) -> list[tuple[int, int,
     return out
 
 
-def replaced(text: str, key: str, types: tuple[str, ...] = TYPES) -> tuple[str, list[tuple[int, int, str]]]:
+def replaced(text: str, key: str, types: tuple[str, ...] = TYPES, made: dict | None = None) -> tuple[str, list[tuple[int, int, str]]]:
+    """The text with surrogates, and the entities. `made` keeps surrogates for further calls."""
     found = entities(text, types)
+    made = {} if made is None else made
     out, at = [], 0
     for a, b, kind in found:
-        out += [text[at:a], surrogate(kind, text[a:b], key)]
+        one = (kind, text[a:b])
+        if one not in made:
+            if len(made) >= CACHE:
+                made.clear()
+            made[one] = surrogate(kind, text[a:b], key)
+        out += [text[at:a], made[one]]
         at = b
     return ("".join([*out, text[at:]]) if found else text), found
 
 
 def _batches(batches, key: str, types: tuple[str, ...]):
+    made: dict = {}
     for batch in batches:
         texts, spans = [], []
         for t in batch.column(1).to_pylist():
-            new, found = replaced(t, key, types) if t else (t, [])
+            new, found = replaced(t, key, types, made) if t else (t, [])
             texts.append(new)
             spans.append([{"start": a, "end": b, "type": k} for a, b, k in found])
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("type", pa.string())]))

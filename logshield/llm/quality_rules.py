@@ -21,7 +21,7 @@ BUCKETS = 1 << 14
 #: Bound of the trusted target: so many labelled documents at most.
 TARGET_DOCS = 20_000
 #: Mean log ratio (nats per n-gram) from which a document is kept.
-THRESHOLD = -0.35
+THRESHOLD = -0.08
 _SYMBOLS = np.zeros(256, bool)
 _SYMBOLS[list(b"#*$%&|<>")] = True
 

@@ -7,6 +7,7 @@ alone, and the sentence scores then locate what makes a document toxic.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from functools import partial
@@ -55,7 +56,7 @@ def bag(text: str | None, index: dict[str, int]) -> list[list[int]]:
     return out
 
 
-def train(bags: list[list[list[int]]], y: np.ndarray, weight: np.ndarray, size: int, rounds: int = 400, ridge: float = 2e-4) -> np.ndarray:
+def train(bags: list[list[list[int]]], y: np.ndarray, weight: np.ndarray, size: int, rounds: int = 400, ridge: float = 2e-5) -> np.ndarray:
     """Weights of the words and, last, the intercept: noisy-or likelihood, gradient steps (Adam)."""
     sent = [s for b in bags for s in b]
     of_doc = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
@@ -99,7 +100,9 @@ def fit(docs: DataFrame, labels: DataFrame, mod: int = 3, rest: int = 1, per_cla
     p, q = (F.col("pos") + 0.5) / (n[1] + 1), (F.col("neg") + 0.5) / (n[0] + 1)
     both = (F.col("pos") + F.col("neg") + 1) / (n[1] + n[0] + 2)
     gain = F.col("pos") * F.log(p / both) + F.col("neg") * F.log(q / both)
-    words = [r["word"] for r in words.where("pos + neg >= 2").orderBy(gain.desc(), "word").limit(VOCABULARY).collect()]
+    words = cut(words.where("pos + neg >= 2").withColumn("gain", gain))
+    # A word must explain more labels than naming it among all candidates costs.
+    words = [r["word"] for r in words.where(F.col("gain") > math.log(words.count() + 1)).orderBy(F.desc("gain"), "word").limit(VOCABULARY).collect()]
     outside = labels.where(~fold(F.col("doc_id"), mod, rest) & F.col("toxic").isNotNull())
     share = {r[0]: r[1] for r in outside.groupBy(F.col("toxic").cast("int")).count().collect()}
     weight = F.when(F.col("y") == 1, share[1] / n[1]).otherwise(share[0] / n[0])
