@@ -30,14 +30,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logshield.llm.common import Words, chunks, cut, lower_ascii, maybe_broadcast, mix, spaced
-from logshield.llm.graph import components
+from logshield.llm.graph import components, contracted
 
 #: Ids up to which the documents to verify are picked by a broadcast (16 MB), beyond by a shuffle.
 PICK_ROWS = 2_000_000
 #: Rows of one bucket that one task pairs with each other; larger buckets are dealt in blocks.
 BLOCK = 1024
 #: Rounds of verification against one hub per bucket before the pairs that are still apart.
-HUBS = 3
+HUBS = 2
 #: Cost model: chance that a token of a loosely related pair agrees, share of such pairs,
 #: cost of a verification in index rows.
 AGREE, RELATED, VERIFY = 0.66, 1e-4, 20.0
@@ -256,16 +256,17 @@ def jaccard_components(
 
     # Some rounds of one hub per bucket, another each time, connect most of each group at a cost
     # in proportion to its members.
-    links, known = None, None
+    short, known = None, None
     for r in range(HUBS):
         of = members if known is None else members.join(known, "node", "left")
         of = of.select("key", "node", (F.col("node") if known is None else F.coalesce("root", "node")).alias("comp"))
         hub = of.groupBy("key").agg(F.min_by(F.struct("node", "comp"), F.xxhash64("node", F.lit(r))).alias("h"))
         pairs = of.join(hub, "key").where("comp <> h.comp").select(F.greatest("node", "h.node").alias("a"), F.least("node", "h.node").alias("b")).distinct()
         pairs = pairs.join(nodes.alias("x"), F.col("a") == F.col("x.node")).join(nodes.alias("y"), F.col("b") == F.col("y.node"))
-        found = cut(_verified(pairs.where(_possible(num, den, "x", "y")).select("a", "b"), sets, num, den))
-        links = found if links is None else links.unionByName(found)
-        known = cut(components(links))
+        found = _verified(pairs.where(_possible(num, den, "x", "y")).select("a", "b"), sets, num, den)
+        short = contracted(found if short is None else short.unionByName(found))
+        known = short.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root")
+        known = known.unionByName(short.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct().join(known.select("node"), "node", "left_anti"))
 
     # What is left of the exact work: pairs of one bucket that are still apart.
     left = members.join(known, "node", "left").select("key", "node", F.coalesce("root", "node").alias("comp"))
@@ -276,7 +277,7 @@ def jaccard_components(
     apart = (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp"))
     rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.block") == F.col("y.block")) & apart & _possible(num, den, "x", "y"))
     rest = rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    links = links.unionByName(_verified(rest, sets, num, den))
+    links = short.unionByName(_verified(rest, sets, num, den))
     return _labelled(told, nodes, components(links))
 
 
