@@ -9,6 +9,13 @@ from pyspark.sql import functions as F
 
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 V4 = f"^{_OCTET}(?:\\.{_OCTET}){{3}}$"
+_H = "[0-9a-fA-F]{1,4}"
+_FORMS = (
+    f"(?:{_H}:){{7}}{_H}", f"(?:{_H}:){{1,7}}:", f"(?:{_H}:){{1,6}}:{_H}", *(f"(?:{_H}:){{1,{6 - k}}}(?::{_H}){{1,{k + 1}}}" for k in range(1, 6)), f":(?:(?::{_H}){{1,7}}|:)",
+    f"(?:{_H}:){{6}}{V4[1:-1]}", f"::(?:{_H}:){{0,5}}{V4[1:-1]}", *(f"(?:{_H}:){{{k}}}:(?:{_H}:){{0,{5 - k}}}{V4[1:-1]}" for k in range(1, 6)),
+)
+#: Either family: every way to write an IPv6 address, with or without a dotted tail.
+ANY = f"^(?:{V4[1:-1]}|{'|'.join(_FORMS)})$"
 _MAPPED = "00000000000000000000ffff"
 
 
@@ -41,11 +48,12 @@ def ip_key(ip: Column) -> Column:
     fits = F.when(F.size(halves) == 2, n <= 7).otherwise(n == 8)
     pad = lambda a: F.array_join(F.transform(a, lambda g: F.lpad(g, 4, "0")), "")
     six = F.concat(pad(left), F.repeat(F.lit("0000"), F.greatest(8 - n, F.lit(0))), pad(right))
+    six = F.when(ip.rlike(ANY), six)
     return F.when(ip.rlike(V4), F.concat(F.lit(_MAPPED), _hex(ip_v4(ip), 8))).when(ip.contains(":") & shape & fits, six)
 
 
 def is_ip(ip: Column) -> Column:
-    return ip_key(ip).isNotNull()
+    return F.coalesce(ip.rlike(ANY), F.lit(False))
 
 
 def ip_text(key: Column) -> Column:
