@@ -16,6 +16,8 @@ _FORMS = (
 )
 #: Either family: every way to write an IPv6 address, with or without a dotted tail.
 ANY = f"^(?:{V4[1:-1]}|{'|'.join(_FORMS)})$"
+#: A network: a base of either family, aligned or not, and a prefix length.
+CIDR = f"^(?:{V4[1:-1]}/(?:[12]?[0-9]|3[0-2])|(?:{'|'.join(_FORMS)})/(?:[1-9]?[0-9]|1[01][0-9]|12[0-8]))$"
 _MAPPED = "00000000000000000000ffff"
 
 
@@ -74,33 +76,36 @@ def is_private(ip: Column) -> Column:
     return F.coalesce(F.when(n.isNotNull(), four).otherwise(six), F.lit(False))
 
 
+def is_cidr(text: Column) -> Column:
+    return F.coalesce(text.rlike(CIDR), F.lit(False))
+
+
 def cidr_bounds(text: Column) -> Column:
-    """struct(lo, hi, family) of keys; null if it is no CIDR. The base need not be aligned."""
+    """struct(lo, hi, family) of keys, for texts of the form CIDR."""
     part = F.split(text, "/")
     base, bits = F.get(part, F.lit(0)), F.get(part, F.lit(1))
     key, v4 = ip_key(base), ip_v4(base)
     n = F.when(bits.rlike("^[0-9]{1,3}$"), bits.cast("int"))
-    host = F.shiftleft(F.lit(1).cast("long"), F.greatest(32 - n, F.lit(0))) - 1
+    host = F.call_function("shiftleft", F.lit(1).cast("long"), F.greatest(32 - n, F.lit(0))) - 1
     lo4 = v4.bitwiseAND(F.bitwise_not(host))
     full, cut = F.floor(n / 4).cast("int"), n % 4
     digit = F.conv(F.substring(key, full + 1, F.lit(1)), 16, 10).cast("int")
     low = F.when(cut > 0, F.lower(F.hex(digit.bitwiseAND(F.element_at(F.array(*map(F.lit, (0, 8, 12, 14))), cut + 1)))))
     high = F.when(cut > 0, F.lower(F.hex(digit.bitwiseOR(F.element_at(F.array(*map(F.lit, (15, 7, 3, 1))), cut + 1)))))
     six = lambda mid, fill: F.rpad(F.concat(F.substring(key, F.lit(1), full), F.coalesce(mid, F.lit(""))), 32, fill)
-    ok = (F.size(part) == 2) & key.isNotNull() & n.isNotNull()
-    return F.when(ok & v4.isNotNull() & (n <= 32), F.struct(F.concat(F.lit(_MAPPED), _hex(lo4, 8)).alias("lo"), F.concat(F.lit(_MAPPED), _hex(lo4 + host, 8)).alias("hi"), F.lit(4).alias("family"))).when(
-        ok & v4.isNull() & (n <= 128), F.struct(six(low, "0").alias("lo"), six(high, "f").alias("hi"), F.lit(6).alias("family"))
+    return F.when(v4.isNotNull(), F.struct(F.concat(F.lit(_MAPPED), _hex(lo4, 8)).alias("lo"), F.concat(F.lit(_MAPPED), _hex(lo4 + host, 8)).alias("hi"), F.lit(4).alias("family"))).otherwise(
+        F.struct(six(low, "0").alias("lo"), six(high, "f").alias("hi"), F.lit(6).alias("family"))
     )
 
 
 def range_cidrs(lo: Column, hi: Column) -> Column:
     """array<struct<start, prefix>>: the least aligned cover of an IPv4 range; empty if lo > hi."""
-    block = lambda k: F.shiftleft(F.lit(1).cast("long"), k)
+    block = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k)
     up = lambda k: F.ceil(lo / block(k)).cast("long") * block(k)
     down = lambda k: F.floor((hi + 1) / block(k)).cast("long") * block(k)
     ks = F.sequence(F.lit(0), F.lit(32))
-    first = F.filter(ks, lambda k: (up(k) < down(k)) & ((F.shiftright(up(k), k) % 2 == 1) | (k == 32)))
-    last = F.filter(ks, lambda k: (k < 32) & (F.shiftright(down(k), k) % 2 == 1) & (up(k) < down(k)) & (up(k + 1) < down(k)))
+    first = F.filter(ks, lambda k: (up(k) < down(k)) & ((F.call_function("shiftright", up(k), k) % 2 == 1) | (k == 32)))
+    last = F.filter(ks, lambda k: (k < 32) & (F.call_function("shiftright", down(k), k) % 2 == 1) & (up(k) < down(k)) & (up(k + 1) < down(k)))
     made = F.concat(
         F.transform(first, lambda k: F.struct(up(k).alias("start"), (32 - k).alias("prefix"))),
         F.transform(last, lambda k: F.struct((down(k) - block(k)).alias("start"), (32 - k).alias("prefix"))),

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import re
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logshield.functions.ip import cidr_bounds, ip_key, ip_v4, range_cidrs, target_kind
+from logshield.functions.ip import cidr_bounds, ip_key, ip_v4, is_cidr, is_ip, range_cidrs, target_kind
 
 #: Tokens up to which they are matched by one expression, beyond by a join.
 TOKENS = 2000
@@ -32,8 +33,15 @@ def cidrs_for_asns(ranges: DataFrame, asns: DataFrame) -> DataFrame:
 
 
 def _networks(rows: DataFrame, column: str) -> DataFrame:
-    """CIDR rows with lo, hi and family."""
-    return rows.withColumn("_b", cidr_bounds(F.col(column))).where("_b IS NOT NULL").select("*", "_b.lo", "_b.hi", "_b.family").drop("_b")
+    """CIDR rows with lo, hi and family. Persisted, as the keys are long expressions that joins
+    would otherwise copy into their null tests."""
+    return rows.where(is_cidr(F.col(column))).select("*", F.inline(F.array(cidr_bounds(F.col(column))))).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _points(rows: DataFrame, column: str) -> DataFrame:
+    """Distinct addresses with their keys."""
+    rows = rows.select(column).distinct().where(is_ip(F.col(column)))
+    return rows.withColumn("key", ip_key(F.col(column))).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def _contained(points: DataFrame, networks: DataFrame) -> DataFrame:
@@ -53,8 +61,8 @@ def _contained(points: DataFrame, networks: DataFrame) -> DataFrame:
 
 def whitelist_match(addresses: DataFrame, whitelist: DataFrame) -> DataFrame:
     """addresses(client_ip) with `listed`: equal to an entry or inside one; bad entries are ignored."""
-    points = addresses.select("client_ip").distinct().withColumn("key", ip_key(F.col("client_ip"))).where("key IS NOT NULL")
-    single = whitelist.select(ip_key(F.col("entry")).alias("key")).where("key IS NOT NULL").distinct()
+    points = _points(addresses, "client_ip")
+    single = _points(whitelist, "entry").select("key").distinct()
     exact = points.join(single, "key", "left_semi").select("client_ip")
     inside = _contained(points, _networks(whitelist.select("entry"), "entry")).select("client_ip")
     hit = exact.unionByName(inside).distinct().withColumn("_hit", F.lit(True))
@@ -68,7 +76,7 @@ def check_targets(targets: DataFrame, bans: DataFrame, as_of: int) -> DataFrame:
     asked = targets.select("target").distinct()
     direct = asked.join(bans.select("target", "reason", (~live).alias("expired")), "target")
     direct = direct.select("target", F.lit("Direct").alias("match"), F.col("target").alias("ban_target"), "reason", "expired")
-    points = asked.withColumn("key", ip_key(F.col("target"))).where("key IS NOT NULL")
+    points = _points(asked, "target")
     nets = _networks(bans.where(live).select(F.col("target").alias("ban_target"), "reason"), "ban_target")
     inside = _contained(points, nets).groupBy("target").agg(F.min(F.struct("ban_target", "reason")).alias("b"))
     inside = inside.join(direct.select("target"), "target", "left_anti").select("target", F.lit("Subnet").alias("match"), "b.ban_target", "b.reason", F.lit(False).alias("expired"))

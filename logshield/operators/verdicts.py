@@ -91,11 +91,24 @@ def candidates(requests: DataFrame, p: Policies) -> DataFrame:
     return rows.withColumn("act", act)
 
 
+def settled(rows: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The narrow table of rows with `act`, persisted: what filters on act reads it, and the
+    cascade is neither run twice nor copied into those filters."""
+    return rows.select(*keep, "row_id", "ts_sec", "client_ip", "act").persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def strike_rows(flat: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The strikes of a settled table: pool, told, category, threshold and window_s."""
+    part = F.split("act", "\\|")
+    return flat.where(F.col("act").startswith("strike|")).select(
+        *keep, "row_id", "ts_sec", "client_ip", part[1].alias("pool"), part[2].alias("told"), F.nullif(part[3], F.lit("")).alias("category"), part[4].cast("int").alias("threshold"), part[5].cast("int").alias("window_s"),
+    )
+
+
 def counted(rows: DataFrame, keep: tuple[str, ...], clock: str) -> DataFrame:
     """Verdicts of rows with `act`; strike rows pass their counters, the others go straight
-    through, so that only strikes are shuffled. The narrow settled table is persisted: both parts
-    read it, and the cascade is neither run twice nor copied into their filters."""
-    flat = rows.select(*keep, "row_id", "ts_sec", "client_ip", "act").persist(StorageLevel.MEMORY_AND_DISK)
+    through, so that only strikes are shuffled."""
+    flat = settled(rows, keep)
     struck = F.col("act").startswith("strike|")
     head = F.substring_index("act", "|", 1)
     done = flat.where(~struck).select(
@@ -103,11 +116,7 @@ def counted(rows: DataFrame, keep: tuple[str, ...], clock: str) -> DataFrame:
         F.when(F.col("act").contains("|"), F.substring(F.col("act"), F.length(head) + 2, F.length("act"))).alias("reason"),
         F.when(head.isin("ban", "perm"), head == "perm").alias("permanent"), F.lit(None).cast("int").alias("strikes"),
     )
-    part = F.split("act", "\\|")
-    hits = flat.where(struck).select(
-        *keep, "row_id", "ts_sec", "client_ip", part[1].alias("pool"), part[2].alias("told"), F.nullif(part[3], F.lit("")).alias("category"), part[4].cast("int").alias("threshold"), part[5].cast("int").alias("window_s"),
-    )
-    hits = strike_counts(hits, clock)
+    hits = strike_counts(strike_rows(flat, keep), clock)
     over = F.col("strikes") >= F.col("threshold")
     # Only tool bursts do not tell the count.
     told = F.when(F.col("pool") == "tool", F.col("told")).otherwise(F.concat_ws(":", "told", F.col("strikes").cast("string")))

@@ -158,7 +158,7 @@ def c13_asn_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
 def d2_range_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranges = V.ip2asn(spark, sf_dir)
     got = J.cidrs_for_asns(ranges, ranges.where("asn % 2 = 0").select("asn"))
-    return got.groupBy("asn").agg(F.count("*").alias("cidrs"), F.sum(F.shiftleft(F.lit(1).cast("long"), 32 - F.col("prefix"))).alias("addresses"))
+    return got.groupBy("asn").agg(F.count("*").alias("cidrs"), F.sum(F.call_function("shiftleft", F.lit(1).cast("long"), 32 - F.col("prefix"))).alias("addresses"))
 
 
 _BANS = f"b AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY target ORDER BY banned_at DESC) AS k FROM ({V.BANS})), bans AS MATERIALIZED (SELECT target, tier_level, banned_at, expires_at, reason FROM b WHERE k = 1)"
@@ -217,10 +217,7 @@ _HITS = O.over(O.judged() + "," + O.verdicts(), "SELECT row_id, client_ip, CAST(
 
 
 def _strikes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = F.split("act", "\\|")
-    rows = VD.candidates(V.access_log(spark, sf_dir), DEFAULT).where(F.col("act").startswith("strike|"))
-    got = rows.select("row_id", "ts_sec", "client_ip", part[1].alias("pool"), F.nullif(part[3], F.lit("")).alias("category"), part[5].cast("int").alias("window_s"))
-    return K.strike_counts(got)
+    return K.strike_counts(VD.strike_rows(VD.settled(VD.candidates(V.access_log(spark, sf_dir), DEFAULT))))
 
 
 @query(_HITS.replace("@POOL", "shared"))
