@@ -76,6 +76,13 @@ def with_texts(docs: DataFrame, chosen: DataFrame, bound: int) -> DataFrame:
     return docs.join(maybe_broadcast(chosen, bound), "doc_id").dropDuplicates(["doc_id"])
 
 
+def slices(batches, rows: int = 256):
+    """Batches of a few rows each, without copying: what Python holds of them stays small."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 # --- vectorised reading of words -----------------------------------------------------
 
 _R = 0x9E3779B97F4A7C15 | 1

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logshield.llm.common import bounded_labels, cut, fold, with_texts
+from logshield.llm.common import bounded_labels, cut, fold, slices, with_texts
 
 #: Labelled documents of each class that are used at most.
 PER_CLASS = 2000
@@ -65,7 +65,7 @@ class _Sizes:
 
 def _gaps(batches, good: bytes, bad: bytes):
     sizes = _Sizes(good, bad)
-    for batch in batches:
+    for batch in slices(batches):
         gaps = [sizes.gap(t.as_py()) for t in batch.column(1)]
         cols = [pa.array([g[j] for g in gaps], pa.float64()) for j in range(2)]
         yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["doc_id", "gap", "short"])

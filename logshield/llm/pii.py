@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logshield.llm.common import slices
+
 KEY = "change-me"
 #: Surrogates that a task remembers.
 CACHE = 50_000
@@ -296,7 +298,7 @@ def replaced(text: str, key: str, types: tuple[str, ...] = TYPES, made: dict | N
 
 def _batches(batches, key: str, types: tuple[str, ...]):
     made: dict = {}
-    for batch in batches:
+    for batch in slices(batches):
         texts, spans = [], []
         for t in batch.column(1).to_pylist():
             new, found = replaced(t, key, types, made) if t else (t, [])

@@ -14,21 +14,24 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logshield.llm.common import bounded_labels, cut, fold, with_texts
+from logshield.llm.common import bounded_labels, cut, fold, slices, with_texts
 
 #: Labelled documents of each class that are learned from at most; words that have a weight.
 PER_CLASS, VOCABULARY = 10_000, 4096
 _TOKEN = re.compile(r"[^\W\d_]+|[.!?;\n]+")
 _BREAKS = frozenset(".!?;\n")
+#: Known words, the sentence of each, the document of each sentence, other sentences per document.
+Bags = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
 def _word_docs(batches):
     """Per task: (word, documents labelled 1, documents labelled 0) with it."""
     by = (Counter(), Counter())
-    for batch in batches:
+    for batch in slices(batches):
         for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             by[1 - y].update({t for t in _TOKEN.findall(text.lower()) if t[0] not in _BREAKS})
     words = list(by[0] | by[1])
@@ -56,35 +59,46 @@ def bag(text: str | None, index: dict[str, int]) -> list[list[int]]:
     return out
 
 
-def train(bags: list[list[list[int]]], y: np.ndarray, weight: np.ndarray, size: int, rounds: int = 400, ridge: float = 2e-5) -> np.ndarray:
+def train(bags: Bags, y: np.ndarray, weight: np.ndarray, size: int, rounds: int = 400, ridge: float = 2e-5) -> np.ndarray:
     """Weights of the words and, last, the intercept: noisy-or likelihood, gradient steps (Adam)."""
-    sent = [s for b in bags for s in b]
-    of_doc = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
-    feat = np.fromiter((k for s in sent for k in s), np.int64)
-    of_sent = np.repeat(np.arange(len(sent)), [len(s) for s in sent])
+    feat, of_sent, of_doc, quiet = bags
     w = np.zeros(size + 1)
     w[size] = -6.0
     m, v = np.zeros_like(w), np.zeros_like(w)
     weight = weight / weight.sum()
     for step in range(1, rounds + 1):
-        z = np.bincount(of_sent, w[feat], len(sent)) + w[size]
+        z = np.bincount(of_sent, w[feat], len(of_doc)) + w[size]
         s = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        none = np.bincount(of_doc, np.log1p(-np.minimum(s, 1 - 1e-9)), len(bags))
+        still = 1 / (1 + np.exp(-np.clip(w[size], -30, 30)))
+        none = np.bincount(of_doc, np.log1p(-np.minimum(s, 1 - 1e-9)), len(y)) + quiet * np.log1p(-min(still, 1 - 1e-9))
         q = np.exp(none)  # no sentence offends
         d_none = np.where(y == 1, q / np.maximum(1 - q, 1e-6), -1.0) * weight
         d_z = -d_none[of_doc] * s
-        g = np.concatenate([np.bincount(feat, d_z[of_sent], size), [d_z.sum()]])
+        g = np.concatenate([np.bincount(feat, d_z[of_sent], size), [d_z.sum() - (d_none * quiet).sum() * still]])
         g[:size] += ridge * w[:size]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
     return w
 
 
-def _train_task(group: pa.Table, words: list[str]) -> pa.Table:
-    group = group.sort_by("doc_id")
+def _bagged(batches, words: list[str]):
+    """Per document: known words, how many of them in each sentence that has one, other sentences."""
     index = {w: i for i, w in enumerate(words)}
-    y = group["y"].to_numpy().astype(float)
-    w = train([bag(t, index) for t in group["text"].to_pylist()], y, group["weight"].to_numpy(), len(words))
+    for batch in slices(batches):
+        bags = [bag(t, index) for t in batch.column(3).to_pylist()]
+        known = [[s for s in b if s] for b in bags]
+        kind = pa.list_(pa.int32())
+        arrays = [pa.array([[k for s in b for k in s] for b in known], kind), pa.array([[len(s) for s in b] for b in known], kind), pa.array([len(b) - len(k) for b, k in zip(bags, known, strict=True)], pa.int64())]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *arrays], ["doc_id", "y", "weight", "feats", "sizes", "quiet"])
+
+
+def _train_task(group: pa.Table, size: int) -> pa.Table:
+    group = group.sort_by("doc_id").combine_chunks()
+    sizes, feats = group["sizes"].combine_chunks(), group["feats"].combine_chunks()
+    flat = sizes.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    of_doc = np.repeat(np.arange(len(sizes)), pc.list_value_length(sizes).to_numpy(zero_copy_only=False).astype(np.int64))
+    bags = (feats.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.repeat(np.arange(len(flat)), flat), of_doc, group["quiet"].to_numpy().astype(float))
+    w = train(bags, group["y"].to_numpy().astype(float), group["weight"].to_numpy(), size)
     return pa.table({"i": pa.array(np.arange(len(w))), "w": pa.array(w)})
 
 
@@ -108,17 +122,20 @@ def fit(docs: DataFrame, labels: DataFrame, mod: int = 3, rest: int = 1, per_cla
     weight = F.when(F.col("y") == 1, share[1] / n[1]).otherwise(share[0] / n[0])
 
     def trained(group):
-        return _train_task(group, words)
+        return _train_task(group, len(words))
 
-    # The sample is bounded: one task trains on it.
-    rows = sample.withColumn("weight", weight).withColumn("one", F.lit(1)).groupBy("one").applyInArrow(trained, "i long, w double").orderBy("i").collect()
+    # The sample is bounded, and what one task trains on is a few numbers per document.
+    bags = sample.select("doc_id", "y", weight.alias("weight"), "text").mapInArrow(
+        partial(_bagged, words=words), "doc_id long, y int, weight double, feats array<int>, sizes array<int>, quiet long"
+    )
+    rows = bags.withColumn("one", F.lit(1)).groupBy("one").applyInArrow(trained, "i long, w double").orderBy("i").collect()
     return words, [r["w"] for r in rows]
 
 
 def _scored(batches, words: list[str], weights: list[float]):
     index, w, base = {x: i for i, x in enumerate(words)}, np.array(weights[:-1]), weights[-1]
     quiet = 1 / (1 + np.exp(-base))
-    for batch in batches:
+    for batch in slices(batches):
         out = []
         for text in batch.column(1).to_pylist():
             sentences = bag(text, index)
@@ -145,7 +162,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, mod: int = 3, rest: int = 1, th
 
 
 def _appended(batches, at: int, words: list[str], weights: list[float]):
-    for batch in batches:
+    for batch in slices(batches):
         scored = next(_scored([pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), batch.column(at)], ["doc_id", "text"])], words, weights))
         yield pa.RecordBatch.from_arrays([*batch.columns, scored.column(1)], [*batch.schema.names, "toxic_score"])
 
