@@ -369,3 +369,27 @@ def b5_upsert_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = region.where("r_regionkey < 3").select(F.col("r_regionkey").alias("key"), F.lit(False).alias("on"), F.lit(0).alias("at"), F.lit(0).alias("seq"))
     changes = region.select(F.col("r_regionkey").alias("key"), (F.col("r_regionkey") % 2 == 0).alias("on"), F.lit(1).alias("at"), F.lit(0).alias("seq"))
     return P.latest(stored.unionByName(changes), "key").select("key", "on")
+
+
+@query(O.over(O.judged() + "," + O.verdicts(), f"SELECT pool, count(*) AS n FROM hits WHERE NOT (starts_with(client_ip, '2') AND ts_sec <= {_MID}) GROUP BY pool"))
+def e7_clear_strikes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _strikes(spark, sf_dir)
+    forgotten = rows.where(F.col("client_ip").startswith("2")).select("client_ip", F.lit(_MID).alias("cleared_at")).distinct()
+    return K.clear_strikes(rows, forgotten).groupBy("pool").agg(F.count("*").alias("n"))
+
+
+_LABEL = " ".join(f"WHEN contains(uri, {O.q(m)}) THEN {O.q(m)}" for m in (".env", "/wp-", ".sql", "../", "%2e%2e", "/%00", "/adminer", "phpunit", "/actuator"))
+
+
+@query(O.over(f"u AS MATERIALIZED (SELECT DISTINCT uri FROM access_log), v AS MATERIALIZED (SELECT uri, {O.probe_rule('uri', '404')} AS rule FROM u), k AS MATERIALIZED (SELECT uri, {O.decision('kind', method=O.q('GET'), status='404')} AS kind, {O.decision('category', method=O.q('GET'), status='404')} AS category FROM v)",
+    f"SELECT uri, CASE WHEN regexp_matches(uri, '^/api/.*') THEN 'AllowedEndpoint' {_LABEL} WHEN kind = 'pass' THEN 'Clean' ELSE category END AS label FROM k"))
+def c12_probe_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.access_log(spark, sf_dir).select("uri").distinct().select("uri", C.probe_label(F.col("uri"), ("^/api/.*",)).alias("label"))
+
+
+@query(O.over("", """SELECT DISTINCT '/log/a' || (row_id % 3) || '.log' AS src_file, 'access' AS kind FROM access_log UNION ALL
+SELECT DISTINCT '/log/j' || (row_id % 3), 'json' FROM access_log UNION ALL SELECT DISTINCT '/log/e' || (row_id % 3), 'error' FROM access_log WHERE status >= 400"""))
+def a10_classify_log_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = lambda rows, head, tail: rows.select(F.concat(F.lit(head), (F.col("row_id") % 3).cast("string"), F.lit(tail)).alias("src_file"), F.col("row_id").alias("line_key"), "line")
+    lines = named(V.access_lines(spark, sf_dir), "/log/a", ".log").unionByName(named(V.json_lines(spark, sf_dir), "/log/j", "")).unionByName(named(V.error_lines(spark, sf_dir), "/log/e", ""))
+    return L.classify_log_files(lines)
