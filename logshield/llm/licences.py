@@ -85,19 +85,49 @@ RULES = (
 _WRAP, _STOP, _OTHER, _EDGE = r"\r?\n[ \t#*/;-]*([a-z])", r"([.!?;:])[ \t\r\f]+", r"[^a-z0-9.]+", r"^[ .]+|[ .]+$"
 
 
+# A tag is a sentence of its own, colon or not. Line ends that neither _WRAP nor _STOP decide may
+# be inside a sentence, unless a stop, an empty line, a list marker or a known beginning is there.
+_TAG = r"(?i)(spdx-licen[cs]e-identifier)[ \t]*:[ \t]*([^\r\n]*)"
+_HEADS = (
+    r"permission (is hereby|to use)|the above copyright notice|the software is provided|in no event shall|redistributions? |neither the name|this software is provided|you may (not use|obtain a copy)"
+    r"|unless required by|this program is|you should have received|copyright (\(c\)|©|[0-9])|all rights reserved|(licen[cs]ed|released) under"
+)
+_SOFT = rf"(?i)(?<=[^\s.!?;:])[ \t\r]*\n(?![ \t\r#*/;-]*(\n|$|[0-9a-z]{{1,2}}[.)] |\([0-9a-z]{{1,2}}\) |{_HEADS}))|(?<=;)\n(?=either version)"
+_MARK = "\x01"
+
+
 def sentence_ids(text: Column) -> Column:
     """Identifiers of the licence sentences of a text in order; `?` for a sentence about a
-    licence that no rule knows."""
-    lines = F.split(F.regexp_replace(F.regexp_replace(text, _WRAP, " $1"), _STOP, "$1\n"), "\n")
-    some = F.filter(F.transform(lines, lambda s: F.lower(s)), _holds_sign)
-    plain = F.transform(some, lambda s: F.regexp_replace(F.regexp_replace(s, _OTHER, " "), _EDGE, ""))
-    ids = F.transform(plain, lambda s: F.coalesce(*(F.when(F.rlike(s, F.lit(p)), F.lit(i)) for i, p in SENTENCES), F.when(F.contains(s, F.lit("licen")), F.lit("?"))))
-    return F.filter(ids, lambda i: i.isNotNull())
+    licence that no rule knows. A sentence is read over its wrapped lines and also line by line;
+    what its lines say alone is never lost."""
+    tagged = F.regexp_replace(text, _TAG, "\n$1 $2\n")
+    lines = F.regexp_replace(F.regexp_replace(tagged, _WRAP, " $1"), _STOP, "$1\n")
+    some = F.filter(F.split(F.regexp_replace(F.replace(lines, F.lit(_MARK), F.lit(" ")), _SOFT, _MARK), "\n"), lambda s: _holds_sign(F.lower(s)))
+    read = F.transform(some, lambda s: F.struct(
+        F.filter(F.transform(F.split(s, _MARK), lambda u: F.when(_holds_sign(F.lower(u)), _identified(u))), lambda i: i.isNotNull()).alias("each"),
+        F.when(F.contains(s, F.lit(_MARK)), _identified(s)).alias("whole"),
+        F.rlike(s, F.lit(r"(?i)^[^a-z0-9]*(c[^a-z0-9]+)?copyright")).alias("owned"),
+    ))
+    return F.flatten(F.transform(read, _picked))
+
+
+def _identified(s: Column) -> Column:
+    plain = F.regexp_replace(F.regexp_replace(F.lower(s), _OTHER, " "), _EDGE, "")
+    first = lambda s: F.coalesce(*(F.when(F.rlike(s, F.lit(p)), F.lit(i)) for i, p in SENTENCES), F.when(F.contains(s, F.lit("licen")), F.lit("?")))
+    return F.transform(F.array(plain), first)[0]
+
+
+def _picked(x: Column) -> Column:
+    each, whole = x["each"], x["whole"]
+    others = F.filter(each, lambda i: ~i.isin("?", "copyright") & (i != whole))
+    lead = F.when(x["owned"], F.array(F.lit("copyright"))).otherwise(F.array().cast("array<string>"))
+    joined = F.when(F.size(others) == 0, F.concat(lead, F.array(whole))).when(F.array_contains(each, whole), each).otherwise(F.concat(each, F.array(whole)))
+    return F.when(whole.isNull() | whole.isin("?", "copyright"), each).otherwise(joined)
 
 
 def _holds_sign(low: Column) -> Column:
     test = F.contains(low, F.lit(SIGNS[0]))
-    for s in SIGNS[1:]:
+    for s in (*SIGNS[1:], "cc0"):
         test = test | F.contains(low, F.lit(s))
     return test
 

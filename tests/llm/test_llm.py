@@ -138,6 +138,63 @@ def test_licences(spark):
     assert got == {1: ("MIT", "permissive"), 2: ("CC-BY-NC-4.0", "noncommercial"), 3: ("", "unknown"), 4: ("", "none"), 5: ("", "none")}
 
 
+MIT_TEXT = """Copyright (c) 2020 Some Body
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY."""
+BSD_TEXT = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer.
+
+3. Neither the name of the
+   Copyright Holder nor the names of its contributors may be used to endorse
+   or promote products derived from this software without permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT
+HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS WARRANTIES ARE DISCLAIMED."""
+APACHE_TEXT = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND."""
+GPL_TEXT = """# This program is free software{} you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation{} either version {} of the License, or
+# (at your option) any later version."""
+
+
+def test_licences_in_standard_wording(spark):
+    want = {
+        MIT_TEXT: "MIT", BSD_TEXT: "BSD-3-Clause", APACHE_TEXT: "Apache-2.0", GPL_TEXT.format(":", ",", 3): "GPL-3.0-or-later", GPL_TEXT.format(";", ";", 2): "GPL-2.0-or-later",
+        "// SPDX-License-Identifier: MIT\nimport os": "MIT", "/* SPDX-License-Identifier: Apache-2.0 */\nint x;": "Apache-2.0", "# SPDX-License-Identifier: GPL-3.0-or-later": "GPL-3.0", "SPDX-License-Identifier: BSD-3-Clause": "BSD-3-Clause",
+        "SPDX-License-Identifier: BSD-2-Clause": "BSD-2-Clause", "SPDX-License-Identifier: CC-BY-NC-4.0": "CC-BY-NC-4.0", "Marked CC0 1.0 Universal": "CC0-1.0",
+        "A title\nLicensed under the MIT License\nContributions welcome": "MIT", "Note: Licensed under the MIT License.": "MIT", "# x***\nLicensed under the Apache License, Version 2.0.": "Apache-2.0",
+    }
+    rows = [(i, t, None, None) for i, t in enumerate(want)]
+    got = {r["doc_id"]: r for r in licences.licences(docs(spark, rows)).collect()}
+    assert [got[i]["licences"] for i, *_ in rows] == list(want.values())
+    assert got[0]["sentence_ids"] == "copyright,mit-grant,mit-notice,mit-warranty,mit-liability" and got[0]["n_unknown"] == 0
+
+
 def test_mixture_meets_targets(spark):
     rng = np.random.default_rng(2)
     rows = [(i, prose(rng, int(rng.integers(0, 40))), None, f"s{i % 4}" if i % 9 else None) for i in range(3000)]
