@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from logshield.llm import chat, compression, decontaminate, language, licences, mixing, pii, quality_rules, toxicity
 from logshield.llm.jaccard_join import jaccard_components
 
@@ -67,6 +68,15 @@ def test_jaccard_equals_brute_force(spark, corpus, kinds):
     assert got == {(d, len(s), find(d)) for d, s in sets.items()}
 
 
+def test_pipeline_drops_near_copies(spark):
+    rng = np.random.default_rng(6)
+    base = prose(rng, 200).split()
+    changed = lambda every: ["changed" if i % every == every // 2 else w for i, w in enumerate(base)]
+    texts = [base, changed(50), base + prose(rng, 40).split(), changed(20), base + prose(rng, 80).split()]
+    rows = [(i, " ".join(t), None, None) for i, t in enumerate(texts)]
+    assert {r["doc_id"] for r in corpus_pipeline.drop_copies(spark, docs(spark, rows), "").collect()} == {0, 3, 4}
+
+
 def test_decontamination_equals_brute_force(spark, corpus):
     long = next(t for _, t, *_ in corpus if t and len(t.split()) == 60)
     items = [(1, " ".join(long.split()[5:30])), (2, "tail, TAIL; tail"), (3, "solo"), (4, None), (5, "..."), (10, " ".join(long.split()[20:35]))]
