@@ -134,9 +134,9 @@ def _describe(batches, words: int):
             s, first = _sets(raw, off, words)
             bit = np.uint64(1) << (s & np.uint64(63))
             lane = (s >> np.uint64(6)) & np.uint64(7)
-            cols = [batch.column(0).slice(a, k), pa.array(np.diff(first)), pa.array(_nodes(s, first).view(np.int64))]
+            cols = [*(c.slice(a, k) for i, c in enumerate(batch.columns) if i != 1), pa.array(np.diff(first)), pa.array(_nodes(s, first).view(np.int64))]
             cols += [pa.array(_reduce(np.bitwise_xor, np.where(lane == j, bit, np.uint64(0)), first).view(np.int64)) for j in range(8)]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "node", *(f"p{j}" for j in range(8))])
+            yield pa.RecordBatch.from_arrays(cols, [*(c for c in batch.schema.names if c != "text"), "n", "node", *(f"p{j}" for j in range(8))])
 
 
 def _whole(batches, words: int):
@@ -223,7 +223,7 @@ def _possible(num: int, den: int, x: str, y: str):
 
 
 def jaccard_components(
-    docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, kinds: str = "ESN"
+    docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, kinds: str = "ESN", rows: bool = False
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of docs(doc_id, text, ...).
 
@@ -233,12 +233,16 @@ def jaccard_components(
     doc_id reachable. Defined cases: a null or empty text has no shingles and is its own
     component; a row without doc_id gets its n_shingles and a null component_id and links
     nothing; rows repeating a doc_id are joined by text as any other rows, so each carries
-    the smallest doc_id reachable from its own text; other columns of docs are ignored."""
+    the smallest doc_id reachable from its own text; other columns of docs are ignored.
+
+    With `rows`: (doc_id, th, first) instead, th being the xxhash64 of the row's text and first
+    the smallest (doc_id, th) of its component; null if it is alone by definition."""
     docs = docs.select("doc_id", "text")
-    told = docs.mapInArrow(partial(_describe, words=words), "doc_id long, n long, node long, " + ", ".join(f"p{j} long" for j in range(8)))
+    keyed = docs.withColumn("th", F.xxhash64("text")) if rows else docs
+    told = keyed.mapInArrow(partial(_describe, words=words), "doc_id long, " + "th long, " * rows + "n long, node long, " + ", ".join(f"p{j} long" for j in range(8)))
     told = cut(told)
     lanes = [F.max(f"p{j}").alias(f"p{j}") for j in range(8)]
-    nodes = cut(told.where("n > 0 AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), *lanes))
+    nodes = cut(told.where("n > 0 AND doc_id IS NOT NULL").groupBy("node").agg(F.min(F.struct("doc_id", "th") if rows else F.col("doc_id")).alias("rep"), F.max("n").alias("n"), *lanes))
 
     # Sets by power-of-1.02 size class are few rows, whatever the number of documents.
     counted = nodes.groupBy(F.floor(F.log(1.02, F.col("n").cast("double"))).alias("c")).agg(F.max("n").alias("n"), F.count("*").alias("k")).collect()
@@ -247,8 +251,10 @@ def jaccard_components(
 
     shared = cut(entries.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key"))
     members = cut(entries.join(shared, "key").dropDuplicates(["key", "node"]).select("key", "node"))
-    wanted = cut(members.select("node").distinct().join(nodes, "node").select("node", F.col("rep").alias("doc_id")))
+    wanted = cut(members.select("node").distinct().join(nodes, "node").select("node", F.col("rep.doc_id" if rows else "rep").alias("doc_id")))
     count = wanted.count()
+    if not count and rows:
+        return _labelled(told, nodes, None, rows)
     if not count:
         return told.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")) if not _any_copies(nodes, told) else _labelled(told, nodes, None)
     texts = docs.join(maybe_broadcast(wanted.select("doc_id").distinct(), count, PICK_ROWS), "doc_id", "left_semi")
@@ -278,14 +284,14 @@ def jaccard_components(
     rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.block") == F.col("y.block")) & apart & _possible(num, den, "x", "y"))
     rest = rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
     links = short.unionByName(_verified(rest, sets, num, den))
-    return _labelled(told, nodes, components(links))
+    return _labelled(told, nodes, components(links), rows)
 
 
 def _any_copies(nodes: DataFrame, told: DataFrame) -> bool:
     return nodes.count() < told.where("n > 0").count()
 
 
-def _labelled(told: DataFrame, nodes: DataFrame, roots: DataFrame | None) -> DataFrame:
+def _labelled(told: DataFrame, nodes: DataFrame, roots: DataFrame | None, rows: bool = False) -> DataFrame:
     if roots is None:
         named = nodes.select("node", F.col("rep").alias("component_id"))
     else:
@@ -293,6 +299,8 @@ def _labelled(told: DataFrame, nodes: DataFrame, roots: DataFrame | None) -> Dat
         of = cut(of)
         least = of.groupBy("root").agg(F.min("rep").alias("component_id"))
         named = of.join(least, "root").select("node", "component_id")
-    got = told.select("doc_id", "n", "node").join(named, "node", "left")
+    got = told.select("doc_id", "n", "node", *["th"] * rows).join(named, "node", "left")
+    if rows:
+        return got.select("doc_id", "th", F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("component_id")).alias("first"))
     alone = F.col("doc_id").isNull() | (F.col("n") == 0)
     return got.select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))

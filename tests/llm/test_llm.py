@@ -77,6 +77,18 @@ def test_pipeline_drops_near_copies(spark):
     assert {r["doc_id"] for r in corpus_pipeline.drop_copies(spark, docs(spark, rows), "").collect()} == {0, 3, 4}
 
 
+def test_pipeline_keeps_one_row_of_each_group(spark):
+    rng = np.random.default_rng(7)
+    a, b, c = (prose(rng, 60) for _ in range(3))
+    near = c + " end"
+    rows = [(3, a), (7, a), (7, b), (9, b), (9, b), (5, c), (5, near), (None, a), (11, ""), (11, "")]
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_copies(spark, docs(spark, [(d, t, None, None) for d, t in rows]), "").collect()]
+    assert sorted(x for x in got if x[0] != 5 and x[0]) == [(3, a), (7, b), (11, "")]
+    assert [d for d, _ in got].count(5) == 1 and (None, a) in got and len(got) == 5
+    alone = [(1, a, None, None), (1, b, None, None)]
+    assert corpus_pipeline.drop_copies(spark, docs(spark, alone), "").count() == 2
+
+
 def test_decontamination_equals_brute_force(spark, corpus):
     long = next(t for _, t, *_ in corpus if t and len(t.split()) == 60)
     items = [(1, " ".join(long.split()[5:30])), (2, "tail, TAIL; tail"), (3, "solo"), (4, None), (5, "..."), (10, " ".join(long.split()[20:35]))]
