@@ -54,7 +54,11 @@ TYPES = ("email", "secret", "iban", "ip", "phone", "card", "ssn", "name")
 _FIND = re.compile("|".join(f"(?P<p{i}>{p.replace(chr(92) + '1', '(?P=sep)').replace('([ -])', '(?P<sep>[ -])')})" for i, (k, p) in enumerate(_PATTERNS) if k != "name"))
 _NAMED = re.compile(_PATTERNS[-1][1])
 # Every entity but a name holds one of these, and they are less than GAP characters apart in it.
-_SIGN, GAP = re.compile(r"[0-9@]"), 100
+_SIGN, GAP = re.compile(r"[0-9@]|(?<![A-Za-z0-9])(?:sk-|AKIA|gh[pousr]_)"), 100
+# What follows a sign may be an account number's last groups, of letters alone.
+_GROUPS = re.compile(r"(?: [A-Z]{1,4}(?![A-Za-z0-9]))+")
+# Calling codes of one and two digits; the others have three.
+_CALLING = re.compile(r"[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{1,3}")
 
 
 def _number(key: str, *parts: object) -> int:
@@ -204,6 +208,16 @@ def _valid_iban(text: str) -> bool:
     return int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
 
 
+def _iban_size(text: str) -> int:
+    """Length of the longest valid number that the groups begin with, 0 if there is none: a
+    word or number after it may look like a group."""
+    while len(text.replace(" ", "")) >= 16:
+        if _valid_iban(text):
+            return len(text)
+        text = text.rpartition(" ")[0]
+    return 0
+
+
 def _given(name: str, key: str) -> str:
     names = GIVEN[_LISTED[name.lower()]]
     return names[step([n.lower() for n in names].index(name.lower()), len(names), key, "given" + "".join(_LISTED[name.lower()]))]
@@ -238,7 +252,7 @@ def surrogate(kind: str, text: str, key: str) -> str:
         stem, _, tld = host.rpartition(".")
         return _shaped(f"{local}@{stem}", _alphabets(f"{local}@{stem}", False), key, "email" + tld.lower()) + "." + tld
     if kind == "phone":
-        country = len(re.match(r"\+?([0-9]*)", text)[1]) if text[0] == "+" else 0
+        country = len(_CALLING.match(text, 1)[0]) if text[0] == "+" else 0
         return _digits(text, key, "phone", skip=country)
     return {"card": _card, "ip": _ip, "iban": _iban, "name": _name, "secret": _secret, "ssn": lambda t, k: _digits(t, k, "ssn", classes=False)}[kind](text, key)
 
@@ -248,16 +262,21 @@ def _kind(m: re.Match) -> str:
 
 
 def _near_signs(text: str):
-    """Parts of a text around digits and at signs, widened to white space."""
+    """Parts of a text around digits, at signs and beginnings of secrets, widened to white space
+    and over groups of capital letters."""
     at, size = 0, len(text)
     while m := _SIGN.search(text, at):
         a, b = m.start(), m.end()
         while a > at and not text[a - 1].isspace():
             a -= 1
-        while m := _SIGN.search(text, b, min(b + GAP, size)):
+        while True:
+            while m := _SIGN.search(text, b, min(b + GAP, size)):
+                b = m.end()
+            while b < size and not text[b].isspace():
+                b += 1
+            if not (m := _GROUPS.match(text, b)):
+                break
             b = m.end()
-        while b < size and not text[b].isspace():
-            b += 1
         yield a, b
         at = b
 
@@ -266,10 +285,14 @@ def entities(text: str, types: tuple[str, ...] = TYPES) -> list[tuple[int, int,
     """(start, end, type) of the entities of a text, in order, not overlapping."""
     out = []
     for a, b in _near_signs(text):
-        for m in _FIND.finditer(text, a, b):
-            kind = _kind(m)
-            if kind in types and (kind != "iban" or _valid_iban(m[0])):
-                out.append((m.start(), m.end(), kind))
+        while m := _FIND.search(text, a, b):
+            kind, a = _kind(m), m.end()
+            if kind == "iban":
+                if not (size := _iban_size(m[0])):
+                    continue
+                a = m.start() + size
+            if kind in types:
+                out.append((m.start(), a, kind))
     if "name" in types:
         names = [(m.start(), m.end(), "name") for m in _NAMED.finditer(text)]
         if names and out:

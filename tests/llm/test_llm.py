@@ -146,6 +146,26 @@ def test_pii_keeps_format_and_distinctness():
         assert len(seen) == n
 
 
+def test_pii_leaves_nothing_in_clear():
+    one = {
+        "phone": ["+15551234567", "+4915112345678", "+1743 555-3824", "+1 (743) 555-3824", "+49 151 1234567", "+358401234567", "743-555-3824"], "email": ["a.b@x1.org"],
+        "secret": ["sk-" + "abCDefGHij" * 2, "AKIA" + "ABCDEFGH" * 2, "ghp_" + "abcDEF" * 6, "ab12" * 10], "iban": ["MU17 BOMM 0101 1010 3030 0200 000M UR", "BE68 5390 0754 7034", "DE89370400440532013000"],
+        "ip": ["10.1.2.3", "8.8.8.8"], "card": ["4111 1111 1111 1111", "4111111111111111"], "ssn": ["078-05-1120"], "name": ["Mr. John Smith", "Mary Smith"],
+    }
+    for kind, texts in one.items():
+        for t in texts:
+            assert pii.surrogate(kind, t, "k") != t
+            for around in ("it is {} then", "{}", "so: {} AND", "{} OK, and x.y@z.org"):
+                new, found = pii.replaced(around.format(t), "k")
+                at = around.index("{")
+                assert (at, at + len(t), kind) in found and t not in new and len(found) == 1 + ("@" in around)
+    for t, keeps in (("+15551234567", "+1"), ("+4915112345678", "+49"), ("+1743 555-3824", "+1"), ("+358401234567", "+358")):
+        new = pii.surrogate("phone", t, "k")
+        rest = len(keeps)
+        assert new.startswith(keeps) and new[rest:] != t[rest:] and new[rest : rest + 3] != t[rest : rest + 3]
+    assert len({pii.surrogate("phone", f"+1555{i:07d}", "k") for i in range(3000)}) == 3000
+
+
 def test_pii_table(spark, corpus):
     rows = [*corpus, (1, "mail a@b.org", None, None)]
     got = pii.pseudonymised(docs(spark, rows)).collect()
