@@ -6,6 +6,9 @@ Rows are ordered by (ts_sec, row_id). Only strike rows are shuffled, by address
 
 from __future__ import annotations
 
+from functools import partial
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,28 +68,37 @@ def escalate(offenses: DataFrame, find_time: int, max_retry: int, tiers: tuple[i
     The window is anchored at its first offense; the max_retry-th offense within it bans and
     clears the counter; each ban of an address takes the next tier, the last one for good. A null
     tier, or none at all, is permanent. An instant permanent offense bans at tier 0, clears the
-    counter and leaves the tier history. The fold is sequential per address: its offenses meet
-    in one row, thinned to three numbers each."""
-    event = F.struct("ts_sec", "row_id", F.col("instant_permanent").alias("perm"))
-    got = offenses.groupBy("client_ip").agg(F.array_sort(F.collect_list(event)).alias("e"))
-    ban = "array<struct<ts_sec: bigint, row_id: bigint, tier: int, perm: boolean>>"
-    last = max(len(tiers) - 1, 0)
-    start = F.struct(F.lit(0).alias("n"), F.lit(None).cast("long").alias("anchor"), F.lit(0).alias("next"), F.array().cast(ban).alias("out"))
-
-    def fold(s, e):
-        fresh = s["anchor"].isNull() | (e["ts_sec"] - s["anchor"] > find_time)
-        n = F.when(fresh, 1).otherwise(s["n"] + 1)
-        hit = n >= max_retry
-        one = lambda tier, perm: F.array(F.struct(e["ts_sec"].alias("ts_sec"), e["row_id"].alias("row_id"), tier.cast("int").alias("tier"), perm.alias("perm")))
-        null = F.lit(None).cast("long")
-        made = lambda n, a, nxt, out: F.struct(n.cast("int").alias("n"), a.alias("anchor"), nxt.cast("int").alias("next"), out.alias("out"))
-        return (
-            F.when(e["perm"], made(F.lit(0), null, s["next"], F.concat(s["out"], one(F.lit(0), F.lit(True)))))
-            .when(hit, made(F.lit(0), null, F.least(s["next"] + 1, F.lit(last)), F.concat(s["out"], one(s["next"], F.lit(False)))))
-            .otherwise(made(n, F.when(fresh, e["ts_sec"]).otherwise(s["anchor"]), s["next"], s["out"]))
-        )
-
-    got = got.select("client_ip", F.inline(F.aggregate("e", start, fold, lambda s: s["out"])))
+    counter and leaves the tier history. The fold is sequential per address: its offenses stream
+    in order through one task, which holds four numbers of it however many there are."""
+    kept = offenses.select("client_ip", F.col("ts_sec").cast("long").alias("ts_sec"), F.col("row_id").cast("long").alias("row_id"), F.col("instant_permanent").alias("perm"))
+    order = kept.repartition("client_ip").sortWithinPartitions("client_ip", "ts_sec", "row_id")
+    fold = partial(_bans, find_time=find_time, max_retry=max_retry, last=max(len(tiers) - 1, 0))
+    got = order.mapInArrow(fold, f"client_ip {kept.schema['client_ip'].dataType.simpleString()}, ts_sec long, row_id long, tier int, perm boolean")
     length = F.element_at(F.array(*[F.lit(t).cast("long") for t in tiers]), F.col("tier") + 1) if tiers else F.lit(None).cast("long")
     length = F.when(F.col("perm"), F.lit(None).cast("long")).otherwise(length)
     return got.select("client_ip", "ts_sec", "row_id", "tier", length.alias("duration_s"), length.isNull().alias("permanent"))
+
+
+def _bans(batches, find_time: int, max_retry: int, last: int):
+    """Bans of offenses sorted by address and time; the state goes on from batch to batch."""
+    ip, n, anchor, following = None, 0, None, 0
+    for batch in batches:
+        at, tiers = [], []
+        for i, (c, ts, perm) in enumerate(zip(*(batch.column(k).to_pylist() for k in (0, 1, 3)), strict=True)):
+            if c != ip:
+                ip, n, anchor, following = c, 0, None, 0
+            if perm:
+                n, anchor = 0, None
+                at.append(i)
+                tiers.append(0)
+                continue
+            if anchor is None or (ts is not None and ts - anchor > find_time):
+                n, anchor = 0, ts
+            n += 1
+            if n >= max_retry:
+                at.append(i)
+                tiers.append(following)
+                n, anchor, following = 0, None, min(following + 1, last)
+        hit = batch.take(pa.array(at, pa.int64()))
+        perm = hit.column(3).fill_null(False)
+        yield pa.RecordBatch.from_arrays([*hit.columns[:3], pa.array(tiers, pa.int32()), perm], ["client_ip", "ts_sec", "row_id", "tier", "perm"])

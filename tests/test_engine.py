@@ -87,6 +87,16 @@ def test_escalation_equals_fold(spark):
     assert got == want
 
 
+def test_escalation_gathers_no_address(spark):
+    # One address, many batches: each ban restarts the count, and no list of offenses is made.
+    df = spark.range(30_000).select(F.lit("1.1.1.1").alias("client_ip"), F.col("id").alias("ts_sec"), F.col("id").alias("row_id"), F.lit(False).alias("instant_permanent"))
+    got = K.escalate(df, 20, 4, (60, 120, None))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan
+    rows = sorted((r["row_id"], r["tier"], r["duration_s"]) for r in got.collect())
+    assert rows == [(4 * k + 3, min(k, 2), (60, 120, None)[min(k, 2)]) for k in range(7500)]
+
+
 def test_counters_equal_sequential_model(spark):
     rng = random.Random(7)
     rows = [(i, rng.randrange(120), f"9.9.9.{rng.randrange(3)}", rng.choice(["shared", "isolated"]), rng.choice(["a", "b"]), rng.choice([5, 10])) for i in range(600)]
