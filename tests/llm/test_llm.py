@@ -252,6 +252,22 @@ def test_mixture_meets_targets(spark):
     assert mixing.mixture(docs(spark, [])).count() == 0
 
 
+def test_pipeline_mixes_rows(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i if i % 7 else None, prose(rng, int(rng.integers(1, 30))), None, f"s{i % 3}") for i in range(300)]
+    rows += [(1, rows[1][1], None, "s1"), (None, "same text", None, "s0"), (None, "same text", None, "s0"), (None, "same text", None, "s1")]
+    d = docs(spark, rows)
+    got = corpus_pipeline.mix_sources(spark, d, "").collect()
+    assert all(r["copies"] > 0 for r in got)
+    taken, target = collections.Counter(), {}
+    for r in got:
+        taken[r["source"]] += r["taken"]
+        target[r["source"]] = r["target"]
+    assert all(abs(taken[s] - t) <= 30 for s, t in target.items())
+    again = corpus_pipeline.mix_sources(spark, d.orderBy(F.desc("text")).repartition(3), "").collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
+
+
 def test_pivot_keeps_expectations():
     rng, total = np.random.default_rng(3), np.zeros(40)
     size = np.r_[500, rng.integers(1, 30, 39)]
