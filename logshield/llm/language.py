@@ -165,7 +165,8 @@ def _labelled(batches, langs: list[str], logp: np.ndarray, allowed: np.ndarray,
                 for d in np.flatnonzero(n).tolist():
                     p, q = w.first[d], w.first[d + 1]
                     text = None
-                    if most[d] <= switch:
+                    # m switches pay for m + 1 runs in other languages at most: none pays if two do not.
+                    if most[d] <= switch / 2:
                         pred[d], score[d], spans[d] = langs[top[d]], 1.0, [(0, int(q - p), langs[top[d]])]
                     else:
                         path = viterbi(s[p:q], switch)

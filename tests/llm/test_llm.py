@@ -325,6 +325,15 @@ def test_languages_and_spans(spark):
     assert [got[i]["lang_pred"] for i in (501, 502, 503)] == ["und"] * 3
 
 
+def test_languages_find_two_that_beat_the_best_one(monkeypatch):
+    s = np.zeros((20, 3))
+    s[:10, 1], s[10:, 1], s[:10, 2], s[10:, 2] = 0.08 * language.SWITCH, -1.0 * language.SWITCH, -1.0 * language.SWITCH, 0.08 * language.SWITCH
+    monkeypatch.setattr(language, "_word_scores", lambda *_: s)
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1], "text": [" ".join(["word"] * 20)]})
+    got = next(language._labelled([batch], ["t", "a", "b"], None, None, language.SWITCH)).to_pylist()[0]
+    assert [(x["first_word"], x["words"], x["lang"]) for x in got["spans"]] == [(0, 10, "a"), (10, 10, "b")] and got["score"] == 0.5
+
+
 def test_empty_tables(spark):
     none = docs(spark, [])
     y = spark.createDataFrame([], "doc_id long, quality int, toxic int")
