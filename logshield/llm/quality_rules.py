@@ -18,8 +18,6 @@ from pyspark.sql import functions as F
 from logshield.llm.common import Words, chunks, mix, spaced, sums_by
 
 BUCKETS = 1 << 14
-#: Bound of the trusted target: so many labelled documents at most.
-TARGET_DOCS = 20_000
 #: Mean log ratio (nats per n-gram) from which a document is kept.
 THRESHOLD = -0.08
 _SYMBOLS = np.zeros(256, bool)

@@ -3,20 +3,18 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from logshield.llm import chat, compression, decontaminate, language, licences, pii, quality_rules, toxicity
-from logshield.llm.common import maybe_broadcast, table
+from logshield.llm.common import cut, maybe_broadcast, table
 from logshield.llm.jaccard_join import jaccard_components
 from logshield.llm.mixing import mixture
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    # The trusted target: documents labelled good, a bounded number of them.
-    good = table(spark, sf_dir, "labels").where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
-    good = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(quality_rules.TARGET_DOCS)
-    target = docs.select("doc_id", "text").join(maybe_broadcast(good, quality_rules.TARGET_DOCS), "doc_id", "left_semi")
+    # The trusted target: all documents labelled good.
+    good = cut(table(spark, sf_dir, "labels").where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct())
+    target = docs.select("doc_id", "text").join(maybe_broadcast(good), "doc_id", "left_semi")
     return quality_rules.quality_rules(docs, target)
 
 

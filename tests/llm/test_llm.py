@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from logshield.llm import chat, compression, decontaminate, language, licences, mixing, pii, quality_rules, toxicity
+from logshield.llm import chat, compression, decontaminate, language, licences, mixing, pii, quality_rules, queries, toxicity
 from logshield.llm.jaccard_join import jaccard_components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, words string, keys string, size string, entities string"
@@ -128,6 +128,14 @@ def test_quality_counts_equal_brute_force(spark, corpus):
         assert r["base_failed"] == (len(w) < 20 or 100 * len(rep) > 30 * len(w)) and (not r["base_failed"] or not r["kept"])
 
 
+def test_quality_target_is_all_labelled_documents(spark, tmp_path, monkeypatch):
+    n = 20_050
+    spark.range(n).selectExpr("id AS doc_id", "concat('text ', id) AS text").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(n).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic").write.parquet(f"{tmp_path}/labels.parquet")
+    monkeypatch.setattr(quality_rules, "quality_rules", lambda docs, target: target)
+    assert queries.op1_quality_rules(spark, str(tmp_path)).count() == n
+
+
 def test_pii_keeps_format_and_distinctness():
     texts = ["mail a.b@x1.org or A.B@x1.org", "call +1 (743) 555-3824", "743-555-3824", "card 4111 1111 1111 1111", "at 10.1.2.3 and 8.8.8.8", 'key "' + "ab12" * 10 + '"', "Mr. John Smith and Mary Smith"]
     for t in texts:
