@@ -2,8 +2,8 @@
 
 Two sets of sizes p and q with Jaccard similarity of t or more differ in at most H tokens,
 H = (p + q)(1 - t) / (1 + t) rounded down. Sizes are cut into bands so that partners lie in
-the same or the next band. For each band the token universe is hashed into H + 1 units, held
-by groups of three kinds; a group of a kind that forgives k differences takes k + 1 units:
+the same or the next band. For each band the token universe is hashed into H + 1 units and a
+few to spare, held by groups of three kinds; a group that forgives k differences takes k + 1 units:
 
 * E, one unit: the segment itself is indexed (finds pairs with no difference in it);
 * S, two units: the segment is cut in three and each pair of parts is indexed, a subset of
@@ -13,16 +13,23 @@ by groups of three kinds; a group of a kind that forgives k differences takes k
 By the pigeonhole principle two similar sets agree on some key. The kinds of a band are chosen
 by cost: index rows plus expected verifications, which grow with the square of the band's rows.
 
-Groups of copies are never expanded. Equal sets are one node from the start. Nodes are verified against
-one hub per bucket and round; only pairs of nodes of one bucket that are not yet
-connected, and that a 512-bit parity sketch (a lower bound of the true difference) does not
-rule out, are verified after that. All verification is by intersection of the whole sets of
-64-bit shingle hashes.
+Keys of no token at all would put all sets of a band that are empty there into one bucket, so
+they are left out: a set whose groups with such a key hold no more units than are to spare still
+agrees with each partner on some other group. The few sets with more of them ("poor" ones) are
+also partitioned by a second and a third hash; two partners are found by the first hash under which
+either of them is not poor. Sets that are poor under all three index the empty keys of the last.
+
+Groups of copies are never expanded. Equal sets are one node from the start, buckets with the same
+members are one. Nodes are verified against two hubs of their bucket, its least and its largest node;
+only pairs of nodes of one bucket that are not connected by then, and that a 512-bit parity sketch
+(a lower bound of the true difference) does not rule out, are verified after that. All verification
+is by intersection of the whole sets of 64-bit shingle hashes.
 """
 
 from __future__ import annotations
 
 from functools import partial
+from math import ceil, exp, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -30,14 +37,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logshield.llm.common import Words, chunks, cut, lower_ascii, maybe_broadcast, mix, spaced
-from logshield.llm.graph import components, contracted
+from logshield.llm.graph import components
 
 #: Ids up to which the documents to verify are picked by a broadcast (16 MB), beyond by a shuffle.
 PICK_ROWS = 2_000_000
 #: Rows of one bucket that one task pairs with each other; larger buckets are dealt in blocks.
 BLOCK = 1024
-#: Rounds of verification against one hub per bucket before the pairs that are still apart.
-HUBS = 2
+#: Hashes of the universe that poor sets are tried by.
+SEEDS = 3
 #: Cost model: chance that a token of a loosely related pair agrees, share of such pairs,
 #: cost of a verification in index rows.
 AGREE, RELATED, VERIFY = 0.66, 1e-4, 20.0
@@ -56,29 +63,44 @@ def bands(largest: int, num: int, den: int) -> list[int]:
     return first
 
 
-def allocate(units: int, size: int, rows: int, kinds: str = "ESN") -> tuple[int, int, int]:
-    """(E, S, N) groups of a band with `units` units, sets of about `size` tokens and `rows` sets.
-    `kinds` limits the choice (tests force each)."""
-    t = size / max(units, 1)
+def spare(least: int, size: int, kind: str) -> int:
+    """Units beyond `least` that few sets of `size` tokens exceed by groups with an empty key:
+    their expected number and one and a half deviations, for groups of one kind."""
+    units, wide = least, 1 if kind == "E" else 2
+    for _ in range(4):
+        t = size / units
+        empty = {"E": exp(-t), "S": 3 * exp(-4 * t / 3) - 2 * exp(-2 * t), "N": (1 + 2 * t) * exp(-2 * t)}[kind]
+        units = least + ceil(units * empty + 1.5 * sqrt(units * empty * wide))
+    return units - least
+
+
+def allocate(least: int, size: int, rows: int, kinds: str = "ESN") -> tuple[int, int, int, int]:
+    """(E, S, N) groups and units to spare of a band that needs `least` units, sets of `size` tokens
+    or more and `rows` sets. `kinds` limits the choice (tests force each)."""
     near = RELATED * rows * rows / 2 * VERIFY
-    two, one = divmod(units, 2)
-    cost = {
-        "E": units * rows + near * units * AGREE**t,
-        "S": (3 * two + one) * rows + near * (3 * two * AGREE ** (4 * t / 3) + one * AGREE**t),
-        "N": (two * (1 + 2 * t) + one) * rows + near * (two * 2 * t * AGREE ** (2 * t - 1) + one * AGREE**t),
-    }
-    best = min((k for k in kinds if k == "E" or two), key=lambda k: cost[k], default="E")
-    return {"E": (units, 0, 0), "S": (one, two, 0), "N": (one, 0, two)}[best]
+    found = []
+    for kind in kinds:
+        more = spare(least, size, kind)
+        two, one = divmod(least + more, 2)
+        t = size / (least + more)
+        if kind == "E" or not two:
+            cost, groups = (least + more) * (rows + near * AGREE**t), (least + more, 0, 0)
+        elif kind == "S":
+            cost, groups = (3 * two + one) * rows + near * (3 * two * AGREE ** (4 * t / 3) + one * AGREE**t), (one, two, 0)
+        else:
+            cost, groups = (two * (1 + 2 * t) + one) * rows + near * (two * 2 * t * AGREE ** (2 * t - 1) + one * AGREE**t), (one, 0, two)
+        found.append((cost, (*groups, more)))
+    return min(found)[1]
 
 
-def plan(sizes: dict[int, int], num: int, den: int, kinds: str = "ESN") -> tuple[list[int], list[tuple[int, int, int]]]:
+def plan(sizes: dict[int, int], num: int, den: int, kinds: str = "ESN") -> tuple[list[int], list[tuple[int, int, int, int]]]:
     """Bands and their groups, from the number of sets by size."""
     first = bands(max(sizes, default=1), num, den)
     groups = []
     for a, b in zip(first, first[1:] + [first[-1] * den // num + 1], strict=True):
         most = hamming(b - 1, (b - 1) * den // num, num, den)
         rows = sum(n for s, n in sizes.items() if a <= s < b)
-        groups.append(allocate(most + 1, (a + b) // 2, rows, kinds) if most else (0, 0, 0))
+        groups.append(allocate(most + 1, a, rows, kinds) if most else (0, 0, 0, 0))
     return first, groups
 
 
@@ -154,65 +176,87 @@ def _expand(first: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return start + np.arange(int(size.sum())), np.repeat(np.arange(len(pick)), size)
 
 
-def _keys(batches, words: int, band_first: list[int], groups: list[tuple[int, int, int]]):
+def _segment_keys(s: np.ndarray, first: np.ndarray, pick: np.ndarray, at: np.ndarray, grp: np.ndarray, seed: int, empty: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of the picked sets, each in band `at`, under one hash of the universe; the index in
+    `pick` of each key; and which of the picked are poor. With `empty`, poor ones have their
+    keys of no token too."""
+    pos, own = _expand(first, pick)
+    x = s[pos]
+    e, t, n = (grp[at][:, j] for j in range(3))
+    slots = e + 3 * t + n
+    base = np.concatenate([[0], np.cumsum(slots)])
+    third = (mix(x ^ np.uint64(0x452821E638D01377 + seed)) % (3 * e + 6 * t + 6 * n)[own].astype(np.uint64)).astype(np.int64)
+    eo, to = e[own], t[own]
+    y = third - 3 * eo
+    slot = np.where(y < 0, third // 3, np.where(y < 6 * to, eo + y // 2, eo + 3 * to + (y - 6 * to) // 6))
+    tok = mix(x + np.uint64(0xA4093822299F31D0))
+    sums = np.zeros(int(base[-1]), np.uint64)
+    held = np.bincount(base[own] + slot, minlength=int(base[-1]))
+    of = np.repeat(np.arange(len(pick)), slots)
+    j = np.arange(int(base[-1])) - base[of]
+    is_e, is_n = j < e[of], j >= (e + 3 * t)[of]
+    keys, owner, void = [], [], []
+    with np.errstate(over="ignore"):
+        np.add.at(sums, base[own] + slot, tok)
+        tag = lambda i, j, kind: mix(at[i].astype(np.uint64) * np.uint64(0x9E3779B1) + j.astype(np.uint64) * np.uint64(4 * SEEDS) + np.uint64(4 * seed + kind))
+        for mask, kind in ((is_e, 0), (is_n, 2)):
+            keys.append(mix(sums[mask] + tag(of[mask], j[mask], kind)))
+            owner.append(of[mask])
+            void.append(held[mask] == 0)
+        head = np.flatnonzero(~is_e & ~is_n & ((j - e[of]) % 3 == 0))
+        for p, q in ((0, 1), (1, 2), (0, 2)):
+            keys.append(mix(mix(sums[head + p]) + np.uint64(3) * sums[head + q] + tag(of[head], j[head] + p, 1 if q - p == 1 else 3)))
+            owner.append(of[head])
+            void.append(held[head + p] + held[head + q] == 0)
+        one = slot >= (e + 3 * t)[own]
+        if one.any():
+            o, sl = own[one], slot[one]
+            keys.append(mix(sums[base[o] + sl] - tok[one] + tag(o, sl, 2)))
+            owner.append(o)
+            void.append(held[base[o] + sl] == 1)
+    parts = (held[head] == 0).astype(int) + (held[head + 1] == 0) + (held[head + 2] == 0)
+    waste = np.bincount(of[is_e & (held == 0)], minlength=len(pick)) + 2 * np.bincount(of[is_n & (held <= 1)], minlength=len(pick)) + 2 * np.bincount(of[head[parts >= 2]], minlength=len(pick))
+    poor = waste > grp[at][:, 3]
+    keys, owner, void = np.concatenate(keys), np.concatenate(owner), np.concatenate(void)
+    use = ~void | (poor[owner] if empty else False)
+    return keys[use], owner[use], poor
+
+
+def _keys(batches, words: int, band_first: list[int], groups: list[tuple[int, int, int, int]]):
     edge, grp = np.array(band_first), np.array(groups, np.int64)
     for batch in batches:
-        for _, k, raw, off in chunks(batch.column(1)):
+        for _, _, raw, off in chunks(batch.column(1)):
             s, first = _sets(raw, off, words)
             size, node = np.diff(first), _nodes(s, first)
             row = np.sort(np.unique(node, return_index=True)[1])
             row = row[size[row] > 0]
             band = np.searchsorted(edge, size[row], "right") - 1
             pick, at = np.concatenate([row, row[band > 0]]), np.concatenate([band, band[band > 0] - 1])
-            use = grp[at].sum(axis=1) > 0
+            use = grp[at][:, :3].sum(axis=1) > 0
             pick, at = pick[use], at[use]
-            if not len(pick):
-                continue
-            pos, own = _expand(first, pick)
-            x = s[pos]
-            e, t, n = (grp[at][:, j] for j in range(3))
-            slots = e + 3 * t + n
-            base = np.concatenate([[0], np.cumsum(slots)])
-            third = (mix(x ^ np.uint64(0x452821E638D01377)) % (3 * e + 6 * t + 6 * n)[own].astype(np.uint64)).astype(np.int64)
-            eo, to = e[own], t[own]
-            y = third - 3 * eo
-            slot = np.where(y < 0, third // 3, np.where(y < 6 * to, eo + y // 2, eo + 3 * to + (y - 6 * to) // 6))
-            tok = mix(x + np.uint64(0xA4093822299F31D0))
-            sums = np.zeros(int(base[-1]), np.uint64)
-            with np.errstate(over="ignore"):
-                np.add.at(sums, base[own] + slot, tok)
-                tag = lambda i, j, kind: mix(at[i].astype(np.uint64) * np.uint64(0x9E3779B1) + j.astype(np.uint64) * np.uint64(4) + np.uint64(kind))
-                of = np.repeat(np.arange(len(pick)), slots)
-                j = np.arange(int(base[-1])) - base[of]
-                keys, nodes = [], []
-                own_node = node[pick]
-                is_e, is_n = j < e[of], j >= (e + 3 * t)[of]
-                for mask, kind in ((is_e, 0), (is_n, 2)):
-                    keys.append(mix(sums[mask] + tag(of[mask], j[mask], kind)))
-                    nodes.append(own_node[of[mask]])
-                head = np.flatnonzero(~is_e & ~is_n & ((j - e[of]) % 3 == 0))
-                for p, q in ((0, 1), (1, 2), (0, 2)):
-                    keys.append(mix(mix(sums[head + p]) + np.uint64(3) * sums[head + q] + tag(of[head], j[head] + p, 1 if q - p == 1 else 3)))
-                    nodes.append(own_node[of[head]])
-                one = slot >= (e + 3 * t)[own]
-                if one.any():
-                    o, sl = own[one], slot[one]
-                    keys.append(mix(sums[base[o] + sl] - tok[one] + tag(o, sl, 2)))
-                    nodes.append(own_node[o])
-            keys, nodes = np.concatenate(keys), np.concatenate(nodes)
-            for i in range(0, len(keys), 1 << 17):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + (1 << 17)].view(np.int64)), pa.array(nodes[i : i + (1 << 17)].view(np.int64))], ["key", "node"])
+            for seed in range(SEEDS):
+                if not len(pick):
+                    break
+                keys, owner, poor = _segment_keys(s, first, pick, at, grp, seed, seed == SEEDS - 1)
+                nodes = node[pick][owner]
+                for i in range(0, len(keys), 1 << 16):
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + (1 << 16)].view(np.int64)), pa.array(nodes[i : i + (1 << 16)].view(np.int64))], ["key", "node"])
+                pick, at = pick[poor], at[poor]
 
 
 def _similar(num: int, den: int, common, total):
     return F.lit(den) * common >= F.lit(num) * (total - common)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Of the pairs (a, b), those whose whole sets are similar enough."""
+def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """Of the pairs (a, b), those whose whole sets are similar enough, read from the texts of
+    the nodes in them."""
+    some = cut(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes, "node").select("node", "doc_id"))
+    texts = docs.join(maybe_broadcast(some.select("doc_id").distinct(), some.count(), PICK_ROWS), "doc_id", "left_semi")
+    sets = cut(texts.mapInArrow(partial(_whole, words=words), "node long, tokens array<long>").dropDuplicates(["node"]))
     got = pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a")
     got = got.join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b")
-    return got.where(_similar(num, den, F.size(F.array_intersect("x", "y")), F.size("x") + F.size("y"))).select("a", "b")
+    return cut(got.where(_similar(num, den, F.size(F.array_intersect("x", "y")), F.size("x") + F.size("y"))).select("a", "b"))
 
 
 def _possible(num: int, den: int, x: str, y: str):
@@ -242,53 +286,47 @@ def jaccard_components(
     told = keyed.mapInArrow(partial(_describe, words=words), "doc_id long, " + "th long, " * rows + "n long, node long, " + ", ".join(f"p{j} long" for j in range(8)))
     told = cut(told)
     lanes = [F.max(f"p{j}").alias(f"p{j}") for j in range(8)]
-    nodes = cut(told.where("n > 0 AND doc_id IS NOT NULL").groupBy("node").agg(F.min(F.struct("doc_id", "th") if rows else F.col("doc_id")).alias("rep"), F.max("n").alias("n"), *lanes))
+    nodes = told.where("n > 0 AND doc_id IS NOT NULL").groupBy("node").agg(F.min(F.struct("doc_id", "th") if rows else F.col("doc_id")).alias("rep"), F.max("n").alias("n"), *lanes)
+    nodes = cut(nodes.withColumn("doc_id", F.col("rep.doc_id" if rows else "rep")))
+    told = told.select("doc_id", *["th"] * rows, "n", "node")
 
     # Sets by power-of-1.02 size class are few rows, whatever the number of documents.
     counted = nodes.groupBy(F.floor(F.log(1.02, F.col("n").cast("double"))).alias("c")).agg(F.max("n").alias("n"), F.count("*").alias("k")).collect()
     first, groups = plan({r["n"]: r["k"] for r in counted}, num, den, kinds)
     entries = docs.where("doc_id IS NOT NULL").mapInArrow(partial(_keys, words=words, band_first=first, groups=groups), "key long, node long")
 
-    shared = cut(entries.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key"))
-    members = cut(entries.join(shared, "key").dropDuplicates(["key", "node"]).select("key", "node"))
-    wanted = cut(members.select("node").distinct().join(nodes, "node").select("node", F.col("rep.doc_id" if rows else "rep").alias("doc_id")))
-    count = wanted.count()
-    if not count and rows:
+    # Keys of two rows or more, rows of equal sets among them, are a small part of all keys; they
+    # are known before any node is moved.
+    shared = cut(entries.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key"))
+    members = cut(entries.join(maybe_broadcast(shared, bound=PICK_ROWS), "key").distinct())
+    # Buckets with the same members (their number, least, largest and 128 bits of all) are one.
+    same = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"s{i}") for i in range(2)]
+    buckets = cut(members.groupBy("key").agg(F.min("node").alias("b"), F.max("node").alias("a"), F.count("*").alias("k"), *same).where("b < a"))
+    large = buckets.where("k > 2").groupBy("k", "a", "b", "s0", "s1").agg(F.min("key").alias("key")).select("key", "a", "b")
+    large = cut(members.join(maybe_broadcast(cut(large)), "key"))
+    to_hub = lambda hub: large.where(f"node <> {hub}").select(F.greatest("node", hub).alias("a"), F.least("node", hub).alias("b"))
+    pairs = buckets.where("k = 2").select("a", "b").union(to_hub("a")).union(to_hub("b")).distinct()
+    pairs = pairs.join(nodes.alias("x"), F.col("a") == F.col("x.node")).join(nodes.alias("y"), F.col("b") == F.col("y.node"))
+    pairs = cut(pairs.where(_possible(num, den, "x", "y")).select("a", "b"))
+    if pairs.isEmpty():
         return _labelled(told, nodes, None, rows)
-    if not count:
-        return told.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")) if not _any_copies(nodes, told) else _labelled(told, nodes, None)
-    texts = docs.join(maybe_broadcast(wanted.select("doc_id").distinct(), count, PICK_ROWS), "doc_id", "left_semi")
-    sets = cut(texts.mapInArrow(partial(_whole, words=words), "node long, tokens array<long>").dropDuplicates(["node"]))
-
-    # Some rounds of one hub per bucket, another each time, connect most of each group at a cost
-    # in proportion to its members.
-    short, known = None, None
-    for r in range(HUBS):
-        of = members if known is None else members.join(known, "node", "left")
-        of = of.select("key", "node", (F.col("node") if known is None else F.coalesce("root", "node")).alias("comp"))
-        hub = of.groupBy("key").agg(F.min_by(F.struct("node", "comp"), F.xxhash64("node", F.lit(r))).alias("h"))
-        pairs = of.join(hub, "key").where("comp <> h.comp").select(F.greatest("node", "h.node").alias("a"), F.least("node", "h.node").alias("b")).distinct()
-        pairs = pairs.join(nodes.alias("x"), F.col("a") == F.col("x.node")).join(nodes.alias("y"), F.col("b") == F.col("y.node"))
-        found = _verified(pairs.where(_possible(num, den, "x", "y")).select("a", "b"), sets, num, den)
-        short = contracted(found if short is None else short.unionByName(found))
-        known = short.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root")
-        known = known.unionByName(short.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct().join(known.select("node"), "node", "left_anti"))
+    links = _verified(pairs, docs, nodes, words, num, den)
 
     # What is left of the exact work: pairs of one bucket that are still apart.
-    left = members.join(known, "node", "left").select("key", "node", F.coalesce("root", "node").alias("comp"))
+    known = cut(components(links))
+    left = large.join(known, "node", "left").select("key", "node", F.coalesce("root", "node").alias("comp"))
     mixed = left.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("k")).where("c0 < c1")
-    left = cut(left.join(mixed.select("key", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks")), "key").join(nodes.drop("rep"), "node"))
+    left = cut(left.join(mixed.select("key", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks")), "key").join(nodes.drop("rep", "doc_id"), "node"))
     x = left.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")).alias("x")
     y = left.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("y")
     apart = (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp"))
     rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.block") == F.col("y.block")) & apart & _possible(num, den, "x", "y"))
-    rest = rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    links = short.unionByName(_verified(rest, sets, num, den))
-    return _labelled(told, nodes, components(links), rows)
-
-
-def _any_copies(nodes: DataFrame, told: DataFrame) -> bool:
-    return nodes.count() < told.where("n > 0").count()
+    # Pairs with a hub are settled.
+    rest = cut(rest.select(F.col("y.node").alias("a"), F.col("x.node").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"))
+    more = None if rest.isEmpty() else _verified(rest, docs, nodes, words, num, den)
+    if more is not None and not more.isEmpty():
+        known = cut(components(known.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)))
+    return _labelled(told, nodes, known, rows)
 
 
 def _labelled(told: DataFrame, nodes: DataFrame, roots: DataFrame | None, rows: bool = False) -> DataFrame:
