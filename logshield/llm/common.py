@@ -6,6 +6,7 @@ so that the cost per document is a handful of numpy passes and memory stays boun
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -26,10 +27,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one where it
-    names none (tests)."""
+    """The folder that the cluster names in spark.checkpoint.dir. Only a session inside one
+    process (master local, as in tests) may do without: it gets a temporary one. Elsewhere executors
+    would write to disks of their own, so that is an error."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         conf = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", conf)
     return conf
@@ -37,11 +41,27 @@ def shared_dir(spark: SparkSession) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: later stages survive lost executors
-    and do not run the plan above it again."""
+    and do not run the plan above it again. What is no longer read can be discarded."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    got = spark.read.schema(df.schema).parquet(path)
+    got._cut = path
+    return got
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of cut tables; all that was made of them must be written by now."""
+    for df in tables:
+        sc = df.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(df._cut)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or name with a number behind it if df has such a column already."""
+    taken = {c.lower() for c in df.columns}
+    return next(n for n in (name, *(f"{name}_{i}" for i in range(1, len(taken) + 2))) if n.lower() not in taken)
 
 
 def maybe_broadcast(df: DataFrame, rows: int | None = None, bound: int = BROADCAST_ROWS) -> DataFrame:
@@ -71,9 +91,12 @@ def bounded_labels(labels: DataFrame, column: str, mod: int, rest: int, per_clas
 
 def with_texts(docs: DataFrame, chosen: DataFrame, bound: int) -> DataFrame:
     """(doc_id, text, y) of the chosen documents; `chosen` has at most `bound` rows by
-    construction, so it is broadcast. Repeated doc_ids count once."""
+    construction, so it is broadcast. Of the texts of a repeated doc_id the one with the least
+    hash counts, then the least text."""
     docs = docs.select("doc_id", "text").where(F.col("text").isNotNull())
-    return docs.join(maybe_broadcast(chosen, bound), "doc_id").dropDuplicates(["doc_id"])
+    found = docs.join(maybe_broadcast(chosen, bound), "doc_id")
+    found = found.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", "y")).alias("t"))
+    return found.select("doc_id", "t.text", "t.y")
 
 
 def slices(batches, rows: int = 256):

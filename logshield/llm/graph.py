@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logshield.llm.common import cut
+from logshield.llm.common import cut, discard
 
 
 def _contract(e: DataFrame) -> DataFrame:
@@ -27,14 +27,17 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     `links` has columns a and b. Each round replaces the links by as many or fewer that reach
     the same nodes; hubs stay single rows per neighbour, so no group is ever gathered. The
-    number of rounds grows with the logarithm of the longest path."""
+    number of rounds grows with the logarithm of the longest path. The result is cut."""
     e = _contract(_ordered(links))
     for _ in range(max_rounds):
         if _stars(e):
             break
-        e = _contract(e)
+        e, was = _contract(e), e
+        discard(was)
     root = e.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root")
-    return root.unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    got = cut(root.unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()))
+    discard(e)
+    return got
 
 
 def _stars(e: DataFrame) -> bool:

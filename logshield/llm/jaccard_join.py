@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logshield.llm.common import Words, chunks, cut, lower_ascii, maybe_broadcast, mix, spaced
+from logshield.llm.common import Words, chunks, cut, discard, lower_ascii, maybe_broadcast, mix, spaced
 from logshield.llm.graph import components
 
 #: Ids up to which the documents to verify are picked by a broadcast (16 MB), beyond by a shuffle.
@@ -256,7 +256,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, n
     sets = cut(texts.mapInArrow(partial(_whole, words=words), "node long, tokens array<long>").dropDuplicates(["node"]))
     got = pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a")
     got = got.join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b")
-    return cut(got.where(_similar(num, den, F.size(F.array_intersect("x", "y")), F.size("x") + F.size("y"))).select("a", "b"))
+    links = cut(got.where(_similar(num, den, F.size(F.array_intersect("x", "y")), F.size("x") + F.size("y"))).select("a", "b"))
+    discard(some, sets)
+    return links
 
 
 def _possible(num: int, den: int, x: str, y: str):
@@ -277,7 +279,9 @@ def jaccard_components(
     doc_id reachable. Defined cases: a null or empty text has no shingles and is its own
     component; a row without doc_id gets its n_shingles and a null component_id and links
     nothing; rows repeating a doc_id are joined by text as any other rows, so each carries
-    the smallest doc_id reachable from its own text; other columns of docs are ignored.
+    the smallest doc_id reachable from its own text; a similarity on the threshold links; a very
+    long text is read whole, at some fifty bytes of working memory a byte; other columns of docs
+    are ignored; an empty table gives no rows.
 
     With `rows`: (doc_id, th, first) instead, th being the xxhash64 of the row's text and first
     the smallest (doc_id, th) of its component; null if it is alone by definition."""
@@ -298,7 +302,8 @@ def jaccard_components(
     # Keys of two rows or more, rows of equal sets among them, are a small part of all keys; they
     # are known before any node is moved.
     shared = cut(entries.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key"))
-    members = cut(entries.join(maybe_broadcast(shared, bound=PICK_ROWS), "key").distinct())
+    members = cut(entries.join(maybe_broadcast(shared), "key").distinct())
+    discard(shared)
     # Buckets with the same members (their number, least, largest and 128 bits of all) are one.
     same = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"s{i}") for i in range(2)]
     buckets = cut(members.groupBy("key").agg(F.min("node").alias("b"), F.max("node").alias("a"), F.count("*").alias("k"), *same).where("b < a"))
@@ -308,12 +313,13 @@ def jaccard_components(
     pairs = buckets.where("k = 2").select("a", "b").union(to_hub("a")).union(to_hub("b")).distinct()
     pairs = pairs.join(nodes.alias("x"), F.col("a") == F.col("x.node")).join(nodes.alias("y"), F.col("b") == F.col("y.node"))
     pairs = cut(pairs.where(_possible(num, den, "x", "y")).select("a", "b"))
+    discard(members, buckets)
     if pairs.isEmpty():
         return _labelled(told, nodes, None, rows)
     links = _verified(pairs, docs, nodes, words, num, den)
 
     # What is left of the exact work: pairs of one bucket that are still apart.
-    known = cut(components(links))
+    known = components(links)
     left = large.join(known, "node", "left").select("key", "node", F.coalesce("root", "node").alias("comp"))
     mixed = left.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("k")).where("c0 < c1")
     left = cut(left.join(mixed.select("key", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks")), "key").join(nodes.drop("rep", "doc_id"), "node"))
@@ -325,7 +331,8 @@ def jaccard_components(
     rest = cut(rest.select(F.col("y.node").alias("a"), F.col("x.node").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"))
     more = None if rest.isEmpty() else _verified(rest, docs, nodes, words, num, den)
     if more is not None and not more.isEmpty():
-        known = cut(components(known.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)))
+        known = components(known.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
+    discard(links, large, pairs, left, rest)
     return _labelled(told, nodes, known, rows)
 
 
