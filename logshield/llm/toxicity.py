@@ -152,8 +152,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, mod: int = 3, rest: int = 1, th
     of offending sentences (score 0.5 or more) of every row of docs(doc_id, text, ...).
 
     Defined cases: a text without words, or null, has score 0; with labels of one class or none
-    every text with words gets that class; rows that repeat a doc_id are scored each (one of them
-    is learned from); ties for the worst sentence go to the first; other columns are ignored."""
+    every text with words gets that class; rows that repeat a doc_id are scored each (the text of
+    least hash is learned from); ties for the worst sentence go to the first; a very long text is
+    read whole, with some hundred bytes of working memory a word; other columns are ignored."""
     words, weights = fit(docs, labels, mod, rest)
     got = docs.select("doc_id", "text").mapInArrow(
         partial(_scored, words=words, weights=weights), "doc_id long, score double, n_sentences long, worst_sentence long, worst_score double, offending array<long>"
@@ -161,15 +162,15 @@ def toxicity(docs: DataFrame, labels: DataFrame, mod: int = 3, rest: int = 1, th
     return got.select("doc_id", fold(F.col("doc_id"), mod, rest).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "n_sentences", "worst_sentence", "worst_score", "offending")
 
 
-def _appended(batches, at: int, words: list[str], weights: list[float]):
+def _appended(batches, at: int, words: list[str], weights: list[float], name: str):
     for batch in slices(batches):
         scored = next(_scored([pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), batch.column(at)], ["doc_id", "text"])], words, weights))
-        yield pa.RecordBatch.from_arrays([*batch.columns, scored.column(1)], [*batch.schema.names, "toxic_score"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, scored.column(1)], [*batch.schema.names, name])
 
 
-def scored_rows(docs: DataFrame, labels: DataFrame, mod: int = 3, rest: int = 1) -> DataFrame:
-    """docs with a column toxic_score, for filters that keep all columns."""
+def scored_rows(docs: DataFrame, labels: DataFrame, mod: int = 3, rest: int = 1, name: str = "toxic_score") -> DataFrame:
+    """docs with one more column `name`, the score, for filters that keep all columns; docs must
+    not have a column of that name."""
     words, weights = fit(docs, labels, mod, rest)
-    docs = docs.drop("toxic_score")
-    schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes) + ", toxic_score double"
-    return docs.mapInArrow(partial(_appended, at=docs.columns.index("text"), words=words, weights=weights), schema)
+    schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes) + f", `{name}` double"
+    return docs.mapInArrow(partial(_appended, at=docs.columns.index("text"), words=words, weights=weights, name=name), schema)
