@@ -1,14 +1,13 @@
 """Compression classifier: zstandard dictionaries of good and of bad text.
 
 A text is cut into pieces of PIECE bytes, each compressed once with either dictionary; the
-difference of the summed sizes, divided by their sum, is calibrated by a logistic curve.
+difference of the summed sizes, divided by their sum, is calibrated by a logistic curve of it alone.
 Dictionaries and curve are fitted on two halves of a bounded labelled sample.
 """
 
 from __future__ import annotations
 
 from functools import partial
-from math import exp
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +20,6 @@ from logshield.llm.common import bounded_labels, cut, fold, slices, with_texts
 PER_CLASS = 2000
 #: Bytes of a dictionary and of a piece; the compression level.
 DICT_BYTES, PIECE, LEVEL = 110 << 10, 2048, 3
-#: Bytes in which the shortness of a text falls by e.
-SHORT = 64
 
 
 def _pieces(text: str) -> list[bytes]:
@@ -55,20 +52,18 @@ class _Sizes:
             else:
                 self.by.append(zstandard.ZstdCompressor(level=LEVEL, write_checksum=False, write_content_size=False))
 
-    def gap(self, text: str | None) -> tuple[float, float]:
-        """(bad - good) / (bad + good) of the compressed sizes, 0 for an empty text; and how short
-        the text is, from 1 (empty) to 0, since short texts say little."""
+    def gap(self, text: str | None) -> float:
+        """(bad - good) / (bad + good) of the compressed sizes, 0 for an empty text."""
         pieces = _pieces(text) if text else []
         good, bad = (sum(len(z.compress(p)) for p in pieces) for z in self.by)
-        return ((bad - good) / (bad + good) if pieces else 0.0), exp(-sum(map(len, pieces)) / SHORT)
+        return (bad - good) / (bad + good) if pieces else 0.0
 
 
 def _gaps(batches, good: bytes, bad: bytes):
     sizes = _Sizes(good, bad)
     for batch in slices(batches):
-        gaps = [sizes.gap(t.as_py()) for t in batch.column(1)]
-        cols = [pa.array([g[j] for g in gaps], pa.float64()) for j in range(2)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["doc_id", "gap", "short"])
+        gaps = pa.array([sizes.gap(t.as_py()) for t in batch.column(1)], pa.float64())
+        yield pa.RecordBatch.from_arrays([batch.column(0), gaps], ["doc_id", "gap"])
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-4) -> list[float]:
@@ -89,20 +84,20 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e
 
 
 def fit(docs: DataFrame, labels: DataFrame, column: str, mod: int, rest: int, per_class: int = PER_CLASS) -> tuple[bytes, bytes, list[float]]:
-    """(good dictionary, bad dictionary, slopes and intercept), learned outside the held-out fold."""
+    """(good dictionary, bad dictionary, slope and intercept), learned outside the held-out fold."""
     chosen = bounded_labels(labels, column, mod, rest, per_class)
     sample = cut(with_texts(docs, chosen, 2 * per_class).withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2))))
     made = {r["y"]: bytes(r["made"]) for r in sample.where("half = 0").select("y", "text").groupBy("y").applyInArrow(_trained, "y int, made binary").collect()}
     good, bad = made.get(1, b""), made.get(0, b"")
-    gap = sample.where("half = 1").select("doc_id", "text").mapInArrow(partial(_gaps, good=good, bad=bad), "doc_id long, gap double, short double")
+    gap = sample.where("half = 1").select("doc_id", "text").mapInArrow(partial(_gaps, good=good, bad=bad), "doc_id long, gap double")
     rows = gap.join(sample.select("doc_id", "y"), "doc_id").orderBy("doc_id").collect()
     outside = labels.where(~fold(F.col("doc_id"), mod, rest) & F.col(column).isNotNull())
     share = {r[0]: r[1] for r in outside.groupBy(F.col(column).cast("int")).count().collect()}
     y = np.array([r["y"] for r in rows], float)
     if len(set(y)) < 2:
-        return good, bad, [0.0, 0.0, float(np.log((share.get(1, 0) + 1) / (share.get(0, 0) + 1)))]
+        return good, bad, [0.0, float(np.log((share.get(1, 0) + 1) / (share.get(0, 0) + 1)))]
     weight = np.where(y == 1, share.get(1, 1) / max(y.sum(), 1), share.get(0, 1) / max((1 - y).sum(), 1))
-    return good, bad, logistic(np.array([[r["gap"], r["short"]] for r in rows]), y, weight)
+    return good, bad, logistic(np.array([[r["gap"]] for r in rows]), y, weight)
 
 
 def quality(docs: DataFrame, labels: DataFrame, mod: int = 4, rest: int = 2, threshold: float = 0.7) -> DataFrame:
@@ -110,8 +105,9 @@ def quality(docs: DataFrame, labels: DataFrame, mod: int = 4, rest: int = 2, thr
 
     Defined cases: a null or empty text has gap 0 and the curve's score there; with labels of one
     class or none the score is the share of good labels; rows that repeat a doc_id are scored each
-    (one of them is learned from); other columns are ignored; an empty table gives no rows."""
-    good, bad, (slope, short, base) = fit(docs, labels, "quality", mod, rest)
-    got = docs.select("doc_id", "text").mapInArrow(partial(_gaps, good=good, bad=bad), "doc_id long, gap double, short double")
-    score = 1 / (1 + F.exp(-(F.col("gap") * F.lit(slope) + F.col("short") * F.lit(short) + F.lit(base))))
+    (the text of least hash is learned from); equal texts get equal scores; a very long text is
+    compressed piece by piece; other columns are ignored; an empty table gives no rows."""
+    good, bad, (slope, base) = fit(docs, labels, "quality", mod, rest)
+    got = docs.select("doc_id", "text").mapInArrow(partial(_gaps, good=good, bad=bad), "doc_id long, gap double")
+    score = 1 / (1 + F.exp(-(F.col("gap") * F.lit(slope) + F.lit(base))))
     return got.select("doc_id", fold(F.col("doc_id"), mod, rest).alias("held_out"), score.alias("score"), (score >= threshold).cast("int").alias("predicted"), "gap")
