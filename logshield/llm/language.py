@@ -4,8 +4,10 @@ The script of a word narrows the candidates to languages seen in that script; ea
 scores the word by its character n-grams; a Viterbi path over the words, with a penalty for
 each switch of language, labels spans. The document's language is that of most letters.
 
-A path that never switches is proved best without running the search where no run of words
-gains another language more than one penalty, which holds for almost all documents.
+The search is left out where it cannot find better than the single best language: a path with r
+runs in other languages has at least r - 1 switches (r, if it visits the best one too), and gains
+on it at most r times the largest gain of any run, so that none is better if that gain is at most
+half a penalty; r = 1 without the best language is a worse single language.
 """
 
 from __future__ import annotations
@@ -138,7 +140,8 @@ def _word_scores(w: Letters, logp: np.ndarray, allowed: np.ndarray) -> np.ndarra
     return out
 
 
-def _labelled(batches, langs: list[str], logp: np.ndarray, allowed: np.ndarray, switch: float):
+def _labelled(batches, langs: list[str], logp: np.ndarray, allowed: np.ndarray, switch: float, always: bool = False):
+    """`always`: search each text (tests compare)."""
     count = len(langs)
     limit = max(1 << 16, (4 << 20) // max(count, 2))
     for batch in batches:
@@ -166,7 +169,7 @@ def _labelled(batches, langs: list[str], logp: np.ndarray, allowed: np.ndarray,
                     p, q = w.first[d], w.first[d + 1]
                     text = None
                     # m switches pay for m + 1 runs in other languages at most: none pays if two do not.
-                    if most[d] <= switch / 2:
+                    if most[d] <= switch / 2 and not always:
                         pred[d], score[d], spans[d] = langs[top[d]], 1.0, [(0, int(q - p), langs[top[d]])]
                     else:
                         path = viterbi(s[p:q], switch)
@@ -191,7 +194,8 @@ def languages(docs: DataFrame, mod: int = 4, rest: int = 2, switch: float = SWIT
 
     Defined cases: a null text, or one without letters, is und with score 0; rows with a null lang
     are predicted, not learned from; with nothing to learn from every text is und; rows that
-    repeat a doc_id are predicted each; other columns are ignored."""
+    repeat a doc_id are predicted each; ties go to the first language in order; a very long text is
+    scored whole (its words x languages numbers); other columns are ignored."""
     langs, logp, allowed = fit(docs, mod, rest)
     schema = "doc_id long, lang_pred string, score double, spans array<struct<first_word: long, words: long, lang: string>>"
     got = docs.select("doc_id", "text").mapInArrow(partial(_labelled, langs=langs, logp=logp, allowed=allowed, switch=switch), schema)
