@@ -21,6 +21,19 @@ SENTENCES = (
     ("spdx-bsd3", r"^spdx licen[cs]e identifier bsd 3 clause$"),
     ("spdx-bsd2", r"^spdx licen[cs]e identifier bsd 2 clause$"),
     ("spdx-ccbync4", r"^spdx licen[cs]e identifier cc by nc 4\.0$"),
+    ("spdx-gpl2", r"^spdx licen[cs]e identifier gpl 2\.0( only| or later)?$"),
+    ("spdx-lgpl21", r"^spdx licen[cs]e identifier lgpl 2\.1( only| or later)?$"),
+    ("spdx-lgpl3", r"^spdx licen[cs]e identifier lgpl 3\.0( only| or later)?$"),
+    ("spdx-agpl3", r"^spdx licen[cs]e identifier agpl 3\.0( only| or later)?$"),
+    ("spdx-mpl2", r"^spdx licen[cs]e identifier mpl 2\.0$"),
+    ("spdx-isc", r"^spdx licen[cs]e identifier isc$"),
+    ("spdx-cc0", r"^spdx licen[cs]e identifier cc0 1\.0$"),
+    ("spdx-ccby4", r"^spdx licen[cs]e identifier cc by 4\.0$"),
+    ("spdx-ccbysa4", r"^spdx licen[cs]e identifier cc by sa 4\.0$"),
+    ("spdx-unlicense", r"^spdx licen[cs]e identifier unlicense$"),
+    ("spdx-bsl1", r"^spdx licen[cs]e identifier bsl 1\.0$"),
+    ("spdx-epl2", r"^spdx licen[cs]e identifier epl 2\.0$"),
+    ("spdx-zlib", r"^spdx licen[cs]e identifier zlib$"),
     ("mit-grant", r"^permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
     ("mit-notice", r"^the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software$"),
     ("mit-warranty", r"^the software is provided as is without warranty of any kind express or implied"),
@@ -34,6 +47,8 @@ SENTENCES = (
     ("bsd-endorse", r"^([0-9]\.? )?neither the name of .* may be used to endorse or promote products derived from this software"),
     ("bsd-asis", r"^this software is provided by the copyright holders? and contributors as is"),
     ("bsd-ref", r"^(this .* is )?(released|licen[cs]ed|distributed) under the (terms of the )?(3 clause |new |modified )?bsd licen[cs]e$"),
+    ("bsd3-ref", r"^(this .* is )?(released|licen[cs]ed|distributed) under the (terms of the )?bsd 3 clause licen[cs]e$"),
+    ("bsd2-ref", r"^(this .* is )?(released|licen[cs]ed|distributed) under the (terms of the )?(bsd 2 clause|2 clause bsd|simplified bsd) licen[cs]e$"),
     ("apache2-ref", r"^(this .* is )?(released|licen[cs]ed|distributed) under the (terms of the )?apache licen[cs]e,? version 2\.0( the licen[cs]e)?$"),
     ("apache2-use", r"^you may not use this file except in compliance with the licen[cs]e$"),
     ("apache2-copy", r"^you may obtain a copy of the licen[cs]e at"),
@@ -52,6 +67,10 @@ SENTENCES = (
     ("ccbync4-ref", r"licen[cs]ed under (a |the )?(cc by nc 4\.0|creative commons attribution noncommercial 4\.0)"),
     ("ccbysa4-ref", r"licen[cs]ed under (a |the )?(cc by sa 4\.0|creative commons attribution sharealike 4\.0)"),
     ("ccby4-ref", r"licen[cs]ed under (a |the )?(cc by 4\.0|creative commons attribution 4\.0)"),
+    ("unlicense-ref", r"^this is free and unencumbered software released into the public domain$"),
+    ("bsl1-ref", r"^boost software licen[cs]e version 1\.0|under the boost software licen[cs]e version 1\.0"),
+    ("epl2-ref", r"under the terms of the eclipse public licen[cs]e (version |v\.? ?)?2\.0"),
+    ("zlib-warranty", r"^this software is provided as is without any express or implied warranty$"),
     ("cc0-ref", r"(cc0 1\.0|dedicated to the public domain|released into the public domain)"),
     ("copyright", r"^(copyright|c copyright)( c)?( [0-9 ]+)?"),
     ("reserved", r"^all rights reserved$"),
@@ -65,20 +84,25 @@ RULES = (
     ("Apache-2.0", "permissive", (("apache2-ref", "apache2-use", "apache2-copy", "apache2-warranty"), ("apache2-ref", "apache2-use", "apache2-copy"))),
     ("GPL-3.0-or-later", "copyleft", (("gpl3-later", "gpl-useful", "gpl-copy"), ("gpl3-later",))),
     ("GPL-2.0-or-later", "copyleft", (("gpl2-later", "gpl-useful", "gpl-copy"), ("gpl2-later",))),
-    ("AGPL-3.0", "copyleft", (("agpl3-ref",),)),
-    ("LGPL-3.0", "copyleft", (("lgpl3-ref",),)),
-    ("LGPL-2.1", "copyleft", (("lgpl21-ref",),)),
+    ("AGPL-3.0", "copyleft", (("agpl3-ref",), ("spdx-agpl3",))),
+    ("LGPL-3.0", "copyleft", (("lgpl3-ref",), ("spdx-lgpl3",))),
+    ("LGPL-2.1", "copyleft", (("lgpl21-ref",), ("spdx-lgpl21",))),
     ("GPL-3.0", "copyleft", (("gpl3-ref",), ("spdx-gpl3",))),
-    ("GPL-2.0", "copyleft", (("gpl2-ref",),)),
-    ("MPL-2.0", "copyleft", (("mpl2-ref",),)),
+    ("GPL-2.0", "copyleft", (("gpl2-ref",), ("spdx-gpl2",))),
+    ("MPL-2.0", "copyleft", (("mpl2-ref",), ("spdx-mpl2",))),
+    ("EPL-2.0", "copyleft", (("epl2-ref",), ("spdx-epl2",))),
     ("CC-BY-NC-SA-4.0", "noncommercial", (("ccbyncsa4-ref",),)),
     ("CC-BY-NC-4.0", "noncommercial", (("ccbync4-ref",), ("spdx-ccbync4",))),
-    ("CC-BY-SA-4.0", "copyleft", (("ccbysa4-ref",),)),
-    ("CC-BY-4.0", "permissive", (("ccby4-ref",),)),
-    ("CC0-1.0", "permissive", (("cc0-ref",),)),
+    ("CC-BY-SA-4.0", "copyleft", (("ccbysa4-ref",), ("spdx-ccbysa4",))),
+    ("CC-BY-4.0", "permissive", (("ccby4-ref",), ("spdx-ccby4",))),
+    ("Unlicense", "permissive", (("unlicense-ref",), ("spdx-unlicense",))),
+    ("BSL-1.0", "permissive", (("bsl1-ref",), ("spdx-bsl1",))),
+    ("Zlib", "permissive", (("zlib-warranty",), ("spdx-zlib",))),
+    ("ISC", "permissive", (("spdx-isc",),)),
+    ("CC0-1.0", "permissive", (("cc0-ref",), ("spdx-cc0",))),
     ("Apache-2.0", "permissive", (("apache2-ref",), ("spdx-apache2",))),
-    ("BSD-3-Clause", "permissive", (("bsd-ref",), ("spdx-bsd3",))),
-    ("BSD-2-Clause", "permissive", (("spdx-bsd2",),)),
+    ("BSD-3-Clause", "permissive", (("bsd-ref",), ("bsd3-ref",), ("spdx-bsd3",))),
+    ("BSD-2-Clause", "permissive", (("bsd2-ref",), ("spdx-bsd2",))),
     ("MIT", "permissive", (("mit-ref",), ("spdx-mit",))),
 )
 # A line that goes on in lower case continues the sentence; other lines and stops end it.
@@ -88,6 +112,8 @@ _WRAP, _STOP, _OTHER, _EDGE = r"\r?\n[ \t#*/;-]*([a-z])", r"([.!?;:])[ \t\r\f]+"
 # A tag is a sentence of its own, colon or not. Line ends that neither _WRAP nor _STOP decide may
 # be inside a sentence, unless a stop, an empty line, a list marker or a known beginning is there.
 _TAG = r"(?i)(spdx-licen[cs]e-identifier)[ \t]*:[ \t]*([^\r\n]*)"
+# The stop of an abbreviated version ends no sentence.
+_VERSION = r"(?i)\b(v|ver)\.\s+(?=[0-9])"
 _HEADS = (
     r"permission (is hereby|to use)|the above copyright notice|the software is provided|in no event shall|redistributions? |neither the name|this software is provided|you may (not use|obtain a copy)"
     r"|unless required by|this program is|you should have received|copyright (\(c\)|©|[0-9])|all rights reserved|(licen[cs]ed|released) under"
@@ -100,7 +126,7 @@ def sentence_ids(text: Column) -> Column:
     """Identifiers of the licence sentences of a text in order; `?` for a sentence about a
     licence that no rule knows. A sentence is read over its wrapped lines and also line by line;
     what its lines say alone is never lost."""
-    tagged = F.regexp_replace(text, _TAG, "\n$1 $2\n")
+    tagged = F.regexp_replace(F.regexp_replace(text, _TAG, "\n$1 $2\n"), _VERSION, "$1 ")
     lines = F.regexp_replace(F.regexp_replace(tagged, _WRAP, " $1"), _STOP, "$1\n")
     some = F.filter(F.split(F.regexp_replace(F.replace(lines, F.lit(_MARK), F.lit(" ")), _SOFT, _MARK), "\n"), lambda s: _holds_sign(F.lower(s)))
     read = F.transform(some, lambda s: F.struct(
@@ -138,7 +164,8 @@ def licences(docs: DataFrame) -> DataFrame:
     permissive, then unknown (a sentence about a licence that no rule knows) and none.
 
     Defined cases: null and empty texts have none of it; rows that repeat a doc_id are scanned
-    each; a licence named twice counts once; other columns are ignored."""
+    each; a licence named twice counts once; of two rules for the same sentence the first counts;
+    a very long text is scanned whole; other columns are ignored."""
     got = docs.select("doc_id", F.when(_holds_sign(F.lower("text")), F.col("text")).alias("text"))
     got = got.select("doc_id", F.coalesce(sentence_ids(F.col("text")), F.array().cast("array<string>")).alias("ids"))
     seq = F.array_join(F.transform("ids", lambda i: F.concat(F.lit("<"), i, F.lit(">"))), "")
