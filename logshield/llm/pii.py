@@ -9,8 +9,10 @@ so nothing maps to itself. Where an image would collide with something reserved
 name as the image of a surname, another class of address), the walk along the cycle goes on
 until it leaves the reserved part, which keeps the map one-to-one.
 
-Names are recognised by a title, or by a listed given name before a capitalised word. Given
-names map to names of the same list, one list per gender and script.
+Names are recognised by a title, or by a listed given name before a capitalised word; their words
+are then names wherever else they stand in the same text. Given names map to names of the same
+list, one list per gender and script. A number gets the same national digits whether it is
+written with its calling code or without. The key is the caller's: there is no default.
 """
 
 from __future__ import annotations
@@ -25,7 +27,6 @@ from pyspark.sql import functions as F
 
 from logshield.llm.common import slices
 
-KEY = "change-me"
 #: Surrogates that a task remembers.
 CACHE = 50_000
 
@@ -53,6 +54,7 @@ _PATTERNS = (
 TYPES = ("email", "secret", "iban", "ip", "phone", "card", "ssn", "name")
 _FIND = re.compile("|".join(f"(?P<p{i}>{p.replace(chr(92) + '1', '(?P=sep)').replace('([ -])', '(?P<sep>[ -])')})" for i, (k, p) in enumerate(_PATTERNS) if k != "name"))
 _NAMED = re.compile(_PATTERNS[-1][1])
+_WORD = re.compile(rf"\b{_NAME}\b")
 # Every entity but a name holds one of these, and they are less than GAP characters apart in it.
 _SIGN, GAP = re.compile(r"[0-9@]|(?<![A-Za-z0-9])(?:sk-|AKIA|gh[pousr]_)"), 100
 # What follows a sign may be an account number's last groups, of letters alone.
@@ -125,7 +127,8 @@ def _shaped(text: str, alphabets: list[str | None], key: str, tag: str, allowed=
     x = 0
     for i in use:
         x = x * len(alphabets[i]) + alphabets[i].index(low[i])
-    for _ in range(10_000):
+    # The text itself is allowed, so the walk along its cycle ends.
+    while True:
         x = step(x, n, key, shape)
         y, chars = x, list(text)
         for i in reversed(use):
@@ -135,15 +138,15 @@ def _shaped(text: str, alphabets: list[str | None], key: str, tag: str, allowed=
         made = "".join(chars)
         if allowed(made):
             return made
-    return made
 
 
 def _digits(text: str, key: str, tag: str, skip: int = 0, classes: bool = True) -> str:
-    """Digits permuted after the first `skip`; what separates them stays. With classes, digits 0
+    """Digits permuted after the first `skip`, which have no part in it; what separates them stays. With classes, digits 0
     and 1 and digits 2 to 9 stay among themselves, as numbering plans want."""
     at = [i for i, c in enumerate(text) if c in "0123456789"]
+    at = at[skip:]
     plain = "".join(text[i] for i in at)
-    alphabets: list[str | None] = [None if i < skip else (("01" if c in "01" else "23456789") if classes else "0123456789") for i, c in enumerate(plain)]
+    alphabets: list[str | None] = [("01" if c in "01" else "23456789") if classes else "0123456789" for c in plain]
     made = _shaped(plain, alphabets, key, tag)
     chars = list(text)
     for i, c in zip(at, made, strict=True):
@@ -295,6 +298,8 @@ def entities(text: str, types: tuple[str, ...] = TYPES) -> list[tuple[int, int,
                 out.append((m.start(), a, kind))
     if "name" in types:
         names = [(m.start(), m.end(), "name") for m in _NAMED.finditer(text)]
+        if names:
+            names = _mentions(text, names)
         if names and out:
             both = sorted(out + names)
             out = [x for i, x in enumerate(both) if x[2] != "name" or not ((i and both[i - 1][1] > x[0]) or (i + 1 < len(both) and both[i + 1][0] < x[1]))]
@@ -303,6 +308,19 @@ def entities(text: str, types: tuple[str, ...] = TYPES) -> list[tuple[int, int,
     return out
 
 
+def _mentions(text: str, names: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """The names and all other places where one of their words stands alone, in order."""
+    words = {w for a, b, _ in names for w in text[a:b].split(" ") if w.rstrip(".") not in TITLES}
+    out, k = [], 0
+    for m in _WORD.finditer(text):
+        while k < len(names) and names[k][1] <= m.start():
+            out.append(names[k])
+            k += 1
+        if m[0] in words and not (k < len(names) and names[k][0] <= m.start()):
+            out.append((m.start(), m.end(), "name"))
+    return out + names[k:]
+
+
 def replaced(text: str, key: str, types: tuple[str, ...] = TYPES, made: dict | None = None) -> tuple[str, list[tuple[int, int, str]]]:
     """The text with surrogates, and the entities. `made` keeps surrogates for further calls."""
     found = entities(text, types)
@@ -319,7 +337,7 @@ def replaced(text: str, key: str, types: tuple[str, ...] = TYPES, made: dict | N
     return ("".join([*out, text[at:]]) if found else text), found
 
 
-def _batches(batches, key: str, types: tuple[str, ...]):
+def _batches(batches, key: str, types: tuple[str, ...], name: str):
     made: dict = {}
     for batch in slices(batches):
         texts, spans = [], []
@@ -329,19 +347,20 @@ def _batches(batches, key: str, types: tuple[str, ...]):
             spans.append([{"start": a, "end": b, "type": k} for a, b, k in found])
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("type", pa.string())]))
         rest = [batch.column(j) for j in range(2, batch.num_columns)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), *rest, pa.array(spans, kind)], [*batch.schema.names, "entities"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), *rest, pa.array(spans, kind)], [*batch.schema.names, name])
 
 
-def pseudonymised(docs: DataFrame, key: str = KEY, types: tuple[str, ...] = TYPES) -> DataFrame:
-    """docs with surrogates in `text` and a column `entities` (start, end and type in the old text).
+def pseudonymised(docs: DataFrame, key: str, types: tuple[str, ...] = TYPES, spans: str = "entities") -> DataFrame:
+    """docs with surrogates in `text` and a column `spans` (start, end and type in the old text).
 
     Defined cases: a null text stays null, an empty one empty, with no entities; rows that repeat
-    a doc_id are treated each; other columns pass through (one called `entities` is replaced). The
-    result of a row depends on its text and the key alone."""
-    docs = docs.drop("entities")
+    a doc_id are treated each; other columns pass through (one called as `spans` says is replaced);
+    a very long text is searched whole, in time and memory in proportion to it. The result of a
+    row depends on its text and the key alone."""
+    docs = docs.drop(spans)
     docs = docs.select("doc_id", "text", *[c for c in docs.columns if c not in ("doc_id", "text")])
-    schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes) + ", entities array<struct<start: long, end: long, type: string>>"
-    return docs.mapInArrow(partial(_batches, key=key, types=types), schema)
+    schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes) + f", `{spans}` array<struct<start: long, end: long, type: string>>"
+    return docs.mapInArrow(partial(_batches, key=key, types=types, name=spans), schema)
 
 
 def summary(done: DataFrame) -> DataFrame:
