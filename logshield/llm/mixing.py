@@ -6,6 +6,12 @@ one of the two has a whole number of copies. Chunks of a source do so independen
 one fractional document each; those meet in a tree of fan-in FAN until one is left per source,
 so that a source's words differ from its target by half a short document's size. (A document
 longer than the rest of its source together cannot be balanced and may leave half its own.)
+
+A long document's partner is all that follows it in its chunk, taken as one: it gains what they
+lose in proportion to their fractions, or loses what they gain in proportion to what is left to
+whole copies. Each such step keeps the words of the two sides and, by the odds down : up, every
+expectation, as a step of two documents does; it is pivoting with a composite partner, needed since
+no single short document could give or take what makes a long one whole.
 """
 
 from __future__ import annotations
@@ -19,7 +25,7 @@ from logshield.llm.common import cut, maybe_broadcast, mix
 
 #: Documents of a chunk, residuals that meet in one node of the tree.
 CHUNK, FAN = 4096, 64
-#: A document is long if it has more than this part of the words that follow it in its chunk.
+#: A document is long if it has more than one in so many of the words that follow it in its chunk.
 LONG = 32
 
 
@@ -42,8 +48,9 @@ def targets(sources: DataFrame, share: float = 1.5, most: float = 2.0, weights:
     before = Window.orderBy("ratio", F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
     left = F.sum("source_size").over(whole) * F.lit(float(share)) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))
     level = left / (F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-    got = got.withColumn("level", level)
-    fits = F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "level"))).over(whole)["level"]
+    place = F.row_number().over(Window.orderBy("ratio", F.col("source").asc_nulls_last()))
+    got = got.withColumn("level", level).withColumn("place", place)
+    fits = F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("place", "level"))).over(whole)["level"]
     target = F.when(fits.isNull(), F.col("cap")).otherwise(F.least("cap", fits * F.col("weight")))
     return got.select("source", "source_size", "docs", target.alias("target"))
 
@@ -98,25 +105,34 @@ def _rounder(seed: int, level: int, last: bool):
 
 
 def mixture(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = (5, 2, 1), seed: int = 0, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, size, source_size, target, taken, copies (and the columns named in `keep`) of every
+    """doc_id, source, size, source_size, target, taken, copies, tie (and the columns named in `keep`) of every
     row of docs(doc_id, text, source, ...).
 
     Defined cases: a null or empty text has size 0 and takes 0; rows without source are a source
     of their own, last in order; rows without doc_id and rows that repeat a doc_id are documents
-    like others; sources of size 0 have target 0. Reruns agree: the random numbers are hashes of
-    doc_id, size and seed, and chunks are dealt by them. An empty table gives an empty result."""
+    like others; sources of size 0 have target 0; very long texts are counted whole. Reruns agree:
+    the random numbers are hashes of doc_id, size, seed and a number among rows that are equal
+    here (column `tie`, from 0; such rows are interchangeable), and chunks are dealt by them. An
+    empty table gives an empty result."""
     units = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *keep)
-    units = cut(units)
-    sources = cut(targets(units.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs")), share, most, weights))
+    # Equal rows are one row with their number until they are dealt out again, in runs of CHUNK.
+    units = cut(units.groupBy(units.columns).agg(F.count("*").alias("equal")))
+    most_equal = units.agg(F.max("equal")).first()[0] or 0
+    ones = units.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("equal") - 1) / CHUNK))))
+    if most_equal > CHUNK:
+        ones = ones.repartition("doc_id", "size", "run")
+    start = F.col("run") * CHUNK
+    ones = ones.withColumn("tie", F.explode(F.sequence(start, F.least(start + CHUNK, F.col("equal")) - 1))).drop("run", "equal")
+    sources = cut(targets(units.groupBy("source").agg(F.sum(F.col("size") * F.col("equal")).alias("source_size"), F.sum("equal").alias("docs")), share, most, weights))
     most_docs = sources.agg(F.max("docs")).first()[0] or 0
-    kinds = {f: t for f, t in units.dtypes}
+    kinds = {f: t for f, t in ones.dtypes}
     rate = F.when(F.col("source_size") > 0, F.when(F.col("target") >= F.col("source_size") * F.lit(float(most)), F.lit(float(most))).otherwise(F.col("target") / F.col("source_size"))).otherwise(F.lit(0.0))
     of = maybe_broadcast(sources.withColumnRenamed("source", "s"))
-    h = F.xxhash64("doc_id", "size", F.lit(seed), *keep)
-    rows = units.join(of, F.col("source").eqNullSafe(F.col("s"))).withColumn("rate", rate).withColumn("h", h)
-    rows = rows.withColumn("base", F.floor("rate").cast("long")).withColumn("p", F.when(F.col("size") > 0, F.col("rate") - F.col("base")).otherwise(F.lit(0.0)))
+    h = F.xxhash64("doc_id", "size", F.lit(seed), *keep, "tie")
+    rows = ones.join(of, F.col("source").eqNullSafe(F.col("s"))).withColumn("rate", rate).withColumn("h", h)
+    rows = rows.withColumn("base", F.when(F.col("size") > 0, F.floor("rate").cast("long")).otherwise(F.lit(0).cast("long"))).withColumn("p", F.when(F.col("size") > 0, F.col("rate") - F.col("base")).otherwise(F.lit(0.0)))
     rows = rows.withColumn("chunk", F.pmod(F.col("h"), F.ceil(F.col("docs") / CHUNK)))
-    names = ["doc_id", "source", "size", *keep, "source_size", "target", "base", "h", "chunk", "p"]
+    names = ["doc_id", "source", "size", *keep, "tie", "source_size", "target", "base", "h", "chunk", "p"]
     kinds |= {"source_size": "long", "target": "double", "base": "long", "h": "long", "chunk": "long", "p": "double"}
     schema = ", ".join(f"`{x}` {kinds[x]}" for x in names)
     rows, done, level, chunks = rows.select(names), [], 0, -(-most_docs // CHUNK)
@@ -134,4 +150,4 @@ def mixture(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tup
     for x in done[1:]:
         got = got.unionByName(x)
     copies = F.col("base") + F.round("p").cast("long")
-    return got.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"), *keep)
+    return got.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"), "tie", *keep)
