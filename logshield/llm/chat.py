@@ -34,7 +34,8 @@ def examples(turns: DataFrame) -> DataFrame:
     holds every turn. `final` marks the longest example and that row: read together they give the
     conversation. Defined cases: a null text or role is empty; turns are ordered by turn (null
     first), then role and text; repeated rows are turns of their own; a null conv_id is a
-    conversation; an empty table gives no rows."""
+    conversation; very long texts stay whole; other columns are ignored; an empty table gives no
+    rows."""
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     # A line end in a role would end the header; a backslash before it keeps it.
     head = F.concat(F.lit(START), F.replace(escaped(role), F.lit("\n"), F.lit("\\\n")), F.lit("\n"))

@@ -95,8 +95,8 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = 10, shingle: in
 
     Defined cases: null or empty texts have no words and no hits; items without words have no
     windows; an item without item_id counts its words but is no item; rows that repeat a doc_id
-    are judged each by its own text; other columns are ignored. Equal windows of several items
-    count for each of them."""
+    are judged each by its own text; very long texts are read whole; other columns are ignored.
+    Equal windows of several items count for each of them."""
     rows, hits, of_items = hit_windows(docs, items, size, shingle)
     hits = cut(hits)
     earlier = Window.partitionBy("doc_id", "th").orderBy("start", F.desc("w"), "wid").rowsBetween(Window.unboundedPreceding, -1)

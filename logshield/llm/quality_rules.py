@@ -1,9 +1,9 @@
 """Quality rules: counts of bad layout, and a hashed n-gram log-likelihood ratio.
 
 Words and word pairs are hashed into BUCKETS buckets. Two multinomials over the buckets are
-counted, one over the trusted target (documents labelled good, a bounded sample) and one over
-all rows of the corpus; a document's mean log ratio of its n-grams is compared with a fixed
-threshold. The model is two vectors of a fixed length, whatever the size of the corpus.
+counted, one over the trusted target (all documents labelled good) and one over all rows of the
+corpus; a document's mean log ratio of its n-grams is compared with a fixed threshold. The model is
+two vectors of a fixed length, whatever the size of the corpus.
 """
 
 from __future__ import annotations
@@ -107,8 +107,9 @@ def quality_rules(docs: DataFrame, target: DataFrame, threshold: float = THRESHO
 
     `target` holds the texts of the trusted target. Defined cases: a null or empty text has no
     words, fails the base rules and has an llr of 0; with an empty target all ratios are those of
-    the corpus to the uniform distribution; rows that repeat a doc_id are judged each; other
-    columns are ignored; an empty table gives no rows."""
+    the corpus to the uniform distribution; rows that repeat a doc_id are judged each; a document on
+    the threshold is kept; a very long text is read whole, at some fifty bytes of working memory a
+    byte; other columns are ignored; an empty table gives no rows."""
     docs = docs.select("doc_id", "text")
     ratio = log_ratio(ngram_counts(target), ngram_counts(docs))
     got = docs.mapInArrow(partial(_ruled, ratio=ratio), "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, llr double")
