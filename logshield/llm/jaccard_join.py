@@ -349,3 +349,19 @@ def _labelled(told: DataFrame, nodes: DataFrame, roots: DataFrame | None, rows:
         return got.select("doc_id", "th", F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("component_id")).alias("first"))
     alone = F.col("doc_id").isNull() | (F.col("n") == 0)
     return got.select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+ORACLE = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+spot AS (SELECT doc_id, ws, unnest(range(greatest(len(ws) - 2, 1))) AS i FROM w WHERE len(ws) > 0),
+sh AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(ws[i + 1 : i + 3], ' ') AS s FROM spot),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+pair AS MATERIALIZED (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+link AS MATERIALIZED (SELECT x, y FROM pair JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 90 * (p.n + q.n - c)),
+edge AS MATERIALIZED (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+reach AS (SELECT x, y FROM edge UNION SELECT r.x, b.y FROM reach r JOIN edge b ON r.y = b.x),
+lowest AS (SELECT x, min(y) AS y FROM reach GROUP BY x)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(l.y, d.doc_id)) AS component_id
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN lowest l ON l.x = d.doc_id
+"""

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logshield.llm import chat, compression, decontaminate, language, licences, pii, quality_rules, toxicity
+from logshield.llm import chat, compression, decontaminate, jaccard_join, language, licences, pii, quality_rules, toxicity
 from logshield.llm.common import cut, maybe_broadcast, table
-from logshield.llm.jaccard_join import jaccard_components
 from logshield.llm.mixing import mixture
 
 
@@ -45,7 +44,7 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(table(spark, sf_dir, "documents"))
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,5 +72,6 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op2_benchmark_decontamination": decontaminate.ORACLE,
     "op4_license_scans": licences.ORACLE,
+    "op7_ngram_jaccard_join": jaccard_join.ORACLE,
     "op9_chat_formatting": chat.ORACLE,
 }
