@@ -13,6 +13,12 @@ from logshield.functions.ip import is_ip, is_private
 _BAD_URI = "%00|\\x00|%0[dD]|%0[aA]|\\r|\\n"
 
 
+def held(value: Column) -> Column:
+    """The value, in a form that the optimizer does not copy into filters and projections above it:
+    a long expression stays computed once a row."""
+    return F.when(F.rand(1) + F.rand(2) < 3, value)
+
+
 def malicious_uri(uri: Column) -> Column:
     return uri.rlike(_BAD_URI)
 
@@ -33,11 +39,29 @@ def resolved_ip(cf: Column, xff: Column, remote: Column) -> Column:
     return F.coalesce(F.when(is_ip(edge), edge), public, peer, F.get(hops, F.lit(0)))
 
 
+def _tree_pattern(tokens: list[str]) -> str:
+    """A pattern that finds at a place what the alternation of the tokens, in their order, finds, but
+    tests common beginnings once."""
+    if len(tokens) == 1:
+        return re.escape(tokens[0])
+    runs: list[tuple[str, list[str]]] = []
+    # Only tokens that begin alike compete for a place, so those with another first letter may
+    # be passed over; an empty rest ends its run, as what comes after it comes second.
+    for t in tokens:
+        at = next((k for k in range(len(runs) - 1, -1, -1) if runs[k][0] == t[:1] or not runs[k][0]), None)
+        if at is not None and runs[at][0] == t[:1] and t:
+            runs[at][1].append(t[1:])
+        else:
+            runs.append((t[:1], [t[1:]]))
+    return "(?:" + "|".join(re.escape(c) + (_tree_pattern(rest) if any(rest) else "") for c, rest in runs) + ")"
+
+
 def agent_category(agent: Column) -> Column:
     """The category of the leftmost known token; at one place the earlier rule wins."""
     known = {t: c for c, group in S.AGENTS for t in group}
-    found = F.lower(F.regexp_extract(agent, "(?i)(" + "|".join(map(re.escape, known)) + ")", 1))
-    category = F.try_element_at(F.create_map(*(F.lit(x) for pair in known.items() for x in pair)), found)
+    ascii_low = F.when(F.octet_length(agent) == F.char_length(agent), F.lower(agent)).otherwise(F.translate(agent, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    found = F.regexp_extract(ascii_low, _tree_pattern(list(known)), 0)
+    category = F.try_element_at(F.create_map(*(F.lit(x) for pair in known.items() for x in pair)), F.nullif(found, F.lit("")))
     bare = F.trim(F.coalesce(agent, F.lit("")))
     return F.when((bare == "") | (bare == "-"), "empty").otherwise(F.coalesce(category, F.lit("browser_or_unknown")))
 
@@ -119,19 +143,26 @@ def probe_rule(path: Column, status: Column) -> Column:
     return F.coalesce(chain(S.RULES[:cut], None), dotted, rest)
 
 
-def probe_decision(method: Column, status: Column, rule: Column) -> Column:
-    """`kind|category|threshold|window` of a rule id for a method: kind is pass, instant, shared
-    or isolated; looked up in a constant map of rule and method class."""
-    up = F.upper(method)
-    group = F.when(up.isin(*S.GH), "g").when(up.isin(*S.SQM), "q").otherwise("o")
-    told = {}
+def _decisions() -> list[str]:
+    """`kind|category|threshold|window` of each rule for GET and HEAD, for those with QUERY, and for the
+    other methods, rule by rule."""
+    out = []
     for r in S.RULES:
-        for g, name in (("g", "GET"), ("q", "QUERY"), ("o", "")):
+        for name in ("GET", "QUERY", ""):
             kind, n = r.kind, r.threshold
             if r.safe and name not in r.safe:
                 kind, n = (r.kind, r.other) if r.other else ("instant", None)
-            told[r.id + g] = "|".join(str(x) for x in (kind, r.category or "", *((n, r.window) if n else ("", ""))))
-    out = F.element_at(F.create_map(*(F.lit(x) for pair in told.items() for x in pair)), F.concat(rule, group))
+            out.append("|".join(str(x) for x in (kind, r.category or "", *((n, r.window) if n else ("", "")))))
+    return out
+
+
+def probe_decision(method: Column, status: Column, rule: Column) -> Column:
+    """`kind|category|threshold|window` of a rule id for a method: kind is pass, instant, shared
+    or isolated; an array is read at the place of rule and method class."""
+    up = F.upper(method)
+    group = F.when(up.isin(*S.GH), 1).when(up.isin(*S.SQM), 2).otherwise(3)
+    place = F.array_position(F.array(*(F.lit(r.id) for r in S.RULES)), rule).cast("int")
+    out = F.get(F.array(*map(F.lit, _decisions())), 3 * (place - 1) + group - 1)
     for r in S.RULES:
         if r.calm:
             out = F.when((rule == r.id) & status.isin(*r.calm) & up.isin(*r.safe), f"pass|{r.category}||").otherwise(out)
@@ -153,10 +184,19 @@ def probe_label(path: Column, allowed: tuple[str, ...] = ()) -> Column:
     return out.otherwise(F.when(decision_part(d, "kind") == "pass", "Clean").otherwise(decision_part(d, "category")))
 
 
+def parsed_duration(text: Column) -> Column:
+    """struct(seconds, error): seconds of `15m`, `24h` ..., null without an error for `permanent`; what
+    does not parse has an error."""
+    t = F.trim(text)
+    number = F.regexp_extract(t, r"^\+?([0-9]+)[smhd]$", 1).try_cast("decimal(20,0)")
+    unit = F.when(t.endswith("s"), 1).when(t.endswith("m"), 60).when(t.endswith("h"), 3600).when(t.endswith("d"), 86400)
+    seconds = F.when(t.rlike(r"^\+?[0-9]+[smhd]$"), F.try_multiply(number, unit.cast("decimal(10,0)")).try_cast("long"))
+    error = F.when(F.lower(t) == "permanent", None).when(t == "", "empty").when(~t.rlike("[smhd]$"), "unknown unit").when(seconds.isNull(), "bad number")
+    return F.struct(seconds.alias("seconds"), error.alias("error"))
+
+
 def duration_seconds(text: Column) -> Column:
-    """Seconds of `15m`, `24h` ...; null for `permanent` and for anything else."""
-    number = F.try_to_number(F.regexp_extract(text, "^([0-9]{1,9})[smhd]$", 1), F.lit("999999999")).cast("long")
-    return number * F.when(text.endswith("s"), 1).when(text.endswith("m"), 60).when(text.endswith("h"), 3600).when(text.endswith("d"), 86400)
+    return parsed_duration(text)["seconds"]
 
 
 def duration_text(seconds: Column) -> Column:

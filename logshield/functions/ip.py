@@ -18,6 +18,12 @@ _FORMS = (
 ANY = f"^(?:{V4[1:-1]}|{'|'.join(_FORMS)})$"
 #: A network: a base of either family, aligned or not, and a prefix length.
 CIDR = f"^(?:{V4[1:-1]}/(?:[12]?[0-9]|3[0-2])|(?:{'|'.join(_FORMS)})/(?:[1-9]?[0-9]|1[01][0-9]|12[0-8]))$"
+#: Private addresses: 127/8, 10/8, 172.16/12, 192.168/16, 100.64/10, 169.254/16, fc00::/7, fe80::/10 and ::1.
+_WIDE, _NARROW = rf"\.{_OCTET}\.{_OCTET}\.{_OCTET}$", rf"\.{_OCTET}\.{_OCTET}$"
+PRIVATE = (
+    rf"^(?:(?:127|10){_WIDE}|(?:172\.(?:1[6-9]|2[0-9]|3[01])|192\.168|100\.(?:6[4-9]|[7-9][0-9]|1[01][0-9]|12[0-7])|169\.254){_NARROW}"
+    r"|[fF](?:[cCdD][0-9a-fA-F]{2}|[eE][89abAB][0-9a-fA-F]):|(?:::|(?:0{1,4}:){1,7}:?)(?:0{1,4}:)*0{0,3}1$)"
+)
 _MAPPED = "00000000000000000000ffff"
 
 
@@ -66,14 +72,9 @@ def ip_text(key: Column) -> Column:
 
 
 def is_private(ip: Column) -> Column:
-    """Loopback, private, shared and link-local addresses; v4-mapped texts are not among them."""
-    n = ip_v4(ip)
-    blocks = ((127 << 24, 8), (10 << 24, 8), ((172 << 24) + (16 << 16), 12), ((192 << 24) + (168 << 16), 16), ((100 << 24) + (64 << 16), 10), ((169 << 24) + (254 << 16), 16))
-    four = F.lit(False)
-    for lo, bits in blocks:
-        four = four | n.between(lo, lo + (1 << (32 - bits)) - 1)
-    six = ip.rlike("(?i)^(?:f[cd][0-9a-f]{2}:|fe[89ab][0-9a-f]:|(?:::|(?:0{1,4}:){1,7}:?)(?:0{1,4}:)*0{0,3}1$)")
-    return F.coalesce(F.when(n.isNotNull(), four).otherwise(six), F.lit(False))
+    """Loopback, private, shared and link-local addresses; v4-mapped texts are not among them. One
+    pattern over the text, so that nothing is parsed for it."""
+    return F.coalesce(ip.rlike(PRIVATE), F.lit(False))
 
 
 def is_cidr(text: Column) -> Column:

@@ -42,6 +42,17 @@ def active_bans(bans: DataFrame, as_of: int) -> DataFrame:
     return bans.where(F.col("expires_at").isNull() | (F.col("expires_at") > as_of))
 
 
+def purged_count(bans: DataFrame, as_of: int) -> DataFrame:
+    """(kept, removed) if ended bans are purged."""
+    live = F.col("expires_at").isNull() | (F.col("expires_at") > as_of)
+    return bans.agg(F.count(F.when(live, 1)).alias("kept"), F.count(F.when(~live, 1)).alias("removed"))
+
+
+def restore_set(bans: DataFrame, as_of: int, chunk: int = 1000) -> DataFrame:
+    """What a restart puts back in force: the export of active bans, with the time that is left."""
+    return export_enforcement(active_bans(bans, as_of), as_of, chunk)
+
+
 def export_enforcement(bans: DataFrame, as_of: int, chunk: int = 1000) -> DataFrame:
     """(family, part, elements): set elements with a timeout where the ban ends, `chunk` a row."""
     left = F.col("expires_at") - as_of
@@ -54,8 +65,11 @@ def export_enforcement(bans: DataFrame, as_of: int, chunk: int = 1000) -> DataFr
 
 
 def threat_summary(verdicts: DataFrame) -> DataFrame:
-    """Threats by reason family and action, with subtotals (null: all)."""
+    """Threats by reason family and action, with subtotals (null: all); by stream too, where
+    verdicts tell it."""
     family = F.substring_index("reason", ":", 2)
+    if "stream" in verdicts.columns:
+        return verdicts.where("action <> 'allow'").select("stream", "action", family.alias("family")).rollup("stream", "action", "family").agg(F.count("*").alias("threats"))
     return verdicts.where("action <> 'allow'").select("action", family.alias("family")).rollup("action", "family").agg(F.count("*").alias("threats"))
 
 

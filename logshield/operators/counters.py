@@ -13,18 +13,33 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def strike_counts(strikes: DataFrame, clock: str = "event") -> DataFrame:
+def strike_counts(strikes: DataFrame, clock: str = "event", bucket: int = 600) -> DataFrame:
     """Adds strikes to (row_id, client_ip, pool, category, window_s, ts_sec, ...).
 
-    clock: `event` uses ts_sec; `none` never lets a window expire (a replay in no time)."""
-    order = Window.partitionBy("client_ip", "pool").orderBy("ts_sec", "row_id")
-    gap = F.col("ts_sec") - F.lag("ts_sec").over(order)
-    expired = F.lit(False) if clock == "none" else F.coalesce(gap > F.col("window_s"), F.lit(False))
-    other = F.coalesce((F.col("pool") == "isolated") & (F.col("category") != F.lag("category").over(order)), F.lit(False))
-    got = strikes.withColumn("restart", (expired | other).cast("int"))
-    got = got.withColumn("run", F.sum("restart").over(order))
-    inside = Window.partitionBy("client_ip", "pool", "run").orderBy("ts_sec", "row_id")
-    return got.withColumn("strikes", F.least(F.row_number().over(inside), F.lit(255))).drop("restart")
+    clock: `event` uses ts_sec; `none` never lets a window expire (a replay in no time). An
+    address is counted in spans of `bucket` seconds, each by itself; one row a span then tells
+    what the next begins with. So a busy address is many groups, not one."""
+    spans = ["_who", "pool", "_span"]
+    order = Window.partitionBy(*spans).orderBy("ts_sec", "row_id")
+    rows = strikes.withColumn("_who", F.coalesce("client_ip", F.lit(""))).withColumn("_span", F.floor(F.col("ts_sec") / bucket))
+    expired = F.lit(False) if clock == "none" else F.col("ts_sec") - F.lag("ts_sec").over(order) > F.col("window_s")
+    other = (F.col("pool") == "isolated") & (F.col("category") != F.lag("category").over(order))
+    rows = rows.withColumn("_cut", F.coalesce(expired, F.lit(False)) | F.coalesce(other, F.lit(False))).withColumn("_at", F.row_number().over(order))
+    rows = rows.withColumn("_from", F.last(F.when(F.col("_cut"), F.col("_at")), ignorenulls=True).over(order)).withColumn("_n", F.col("_at") - F.coalesce(F.col("_from"), F.lit(1)) + 1)
+
+    last = F.max(F.struct("ts_sec", "row_id", "category", "_n", F.col("_from").isNotNull().alias("cut")))
+    ends = rows.groupBy(*spans).agg(F.min(F.struct("ts_sec", "row_id", "category", "window_s")).alias("a"), last.alias("z"))
+    chain = Window.partitionBy("_who", "pool").orderBy("_span")
+    was = F.lag("z").over(chain)
+    gone = F.lit(False) if clock == "none" else F.col("a.ts_sec") - F.col("was.ts_sec") > F.col("a.window_s")
+    changed = F.coalesce((F.col("pool") == "isolated") & (F.col("a.category") != F.col("was.category")), F.lit(False))
+    ends = ends.withColumn("was", was).withColumn("cut", F.col("was").isNull() | gone | changed)
+    ends = ends.withColumn("run", F.sum((F.col("cut") | F.col("z.cut")).cast("int")).over(chain))
+    whole = Window.partitionBy("_who", "pool", "run").orderBy("_span")
+    ends = ends.withColumn("sum", F.sum("z._n").over(whole)).withColumn("_carry", F.when(F.col("cut"), F.lit(0)).otherwise(F.lag("sum").over(chain)))
+    got = rows.join(ends.select(*spans, "_carry"), spans)
+    n = F.col("_n") + F.when(F.col("_from").isNull(), F.col("_carry")).otherwise(F.lit(0))
+    return got.select(*strikes.columns, F.least(n, F.lit(255)).cast("int").alias("strikes"))
 
 
 def strike_snapshot(counted: DataFrame, as_of: int) -> DataFrame:
@@ -61,6 +76,12 @@ def prune_offenses(history: DataFrame, as_of: int, max_age: int = 30 * 86400) ->
     return history.where(F.lit(as_of) - F.col("last_seen") <= max_age)
 
 
+def pruned_count(history: DataFrame, as_of: int, max_age: int = 30 * 86400) -> DataFrame:
+    """(kept, removed) of prune_offenses."""
+    old = F.lit(as_of) - F.col("last_seen") > max_age
+    return history.agg(F.count(F.when(~old, 1)).alias("kept"), F.count(F.when(old, 1)).alias("removed"))
+
+
 def escalate(offenses: DataFrame, find_time: int, max_retry: int, tiers: tuple[int | None, ...]) -> DataFrame:
     """Bans (client_ip, ts_sec, row_id, tier, duration_s, permanent) of offenses(client_ip, ts_sec,
     row_id, instant_permanent).

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logshield.functions.ip import cidr_bounds, ip_key, ip_v4, is_cidr, is_ip, range_cidrs, target_kind
+from logshield.sources.shared import cut
 
 #: Tokens up to which they are matched by one expression, beyond by a join.
 TOKENS = 2000
@@ -19,9 +19,9 @@ def enrich_geo(requests: DataFrame, ranges: DataFrame, bits: int = 16) -> DataFr
     for IPv6. Ranges are cut at blocks of 2^bits addresses and joined by block; of overlapping
     ranges the one with the greatest start counts. Spark broadcasts the cut ranges if they are
     small; only distinct addresses are joined, so a busy address is looked up once."""
-    cut = ranges.select("*", F.explode(F.sequence(F.shiftright("start_ip", bits), F.shiftright("end_ip", bits))).alias("block"))
+    pieces = ranges.select("*", F.explode(F.sequence(F.shiftright("start_ip", bits), F.shiftright("end_ip", bits))).alias("block"))
     seen = requests.select("client_ip").distinct().withColumn("v4", ip_v4(F.col("client_ip"))).where("v4 IS NOT NULL").withColumn("block", F.shiftright("v4", bits))
-    hit = seen.join(cut, (seen["block"] == cut["block"]) & F.col("v4").between(F.col("start_ip"), F.col("end_ip")))
+    hit = seen.join(pieces, (seen["block"] == pieces["block"]) & F.col("v4").between(F.col("start_ip"), F.col("end_ip")))
     best = hit.groupBy("client_ip").agg(F.max_by(F.struct("asn", "country", "as_org"), F.struct("start_ip", "asn")).alias("g"))
     return requests.join(best, "client_ip", "left").select(*requests.columns, "g.asn", "g.country", "g.as_org")
 
@@ -33,15 +33,15 @@ def cidrs_for_asns(ranges: DataFrame, asns: DataFrame) -> DataFrame:
 
 
 def _networks(rows: DataFrame, column: str) -> DataFrame:
-    """CIDR rows with lo, hi and family. Persisted, as the keys are long expressions that joins
-    would otherwise copy into their null tests."""
-    return rows.where(is_cidr(F.col(column))).select("*", F.inline(F.array(cidr_bounds(F.col(column))))).persist(StorageLevel.MEMORY_AND_DISK)
+    """CIDR rows with lo, hi and family. Cut, as the keys are long expressions that joins would
+    otherwise copy into their null tests."""
+    return cut(rows.where(is_cidr(F.col(column))).select("*", F.inline(F.array(cidr_bounds(F.col(column))))))
 
 
 def _points(rows: DataFrame, column: str) -> DataFrame:
-    """Distinct addresses with their keys."""
+    """Distinct addresses with their keys, cut."""
     rows = rows.select(column).distinct().where(is_ip(F.col(column)))
-    return rows.withColumn("key", ip_key(F.col(column))).persist(StorageLevel.MEMORY_AND_DISK)
+    return cut(rows.withColumn("key", ip_key(F.col(column))))
 
 
 def _contained(points: DataFrame, networks: DataFrame) -> DataFrame:
@@ -94,7 +94,7 @@ def blocklist_match(requests: DataFrame, tokens: DataFrame, column: str = "user_
     """requests with `token`: the first listed token, in order, that the column holds in any case.
     Agents repeat, so distinct ones are matched; a long list is joined, a short one is compiled."""
     low = F.lower(F.col(column))
-    listed = [r["token"].lower() for r in tokens.select("token").distinct().limit(TOKENS + 1).collect()]
+    listed = [r["token"].lower() for r in tokens.select("token").where("token <> ''").distinct().limit(TOKENS + 1).collect()]
     if len(listed) <= TOKENS:
         texts = requests.select(column).distinct()
         if not listed:

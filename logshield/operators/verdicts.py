@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +15,7 @@ from logshield.functions import classify as C
 from logshield.functions import signatures as S
 from logshield.functions.ip import is_private
 from logshield.operators.counters import strike_counts
+from logshield.sources.shared import cut
 
 TOOL_THRESHOLD, TOOL_WINDOW = 10, 10
 AUTH_THRESHOLD, AUTH_WINDOW = 5, 300
@@ -88,13 +88,13 @@ def candidates(requests: DataFrame, p: Policies) -> DataFrame:
         .when(kind == "instant", text("ban|probe:", category, ":instant"))
         .otherwise(text("strike|", kind, "|probe:", category, ":", kind, "_threshold|", F.substring_index("d", "|", -3)))
     )
-    return rows.withColumn("act", act)
+    return rows.withColumn("act", C.held(act))
 
 
 def settled(rows: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """The narrow table of rows with `act`, persisted: what filters on act reads it, and the
-    cascade is neither run twice nor copied into those filters."""
-    return rows.select(*keep, "row_id", "ts_sec", "client_ip", "act").persist(StorageLevel.MEMORY_AND_DISK)
+    """The narrow table of rows with `act`, cut: the cascade, a long expression, is planned and
+    run once, whatever reads it."""
+    return cut(rows.select(*keep, "row_id", "ts_sec", "client_ip", "act"))
 
 
 def strike_rows(flat: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -105,23 +105,28 @@ def strike_rows(flat: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     )
 
 
-def counted(rows: DataFrame, keep: tuple[str, ...], clock: str) -> DataFrame:
-    """Verdicts of rows with `act`; strike rows pass their counters, the others go straight
-    through, so that only strikes are shuffled."""
-    flat = settled(rows, keep)
-    struck = F.col("act").startswith("strike|")
+def done_rows(flat: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Verdicts of the rows that are settled without counting."""
     head = F.substring_index("act", "|", 1)
-    done = flat.where(~struck).select(
+    return flat.where(~F.col("act").startswith("strike|")).select(
         *keep, "row_id", "ts_sec", "client_ip", F.when(head == "perm", "ban").otherwise(head).alias("action"),
         F.when(F.col("act").contains("|"), F.substring(F.col("act"), F.length(head) + 2, F.length("act"))).alias("reason"),
         F.when(head.isin("ban", "perm"), head == "perm").alias("permanent"), F.lit(None).cast("int").alias("strikes"),
     )
-    hits = strike_counts(strike_rows(flat, keep), clock)
+
+
+def judged_strikes(hits: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Verdicts of counted strikes. Only tool bursts do not tell the count."""
     over = F.col("strikes") >= F.col("threshold")
-    # Only tool bursts do not tell the count.
     told = F.when(F.col("pool") == "tool", F.col("told")).otherwise(F.concat_ws(":", "told", F.col("strikes").cast("string")))
-    hits = hits.select(*keep, "row_id", "ts_sec", "client_ip", F.when(over, "ban").otherwise("allow").alias("action"), F.when(over, told).alias("reason"), F.when(over, False).alias("permanent"), "strikes")
-    return done.unionByName(hits)
+    return hits.select(*keep, "row_id", "ts_sec", "client_ip", F.when(over, "ban").otherwise("allow").alias("action"), F.when(over, told).alias("reason"), F.when(over, False).alias("permanent"), "strikes")
+
+
+def counted(rows: DataFrame, keep: tuple[str, ...], clock: str) -> DataFrame:
+    """Verdicts of rows with `act`; strike rows pass their counters, the others go straight
+    through, so that only strikes are shuffled."""
+    flat = settled(rows, keep)
+    return done_rows(flat, keep).unionByName(judged_strikes(strike_counts(strike_rows(flat, keep), clock), keep))
 
 
 def evaluate_requests(requests: DataFrame, p: Policies = Policies(), clock: str = "event") -> DataFrame:  # noqa: B008
@@ -144,7 +149,7 @@ def ssh_candidates(events: DataFrame, p: Policies) -> DataFrame:
         .when(F.col("kind") == "scanner_probe", F.concat(F.lit("ban|probe:ssh:"), F.col("reason")))
         .otherwise(f"strike|isolated|probe:ssh:auth_failures|common|{AUTH_THRESHOLD}|{AUTH_WINDOW}")
     )
-    return rows.withColumn("act", act)
+    return rows.withColumn("act", C.held(act))
 
 
 def evaluate_ssh(events: DataFrame, p: Policies = Policies(), clock: str = "event") -> DataFrame:  # noqa: B008

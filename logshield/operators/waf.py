@@ -23,8 +23,11 @@ def waf_expression(bans: DataFrame, blocked_asns: DataFrame, restricted_asns: Da
     networks outside the allowed regions, if it fits as a whole; blocked networks, the last ones
     that fit in their order; banned IPv4 addresses, the first ones that fit, by descending target
     or by recency."""
-    joined = lambda rows, c, q: " ".join(f'"{r[c]}"' if q else str(r[c]) for r in rows.select(c).distinct().orderBy(c).collect())
-    # Policy lists are configuration; the expression's limit bounds what can matter of them.
+    def joined(rows: DataFrame, c: str, quoted: bool) -> str:
+        # What is longer than the limit cannot fit, so no more than that is read.
+        got = [r[c] for r in rows.select(c).where(F.col(c).isNotNull()).distinct().orderBy(c).limit(max_chars + 1).collect()]
+        return " ".join(f'"{x}"' if quoted else str(x) for x in got)
+
     r, c = joined(restricted_asns, "asn", False), joined(regions, "country", True)
     clauses, left = [], max_chars
     if r and c:

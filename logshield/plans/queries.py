@@ -14,7 +14,7 @@ from logshield.operators import verdicts as VD
 from logshield.operators import waf as W
 from logshield.plans import oracles as O
 from logshield.plans import views as V
-from logshield.plans.registry import DEFAULT, query
+from logshield.plans.registry import DEFAULT, ORACLES, query  # noqa: F401
 from logshield.sources import logs as L
 from logshield.sources import policies as P
 
@@ -22,6 +22,11 @@ _COLS = "row_id, client_ip, method, uri, status, referer, user_agent"
 _LOG = ("row_id", "client_ip", "method", "uri", "status", "referer", "user_agent")
 
 
+@query(O.over(O.judged() + "," + O.verdicts(), "SELECT * FROM verdict"))
+def f1_evaluate_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return VD.evaluate_requests(V.access_log(spark, sf_dir), DEFAULT)
+
+
 @query(O.over("", f"SELECT {_COLS}, true AS parse_ok FROM access_log"))
 def a2_parse_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.parse_combined(V.access_lines(spark, sf_dir)).select(*_LOG, "parse_ok")
@@ -75,12 +80,13 @@ def a8_parse_auth_log_stateful(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.parse_auth_log_stateful(V.auth_lines(spark, sf_dir)).select("row_id", "kind", "reason", "client_ip")
 
 
-@query(O.over("", f"""SELECT 'combined' AS format, count(*) AS n, count(DISTINCT client_ip) AS addresses FROM access_log UNION ALL
-SELECT 'json', count(*), count(DISTINCT client_ip) FROM access_log UNION ALL
-SELECT 'ssh', count(*), count(DISTINCT client_ip) FROM access_log WHERE {_STEP} IN (0, 1) OR ({_STEP} = 2 AND NOT contains(client_ip, ':'))"""))
+@query(O.over(_AUTH8, """SELECT 'combined' AS format, CAST(NULL AS VARCHAR) AS kind, CAST(NULL AS VARCHAR) AS reason, count(*) AS n, count(DISTINCT client_ip) AS addresses FROM access_log UNION ALL
+SELECT 'json', NULL, NULL, count(*), count(DISTINCT client_ip) FROM access_log UNION ALL
+SELECT 'ssh', kind, reason, count(*), count(DISTINCT ip) FROM au8 WHERE kind <> 'ignore' GROUP BY kind, reason"""))
 def a9_scan_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = V.access_lines(spark, sf_dir).select("line").unionByName(V.json_lines(spark, sf_dir).select("line")).unionByName(V.auth_lines(spark, sf_dir).select("line"))
-    return L.scan_mixed(lines).where("format IS NOT NULL").groupBy("format").agg(F.count("*").alias("n"), F.countDistinct("client_ip").alias("addresses"))
+    cols = ("row_id", "ts_sec", "line")
+    lines = V.access_lines(spark, sf_dir).select(*cols).unionByName(V.json_lines(spark, sf_dir).select(*cols)).unionByName(V.auth_lines(spark, sf_dir).select(*cols))
+    return L.scan_mixed(lines).where("format IS NOT NULL").groupBy("format", "kind", "reason").agg(F.count("*").alias("n"), F.countDistinct("client_ip").alias("addresses"))
 
 
 _CLASS = "CASE WHEN contains(client_ip, ':') THEN 'v6' WHEN starts_with(client_ip, '10.') THEN 'private' ELSE 'public' END"
@@ -166,8 +172,11 @@ _LIVE = f"(expires_at IS NULL OR expires_at > {V.AS_OF})"
 
 
 def _bans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ban table after an upsert: bans of even seconds are stored first, then all of them
+    come, of each target the last."""
     rows = V.bans(spark, sf_dir)
-    return B.upsert_bans(rows.limit(0), rows)
+    stored = B.upsert_bans(rows.where("false"), rows.where("banned_at % 2 = 0"))
+    return B.upsert_bans(stored, rows)
 
 
 @query(O.over(_BANS, "SELECT * FROM bans"))
@@ -186,15 +195,26 @@ def e11_active_bans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.active_bans(_bans(spark, sf_dir), V.AS_OF)
 
 
-@query(O.over(_BANS, f"SELECT target, reason, CASE WHEN expires_at IS NULL THEN 'permanent' ELSE '1m 40s' END AS \"left\" FROM bans WHERE {_LIVE} ORDER BY target LIMIT 50"))
+_LEFT = "target, reason, CASE WHEN expires_at IS NULL THEN 'permanent' ELSE '1m 40s' END AS \"left\""
+
+
+@query(O.over(_BANS, f"SELECT {_LEFT} FROM bans WHERE {_LIVE} ORDER BY target LIMIT 50"))
 def g1_ban_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.ban_list(_bans(spark, sf_dir), V.AS_OF).select("target", "reason", "left")
 
 
-@query(O.over(_BANS, f"SELECT 'v4' AS family, count(*) AS elements, count(*) FILTER (WHERE expires_at IS NOT NULL) AS timed FROM bans WHERE {_LIVE}"))
+_TWO = "lpad(CAST({} AS VARCHAR), 2, '0')"
+_BANNED = "CASE WHEN banned_at < 1704067200 THEN '31 Dec 2023 ' ELSE '1 Jan 2024 ' END || " + " || ':' || ".join(_TWO.format(x) for x in ("banned_at % 86400 // 3600", "banned_at % 3600 // 60", "banned_at % 60")) + " || ' UTC'"
+
+
+@query(O.over(_BANS, f"SELECT {_LEFT}, {_BANNED} AS banned FROM bans WHERE {_LIVE} AND (contains(lower(target), 'building') OR contains(lower(reason), 'building'))"))
+def g1_ban_list_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.ban_list(_bans(spark, sf_dir), V.AS_OF, "BUILDing", limit=None)
+
+
+@query(O.over(_BANS, f"SELECT 'v4' AS family, target || CASE WHEN expires_at IS NULL THEN '' ELSE ' timeout 100s' END AS element FROM bans WHERE {_LIVE}"))
 def b4_export_enforcement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = B.export_enforcement(_bans(spark, sf_dir), V.AS_OF).select("family", F.explode(F.split("elements", ", ")).alias("e"))
-    return got.groupBy("family").agg(F.count("*").alias("elements"), F.count(F.when(F.col("e").contains("timeout"), 1)).alias("timed"))
+    return B.export_enforcement(_bans(spark, sf_dir), V.AS_OF).select("family", F.explode(F.split("elements", ", ")).alias("element"))
 
 
 _CHECK = _BANS + f""",
@@ -363,12 +383,12 @@ def a16_merge_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.merge_union(asns.where("asn % 2 = 0"), asns)
 
 
-@query("SELECT r_regionkey AS key, r_regionkey % 2 = 0 AS \"on\" FROM region")
+@query("SELECT c_custkey AS key FROM customer WHERE CASE WHEN c_custkey % 3 = 0 THEN c_custkey % 2 = 0 ELSE c_custkey % 5 > 1 END")
 def b5_upsert_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    region = V.table(spark, sf_dir, "region")
-    stored = region.where("r_regionkey < 3").select(F.col("r_regionkey").alias("key"), F.lit(False).alias("on"), F.lit(0).alias("at"), F.lit(0).alias("seq"))
-    changes = region.select(F.col("r_regionkey").alias("key"), (F.col("r_regionkey") % 2 == 0).alias("on"), F.lit(1).alias("at"), F.lit(0).alias("seq"))
-    return P.latest(stored.unionByName(changes), "key").select("key", "on")
+    keys = V.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"))
+    stored = keys.select("key", (F.col("key") % 5 > 1).alias("on"), F.lit(0).alias("at"), F.lit(0).alias("seq"))
+    changes = keys.where("key % 3 = 0").select("key", (F.col("key") % 2 == 0).alias("on"), F.lit(1).alias("at"), F.lit(0).alias("seq"))
+    return P.upsert_policy(stored, changes, "key")
 
 
 @query(O.over(O.judged() + "," + O.verdicts(), f"SELECT pool, count(*) AS n FROM hits WHERE NOT (starts_with(client_ip, '2') AND ts_sec <= {_MID}) GROUP BY pool"))
@@ -387,8 +407,8 @@ def c12_probe_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.access_log(spark, sf_dir).select("uri").distinct().select("uri", C.probe_label(F.col("uri"), ("^/api/.*",)).alias("label"))
 
 
-@query(O.over("", """SELECT DISTINCT '/log/a' || (row_id % 3) || '.log' AS src_file, 'access' AS kind FROM access_log UNION ALL
-SELECT DISTINCT '/log/j' || (row_id % 3), 'json' FROM access_log UNION ALL SELECT DISTINCT '/log/e' || (row_id % 3), 'error' FROM access_log WHERE status >= 400"""))
+@query(O.over("", """SELECT DISTINCT '/log/a' || (row_id % 3) || '.log' AS src_file, 'access' AS kind, 'combined' AS format FROM access_log UNION ALL
+SELECT DISTINCT '/log/j' || (row_id % 3), 'json', 'json' FROM access_log UNION ALL SELECT DISTINCT '/log/e' || (row_id % 3), 'error', 'error' FROM access_log WHERE status >= 400"""))
 def a10_classify_log_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = lambda rows, head, tail: rows.select(F.concat(F.lit(head), (F.col("row_id") % 3).cast("string"), F.lit(tail)).alias("src_file"), F.col("row_id").alias("line_key"), "line")
     lines = named(V.access_lines(spark, sf_dir), "/log/a", ".log").unionByName(named(V.json_lines(spark, sf_dir), "/log/j", "")).unionByName(named(V.error_lines(spark, sf_dir), "/log/e", ""))

@@ -1,13 +1,8 @@
-"""The registered queries of the engine and their SQL oracles."""
+"""The registry that the modules of queries fill: queries and their SQL oracles by name."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
 from logshield.operators import verdicts as VD
-from logshield.plans import oracles as O
-from logshield.plans import views as V
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -24,11 +19,3 @@ def query(oracle: str | None = None):
 
 
 DEFAULT = VD.Policies(allowed_endpoints=("^/api/.*",))
-
-
-@query(O.over(O.judged() + "," + O.verdicts(), "SELECT * FROM verdict"))
-def f1_evaluate_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return VD.evaluate_requests(V.access_log(spark, sf_dir), DEFAULT)
-
-
-from logshield.plans import queries as _queries  # noqa: E402, F401

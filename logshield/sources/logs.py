@@ -9,7 +9,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from logshield.functions.classify import resolved_ip
+from logshield.functions.classify import held, resolved_ip
 from logshield.functions.ip import ip_v4, is_ip
 
 COMBINED = '$remote_addr - $remote_user [$time_local] "$request" $status $body_bytes_sent "$http_referer" "$http_user_agent"'
@@ -42,14 +42,16 @@ def _u16(text: Column) -> Column:
 
 
 def parse_combined(df: DataFrame) -> DataFrame:
-    """client_ip, method, uri, status, referer, user_agent of combined lines."""
-    line = F.trim("line")
-    shape = r'^([^ ]*)[^"]*"([^"]*)"\s*(\S+)[^"]*"([^"]*)"[^"]*"([^"]*)"'
-    got = df.withColumns({f"_{i}": F.regexp_extract(line, shape, i) for i in range(1, 6)})
+    """client_ip, method, uri, status, referer, user_agent of combined lines. One match splits a
+    line; U+0001, which no server writes, marks the places and reads as a blank."""
+    line = F.translate(F.trim("line"), "\x01", " ")
+    shape = r'(?s)^([^ ]*)[^"]*"([^"]*)"\s*(\S+)[^"]*"([^"]*)"[^"]*"([^"]*)".*$'
+    part = held(F.split(F.regexp_replace(line, shape, "$1\x01$2\x01$3\x01$4\x01$5"), "\x01"))
+    got = df.withColumn("_p", part).withColumns({f"_{i}": F.get("_p", F.lit(i - 1)) for i in range(1, 6)})
     got = _request(got, F.col("_2")).withColumn("status", _u16(F.col("_3")))
-    ok = line.rlike(shape) & is_ip(F.col("_1")) & F.col("status").isNotNull()
-    got = got.withColumn("client_ip", F.when(ok, F.col("_1"))).withColumn("referer", F.col("_4")).withColumn("user_agent", F.col("_5")).withColumn("parse_ok", ok)
-    return got.drop(*(f"_{i}" for i in range(1, 6)))
+    ok = F.coalesce((F.size("_p") == 5) & is_ip(F.col("_1")) & F.col("status").isNotNull(), F.lit(False))
+    got = got.withColumn("parse_ok", ok).withColumn("client_ip", F.when(F.col("parse_ok"), F.col("_1"))).withColumn("referer", F.col("_4")).withColumn("user_agent", F.col("_5"))
+    return got.drop("_p", *(f"_{i}" for i in range(1, 6)))
 
 
 def format_pattern(log_format: str) -> tuple[str, list[str]]:
@@ -100,9 +102,20 @@ def parse_json(df: DataFrame, replay: bool = False) -> DataFrame:
     j = F.when(line.startswith("{"), F.from_json(line, ", ".join(f"`{k}` string" for k in _JSON), {"mode": "PERMISSIVE"}))
     got = df.withColumn("_j", j)
     f = lambda *keys: F.coalesce(*(F.col(f"_j.{k}") for k in keys))
+    if replay:
+        got = got.withColumn("_m", held(F.when(line.startswith("{"), F.from_json(line, "map<string,string>"))))
+
+        def f(*keys):
+            """The value of the first key that is there, null if it is no string."""
+            out = F.lit(None).cast("string")
+            for k in reversed(keys):
+                text = F.when(line.rlike(f'"{k}"\\s*:\\s*"'), F.element_at("_m", k)) if k != "status" else F.element_at("_m", k)
+                out = F.when(F.map_contains_key("_m", k), text).otherwise(out)
+            return out
+
     ip = f("client", "client_ip", "remote_addr", "ip")
     if replay:
-        ip = F.coalesce(ip, F.trim(F.substring_index(f("http_cf_connecting_ip", "http_x_forwarded_for"), ",", 1)))
+        ip = F.trim(F.substring_index(f("client", "client_ip", "remote_addr", "ip", "http_cf_connecting_ip", "http_x_forwarded_for"), ",", 1))
         got = _request(got, F.lit(""), f("method", "request_method"), f("uri", "path", "request_uri", "request"))
     else:
         ip = resolved_ip(f("http_cf_connecting_ip"), f("http_x_forwarded_for"), ip)
@@ -111,7 +124,7 @@ def parse_json(df: DataFrame, replay: bool = False) -> DataFrame:
     got = got.withColumn("status", F.coalesce(_u16(f("status")), F.lit(200))).withColumn("referer", F.coalesce(f("referer", "http_referer"), blank))
     got = got.withColumn("user_agent", F.coalesce(f("ua", "user_agent", "http_user_agent"), blank)).withColumn("host", F.coalesce(f("host", "http_host"), blank))
     ok = is_ip(F.col("_ip"))
-    return got.withColumn("_ip", ip).withColumn("client_ip", F.when(ok, F.col("_ip"))).withColumn("parse_ok", ok).drop("_j", "_ip")
+    return got.withColumn("_ip", ip).withColumn("client_ip", F.when(ok, F.col("_ip"))).withColumn("parse_ok", ok).drop("_j", "_m", "_ip")
 
 
 def parse_error_log(df: DataFrame) -> DataFrame:
@@ -148,14 +161,24 @@ def parse_auth_log(df: DataFrame) -> DataFrame:
     )
 
 
-def parse_auth_log_stateful(df: DataFrame, order: tuple[str, ...] = ("ts_sec", "row_id"), key: tuple[str, ...] = ()) -> DataFrame:
-    """As parse_auth_log, but a marker line of an sshd process makes its next line with an address
-    a scanner probe. The last marker or consuming line before a row tells what is pending."""
+def with_marks(df: DataFrame) -> DataFrame:
+    """Parsed ssh lines with the process (pid), the marker of a marker line (_mark) and the
+    address that would take a pending marker (_ip)."""
     line = F.col("line")
     marker = F.when(line.contains("client sent invalid protocol identifier"), "invalid_protocol_identifier").when(line.contains("banner line contains invalid characters"), "banner_invalid_format")
-    got = parse_auth_log(df).withColumn("pid", F.nullif(F.regexp_extract("line", r"sshd\[([0-9]+)\]", 1), F.lit("")).cast("long"))
-    got = got.withColumn("_mark", marker).withColumn("_ip", _after(line, "Connection from ", "from "))
-    before = Window.partitionBy(*key, "pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    pid = F.nullif(F.regexp_extract("line", r"sshd\[([0-9]+)\]", 1), F.lit("")).cast("long")
+    return df.withColumn("pid", pid).withColumn("_mark", marker).withColumn("_ip", _after(line, "Connection from ", "from "))
+
+
+def parse_auth_log_stateful(df: DataFrame, order: tuple[str, ...] = ("ts_sec", "row_id"), key: tuple[str, ...] | None = None) -> DataFrame:
+    """As parse_auth_log, but a marker line of an sshd process makes its next line with an address
+    a scanner probe. The last marker or consuming line before a row tells what is pending. Processes
+    are told apart by `key`, src_file if there is one, and pid; lines without a pid have nothing
+    pending and are dealt out by their place."""
+    key = (("src_file",) if "src_file" in df.columns else ()) if key is None else key
+    got = with_marks(parse_auth_log(df))
+    alone = F.when(F.col("pid").isNull(), F.xxhash64(*order))
+    before = Window.partitionBy(*key, "pid", alone).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     state = F.when(F.col("_mark").isNotNull(), F.col("_mark")).when(F.col("_ip").isNotNull(), "")
     pending = F.nullif(F.last(state, ignorenulls=True).over(before), F.lit(""))
     got = got.withColumn("_pending", F.when(F.col("pid").isNotNull(), pending))
@@ -171,20 +194,47 @@ def parse_auth_log_stateful(df: DataFrame, order: tuple[str, ...] = ("ts_sec", "
 
 
 def scan_mixed(df: DataFrame) -> DataFrame:
-    """format (combined, json, ssh) and the columns of the first parser that takes the line."""
+    """format (combined, json, ssh) and the columns of the first parser that takes the line. Only a
+    line with a brace goes to the second, and only what both refuse to the ssh parser, with its
+    pairing by process where rows have ts_sec and row_id."""
     cols = ("client_ip", "method", "uri", "status", "referer", "user_agent")
-    a = parse_combined(df).select("*", F.struct(*cols).alias("_a"), F.col("parse_ok").alias("_a_ok")).drop(*cols, "parse_ok")
-    b = parse_json(a, replay=True).select(*a.columns, F.struct(*cols).alias("_b"), F.col("parse_ok").alias("_b_ok"))
-    c = parse_auth_log(b)
-    web = F.when(F.col("_a_ok"), F.col("_a")).when(F.col("_b_ok"), F.col("_b"))
-    kind = F.when(F.col("_a_ok"), "combined").when(F.col("_b_ok"), "json").when(F.col("kind") != "ignore", "ssh")
-    ip = F.when(F.col("_a_ok") | F.col("_b_ok"), web["client_ip"]).otherwise(F.col("client_ip"))
-    return c.select(*df.columns, kind.alias("format"), ip.alias("client_ip"), *(web[x].alias(x) for x in cols[1:]), F.when(kind == "ssh", F.col("kind")).alias("kind"), F.when(kind == "ssh", F.col("reason")).alias("reason"))
-
-
-def classify_log_files(df: DataFrame) -> DataFrame:
-    """(src_file, kind) from lines(src_file, line_key, line): error, json or access; archives are
-    left out. Only the first ten lines of a file are looked at."""
+    names = df.columns
+    got = parse_combined(df).select(*names, held(F.when(F.col("parse_ok"), F.struct(*cols))).alias("_a"))
+    brace = F.when(F.col("_a").isNull() & F.ltrim("_line").startswith("{"), F.col("_line"))
+    got = parse_json(got.withColumnRenamed("line", "_line").withColumn("line", held(brace)), replay=True)
+    got = got.select(*("_line" if c == "line" else c for c in names), "_a", held(F.when(F.col("parse_ok"), F.struct(*cols))).alias("_b")).withColumnRenamed("_line", "line")
+    taken = F.coalesce("_a", "_b")
+    web = got.where(taken.isNotNull()).select(*names, F.when(F.col("_a").isNotNull(), "combined").otherwise("json").alias("format"), *(taken[c].alias(c) for c in cols), *(F.lit(None).cast("string").alias(c) for c in ("kind", "reason")))
+    rest = got.where(taken.isNull()).select(*names)
+    ssh = parse_auth_log_stateful(rest) if {"ts_sec", "row_id"} <= set(names) else parse_auth_log(rest)
+    known = F.col("kind") != "ignore"
+    empty = {"status": "int"}
+    ssh = ssh.select(*names, F.when(known, "ssh").alias("format"), "client_ip", *(F.lit(None).cast(empty.get(c, "string")).alias(c) for c in cols[1:]), F.when(known, F.col("kind")).alias("kind"), F.when(known, F.col("reason")).alias("reason"))
+    return web.unionByName(ssh)
+
+
+def format_kind(body: Column) -> Column:
+    """json, edge (a proxy's address before the others), combined or custom, by the variables of a
+    format's body."""
+    text = F.trim(body)
+    has = lambda *names: _all(text.contains(n) for n in names)
+    plain = ~text.contains("$host") & ~text.contains("$request_method") & ~text.contains("$request_uri")
+    edge = plain & has("$http_cf_connecting_ip", "$remote_user", "$request", "$status")
+    combined = plain & has("$remote_addr", "$remote_user", "$request", "$status", "$body_bytes_sent")
+    return F.when(text.startswith("{") & text.endswith("}"), "json").when(edge, "edge").when(combined, "combined").otherwise("custom")
+
+
+def _all(tests) -> Column:
+    out = F.lit(True)
+    for t in tests:
+        out = out & t
+    return out
+
+
+def classify_log_files(df: DataFrame, catalog: DataFrame | None = None) -> DataFrame:
+    """(src_file, kind, format) from lines(src_file, line_key, line): error, json or access; archives
+    are left out. Only the first ten lines of a file are looked at. The format of an access file is
+    that of catalog(path, format), see resolve_log_catalog, else combined."""
     name = F.lower(F.element_at(F.split("src_file", "/"), -1))
     n = F.row_number().over(Window.partitionBy("src_file").orderBy("line_key"))
     head = df.where(~name.rlike(r"\.(gz|zip|tmp)$")).withColumn("n", n).where("n <= 10 AND trim(line) <> ''")
@@ -193,7 +243,12 @@ def classify_log_files(df: DataFrame) -> DataFrame:
     named = name.contains("error.log") | (name.contains("error") & name.contains(".log"))
     levels = F.col("five").rlike(r"\[(error|warn|crit|alert|emerg)\]")
     kind = F.when(named | levels, "error").when(F.col("ten").startswith("{") & F.col("ten").endswith("}"), "json").otherwise("access")
-    return got.select("src_file", kind.alias("kind"))
+    got = got.select("src_file", kind.alias("kind"))
+    if catalog is None:
+        body = F.lit(COMBINED)
+    else:
+        got, body = got.join(catalog.select(F.col("path").alias("src_file"), F.col("format").alias("_f")), "src_file", "left"), F.coalesce("_f", F.lit(COMBINED))
+    return got.select("src_file", "kind", F.when(F.col("kind") == "access", format_kind(body)).otherwise(F.col("kind")).alias("format"))
 
 
 def resolve_log_catalog(paths: DataFrame, formats: DataFrame) -> DataFrame:

@@ -97,19 +97,58 @@ def test_escalation_gathers_no_address(spark):
     assert rows == [(4 * k + 3, min(k, 2), (60, 120, None)[min(k, 2)]) for k in range(7500)]
 
 
-def test_counters_equal_sequential_model(spark):
+@pytest.mark.parametrize(("clock", "bucket"), [("event", 600), ("event", 7), ("event", 1), ("none", 7)])
+def test_counters_equal_sequential_model(spark, clock, bucket):
     rng = random.Random(7)
-    rows = [(i, rng.randrange(120), f"9.9.9.{rng.randrange(3)}", rng.choice(["shared", "isolated"]), rng.choice(["a", "b"]), rng.choice([5, 10])) for i in range(600)]
+    rows = [(i, rng.randrange(120), f"9.9.9.{rng.randrange(3)}", rng.choice(["shared", "isolated"]), rng.choice(["a", "b"]), rng.choice([1, 5, 10])) for i in range(600)]
+    rows += [(1000 + i, 1000 + i // 3, None, "shared", "a", 5) for i in range(900)]
     df = spark.createDataFrame(rows, "row_id long, ts_sec long, client_ip string, pool string, category string, window_s int")
-    got = {r["row_id"]: r["strikes"] for r in K.strike_counts(df).collect()}
+    got = {r["row_id"]: r["strikes"] for r in K.strike_counts(df, clock, bucket).collect()}
     state = {}
     for rid, ts, ip, pool, cat, win in sorted(rows, key=lambda r: (r[1], r[0])):
         last, was, n = state.get((ip, pool), (None, None, 0))
-        n = 1 if last is None or ts - last > win or (pool == "isolated" and was != cat) else min(n + 1, 255)
+        n = 1 if last is None or (clock == "event" and ts - last > win) or (pool == "isolated" and was != cat) else min(n + 1, 255)
         state[(ip, pool)] = (ts, cat, n)
         assert got[rid] == n
 
 
+def test_mixed_lines(spark):
+    web = '1.2.3.4 - - [x] "GET /a HTTP/1.1" 404 1 "-" "cu\x01rl"'
+    lines = [web, '{"client":"1.1.1.1","uri":"/j","status":404}', '{"client":5,"client_ip":"1.1.1.1","uri":"/j"}', '{"ip":"1.1.1.1","uri":7,"path":"/p"}', 'h sshd[7]: client sent invalid protocol identifier "x"', "h sshd[7]: Connection from 9.9.9.9 port 1", "h sshd[8]: Failed password for root from 8.8.8.8 port 1", "noise", None]
+    rows = spark.createDataFrame([(i, i, x) for i, x in enumerate(lines)], "row_id long, ts_sec long, line string")
+    got = {r["row_id"]: (r["format"], r["client_ip"], r["uri"], r["user_agent"], r["kind"], r["reason"]) for r in L.scan_mixed(rows).collect()}
+    none = (None,) * 6
+    assert got == {
+        0: ("combined", "1.2.3.4", "/a", "cu rl", None, None), 1: ("json", "1.1.1.1", "/j", "", None, None), 2: none, 3: ("json", "1.1.1.1", "/", "", None, None),
+        4: none, 5: ("ssh", "9.9.9.9", None, None, "scanner_probe", "invalid_protocol_identifier"), 6: ("ssh", "8.8.8.8", None, None, "auth_failure", None), 7: none, 8: none,
+    }
+
+
+def test_durations_and_formats(spark):
+    texts = ["15m", "24h", " 7d ", "PERMANENT", "", "5x", "m", "+3s", "-3s", "99999999999999999999d", "1.5h"]
+    got = [tuple(r[0]) for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(C.parsed_duration(F.col("t"))).collect()]
+    assert got == [(900, None), (86400, None), (604800, None), (None, None), (None, "empty"), (None, "unknown unit"), (None, "bad number"), (3, None), (None, "bad number"), (None, "bad number"), (None, "bad number")]
+    bodies = [L.COMBINED, L.EDGE, '{"a":"$host"}', "$remote_addr $status", L.COMBINED + " $host", '$http_cf_connecting_ip $remote_user "$request" $status']
+    assert column(spark, bodies, L.format_kind) == ["combined", "edge", "json", "custom", "custom", "edge"]
+    assert column(spark, ["Mozilla SemrushBot", "python-requests/2", "masscan-ng", "curly", "xJAVA/1"], C.agent_category) == column(spark, ["semrush", "python", "masscan", "curl", "java"], C.agent_category)
+
+
+def test_lists_and_shared_slot(spark):
+    schema = "row_id long, ts_sec long, client_ip string, method string, uri string, status int, referer string, user_agent string"
+    web = [(i, i, ip, "GET", "/x.sql", 404, "-", "Mozilla Firefox") for i, ip in enumerate(["1.1.1.1", "2.2.2.2", "3.3.3.3", "10.0.0.1"] * 5)]
+    lists = VD.Policies(whitelist=spark.createDataFrame([("1.1.1.1",)], "client_ip string"), banned=spark.createDataFrame([("2.2.2.2",), ("1.1.1.1",), ("10.0.0.1",)], "client_ip string"))
+    got = VD.evaluate_requests(spark.createDataFrame(web, schema), lists).collect()
+    assert {(r["client_ip"], r["action"]) for r in got} == {("1.1.1.1", "allow"), ("2.2.2.2", "drop_banned"), ("3.3.3.3", "allow"), ("3.3.3.3", "ban"), ("10.0.0.1", "allow")}
+    # One isolated slot an address: an ssh failure between two web strikes of another category restarts both.
+    ssh = spark.createDataFrame([(100 + i, ts, "3.3.3.3", "auth_failure", None) for i, ts in enumerate([3, 30, 31, 32, 33, 34])], "row_id long, ts_sec long, client_ip string, kind string, reason string")
+    both = VD.evaluate_all(spark.createDataFrame([w for w in web if w[2] == "3.3.3.3"], schema), ssh).collect()
+    state, was = 0, None
+    for r in sorted(both, key=lambda r: (r["ts_sec"], r["row_id"])):
+        state = state + 1 if was == r["stream"] else 1
+        was = r["stream"]
+        assert r["strikes"] == state and r["action"] == ("ban" if state >= 5 else "allow")
+
+
 def test_empty_table(spark):
     rows = spark.createDataFrame([], "row_id long, ts_sec long, client_ip string, method string, uri string, status int, referer string, user_agent string")
     assert VD.evaluate_requests(rows).count() == 0
