@@ -176,9 +176,9 @@ def test_pii_leaves_nothing_in_clear():
 
 def test_pii_table(spark, corpus):
     rows = [*corpus, (1, "mail a@b.org", None, None)]
-    got = pii.pseudonymised(docs(spark, rows)).collect()
+    got = pii.pseudonymised(docs(spark, rows), "k").collect()
     assert len(got) == len(rows) and sum(r["text"] is None for r in got) == 1
-    assert pii.pseudonymised(docs(spark, [])).count() == 0
+    assert pii.pseudonymised(docs(spark, []), "k").count() == 0
 
 
 def test_licences(spark):
