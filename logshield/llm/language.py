@@ -4,10 +4,12 @@ The script of a word narrows the candidates to languages seen in that script; ea
 scores the word by its character n-grams; a Viterbi path over the words, with a penalty for
 each switch of language, labels spans. The document's language is that of most letters.
 
-The search is left out where it cannot find better than the single best language: a path with r
-runs in other languages has at least r - 1 switches (r, if it visits the best one too), and gains
-on it at most r times the largest gain of any run, so that none is better if that gain is at most
-half a penalty; r = 1 without the best language is a worse single language.
+The search is left out where it cannot find better than the single best language. Let g be the
+largest gain of any run of words in any other language. A path that visits the best language
+and r runs in others has r switches or more and gains at most r g, so it is no better if g is at
+most one penalty. A path without the best language has r - 1 switches and r of 2 or more (one alone
+is a worse single language): it is no better if g is at most half a penalty, or if the sum over all
+words of the best other language's lead is at most one penalty.
 """
 
 from __future__ import annotations
@@ -164,12 +166,14 @@ def _labelled(batches, langs: list[str], logp: np.ndarray, allowed: np.ndarray,
                 gain = (run - (np.minimum.accumulate(prior - shift, axis=0) + shift)).max(axis=1)
                 most = np.zeros(k)
                 np.maximum.at(most, own, gain)
+                lead[np.arange(len(s)), top[own]] = -np.inf
+                away = np.bincount(own, lead.max(axis=1), k)
+                settled = (most <= switch / 2) | ((most <= switch) & (away <= switch))
                 size = w.end - w.start
                 for d in np.flatnonzero(n).tolist():
                     p, q = w.first[d], w.first[d + 1]
                     text = None
-                    # m switches pay for m + 1 runs in other languages at most: none pays if two do not.
-                    if most[d] <= switch / 2 and not always:
+                    if settled[d] and not always:
                         pred[d], score[d], spans[d] = langs[top[d]], 1.0, [(0, int(q - p), langs[top[d]])]
                     else:
                         path = viterbi(s[p:q], switch)

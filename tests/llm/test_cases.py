@@ -5,6 +5,7 @@ import math
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,6 +80,19 @@ def test_language_search_is_left_out_only_where_it_finds_the_same(spark):
     assert language.languages(d).count() == len(rows) and language.languages(d.where(F.lit(False))).count() == 0
 
 
+def test_language_bound_on_random_scores(monkeypatch):
+    rng = np.random.default_rng(12)
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(40)), "text": [" ".join(["word"] * int(n)) for n in rng.integers(1, 9, 40)]})
+    words = sum(len(t.split()) for t in batch.column(1).to_pylist())
+    for scale in (1.0, 2.0, 4.0, 8.0):
+        for _ in range(25):
+            s = rng.normal(0, scale, (words, 3)) + np.array([scale, 0, 0])
+            monkeypatch.setattr(language, "_word_scores", lambda *_, s=s: s)
+            fast, full = (next(language._labelled([batch], ["t", "a", "b"], None, None, 12.0, always=x)).to_pylist() for x in (False, True))
+            for x, y in zip(fast, full, strict=True):
+                assert x == y, scale
+
+
 def test_pii_later_mentions_and_forms_of_a_number():
     t = "Mr. John Smith came. Smith left. John ran. Smithson and Johns stay."
     new, found = pii.replaced(t, "k")
