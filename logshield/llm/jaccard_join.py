@@ -302,7 +302,7 @@ def jaccard_components(
     # Keys of two rows or more, rows of equal sets among them, are a small part of all keys; they
     # are known before any node is moved.
     shared = cut(entries.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key"))
-    members = cut(entries.join(maybe_broadcast(shared), "key").distinct())
+    members = cut(entries.join(shared, "key").distinct())
     discard(shared)
     # Buckets with the same members (their number, least, largest and 128 bits of all) are one.
     same = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"s{i}") for i in range(2)]
