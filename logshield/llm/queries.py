@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logshield.llm import chat, compression, decontaminate, jaccard_join, language, licences, pii, quality_rules, ranked_search, toxicity
+from logshield.llm import chat, compression, decontaminate, jaccard_join, language, licences, pii, pivot_index, quality_rules, ranked_search, toxicity, whitening
 from logshield.llm.common import cut, maybe_broadcast, table
 from logshield.llm.mixing import mixture
 
@@ -62,16 +62,24 @@ def op10_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture(table(spark, sf_dir, "documents"))
 
 
+def op11_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_index.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_rules, op2_benchmark_decontamination, op3_pii_surrogates, op4_license_scans, op5_toxicity,
         op6_quality_classifier, op7_ngram_jaccard_join, op8_language_id, op9_chat_formatting, op10_mixing_sources,
-        op12_ranked_search,
+        op11_pivot_index, op12_ranked_search, op13_whitening,
     )
 }
 ORACLES: dict[str, str] = {
@@ -79,5 +87,6 @@ ORACLES: dict[str, str] = {
     "op4_license_scans": licences.ORACLE,
     "op7_ngram_jaccard_join": jaccard_join.ORACLE,
     "op9_chat_formatting": chat.ORACLE,
+    "op11_pivot_index": pivot_index.ORACLE,
     "op12_ranked_search": ranked_search.ORACLE,
 }
