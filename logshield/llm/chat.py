@@ -25,6 +25,17 @@ def unescaped(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)\\(.)", "$1")
 
 
+def escaped_role(role: Column) -> Column:
+    """As escaped; a line end, which would end the header, becomes `\\n`."""
+    return F.replace(escaped(role), F.lit("\n"), F.lit("\\n"))
+
+
+def unescaped_role(role: Column) -> Column:
+    """Between escaped backslashes, which come in pairs, a lone one marks a line end or a bar."""
+    between = F.split(role, r"\\\\")
+    return F.array_join(F.transform(between, lambda t: F.replace(F.replace(t, F.lit("\\n"), F.lit("\n")), F.lit("\\"), F.lit(""))), "\\")
+
+
 def examples(turns: DataFrame) -> DataFrame:
     """(conv_id, example, target, formatted, loss_start, loss_chars, final) from turns(conv_id,
     turn, role, text). loss_start counts characters before the trainable text.
@@ -37,8 +48,7 @@ def examples(turns: DataFrame) -> DataFrame:
     conversation; very long texts stay whole; other columns are ignored; an empty table gives no
     rows."""
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
-    # A line end in a role would end the header; a backslash before it keeps it.
-    head = F.concat(F.lit(START), F.replace(escaped(role), F.lit("\n"), F.lit("\\\n")), F.lit("\n"))
+    head = F.concat(F.lit(START), escaped_role(role), F.lit("\n"))
     got = turns.select("conv_id", F.struct("turn", role.alias("role"), text.alias("text"), head.alias("head"), escaped(text).alias("body")).alias("t"))
     got = got.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("t"))
     pieces = F.transform("t", lambda t: F.concat(t["head"], t["body"], F.lit(END + "\n")))
@@ -63,8 +73,14 @@ def examples(turns: DataFrame) -> DataFrame:
 def read_back(formatted: Column) -> Column:
     """array<struct<role, text>> of a formatted string, by its control strings alone."""
     parts = F.filter(F.split(formatted, r"<\|im_end\|>\n"), lambda p: p != "")
-    head = r"(?s)^<\|im_start\|>((?:[^\\\n]|\\.)*)\n(.*)$"
-    return F.transform(parts, lambda p: F.struct(unescaped(F.regexp_extract(p, head, 1)).alias("role"), unescaped(F.regexp_extract(p, head, 2)).alias("text")))
+
+    def turn(part: Column) -> Column:
+        # The header ends at the first line end.
+        at = F.locate("\n", part)
+        role = F.substring(part, F.lit(len(START) + 1), at - len(START) - 1)
+        return F.struct(unescaped_role(role).alias("role"), unescaped(F.substring(part, at + 1, F.char_length(part))).alias("text"))
+
+    return F.transform(parts, turn)
 
 
 def digests(rows: DataFrame) -> DataFrame:
