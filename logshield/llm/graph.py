@@ -22,16 +22,15 @@ def _ordered(links: DataFrame) -> DataFrame:
     return links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(node, root) of every node with a link, root being the smallest node reachable.
 
     `links` has columns a and b. Each round replaces the links by as many or fewer that reach
     the same nodes; hubs stay single rows per neighbour, so no group is ever gathered. The
-    number of rounds grows with the logarithm of the longest path. The result is cut."""
+    number of rounds grows with the logarithm of the longest path; they go on until all links are
+    stars. The result is cut."""
     e = _contract(_ordered(links))
-    for _ in range(max_rounds):
-        if _stars(e):
-            break
+    while not _stars(e):
         e, was = _contract(e), e
         discard(was)
     root = e.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root")

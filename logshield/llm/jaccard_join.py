@@ -20,7 +20,8 @@ also partitioned by a second and a third hash; two partners are found by the fir
 either of them is not poor. Sets that are poor under all three index the empty keys of the last.
 
 Groups of copies are never expanded. Equal sets are one node from the start, buckets with the same
-members are one. Nodes are verified against two hubs of their bucket, its least and its largest node;
+members are one; unlike sets whose 64-bit ids agree are told apart by size and sketch and get other
+ids. Nodes are verified against two hubs of their bucket, its least and its largest node;
 only pairs of nodes of one bucket that are not connected by then, and that a 512-bit parity sketch
 (a lower bound of the true difference) does not rule out, are verified after that. All verification
 is by intersection of the whole sets of 64-bit shingle hashes.
@@ -142,31 +143,43 @@ def _reduce(op, values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return got
 
 
-def _nodes(s: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """A 64-bit id of each whole set."""
+#: Bits of a node's id (tests take few, to see ids clash).
+NODE_BITS = np.uint64(0xFFFFFFFFFFFFFFFF)
+
+
+def _nodes(s: np.ndarray, first: np.ndarray, taken: tuple[int, ...] = ()) -> np.ndarray:
+    """A 64-bit id of each whole set. Of each id in `taken`, which unlike sets were found to share,
+    the sets have ids by another hash, as often as `taken` has grown."""
+    n = np.diff(first).astype(np.uint64)
     with np.errstate(over="ignore"):
         x = _reduce(np.add, mix(s ^ np.uint64(0x243F6A8885A308D3)), first)
         y = _reduce(np.bitwise_xor, mix(s + np.uint64(0x13198A2E03707344)), first)
-        return mix(x * np.uint64(3) + y + np.diff(first).astype(np.uint64))
+        out = mix(x * np.uint64(3) + y + n) & NODE_BITS
+        for _ in range(len(taken)):
+            again = np.isin(out, np.array(taken, np.int64).view(np.uint64))
+            if not again.any():
+                break
+            out[again] = mix(x[again] ^ mix(y[again] + n[again] + out[again]))
+    return out
 
 
-def _describe(batches, words: int):
+def _describe(batches, words: int, taken: tuple[int, ...] = ()):
     for batch in batches:
         for a, k, raw, off in chunks(batch.column(1)):
             s, first = _sets(raw, off, words)
             bit = np.uint64(1) << (s & np.uint64(63))
             lane = (s >> np.uint64(6)) & np.uint64(7)
-            cols = [*(c.slice(a, k) for i, c in enumerate(batch.columns) if i != 1), pa.array(np.diff(first)), pa.array(_nodes(s, first).view(np.int64))]
+            cols = [*(c.slice(a, k) for i, c in enumerate(batch.columns) if i != 1), pa.array(np.diff(first)), pa.array(_nodes(s, first, taken).view(np.int64))]
             cols += [pa.array(_reduce(np.bitwise_xor, np.where(lane == j, bit, np.uint64(0)), first).view(np.int64)) for j in range(8)]
             yield pa.RecordBatch.from_arrays(cols, [*(c for c in batch.schema.names if c != "text"), "n", "node", *(f"p{j}" for j in range(8))])
 
 
-def _whole(batches, words: int):
+def _whole(batches, words: int, taken: tuple[int, ...] = ()):
     for batch in batches:
         for _, k, raw, off in chunks(batch.column(1)):
             s, first = _sets(raw, off, words)
             sets = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(s.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(_nodes(s, first).view(np.int64)), sets], ["node", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(_nodes(s, first, taken).view(np.int64)), sets], ["node", "tokens"])
 
 
 def _expand(first: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -222,12 +235,12 @@ def _segment_keys(s: np.ndarray, first: np.ndarray, pick: np.ndarray, at: np.nda
     return keys[use], owner[use], poor
 
 
-def _keys(batches, words: int, band_first: list[int], groups: list[tuple[int, int, int, int]]):
+def _keys(batches, words: int, band_first: list[int], groups: list[tuple[int, int, int, int]], taken: tuple[int, ...] = ()):
     edge, grp = np.array(band_first), np.array(groups, np.int64)
     for batch in batches:
         for _, _, raw, off in chunks(batch.column(1)):
             s, first = _sets(raw, off, words)
-            size, node = np.diff(first), _nodes(s, first)
+            size, node = np.diff(first), _nodes(s, first, taken)
             row = np.sort(np.unique(node, return_index=True)[1])
             row = row[size[row] > 0]
             band = np.searchsorted(edge, size[row], "right") - 1
@@ -248,12 +261,12 @@ def _similar(num: int, den: int, common, total):
     return F.lit(den) * common >= F.lit(num) * (total - common)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, num: int, den: int) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, num: int, den: int, taken: tuple[int, ...] = ()) -> DataFrame:
     """Of the pairs (a, b), those whose whole sets are similar enough, read from the texts of
     the nodes in them."""
     some = cut(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes, "node").select("node", "doc_id"))
     texts = docs.join(maybe_broadcast(some.select("doc_id").distinct(), some.count(), PICK_ROWS), "doc_id", "left_semi")
-    sets = cut(texts.mapInArrow(partial(_whole, words=words), "node long, tokens array<long>").dropDuplicates(["node"]))
+    sets = cut(texts.mapInArrow(partial(_whole, words=words, taken=taken), "node long, tokens array<long>").dropDuplicates(["node"]))
     got = pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a")
     got = got.join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b")
     links = cut(got.where(_similar(num, den, F.size(F.array_intersect("x", "y")), F.size("x") + F.size("y"))).select("a", "b"))
@@ -287,17 +300,27 @@ def jaccard_components(
     the smallest (doc_id, th) of its component; null if it is alone by definition."""
     docs = docs.select("doc_id", "text")
     keyed = docs.withColumn("th", F.xxhash64("text")) if rows else docs
-    told = keyed.mapInArrow(partial(_describe, words=words), "doc_id long, " + "th long, " * rows + "n long, node long, " + ", ".join(f"p{j} long" for j in range(8)))
-    told = cut(told)
-    lanes = [F.max(f"p{j}").alias(f"p{j}") for j in range(8)]
-    nodes = told.where("n > 0 AND doc_id IS NOT NULL").groupBy("node").agg(F.min(F.struct("doc_id", "th") if rows else F.col("doc_id")).alias("rep"), F.max("n").alias("n"), *lanes)
-    nodes = cut(nodes.withColumn("doc_id", F.col("rep.doc_id" if rows else "rep")))
+    lanes, taken = [f"p{j}" for j in range(8)], ()
+    while True:
+        told = cut(keyed.mapInArrow(partial(_describe, words=words, taken=taken), "doc_id long, " + "th long, " * rows + "n long, node long, " + ", ".join(f"{c} long" for c in lanes)))
+        # Rows of one id are one set: as large, and alike in all 512 bits of the sketch.
+        differ = " OR ".join(f"min({c}) <> max({c})" for c in ("n", *lanes))
+        nodes = told.where("n > 0 AND doc_id IS NOT NULL").groupBy("node")
+        least = F.min(F.struct("doc_id", "th") if rows else F.col("doc_id")).alias("rep")
+        nodes = cut(nodes.agg(least, *(F.max(c).alias(c) for c in ("n", *lanes)), F.expr(differ).alias("differ")).withColumn("doc_id", F.col("rep.doc_id" if rows else "rep")))
+        clash = [r["node"] for r in nodes.where("differ").select("node").collect()]
+        if not clash:
+            break
+        # Ids of 64 bits: some one in 10^10 texts.
+        discard(told, nodes)
+        taken = (*taken, *clash)
+    nodes = nodes.drop("differ")
     told = told.select("doc_id", *["th"] * rows, "n", "node")
 
     # Sets by power-of-1.02 size class are few rows, whatever the number of documents.
     counted = nodes.groupBy(F.floor(F.log(1.02, F.col("n").cast("double"))).alias("c")).agg(F.max("n").alias("n"), F.count("*").alias("k")).collect()
     first, groups = plan({r["n"]: r["k"] for r in counted}, num, den, kinds)
-    entries = docs.where("doc_id IS NOT NULL").mapInArrow(partial(_keys, words=words, band_first=first, groups=groups), "key long, node long")
+    entries = docs.where("doc_id IS NOT NULL").mapInArrow(partial(_keys, words=words, band_first=first, groups=groups, taken=taken), "key long, node long")
 
     # Keys of two rows or more, rows of equal sets among them, are a small part of all keys; they
     # are known before any node is moved.
@@ -316,7 +339,7 @@ def jaccard_components(
     discard(members, buckets)
     if pairs.isEmpty():
         return _labelled(told, nodes, None, rows)
-    links = _verified(pairs, docs, nodes, words, num, den)
+    links = _verified(pairs, docs, nodes, words, num, den, taken)
 
     # What is left of the exact work: pairs of one bucket that are still apart.
     known = components(links)
@@ -329,7 +352,7 @@ def jaccard_components(
     rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.block") == F.col("y.block")) & apart & _possible(num, den, "x", "y"))
     # Pairs with a hub are settled.
     rest = cut(rest.select(F.col("y.node").alias("a"), F.col("x.node").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"))
-    more = None if rest.isEmpty() else _verified(rest, docs, nodes, words, num, den)
+    more = None if rest.isEmpty() else _verified(rest, docs, nodes, words, num, den, taken)
     if more is not None and not more.isEmpty():
         known = components(known.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
     discard(links, large, pairs, left, rest)
