@@ -93,10 +93,10 @@ def _forward(docs: DataFrame, vocabulary: DataFrame, bound: int) -> DataFrame:
     return cut(told)
 
 
-def _posts(indexed: DataFrame) -> DataFrame:
+def _posts(indexed: DataFrame, *keep: str) -> DataFrame:
     """(row, term, part) of a forward index; a part is what a term of weight 1 adds to the score."""
-    got = indexed.select("row", "m", F.inline(F.arrays_zip("terms", "tfs")))
-    return got.select("row", F.col("terms").alias("term"), F.expr("(1000000000 * tfs) div (1000 * tfs + 8 * m)").alias("part"))
+    got = indexed.select(*keep, "row", "m", F.inline(F.arrays_zip("terms", "tfs")))
+    return got.select(*keep, "row", F.col("terms").alias("term"), F.expr("(1000000000 * tfs) div (1000 * tfs + 8 * m)").alias("part"))
 
 
 def _none(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -176,9 +176,8 @@ def ranked(docs: DataFrame, items: DataFrame, k: int = 10, vocabulary: int = VOC
     # The terms that an item had left, brought in from the documents that survived.
     upto = survivors.groupBy("item").agg(F.min("upto").alias("upto"))
     todo = terms.where("qw > 0").join(upto, "item").where("place > upto").select("item", "term", "qw")
-    some = ranks.join(maybe_broadcast(cut(survivors.select("row").distinct())), "row", "left_semi")
-    late = _posts(some).join(maybe_broadcast(todo, size["n"]), "term").join(survivors.select("item", "row"), ["item", "row"])
-    late = late.select("item", "row", (F.col("qw") * F.col("part")).alias("score"))
+    late = _posts(ranks.join(maybe_broadcast(survivors.select("item", "row")), "row"), "item")
+    late = late.join(maybe_broadcast(todo, size["n"]), ["item", "term"]).select("item", "row", (F.col("qw") * F.col("part")).alias("score"))
     full = survivors.select("item", "row", "score").unionByName(late).groupBy("item", "row").agg(F.sum("score").alias("score")).where("score > 0")
     full = full.join(forward.where("block = 0").select("row", "doc_id"), "row")
     best = Window.partitionBy("item").orderBy(F.desc("score"), "doc_id", "row")
