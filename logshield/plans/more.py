@@ -202,6 +202,21 @@ def f7_waf_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.waf_budget(made, bans, V.AS_OF, 600).withColumn("percent", F.col("percent").cast("double"))
 
 
+_DAYS = O.over(f"days AS MATERIALIZED ({V.DAYS})," + O.judged(source="days") + "," + O.verdicts().replace("ORDER BY ts_sec, row_id", "ORDER BY ts_sec NULLS FIRST, row_id"), "SELECT row_id, client_ip, pool, CAST(strikes AS INT) AS strikes FROM hits")
+
+
+@query(_DAYS)
+def e1_strikes_over_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pools over a month of requests, some without a time: counters go on from span to span."""
+    rows = VD.settled(VD.candidates(V.access_days(spark, sf_dir), DEFAULT))
+    return K.strike_counts(VD.strike_rows(rows)).select("row_id", "client_ip", "pool", "strikes")
+
+
+@query(_DAYS.replace("SELECT row_id, client_ip, pool, CAST(strikes AS INT) AS strikes FROM hits", "SELECT * FROM verdict"))
+def f1_evaluate_over_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return VD.evaluate_requests(V.access_days(spark, sf_dir), DEFAULT)
+
+
 _FLUSH = 1704067200 + 10**6
 
 

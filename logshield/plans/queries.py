@@ -290,7 +290,7 @@ fold AS (
   SELECT client_ip, 0 AS k, 0 AS n, CAST(NULL AS BIGINT) AS anchor, 0 AS nxt, CAST(NULL AS INT) AS tier, false AS perm, CAST(NULL AS BIGINT) AS ts_sec, CAST(NULL AS BIGINT) AS row_id FROM ev2 WHERE k = 1
   UNION ALL
   SELECT e.client_ip, CAST(e.k AS INT), CASE WHEN e.perm OR m >= 3 THEN 0 ELSE m END, CASE WHEN e.perm OR m >= 3 THEN NULL WHEN fresh THEN e.ts_sec ELSE anchor END,
-    CASE WHEN NOT e.perm AND m >= 3 THEN least(nxt + 1, 2) ELSE nxt END, CASE WHEN e.perm THEN 0 WHEN m >= 3 THEN nxt END, e.perm, e.ts_sec, e.row_id
+    CASE WHEN NOT e.perm AND m >= 3 THEN least(nxt + 1, 2) ELSE nxt END, CASE WHEN e.perm THEN 2 WHEN m >= 3 THEN nxt END, e.perm, e.ts_sec, e.row_id
   FROM (SELECT f.nxt, f.anchor, f.n, e.*, (f.anchor IS NULL OR e.ts_sec - f.anchor > 10) AS fresh, CASE WHEN f.anchor IS NULL OR e.ts_sec - f.anchor > 10 THEN 1 ELSE f.n + 1 END AS m
         FROM fold f JOIN ev2 e ON e.client_ip = f.client_ip AND e.k = f.k + 1) e)"""
 

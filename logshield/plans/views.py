@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -37,6 +40,13 @@ SELECT event_id AS row_id, event_id, user_id,
     ELSE CASE WHEN event_id % 89 = 1 THEN '() { :; }; echo' ELSE 'Mozilla/5.0 (X11; Linux x86_64) Firefox/115.0' END END AS user_agent
 FROM ev
 """
+#: The same requests over a month, in bursts, and every 41st without a time.
+DAYS = """
+SELECT row_id, client_ip, method, uri, status, referer, user_agent,
+  CASE WHEN row_id % 41 = 7 THEN CAST(NULL AS BIGINT)
+       ELSE 1704067200 + (row_id % 30) * 86400 + (row_id % 7) * 599 + CAST(floor(row_id / 1000) AS BIGINT) * 3 + row_id % 5 END AS ts_sec
+FROM access_log
+"""
 ACCESS_LINES = """
 SELECT row_id, ts_sec, concat(client_ip, ' - - [01/Jan/2024:00:00:00 +0000] "', method, ' ', uri, ' HTTP/1.1" ', CAST(status AS STRING), ' 100 "', referer, '" "', user_agent, '"') AS line
 FROM access_log
@@ -85,11 +95,12 @@ def events_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _over(name: str, rows: DataFrame, text: str) -> DataFrame:
-    """The text run over rows under a name. The plan is made at once, so the name can go again."""
-    spark = rows.sparkSession
-    rows.createOrReplaceTempView(name)
-    out = spark.sql(text)
-    spark.catalog.dropTempView(name)
+    """The text run over rows in place of the table `name`. The view that stands for it has a name of its
+    own, so that no view of the session is touched; the plan is made at once, so it can go again."""
+    spark, own = rows.sparkSession, f"{name}_{uuid.uuid4().hex}"
+    rows.createOrReplaceTempView(own)
+    out = spark.sql(re.sub(rf"\bFROM {name}\b", f"FROM {own}", text))
+    spark.catalog.dropTempView(own)
     return out
 
 
@@ -97,6 +108,10 @@ def access_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _over("ev", events_view(spark, sf_dir), ACCESS_LOG)
 
 
+def access_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _over("access_log", access_log(spark, sf_dir), DAYS)
+
+
 def access_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _over("access_log", access_log(spark, sf_dir), ACCESS_LINES)
 

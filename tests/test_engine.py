@@ -66,35 +66,59 @@ def test_cidr_cover_and_bounds(spark):
     assert (got["lo"][-8:], got["hi"][-8:]) == ("0a000000", "0a7fffff")
 
 
-def test_escalation_equals_fold(spark):
-    rng = random.Random(5)
-    rows = [(f"1.1.1.{rng.randrange(4)}", rng.randrange(300), i, rng.random() < 0.05) for i in range(400)]
-    df = spark.createDataFrame(rows, "client_ip string, ts_sec long, row_id long, instant_permanent boolean")
-    got = {(r["client_ip"], r["row_id"], r["tier"], r["permanent"]) for r in K.escalate(df, 20, 3, (60, None)).collect()}
-    want, state = set(), {}
-    for ip, ts, rid, perm in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
-        n, anchor, nxt = state.get(ip, (0, None, 0))
+def escalated(rows, find_time, max_retry, tiers):
+    """The fold, row by row: (address, row, tier, seconds)."""
+    out, state, last = set(), {}, max(len(tiers) - 1, 0)
+    for ip, ts, rid, perm in sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1] is not None, r[1] or 0, r[2])):
+        n, anchor, tier = state.get(ip, (0, None, 0))
         if perm:
-            want.add((ip, rid, 0, True))
-            state[ip] = (0, None, nxt)
+            out.add((ip, rid, last, None))
+            state[ip] = (0, None, tier)
             continue
-        n, anchor = (1, ts) if anchor is None or ts - anchor > 20 else (n + 1, anchor)
-        if n >= 3:
-            want.add((ip, rid, nxt, nxt == 1))
-            state[ip] = (0, None, min(nxt + 1, 1))
-        else:
-            state[ip] = (n, anchor, nxt)
-    assert got == want
+        n, anchor = (1, ts) if anchor is None or ts - anchor > find_time else (n + 1, anchor)
+        if n >= max_retry:
+            out.add((ip, rid, tier, tiers[tier] if tiers else None))
+            n, anchor, tier = 0, None, min(tier + 1, last)
+        state[ip] = (n, anchor, tier)
+    return out
+
 
+OFFENSE = "client_ip string, ts_sec long, row_id long, instant_permanent boolean"
 
-def test_escalation_gathers_no_address(spark):
-    # One address, many batches: each ban restarts the count, and no list of offenses is made.
-    df = spark.range(30_000).select(F.lit("1.1.1.1").alias("client_ip"), F.col("id").alias("ts_sec"), F.col("id").alias("row_id"), F.lit(False).alias("instant_permanent"))
-    got = K.escalate(df, 20, 4, (60, 120, None))
-    plan = got._jdf.queryExecution().optimizedPlan().toString()
-    assert "collect_list" not in plan
-    rows = sorted((r["row_id"], r["tier"], r["duration_s"]) for r in got.collect())
-    assert rows == [(4 * k + 3, min(k, 2), (60, 120, None)[min(k, 2)]) for k in range(7500)]
+
+@pytest.mark.parametrize(("block", "max_retry", "tiers"), [(1 << 14, 3, (60, None)), (4, 3, (60, 120, None)), (1, 1, (60, 70)), (7, 5, ()), (3, 2, (None, 9))])
+def test_escalation_equals_fold(spark, block, max_retry, tiers):
+    rng = random.Random(5)
+    rows = [(f"1.1.1.{rng.randrange(4)}", rng.randrange(300), i, rng.random() < 0.05) for i in range(400)]
+    rows += [("2.2.2.2", 5, 1000 + i, None) for i in range(30)] + [(None, i, 2000 + i, False) for i in range(9)] + [("", i, 3000 + i, False) for i in range(9)] + [("3.3.3.3", None, 4000 + i, i == 2) for i in range(6)]
+    got = K.escalate(spark.createDataFrame(rows, OFFENSE), 20, max_retry, tiers, block).collect()
+    assert {(r["client_ip"], r["row_id"], r["tier"], r["duration_s"]) for r in got} == escalated(rows, 20, max_retry, tiers)
+    assert all(r["permanent"] == (r["duration_s"] is None) for r in got) and len(got) == len({r["row_id"] for r in got})
+
+
+def test_escalation_of_one_busy_address(spark):
+    # No stretch without offenses: every window depends on the one before. Small blocks, many rounds.
+    rng = random.Random(6)
+    rows, ts = [], 0
+    for i in range(6000):
+        ts += rng.choice([0, 1, 1, 2, 9])
+        rows.append(("1.1.1.1", ts, i, rng.random() < 0.001))
+    got = K.escalate(spark.createDataFrame(rows, OFFENSE), 10, 4, (60, 120, None), 50).collect()
+    assert {(r["client_ip"], r["row_id"], r["tier"], r["duration_s"]) for r in got} == escalated(rows, 10, 4, (60, 120, None))
+    assert K.escalate(spark.createDataFrame([], OFFENSE), 10, 4, (60,)).count() == 0
+
+
+@pytest.mark.parametrize("bucket", [600, 10, 1])
+def test_offense_runs_equal_sequential_model(spark, bucket):
+    rng = random.Random(8)
+    rows = [(f"1.1.1.{rng.randrange(5)}", rng.choice([None, *range(60)] if i % 9 == 0 else range(150))) for i in range(300)]
+    want = {}
+    for ip, ts in sorted(rows, key=lambda r: (r[0], r[1] is not None, r[1] or 0)):
+        n, first, last = want.get(ip, (0, None, None))
+        n, first = (1, ts) if ts is not None and last is not None and ts - last > 4 else (n + 1, ts if first is None else first)
+        want[ip] = (n, first, ts)
+    got = K.offense_counter(spark.createDataFrame(rows, "client_ip string, ts_sec long"), 4, bucket).collect()
+    assert {r["client_ip"]: (r["count"], r["first_seen"], r["last_seen"]) for r in got} == want
 
 
 @pytest.mark.parametrize(("clock", "bucket"), [("event", 600), ("event", 7), ("event", 1), ("none", 7)])
@@ -102,13 +126,15 @@ def test_counters_equal_sequential_model(spark, clock, bucket):
     rng = random.Random(7)
     rows = [(i, rng.randrange(120), f"9.9.9.{rng.randrange(3)}", rng.choice(["shared", "isolated"]), rng.choice(["a", "b"]), rng.choice([1, 5, 10])) for i in range(600)]
     rows += [(1000 + i, 1000 + i // 3, None, "shared", "a", 5) for i in range(900)]
+    # Without a time no window expires; such rows come first, by number.
+    rows += [(3000 + i * 40_000, None, f"9.9.9.{i % 2}", "isolated", rng.choice(["a", "a", "a", "b"]), 5) for i in range(40)]
     df = spark.createDataFrame(rows, "row_id long, ts_sec long, client_ip string, pool string, category string, window_s int")
     got = {r["row_id"]: r["strikes"] for r in K.strike_counts(df, clock, bucket).collect()}
     state = {}
-    for rid, ts, ip, pool, cat, win in sorted(rows, key=lambda r: (r[1], r[0])):
+    for rid, ts, ip, pool, cat, win in sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[0])):
         last, was, n = state.get((ip, pool), (None, None, 0))
-        n = 1 if last is None or (clock == "event" and ts - last > win) or (pool == "isolated" and was != cat) else min(n + 1, 255)
-        state[(ip, pool)] = (ts, cat, n)
+        n = 1 if last is None or (clock == "event" and last[0] is not None and ts - last[0] > win) or (pool == "isolated" and was != cat) else min(n + 1, 255)
+        state[(ip, pool)] = ((ts,), cat, n)
         assert got[rid] == n
 
 
