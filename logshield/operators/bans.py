@@ -15,11 +15,14 @@ COLUMNS = ("target", "tier_level", "banned_at", "expires_at", "reason")
 
 
 def build_bans(verdicts: DataFrame, seconds: int = BAN_SECONDS) -> DataFrame:
-    """The ban table of verdicts: of each address its last ban, an hour long unless permanent."""
+    """The ban table of verdicts: of each address its last ban, an hour long unless permanent. Verdicts
+    with tier and duration_s, as escalation gives them, keep these."""
     b = verdicts.where("action = 'ban'")
-    expires = F.when(F.col("permanent"), F.lit(None).cast("long")).otherwise(F.col("ts_sec") + seconds)
-    last = b.groupBy("client_ip").agg(F.max_by(F.struct("ts_sec", expires.alias("expires_at"), "reason"), F.struct("ts_sec", "row_id")).alias("s"))
-    return last.select(F.col("client_ip").alias("target"), F.lit(0).alias("tier_level"), F.col("s.ts_sec").alias("banned_at"), "s.expires_at", "s.reason")
+    tier = F.col("tier") if "tier" in b.columns else F.lit(0)
+    length = F.coalesce("duration_s", F.lit(seconds)) if "duration_s" in b.columns else F.lit(seconds)
+    expires = F.when(F.col("permanent"), F.lit(None).cast("long")).otherwise(F.col("ts_sec") + length)
+    last = b.groupBy("client_ip").agg(F.max_by(F.struct("ts_sec", expires.alias("expires_at"), "reason", tier.alias("tier_level")), F.struct("ts_sec", "row_id")).alias("s"))
+    return last.select(F.col("client_ip").alias("target"), "s.tier_level", F.col("s.ts_sec").alias("banned_at"), "s.expires_at", "s.reason")
 
 
 def manual_bans(targets: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from logshield.plans.registry import DEFAULT, query
 from logshield.sources import logs as L
 from logshield.sources import policies as P
 from logshield.sources.shared import folder
-from logshield.streaming import live
+from logshield.streaming import escalation, live
 
 _LINES = f"lines AS ({V.ACCESS_LINES})"
 
@@ -255,3 +255,55 @@ def h3_stream_bans(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 3).parquet(path)
     live.stream_bans(stream, ledger, folder(spark)).awaitTermination()
     return live.ledger_bans(spark, ledger).select("target", "banned_at")
+
+
+def _offense_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = V.access_log(spark, sf_dir).where("status >= 400")
+    return rows.select("row_id", "ts_sec", "client_ip", (F.col("row_id") % 29 == 0).alias("instant_permanent"), F.lit("offense").alias("reason"))
+
+
+@query(Q.ORACLES["e8_offense_counter"])
+def h5_stream_offenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The offense history of every address after the last of its offenses, as a stream told it."""
+    rows = _offense_rows(spark, sf_dir)
+    got = _streamed(rows, lambda stream: escalation.stream_offenses(stream, 5), [(-1, _FLUSH, "10.0.0.1", False, "")])
+    last = F.max_by(F.struct("count", "first_seen", "last_seen"), F.struct("ts_sec", "row_id")).alias("s")
+    return got.where("NOT pruned").groupBy("client_ip").agg(last).select("client_ip", "s.count", "s.first_seen", "s.last_seen")
+
+
+@query(Q.ORACLES["e10_escalate"])
+def h5_stream_escalate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tiered bans of e10 as a stream gave them."""
+    got = _streamed(_offense_rows(spark, sf_dir), lambda stream: escalation.stream_escalate(stream, 10, 3, (3600, 86400, None)), [(-1, _FLUSH, "10.0.0.1", False, "")])
+    return got.select("client_ip", "ts_sec", "row_id", "tier", "duration_s", "permanent")
+
+
+_TIERED = Q.ORACLES["e10_escalate"]
+
+
+@query(_TIERED.replace("SELECT client_ip, ts_sec, row_id, tier, ", "SELECT client_ip AS target, CAST(tier AS INT) AS tier_level, ts_sec AS banned_at, ts_sec + ").replace(" AS duration_s, perm OR tier = 2 AS permanent FROM fold WHERE tier IS NOT NULL", " AS expires_at FROM fold WHERE tier IS NOT NULL QUALIFY row_number() OVER (PARTITION BY client_ip ORDER BY ts_sec DESC, row_id DESC) = 1"))
+def h3_stream_tiered_bans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Escalation as a stream, its bans saved as a ledger batch by batch: of each address the last, with
+    its tier and end."""
+    rows = _offense_rows(spark, sf_dir)
+    path, ledger, mark = landing.landed_parts(rows, "ts_sec", 4), folder(spark), folder(spark)
+    spark.createDataFrame([(-1, _FLUSH, "10.0.0.1", False, "")], rows.schema).coalesce(1).write.mode("append").parquet(path)
+    stream = live.timed(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 3).parquet(path), "1 hour")
+    live.stream_bans(escalation.stream_escalate(stream, 10, 3, (3600, 86400, None)), ledger, mark).awaitTermination()
+    return live.ledger_bans(spark, ledger).select("target", "tier_level", "banned_at", "expires_at")
+
+
+@query(Q.ORACLES["e11_active_bans"])
+def h5_stream_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bans landed in files; those that ended are lifted by the timers of their state. What stands is
+    what the batch calls active."""
+    rows = V.bans(spark, sf_dir).withColumn("row_id", F.monotonically_increasing_id()).withColumn("ts_sec", F.col("banned_at"))
+    # The watermark comes to the moment of the question and no further.
+    path, out, mark = landing.landed_parts(rows, "banned_at", 4), folder(spark), folder(spark)
+    for last in (None, (V.AS_OF + 3600, -1)):
+        if last:
+            flush = spark.range(1).select(F.lit("10.0.0.1").alias("target"), F.lit(0).alias("tier_level"), F.lit(last[0]).alias("banned_at"), F.lit(last[0]).alias("expires_at"), F.lit("").alias("reason"), F.lit(last[1]).alias("row_id"), F.lit(last[0]).alias("ts_sec"))
+            flush.select(*(F.col(f.name).cast(f.dataType) for f in rows.schema)).coalesce(1).write.mode("append").parquet(path)
+        stream = live.timed(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 3).parquet(path), "1 hour")
+        live.to_parquet(escalation.stream_expiry(stream), out, mark).awaitTermination()
+    return escalation.standing(spark.read.parquet(out)).where("target <> '10.0.0.1'")

@@ -1,13 +1,19 @@
 """The cascade over streams, in event time.
 
 A file source takes rolled files that land in a folder; it does not follow one that grows. Rows
-are settled by the same columns as in batch. Strikes wait in the state of their address until the
-watermark passes them, and are counted in the order of (ts_sec, row_id), whatever the order
-in which files arrive: the result is that of the batch operators over the same rows. Strikes that
-come after the watermark are dropped and counted by Spark (see late_rows). The state of an
-address goes when none of its pools was hit for IDLE seconds.
+are settled by the same columns as in batch. Strikes wait until the watermark passes them, and are
+counted in the order of (ts_sec, row_id), whatever the order in which files arrive: the result is
+that of the batch operators over the same rows. Strikes that come after the watermark are dropped and
+counted by Spark (see late_rows). The state of an address goes when none of its pools was hit for
+IDLE seconds.
 
-Streams need ts_sec (seconds since 1970) and row_id, the order within a second."""
+Rows wait in a state of their own for each span of SPAN seconds of an address, which is read once,
+when the watermark has passed the span. So a busy address is many keys, and no list of it is read or
+written again and again. A span counts its strikes by itself; what depends on the spans before (254
+rows of a pool at most, as counters end at 255) and a summary go on to the address's own state.
+
+Streams need ts_sec (seconds since 1970) and row_id, the order within a second. A strike without a
+time stands alone: it is counted as the first of its pool."""
 
 from __future__ import annotations
 
@@ -24,11 +30,15 @@ from logshield.operators.bans import BAN_SECONDS, build_bans
 from logshield.sources import logs as L
 from logshield.sources.policies import latest
 
-#: Seconds without a strike after which an address is forgotten; how late a row may come.
-IDLE, DELAY = 600, "10 seconds"
+#: Seconds without a strike after which an address is forgotten; seconds of a span; how late a row may come.
+IDLE, SPAN, DELAY = 600, 10, "10 seconds"
+#: Largest count of a counter; keys that finished rows of a busy address are dealt to.
+MOST, DEALT = 255, 64
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _STRIKE = "client_ip string, row_id long, ts_sec long, event_ts timestamp, uri string, pool string, told string, category string, threshold int, window_s int"
 _WAITING = "row_id long, ts_sec long, uri string, pool string, told string, category string, threshold int, window_s int"
+_COUNTED = "client_ip string, part int, kind string, row_id long, ts_sec long, event_ts timestamp, uri string, pool string, told string, category string, threshold int, window_s int, n int"
+_NAMES = lambda schema: [c.split()[0] for c in schema.split(", ")]
 
 
 def stream_lines(spark: SparkSession, folder: str, files: int = 1000) -> DataFrame:
@@ -44,7 +54,8 @@ def time_local(line: Column) -> Column:
 
 
 def stream_access_logs(spark: SparkSession, folder: str, log_format: str = L.COMBINED, files: int = 1000) -> DataFrame:
-    """Parsed access lines as they land, malformed ones left out; ts_sec from the line."""
+    """Parsed access lines as they land, malformed ones left out; ts_sec from the line, null if its
+    stamp does not parse."""
     rows = stream_lines(spark, folder, files)
     got = L.parse_combined(rows) if log_format == L.COMBINED else L.parse_format(rows, log_format)
     return got.where("parse_ok").withColumn("ts_sec", time_local(F.col("line")))
@@ -118,40 +129,129 @@ def _text(x) -> str | None:
     return None if x is None or x != x else str(x)
 
 
-class StrikeCounter(_Ordered):
-    """The counters of one address: per pool the last strike's second, its category and the count."""
+class Gate(StatefulProcessor):
+    """Rows of a span of seconds, the last part of the key, wait until the watermark has passed the
+    span; then `released` gets them in order, once."""
 
-    waiting_schema = _WAITING
+    waiting_schema: str
 
-    def __init__(self, never: bool = False, idle: int = IDLE):
-        self.never, self.idle = never, idle
+    def __init__(self, span: int):
+        self.span = span
 
     def init(self, handle) -> None:
-        super().init(handle)
-        self.pools = handle.getMapState("pools", "pool string", "last long, category string, n int")
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", self.waiting_schema)
+
+    def waits(self, row) -> tuple:
+        raise NotImplementedError
+
+    def released(self, key: tuple, rows: list[tuple], mark: int) -> pd.DataFrame:
+        raise NotImplementedError
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
+        for pdf in rows:
+            self.waiting.appendList([self.waits(r) for r in pdf.itertuples(index=False)])
+        self.handle.registerTimer((int(key[-1]) + 1) * self.span * 1000 - 1)
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
+        rows = sorted((tuple(r) for r in self.waiting.get()), key=lambda r: (r[1], r[0]))
+        self.waiting.clear()
+        # Spark wants the event time of what is released to be after the watermark; ts_sec keeps the order.
+        out = self.released(key, rows, timerValues.getCurrentWatermarkInMs())
+        if len(out):
+            yield out
+
+    def close(self) -> None:
+        pass
+
+
+class SpanStrikes(Gate):
+    """The strikes of a span, counted from its beginning. `done` rows have their count; `lead` rows
+    are of the first run of their pool, so that what came before the span adds to them; a `span` row a
+    pool tells where the span ends (n of its last run), `cut` if that run began within it."""
+
+    waiting_schema = _WAITING
+
+    def __init__(self, span: int, never: bool = False):
+        super().__init__(span)
+        self.never = never
 
     def waits(self, row) -> tuple:
         return (int(row.row_id), int(row.ts_sec), _text(row.uri), row.pool, row.told, _text(row.category), int(row.threshold), int(row.window_s))
 
     def released(self, key, rows, mark) -> pd.DataFrame:
-        state = {k[0]: list(v) for k, v in self.pools.iterator()} if self.pools.exists() else {}
-        out, hit = [], set()
+        at, out, state = pd.Timestamp(mark + 1, unit="ms"), [], {}
         for row_id, ts, uri, pool, told, category, threshold, window in rows:
-            last, was, n = state.get(pool, (None, None, 0))
-            fresh = last is None or (not self.never and ts - last > window) or (pool == "isolated" and category != was)
-            n = 1 if fresh else min(n + 1, 255)
-            state[pool] = [ts, category, n]
-            hit.add(pool)
-            out.append((key[0], row_id, ts, uri, pool, told, threshold, n))
-        for pool in hit:
-            self.pools.updateValue((pool,), tuple(state[pool]))
-        if state:
+            last, was, n, cut = state.get(pool, (ts, category, 0, False))
+            fresh = n > 0 and ((not self.never and ts - last > window) or (pool == "isolated" and category != was))
+            n, cut = (1, True) if fresh else (min(n + 1, MOST), cut)
+            state[pool] = (ts, category, n, cut)
+            lead = not cut and n < MOST
+            out.append((key[0], -1 if lead else row_id % DEALT, "lead" if lead else "done", row_id, ts, at, uri, pool, told, category, threshold, window, n))
+        for pool, (ts, category, n, cut) in state.items():
+            out.append((key[0], -1, "cut" if cut else "span", None, ts, at, None, pool, None, category, None, None, n))
+        return pd.DataFrame(out, columns=_NAMES(_COUNTED)).astype({c: "Int64" for c in ("row_id", "threshold", "window_s")})
+
+
+class StrikeChain(StatefulProcessor):
+    """What spans leave to the address: per pool the last strike's second, its category and the count.
+    All spans that the watermark has passed come in one batch, so that those of a batch, in their
+    order, follow those of the batches before."""
+
+    def __init__(self, every: int, never: bool = False, idle: int = IDLE):
+        self.every, self.never, self.idle = every, never, idle
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.pools = handle.getMapState("pools", "pool string", "last long, category string, n int")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
+        names, chained = ["client_ip", "row_id", "ts_sec", "uri", "pool", "told", "threshold", "strikes"], []
+        for pdf in rows:
+            done = pdf[pdf["kind"] == "done"]
+            if len(done):
+                yield done.rename(columns={"n": "strikes"})[names]
+            chained.append(pdf[pdf["kind"] != "done"])
+        # A span's rows in order, its summaries behind them.
+        some = pd.concat(chained)
+        if not len(some):
+            return
+        some = some.assign(last=some["kind"] != "lead", place=some["ts_sec"] // self.every).sort_values(["place", "last", "ts_sec", "row_id"])
+        state = {k[0]: tuple(v) for k, v in self.pools.iterator()} if self.pools.exists() else {}
+        out, carry = [], {}
+        for r in some.itertuples(index=False):
+            if r.kind == "lead":
+                if r.pool not in carry:
+                    last, was, n = state.get(r.pool, (None, None, 0))
+                    fresh = last is None or (not self.never and r.ts_sec - last > r.window_s) or (r.pool == "isolated" and _text(r.category) != was)
+                    carry[r.pool] = 0 if fresh else n
+                out.append((key[0], r.row_id, r.ts_sec, _text(r.uri), r.pool, r.told, r.threshold, min(r.n + carry[r.pool], MOST)))
+            else:
+                n = r.n if r.kind == "cut" else min(r.n + carry.get(r.pool, 0), MOST)
+                state[r.pool] = (int(r.ts_sec), _text(r.category), int(n))
+                carry.pop(r.pool, None)
+        for pool, value in state.items():
+            self.pools.updateValue((pool,), value)
+        self._forget(state, timerValues)
+        if out:
+            yield pd.DataFrame(out, columns=names)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
+        self._forget({k[0]: tuple(v) for k, v in self.pools.iterator()} if self.pools.exists() else {}, timerValues)
+        yield from ()
+
+    def _forget(self, state: dict, timerValues) -> None:
+        """State that was idle goes; else a timer is set for when it may."""
+        if state and not self.never:
             end = (max(v[0] for v in state.values()) + self.idle) * 1000
-            if end < mark and not self.never:
+            if end < timerValues.getCurrentWatermarkInMs():
                 self.pools.clear()
             else:
                 self.handle.registerTimer(end)
-        return pd.DataFrame(out, columns=["client_ip", "row_id", "ts_sec", "uri", "pool", "told", "threshold", "strikes"])
+
+    def close(self) -> None:
+        pass
 
 
 class SshPairing(_Ordered):
@@ -184,16 +284,21 @@ class SshPairing(_Ordered):
         return pd.DataFrame(out, columns=["row_id", "ts_sec", "event_ts", "client_ip", "kind", "reason"])
 
 
-def _counted(flat: DataFrame, keep: tuple[str, ...], clock: str) -> DataFrame:
+def _counted(flat: DataFrame, keep: tuple[str, ...], clock: str, span: int = SPAN) -> DataFrame:
     """Verdicts of a stream with `act` and event_ts; only strikes pass through state."""
     done = VD.done_rows(flat, keep)
     strikes = VD.strike_rows(flat, ("event_ts", *keep))
     if "uri" not in keep:
         strikes = strikes.withColumn("uri", F.lit(None).cast("string"))
-    hits = strikes.select(*(c.split()[0] for c in _STRIKE.split(", "))).groupBy("client_ip").transformWithStateInPandas(
-        StrikeCounter(clock == "none"), "client_ip string, row_id long, ts_sec long, uri string, pool string, told string, threshold int, strikes int", "Append", "EventTime"
+    strikes = strikes.select(*_NAMES(_STRIKE))
+    spans = strikes.where("event_ts IS NOT NULL").withColumn("span", F.floor(F.col("ts_sec") / span)).groupBy("client_ip", "span").transformWithStateInPandas(
+        SpanStrikes(span, clock == "none"), _COUNTED, "Append", "EventTime", eventTimeColumnName="event_ts"
+    )
+    hits = spans.groupBy("client_ip", "part").transformWithStateInPandas(
+        StrikeChain(span, clock == "none"), "client_ip string, row_id long, ts_sec long, uri string, pool string, told string, threshold int, strikes int", "Append", "EventTime"
     )
-    return done.unionByName(VD.judged_strikes(hits, keep))
+    alone = strikes.where("event_ts IS NULL").withColumn("strikes", F.lit(1)).select(*hits.columns)
+    return done.unionByName(VD.judged_strikes(hits.unionByName(alone), keep))
 
 
 def stream_verdicts(requests: DataFrame, p: VD.Policies = VD.Policies(), clock: str = "event") -> DataFrame:  # noqa: B008
