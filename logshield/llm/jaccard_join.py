@@ -21,8 +21,8 @@ either of them is not poor. Sets that are poor under all three index the empty k
 
 Groups of copies are never expanded. Equal sets are one node from the start, buckets with the same
 members are one; unlike sets whose 64-bit ids agree are told apart by size and sketch and get other
-ids. Nodes are verified against two hubs of their bucket, its least and its largest node;
-only pairs of nodes of one bucket that are not connected by then, and that a 512-bit parity sketch
+ids. Nodes are verified against two hubs of their bucket, its least and its largest node, and those
+still apart against a few more; only pairs of nodes of one bucket that are not connected by then, and that a 512-bit parity sketch
 (a lower bound of the true difference) does not rule out, are verified after that. All verification
 is by intersection of the whole sets of 64-bit shingle hashes.
 """
@@ -44,6 +44,8 @@ from logshield.llm.graph import components
 PICK_ROWS = 2_000_000
 #: Rows of one bucket that one task pairs with each other; larger buckets are dealt in blocks.
 BLOCK = 1024
+#: Rounds in which sets that are apart meet a further hub.
+HUBS = 3
 #: Hashes of the universe that poor sets are tried by.
 SEEDS = 3
 #: Cost model: chance that a token of a loosely related pair agrees, share of such pairs,
@@ -341,8 +343,24 @@ def jaccard_components(
         return _labelled(told, nodes, None, rows)
     links = _verified(pairs, docs, nodes, words, num, den, taken)
 
+    # Loose groups: sets that are still apart from others of their bucket meet more hubs, another one in
+    # every bucket and round, before pairs are looked at.
+    known, tried = components(links), pairs.select("a", "b")
+    for k in range(HUBS):
+        left = large.join(known, "node", "left").select("key", "node", F.coalesce("root", "node").alias("comp"))
+        hub = F.min_by(F.struct("node", "comp"), F.xxhash64("node", "key", F.lit(k))).alias("hub")
+        mixed = left.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), hub).where("c0 < c1")
+        some = left.join(mixed.select("key", "hub"), "key").where("comp <> hub.comp").select(F.greatest("node", "hub.node").alias("a"), F.least("node", "hub.node").alias("b")).distinct()
+        some = some.join(tried, ["a", "b"], "left_anti").join(nodes.alias("x"), F.col("a") == F.col("x.node")).join(nodes.alias("y"), F.col("b") == F.col("y.node"))
+        some = cut(some.where(_possible(num, den, "x", "y")).select("a", "b"))
+        if some.isEmpty():
+            continue
+        tried = tried.union(some)
+        more = _verified(some, docs, nodes, words, num, den, taken)
+        if not more.isEmpty():
+            known = components(known.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
+
     # What is left of the exact work: pairs of one bucket that are still apart.
-    known = components(links)
     left = large.join(known, "node", "left").select("key", "node", F.coalesce("root", "node").alias("comp"))
     mixed = left.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("k")).where("c0 < c1")
     left = cut(left.join(mixed.select("key", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks")), "key").join(nodes.drop("rep", "doc_id"), "node"))
@@ -351,7 +369,7 @@ def jaccard_components(
     apart = (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp"))
     rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.block") == F.col("y.block")) & apart & _possible(num, den, "x", "y"))
     # Pairs with a hub are settled.
-    rest = cut(rest.select(F.col("y.node").alias("a"), F.col("x.node").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"))
+    rest = cut(rest.select(F.col("y.node").alias("a"), F.col("x.node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
     more = None if rest.isEmpty() else _verified(rest, docs, nodes, words, num, den, taken)
     if more is not None and not more.isEmpty():
         known = components(known.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
