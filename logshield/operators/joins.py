@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import re
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logshield.functions.ip import cidr_bounds, ip_key, ip_v4, is_cidr, is_ip, range_cidrs, target_kind
 from logshield.sources.shared import cut
 
-#: Tokens up to which they are matched by one expression, beyond by a join.
-TOKENS = 2000
+#: Characters of the pieces by which tokens are looked up.
+GRAM = 3
 
 
 def enrich_geo(requests: DataFrame, ranges: DataFrame, bits: int = 16) -> DataFrame:
@@ -44,19 +42,47 @@ def _points(rows: DataFrame, column: str) -> DataFrame:
     return cut(rows.withColumn("key", ip_key(F.col(column))))
 
 
-def _contained(points: DataFrame, networks: DataFrame) -> DataFrame:
-    """Pairs of points(key) and networks(lo, hi): an equi-join per prefix length in use, on the
-    network's first address. Prefix lengths are few; points are read once for all of them."""
-    size = F.length(F.regexp_extract("lo_hi", "^(0*)", 1))
-    nets = networks.withColumn("lo_hi", F.concat_ws("", F.transform(F.sequence(F.lit(1), F.lit(32)), lambda i: F.when(F.substring(F.col("lo"), i, F.lit(1)) == F.substring(F.col("hi"), i, F.lit(1)), "0").otherwise("1"))))
-    nets = nets.withColumn("same", size)
-    # Digits that both bounds share are the join key; the rest is tested inside.
-    nets = nets.withColumn("head", F.substring(F.col("lo"), F.lit(1), F.col("same")))
-    lengths = [r["same"] for r in nets.select("same").distinct().collect()]  # 33 at most
+def _around(points: DataFrame, networks: DataFrame) -> DataFrame:
+    """Pairs of points(key) and distinct networks(lo, hi) that hold them: an equi-join per number of
+    hex digits that both bounds share. A key of the join has 15 networks at most."""
+    shared = F.length(F.regexp_extract(F.concat_ws("", F.transform(F.sequence(F.lit(1), F.lit(32)), lambda i: F.when(F.substring(F.col("lo"), i, F.lit(1)) == F.substring(F.col("hi"), i, F.lit(1)), "0").otherwise("1"))), "^(0*)", 1))
+    nets = networks.withColumn("same", shared).withColumn("head", F.substring(F.col("lo"), F.lit(1), F.col("same")))
+    lengths = sorted(r["same"] for r in nets.select("same").distinct().collect())  # 33 at most
     if not lengths:
-        return points.join(nets, points["key"] == nets["lo"])
-    heads = points.withColumn("same", F.explode(F.array(*map(F.lit, sorted(lengths))))).withColumn("head", F.substring(F.col("key"), F.lit(1), F.col("same")))
-    return heads.join(nets, ["same", "head"]).where("key BETWEEN lo AND hi").drop("same", "head", "lo_hi")
+        return points.join(nets.drop("same", "head"), points["key"] == nets["lo"])
+    heads = points.withColumn("same", F.explode(F.array(*map(F.lit, lengths)))).withColumn("head", F.substring(F.col("key"), F.lit(1), F.col("same")))
+    return heads.join(nets, ["same", "head"]).where("key BETWEEN lo AND hi").drop("same", "head")
+
+
+def flattened(networks: DataFrame, value: str) -> DataFrame:
+    """(key, side, value): where networks(lo, hi, value) begin (side 0, before the address) or end (side 2,
+    after it), and the least value that holds from there on, null if none. Networks lie within each
+    other or apart, so that these are the bounds of disjoint ranges."""
+    nets = cut(networks.groupBy("lo", "hi").agg(F.min(value).alias("value")))
+    edges = nets.select(F.col("lo").alias("key"), F.lit(0).alias("side")).unionByName(nets.select(F.col("hi").alias("key"), F.lit(2).alias("side"))).distinct()
+    over = _around(edges, nets).where("side = 0 OR hi > key").groupBy("key", "side").agg(F.min("value").alias("value"))
+    return edges.join(over, ["key", "side"], "left")
+
+
+def _within(points: DataFrame, networks: DataFrame, value: str) -> DataFrame:
+    """points(key, ...) with the least value of the networks that hold them, if any: the last bound at or
+    before a point tells. Points and bounds are dealt out by ranges of addresses, so that neither a
+    wide network nor a busy prefix is one group; what a range begins with, a row each, comes
+    from the ranges before."""
+    bounds = flattened(networks, value)
+    names = points.columns
+    kind = bounds.schema["value"].dataType
+    here = points.select("key", F.lit(1).alias("side"), F.struct(*names).alias("point"), F.lit(None).cast(kind).alias("value"))
+    both = here.unionByName(bounds.select("key", "side", F.lit(None).cast(here.schema["point"].dataType).alias("point"), "value"))
+    dealt = cut(both.repartitionByRange("key", "side").select("*", F.spark_partition_id().alias("part")))
+    order = F.struct("key", "side")
+    told = F.when(F.col("side") != 1, F.struct("value"))
+    ends = dealt.where("side <> 1").groupBy("part").agg(F.max_by(F.struct("value"), order).alias("end"))
+    parts = dealt.select("part").distinct().join(ends, "part", "left")
+    parts = parts.withColumn("begin", F.last("end", ignorenulls=True).over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).select("part", "begin")
+    last = F.last(told, ignorenulls=True).over(Window.partitionBy("part").orderBy("key", "side"))
+    got = dealt.withColumn("last", last).where("side = 1").join(F.broadcast(parts), "part")
+    return got.select("point.*", F.coalesce("last", "begin")["value"].alias("value"))
 
 
 def whitelist_match(addresses: DataFrame, whitelist: DataFrame) -> DataFrame:
@@ -64,7 +90,8 @@ def whitelist_match(addresses: DataFrame, whitelist: DataFrame) -> DataFrame:
     points = _points(addresses, "client_ip")
     single = _points(whitelist, "entry").select("key").distinct()
     exact = points.join(single, "key", "left_semi").select("client_ip")
-    inside = _contained(points, _networks(whitelist.select("entry"), "entry")).select("client_ip")
+    nets = _networks(whitelist.select("entry"), "entry").withColumn("one", F.lit(True))
+    inside = _within(points, nets, "one").where("value").select("client_ip")
     hit = exact.unionByName(inside).distinct().withColumn("_hit", F.lit(True))
     return addresses.join(hit, "client_ip", "left").select(*addresses.columns, F.coalesce("_hit", F.lit(False)).alias("listed"))
 
@@ -78,8 +105,8 @@ def check_targets(targets: DataFrame, bans: DataFrame, as_of: int) -> DataFrame:
     direct = direct.select("target", F.lit("Direct").alias("match"), F.col("target").alias("ban_target"), "reason", "expired")
     points = _points(asked, "target")
     nets = _networks(bans.where(live).select(F.col("target").alias("ban_target"), "reason"), "ban_target")
-    inside = _contained(points, nets).groupBy("target").agg(F.min(F.struct("ban_target", "reason")).alias("b"))
-    inside = inside.join(direct.select("target"), "target", "left_anti").select("target", F.lit("Subnet").alias("match"), "b.ban_target", "b.reason", F.lit(False).alias("expired"))
+    inside = _within(points, nets.withColumn("ban", F.struct("ban_target", "reason")), "ban").where("value IS NOT NULL")
+    inside = inside.join(direct.select("target"), "target", "left_anti").select("target", F.lit("Subnet").alias("match"), "value.ban_target", "value.reason", F.lit(False).alias("expired"))
     found = direct.unionByName(inside)
     return asked.join(found, "target", "left").select("target", target_kind(F.col("target")).alias("kind"), "match", "ban_target", "reason", "expired")
 
@@ -90,19 +117,28 @@ def lookup(rows: DataFrame, side: DataFrame, key: str, value: str, default) -> D
     return got.withColumn(value, F.coalesce("_v", F.lit(default))).drop("_v")
 
 
+def _grams(text: Column, size: int) -> Column:
+    """The distinct pieces of `size` characters of a text."""
+    last = F.char_length(text) - size + 1
+    return F.when(last > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(text, i, F.lit(size)))))
+
+
 def blocklist_match(requests: DataFrame, tokens: DataFrame, column: str = "user_agent") -> DataFrame:
     """requests with `token`: the first listed token, in order, that the column holds in any case.
-    Agents repeat, so distinct ones are matched; a long list is joined, a short one is compiled."""
-    low = F.lower(F.col(column))
-    listed = [r["token"].lower() for r in tokens.select("token").where("token <> ''").distinct().limit(TOKENS + 1).collect()]
-    if len(listed) <= TOKENS:
-        texts = requests.select(column).distinct()
-        if not listed:
-            return requests.withColumn("token", F.lit(None).cast("string"))
-        found = F.array_min(F.filter(F.array(*map(F.lit, sorted(listed))), lambda t: F.contains(low, t)))
-        some = low.rlike("|".join(map(re.escape, listed)))
-        hits = texts.select(column, F.when(some, found).alias("token"))
-    else:
-        hits = requests.select(column).distinct().join(tokens.select(F.lower("token").alias("token")), F.contains(low, F.col("token")), "left")
-        hits = hits.groupBy(column).agg(F.min("token").alias("token"))
+
+    Texts repeat, so distinct ones are matched, through an index of their pieces of three characters
+    (of one or two, for tokens of that length). A token is looked for where its rarest piece is, and
+    nowhere if one of its pieces is in no text; what is found is verified. So any number of tokens is
+    joined by keys."""
+    texts = cut(requests.select(column).where(F.col(column).isNotNull()).distinct().withColumn("low", F.lower(column)))
+    listed = cut(tokens.select(F.lower("token").alias("token")).where("token <> ''").distinct())
+    wanted = listed.select("token", F.explode(F.coalesce(_grams(F.col("token"), GRAM), F.array("token"))).alias("gram"))
+    sizes = [r[0] for r in listed.select(F.least(F.char_length("token"), F.lit(GRAM))).distinct().collect()]  # GRAM at most
+    if not sizes:
+        return requests.withColumn("token", F.lit(None).cast("string"))
+    index = texts.select(column, "low", F.explode(F.array_distinct(F.flatten(F.array(*(F.coalesce(_grams(F.col("low"), n), F.array().cast("array<string>")) for n in sizes))))).alias("gram"))
+    known = index.join(wanted.select("gram").distinct(), "gram").groupBy("gram").agg(F.count("*").alias("texts"))
+    rarest = wanted.join(known, "gram", "left").groupBy("token").agg(F.min(F.struct(F.coalesce("texts", F.lit(0)).alias("texts"), "gram")).alias("r")).where("r.texts > 0")
+    some = index.join(rarest.select("token", "r.gram"), "gram").where(F.contains("low", "token"))
+    hits = some.groupBy(column).agg(F.min("token").alias("token"))
     return requests.join(hits, column, "left").select(*requests.columns, "token")

@@ -9,6 +9,7 @@ from logshield.functions import classify as C
 from logshield.functions import signatures as S
 from logshield.operators import bans as B
 from logshield.operators import counters as K
+from logshield.operators import joins as J
 from logshield.operators import verdicts as VD
 from logshield.operators import waf as W
 from logshield.plans import landing
@@ -307,3 +308,34 @@ def h5_stream_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
         stream = live.timed(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 3).parquet(path), "1 hour")
         live.to_parquet(escalation.stream_expiry(stream), out, mark).awaitTermination()
     return escalation.standing(spark.read.parquet(out)).where("target <> '10.0.0.1'")
+
+
+_NESTED = """SELECT concat(CAST(20 + k % 70 AS STRING), '.', CAST((k * 13) % 256 AS STRING), '.', CAST((k * 7) % 256 AS STRING), '.', CAST(k % 250 AS STRING), '/', CAST(1 + k % 32 AS STRING)) AS target,
+  concat('r', CAST(k % 5 AS STRING)) AS reason, CASE WHEN k % 3 = 0 THEN CAST(NULL AS BIGINT) WHEN k % 3 = 1 THEN CAST(1704067100 AS BIGINT) ELSE CAST(1704067300 AS BIGINT) END AS expires_at FROM numbers"""
+
+
+@query(O.over(f"""numbers AS (SELECT c_custkey AS k FROM customer UNION SELECT 7 * c_custkey + 3 FROM customer), nested AS MATERIALIZED ({_NESTED}),
+n AS (SELECT *, {O.IP_V4.format("split_part(target, '/', 1)")} AS base, CAST(power(2, 32 - CAST(split_part(target, '/', 2) AS INT)) AS BIGINT) AS wide FROM nested WHERE expires_at IS NULL OR expires_at > {V.AS_OF}),
+asked AS (SELECT DISTINCT client_ip AS target, {O.IP_V4.format('client_ip')} AS v4 FROM access_log),
+hit AS (SELECT a.target, min(struct_pack(ban_target := n.target, reason := n.reason)) AS b FROM asked a JOIN n ON v4 // wide = base // wide GROUP BY a.target)""",
+    "SELECT target, CASE WHEN b IS NOT NULL THEN 'Subnet' END AS match, b.ban_target AS ban_target, b.reason AS reason FROM asked LEFT JOIN hit USING (target)"))
+def d5_nested_networks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Networks of every length, within each other: of those that hold an address, the first in order."""
+    k = V.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
+    nets = V._over("numbers", k.union(k.selectExpr("7 * k + 3")).distinct(), _NESTED)
+    asked = V.access_log(spark, sf_dir).select(F.col("client_ip").alias("target"))
+    return J.check_targets(asked, nets, V.AS_OF).select("target", "match", "ban_target", "reason")
+
+
+_TOKENS = """SELECT concat('REF', CAST(3 * c_custkey AS STRING)) AS token FROM customer UNION ALL SELECT concat('nt', CAST(c_custkey AS STRING)) FROM customer WHERE c_custkey % 7 = 0
+UNION ALL SELECT lower(c_name) FROM customer UNION ALL SELECT CASE c_nationkey % 3 WHEN 0 THEN '4x' WHEN 1 THEN '~' ELSE 'QZ' END FROM customer UNION ALL SELECT '' FROM customer"""
+_AGENTS = "SELECT concat('Mozilla/5.0 Agent', CAST(o_orderkey % 997 AS STRING), ' ref', CAST(o_custkey % 400 AS STRING), CASE WHEN o_custkey % 11 = 0 THEN ' 4X' ELSE '' END) AS user_agent FROM orders"
+
+
+@query(f"""WITH t AS MATERIALIZED (SELECT DISTINCT lower(token) AS token FROM ({_TOKENS}) WHERE token <> ''), a AS MATERIALIZED (SELECT user_agent, count(*) AS n FROM ({_AGENTS}) GROUP BY user_agent),
+m AS (SELECT user_agent, min(token) AS token FROM a JOIN t ON contains(lower(user_agent), token) GROUP BY user_agent) SELECT token, CAST(sum(n) AS BIGINT) AS n FROM a LEFT JOIN m USING (user_agent) GROUP BY token""")
+def d7_blocklist_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many tokens as there are customers and more, of one character to many."""
+    tokens = V._over("customer", V.table(spark, sf_dir, "customer"), _TOKENS)
+    agents = V._over("orders", V.table(spark, sf_dir, "orders"), _AGENTS)
+    return J.blocklist_match(agents, tokens).groupBy("token").agg(F.count("*").alias("n"))

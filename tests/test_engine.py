@@ -1,5 +1,6 @@
 """Scalars, parsers and counters on small examples; the cascade against a row-at-a-time model."""
 
+import ipaddress
 import random
 
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from logshield.functions import classify as C
 from logshield.functions import ip as IP
 from logshield.operators import counters as K
+from logshield.operators import joins as J
 from logshield.operators import verdicts as VD
 from logshield.sources import logs as L
 
@@ -178,3 +180,28 @@ def test_lists_and_shared_slot(spark):
 def test_empty_table(spark):
     rows = spark.createDataFrame([], "row_id long, ts_sec long, client_ip string, method string, uri string, status int, referer string, user_agent string")
     assert VD.evaluate_requests(rows).count() == 0
+
+
+def test_tokens_by_pieces_and_nested_networks(spark):
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("abcA é") for _ in range(rng.choice([0, 1, 2, 5, 30]))) for _ in range(300)] + [None, "", "İx"]
+    tokens = ["".join(rng.choice("abcé") for _ in range(rng.choice([0, 1, 2, 3, 4, 6]))) for _ in range(40)] + ["zz", None]
+    tokens = [t for t in tokens if t not in ("a", "b", "c")]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, user_agent string")
+    for some in (tokens, ["b"], ["zzz"], []):
+        got = J.blocklist_match(rows, spark.createDataFrame([(t,) for t in some], "token string"))
+        assert "NestedLoop" not in got._jdf.queryExecution().toString()
+        want = {i: min((k for k in some if k and t is not None and k in t.lower()), default=None) for i, t in enumerate(texts)}
+        assert {r["i"]: r["token"] for r in got.collect()} == want
+    # Networks of both families, nested, equal, touching, one holding everything.
+    bans = [("0.0.0.0/1", "a"), ("128.0.0.0/1", "b"), ("9.0.0.0/8", "c"), ("9.1.0.0/16", "A"), ("9.1.2.3/32", "d"), ("9.1.2.0/24", "e"), ("9.1.2.255/25", "f"), ("2001:db8::/32", "g"), ("2001:db8::/32", "h"), ("2001:db8:0:1::/64", "B"), ("4000::/2", "i"), ("bad", "z")]
+    asked = ["9.1.2.3", "9.1.2.127", "9.1.2.128", "9.1.2.255", "9.1.3.0", "9.255.255.255", "10.0.0.0", "127.255.255.255", "128.0.0.0", "255.255.255.255", "0.0.0.0", "2001:db8::1", "2001:db8:0:1:ffff:ffff:ffff:ffff", "2001:db8:0:2::", "2001:db9::", "7fff::1", "8000::", "nonsense", None]
+    frame = spark.createDataFrame([(*b, None) for b in bans], "target string, reason string, expires_at long")
+    got = {r["target"]: (r["match"], r["ban_target"], r["reason"]) for r in J.check_targets(spark.createDataFrame([(a,) for a in asked], "target string"), frame, 0).collect()}
+    nets = [(ipaddress.ip_network(t, strict=False), t, r) for t, r in bans if "/" in t]
+    for a in asked:
+        try:
+            over = sorted((t, r) for n, t, r in nets if ipaddress.ip_address(a) in n)
+        except ValueError:
+            over = []
+        assert got[a] == (("Subnet", *over[0]) if over else (None, None, None))
