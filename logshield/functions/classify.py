@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logshield.functions import signatures as S
@@ -19,6 +19,14 @@ def held(value: Column) -> Column:
     return F.when(F.rand(1) + F.rand(2) < 3, value)
 
 
+def seam(rows: DataFrame) -> DataFrame:
+    """The rows as they are, in as many partitions: no shuffle. Generated code ends here and begins
+    anew, so that long expressions on either side are methods of their own; the JVM does not compile
+    a method over 8,000 bytes of code, and runs it many times slower. Nor does the optimizer merge
+    the two sides."""
+    return rows.coalesce(1 << 24)
+
+
 def malicious_uri(uri: Column) -> Column:
     return uri.rlike(_BAD_URI)
 
@@ -89,16 +97,17 @@ def _any(col: Column, marks: tuple[str, ...], test: str = "contains") -> Column:
     return out
 
 
-def header_exploit(value: Column) -> Column:
-    low, out = F.lower(value), None
+def header_exploit(value: Column, low: Column | None = None) -> Column:
+    """`low` is the value in lower case, where it is a column already: the marks are many."""
+    low, out = F.lower(value) if low is None else low, None
     for kind, marks, fold in S.HEADER_EXPLOITS:
         test = _any(low if fold else value, marks)
         out = F.when(test, kind) if out is None else out.when(test, kind)
     return out
 
 
-def referer_exploit(referer: Column) -> Column:
-    low, out = F.lower(referer), None
+def referer_exploit(referer: Column, low: Column | None = None) -> Column:
+    low, out = F.lower(referer) if low is None else low, None
     for kind, marks in S.REFERER_EXPLOITS:
         out = F.when(_any(low, marks), kind) if out is None else out.when(_any(low, marks), kind)
     return out
@@ -126,8 +135,8 @@ def _status_test(status: Column, r: S.Rule) -> Column:
     return ~status.isin(*r.unless) if r.unless else status.isin(*r.only) if r.only else F.lit(True)
 
 
-def probe_rule(path: Column, status: Column) -> Column:
-    """Id of the first probe rule that holds."""
+def probe_rule_parts(path: Column, status: Column) -> list[Column]:
+    """Parts of the rule chain: the first that is not null has the id of the first rule that holds."""
     def chain(rules, end):
         out = None
         for r in rules:
@@ -137,10 +146,24 @@ def probe_rule(path: Column, status: Column) -> Column:
 
     cut = next(i for i, r in enumerate(S.RULES) if r.dotted)
     late = next(i for i, r in enumerate(S.RULES) if r.id == "R29")
+    half = (late + len(S.RULES)) // 2
     # Plain traffic with status 200 or 304 skips the last stage's tests.
-    rest = F.when(status.isin(200, 304), "R29").otherwise(chain(S.RULES[late + 1 : -1], "R99"))
+    rest = F.when(status.isin(200, 304), "R29").otherwise(chain(S.RULES[late + 1 : half], None))
     dotted = F.when(path.contains("/."), chain(S.RULES[cut:late], None))
-    return F.coalesce(chain(S.RULES[:cut], None), dotted, rest)
+    return [chain(S.RULES[:cut], None), dotted, rest, chain(S.RULES[half:-1], "R99")]
+
+
+def probe_rule(path: Column, status: Column) -> Column:
+    """Id of the first probe rule that holds."""
+    return F.coalesce(*probe_rule_parts(path, status))
+
+
+def with_probe_rule(rows: DataFrame) -> DataFrame:
+    """rows(path, status) with `rule`, the chain cut into parts that are small enough to be compiled."""
+    for part in probe_rule_parts(F.col("path"), F.col("status")):
+        found = part if "rule" not in rows.columns else F.when(F.col("rule").isNull(), part).otherwise(F.col("rule"))
+        rows = seam(rows.withColumn("rule", found))
+    return rows
 
 
 def _decisions() -> list[str]:

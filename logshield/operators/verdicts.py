@@ -58,13 +58,16 @@ def candidates(requests: DataFrame, p: Policies) -> DataFrame:
     for name, kind in (("asn", "long"), ("country", "string")):
         if name not in rows.columns:
             rows = rows.withColumn(name, F.lit(None).cast(kind))
-    rows = rows.withColumn("path", C.normalized_path(F.col("uri"))).withColumns({
-        "agent": C.agent_category(F.col("user_agent")), "private": is_private(F.col("client_ip")), "exploit": C.header_exploit(F.col("user_agent")),
-        "evil": C.malicious_uri(F.col("uri")), "endpoint": C.allowed_endpoint(F.col("uri"), p.allowed_endpoints), "refx": C.referer_exploit(F.col("referer")),
-        "rule": C.probe_rule(F.col("path"), F.col("status")),
-    })
+    # Lower case once a row, not once a mark.
+    rows = rows.withColumns({"path": C.normalized_path(F.col("uri")), "_agent": F.lower("user_agent"), "_referer": F.lower("referer")})
+    rows = C.seam(rows.withColumns({"agent": C.agent_category(F.col("user_agent")), "private": is_private(F.col("client_ip"))}))
+    rows = C.seam(rows.withColumns({
+        "exploit": C.header_exploit(F.col("user_agent"), F.col("_agent")), "refx": C.referer_exploit(F.col("referer"), F.col("_referer")),
+        "evil": C.malicious_uri(F.col("uri")), "endpoint": C.allowed_endpoint(F.col("uri"), p.allowed_endpoints),
+    }))
+    rows = C.with_probe_rule(rows.drop("rule"))
     rows = rows.withColumn("d", C.probe_decision(F.col("method"), F.col("status"), F.col("rule")))
-    rows = rows.withColumn("kind", C.decision_part(F.col("d"), "kind")).withColumn("category", C.decision_part(F.col("d"), "category"))
+    rows = C.seam(rows.withColumn("kind", C.decision_part(F.col("d"), "kind")).withColumn("category", C.decision_part(F.col("d"), "category")))
     text = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
     agent, kind, category, evil = F.col("agent"), F.col("kind"), F.col("category"), F.lit("ban|probe:common:immediate_malicious")
     blocked = agent.isin(*p.blocked_categories) if p.blocked_categories else F.lit(False)
@@ -88,7 +91,7 @@ def candidates(requests: DataFrame, p: Policies) -> DataFrame:
         .when(kind == "instant", text("ban|probe:", category, ":instant"))
         .otherwise(text("strike|", kind, "|probe:", category, ":", kind, "_threshold|", F.substring_index("d", "|", -3)))
     )
-    return rows.withColumn("act", C.held(act))
+    return rows.withColumn("act", C.held(act)).drop("_agent", "_referer")
 
 
 def settled(rows: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:

@@ -127,7 +127,7 @@ def c7_exploit_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(O.over(O.judged(), "SELECT rule, kind, category, count(*) AS hits, count(DISTINCT client_ip) AS addresses FROM facts GROUP BY ALL"))
 def c11_probe_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = V.access_log(spark, sf_dir).withColumn("path", C.normalized_path(F.col("uri"))).withColumn("rule", C.probe_rule(F.col("path"), F.col("status")))
+    log = C.with_probe_rule(V.access_log(spark, sf_dir).withColumn("path", C.normalized_path(F.col("uri"))))
     log = log.withColumn("d", C.probe_decision(F.col("method"), F.col("status"), F.col("rule")))
     return log.groupBy("rule", C.decision_part(F.col("d"), "kind").alias("kind"), C.decision_part(F.col("d"), "category").alias("category")).agg(F.count("*").alias("hits"), F.countDistinct("client_ip").alias("addresses"))
 
