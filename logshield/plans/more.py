@@ -339,3 +339,76 @@ def d7_blocklist_many(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = V._over("customer", V.table(spark, sf_dir, "customer"), _TOKENS)
     agents = V._over("orders", V.table(spark, sf_dir, "orders"), _AGENTS)
     return J.blocklist_match(agents, tokens).groupBy("token").agg(F.count("*").alias("n"))
+
+
+@query(Q.ORACLES["f4_waf_regions_recent"])
+def h4_stream_waf_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The expression after the last of several batches of bans, each of which read its own rows only."""
+    bans, ranges = V.bans(spark, sf_dir), V.ip2asn(spark, sf_dir)
+    regions, none = ranges.where("country IN ('AA', 'BH', 'CO')"), ranges.where("false")
+    made = lambda rows: W.waf_expression(rows, none, ranges.where("asn % 7 = 1"), regions, V.AS_OF, 600, recent_first=True)
+    path, out = landing.landed_parts(bans, "banned_at", 6), folder(spark)
+    stream = spark.readStream.schema(bans.schema).option("maxFilesPerTrigger", 2).parquet(path)
+    live.stream_recent_waf(stream, folder(spark), folder(spark), out, folder(spark), made, lambda: V.AS_OF, 80).awaitTermination()
+    got = spark.read.parquet(out)
+    return got.join(got.agg(F.max("batch").alias("batch")), "batch", "left_semi").select("expression", "n_addresses")
+
+
+@query(O.over(O.judged() + "," + O.verdicts(), "SELECT row_id, client_ip, action, reason, strikes FROM verdict WHERE strikes IS NOT NULL"))
+def h6_stream_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every request comes again when the watermark has passed it: late strikes count nowhere."""
+    log = V.access_log(spark, sf_dir).select("row_id", "ts_sec", "client_ip", "method", "uri", "status", "referer", "user_agent")
+    path, out, mark = landing.landed_parts(log, "ts_sec", 4), folder(spark), folder(spark)
+    flush = spark.createDataFrame([(-1, _FLUSH, "10.0.0.1", "GET", "/", 200, "-", "-")], log.schema).coalesce(1)
+    for more in (flush, log.withColumn("row_id", F.col("row_id") + 10**9)):
+        more.write.mode("append").parquet(path)
+        stream = live.timed(spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 3).parquet(path), "1 hour")
+        live.to_parquet(live.stream_verdicts(stream, DEFAULT), out, mark).awaitTermination()
+    return spark.read.parquet(out).where("strikes IS NOT NULL").select("row_id", "client_ip", "action", "reason", "strikes")
+
+
+@query(Q.ORACLES["f1_evaluate_requests"])
+def h7_stream_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that are sent twice: each row is judged once."""
+    log = V.access_log(spark, sf_dir).select("row_id", "ts_sec", "client_ip", "method", "uri", "status", "referer", "user_agent")
+    path, out, mark = landing.landed_parts(log, "ts_sec", 4), folder(spark), folder(spark)
+    log.coalesce(1).write.mode("append").parquet(path)
+    spark.createDataFrame([(-1, _FLUSH, "10.0.0.1", "GET", "/", 200, "-", "-")], log.schema).coalesce(1).write.mode("append").parquet(path)
+    stream = live.timed(spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 3).parquet(path), "1 hour", ("row_id",))
+    live.to_parquet(live.stream_verdicts(stream, DEFAULT), out, mark).awaitTermination()
+    return spark.read.parquet(out).where("row_id >= 0")
+
+
+@query(O.over("", "SELECT client_ip, method, uri, status, referer, user_agent, CAST(1704067200 AS BIGINT) AS ts_sec, count(*) AS n FROM access_log GROUP BY ALL"))
+def a14_stream_access_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines landed as text files, parsed as they come."""
+    path, out = landing.landed_text(V.access_lines(spark, sf_dir).repartition(3)), folder(spark)
+    rows = live.stream_access_logs(spark, path, files=2).select("client_ip", "method", "uri", "status", "referer", "user_agent", "ts_sec")
+    live.to_parquet(rows, out, folder(spark)).awaitTermination()
+    return spark.read.parquet(out).groupBy(*rows.columns).agg(F.count("*").alias("n"))
+
+
+#: Four kinds of files and the formats of their folders.
+_KINDS = {"combined": L.COMBINED, "edge": L.EDGE, "own": '${host}|$status|$request_method $request_uri|$remote_addr|$$|$http_user_agent', "json": '{"client":"$remote_addr","request":"$request"}'}
+
+
+@query(O.over("", """SELECT CASE row_id % 4 WHEN 0 THEN 'combined' WHEN 1 THEN 'edge' WHEN 2 THEN 'own' ELSE 'json' END AS kind, client_ip, method, uri, status, CASE WHEN row_id % 4 = 2 THEN '' ELSE referer END AS referer, user_agent,
+  CASE WHEN row_id % 4 = 2 THEN 'www' ELSE '' END AS host, count(*) AS n FROM access_log GROUP BY ALL"""))
+def a3_formats_by_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of four formats read at once, each by its own, found by the catalog of paths and formats."""
+    lines = V.access_lines(spark, sf_dir).select("row_id", "line").join(V.access_log(spark, sf_dir), "row_id")
+    ip, plain = F.col("client_ip"), F.col("line")
+    own = F.concat_ws("|", F.lit("www"), F.col("status").cast("string"), F.concat_ws(" ", "method", "uri"), ip, F.lit("$"), "user_agent")
+    edge = F.concat(F.lit("10.9.9.9"), F.expr("substr(line, length(client_ip) + 1)"), F.lit(' "'), ip, F.lit('"'))
+    asked = F.concat(F.lit('{"client":"'), ip, F.lit('","request":"'), F.concat_ws(" ", "method", "uri"), F.lit(' HTTP/1.1","status":'), F.col("status").cast("string"), F.lit(',"ua":"'), F.col("user_agent"), F.lit('","referer":"'), F.col("referer"), F.lit('"}'))
+    k = F.col("row_id") % 4
+    kind = F.when(k == 0, "combined").when(k == 1, "edge").when(k == 2, "own").otherwise("json")
+    path = folder(spark)
+    rows = lines.select(kind.alias("kind"), F.when(k == 0, plain).when(k == 1, edge).when(k == 2, own).otherwise(asked).alias("line"))
+    rows.write.partitionBy("kind").text(path)
+    read = L.scan_lines(spark, path)
+    of = F.regexp_extract("src_file", "/kind=([a-z]+)/", 1)
+    paths = read.select(F.col("src_file").alias("path"), of.alias("format_name"), F.lit(1).alias("seq")).distinct()
+    catalog = L.resolve_log_catalog(paths, spark.createDataFrame(list(_KINDS.items()), "format_name string, body string"))
+    got = L.parse_by_file(read, catalog).where("parse_ok").withColumn("kind", of)
+    return got.groupBy("kind", "client_ip", "method", "uri", "status", "referer", "user_agent", "host").agg(F.count("*").alias("n"))

@@ -6,6 +6,7 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -36,6 +37,10 @@ def _request(df: DataFrame, request: Column, method: Column | None = None, uri:
     return df.withColumn("method", F.coalesce(first[0], filled(F.get(part, F.lit(0))), F.lit("GET"))).withColumn("uri", F.coalesce(first[1], filled(F.get(part, F.lit(1))), F.lit("/")))
 
 
+def _trimmed(line: Column) -> Column:
+    return F.btrim(line, F.lit(" \t\n\r\x0b\x0c"))
+
+
 def _u16(text: Column) -> Column:
     n = text.try_cast("int")
     return F.when(text.rlike("^\\+?[0-9]+$") & n.between(0, 65535), n)
@@ -44,7 +49,7 @@ def _u16(text: Column) -> Column:
 def parse_combined(df: DataFrame) -> DataFrame:
     """client_ip, method, uri, status, referer, user_agent of combined lines. One match splits a
     line; U+0001, which no server writes, marks the places and reads as a blank."""
-    line = F.translate(F.trim("line"), "\x01", " ")
+    line = F.translate(_trimmed(F.col("line")), "\x01", " ")
     shape = r'(?s)^([^ ]*)[^"]*"([^"]*)"\s*(\S+)[^"]*"([^"]*)"[^"]*"([^"]*)".*$'
     part = held(F.split(F.regexp_replace(line, shape, "$1\x01$2\x01$3\x01$4\x01$5"), "\x01"))
     got = df.withColumn("_p", part).withColumns({f"_{i}": F.get("_p", F.lit(i - 1)) for i in range(1, 6)})
@@ -75,63 +80,128 @@ def format_pattern(log_format: str) -> tuple[str, list[str]]:
     return out + ("(.*)$" if pending else ""), names
 
 
+def _named(df: DataFrame, get, line_ok: Column) -> DataFrame:
+    """The columns of a delimited line from its variables, `get(column)` being their text or ''."""
+    ip = resolved_ip(get("edge"), get("forwarded"), get("remote"))
+    got = _request(df.withColumn("_ip", ip), get("request"), get("method"), get("uri"))
+    got = got.withColumn("status", F.coalesce(_u16(get("status")), F.lit(200))).withColumn("referer", get("referer")).withColumn("user_agent", get("user_agent")).withColumn("host", get("host"))
+    ok = F.coalesce(line_ok & F.col("_ip").isNotNull(), F.lit(False))
+    return got.withColumn("client_ip", F.when(ok, F.col("_ip"))).withColumn("parse_ok", ok).drop("_ip")
+
+
 def parse_format(df: DataFrame, log_format: str = COMBINED) -> DataFrame:
     """The columns of parse_combined plus host, by a `$variable` format."""
     pattern, names = format_pattern(log_format)
-    line = F.trim("line")
+    line = _trimmed(F.col("line"))
     cols = {}
     for i, name in enumerate(names):
         if name in VARIABLES:
             cols.setdefault(VARIABLES[name], F.regexp_extract(line, pattern, i + 1))
-    get = lambda c, d="": cols.get(c, F.lit(d))
-    ip = resolved_ip(get("edge"), get("forwarded"), get("remote"))
-    got = _request(df.withColumn("_ip", ip), get("request"), get("method"), get("uri"))
-    got = got.withColumn("status", F.coalesce(_u16(get("status")), F.lit(200))).withColumn("referer", get("referer")).withColumn("user_agent", get("user_agent")).withColumn("host", get("host"))
-    ok = F.coalesce(line.rlike(pattern) & F.col("_ip").isNotNull(), F.lit(False))
-    return got.withColumn("client_ip", F.when(ok, F.col("_ip"))).withColumn("parse_ok", ok).drop("_ip")
-
-
-_JSON = ("client", "client_ip", "remote_addr", "ip", "method", "request_method", "uri", "path", "request_uri", "request", "status", "ua", "user_agent", "http_user_agent", "referer", "http_referer", "host", "http_host", "http_cf_connecting_ip", "http_x_forwarded_for")
+    return _named(df, lambda c: cols.get(c, F.lit("")), line.rlike(pattern))
+
+
+def _compiled(batches):
+    """(path, format) to (path, pattern, places): a format's regex and the group of each column."""
+    for batch in batches:
+        made = [format_pattern(f or COMBINED) for f in batch.column(1).to_pylist()]
+        places = []
+        for _, names in made:
+            at: dict[str, int] = {}
+            for i, name in enumerate(names):
+                if name in VARIABLES:
+                    at.setdefault(VARIABLES[name], i + 1)
+            places.append(list(at.items()))
+        cols = [batch.column(0), pa.array([m[0] for m in made], pa.string()), pa.array(places, pa.map_(pa.string(), pa.int32()))]
+        yield pa.RecordBatch.from_arrays(cols, ["path", "pattern", "places"])
+
+
+def parse_by_file(df: DataFrame, catalog: DataFrame) -> DataFrame:
+    """The columns of parse_format for lines(src_file, line, ...), batch or stream, each by the format of
+    its file in catalog(path, format), see resolve_log_catalog; files that are not in it are combined.
+    Formats are compiled where the catalog is and joined as data, so that any number of them is read
+    in one pass; lines of formats that are JSON objects go to parse_json."""
+    formats = catalog.select("path", "format").groupBy("path").agg(F.min("format").alias("format"))
+    known = formats.mapInArrow(_compiled, "path string, pattern string, places map<string,int>").join(formats.select("path", (format_kind(F.col("format")) == "json").alias("json")), "path")
+    pattern, names = format_pattern(COMBINED)
+    rows = df.join(known, df["src_file"] == known["path"], "left").drop("path")
+    places = F.create_map(*(F.lit(x) for i, n in enumerate(names) if n in VARIABLES for x in (VARIABLES[n], i + 1)))
+    rows = rows.withColumns({"_pattern": F.coalesce("pattern", F.lit(pattern)), "_places": F.coalesce("places", places), "_json": F.coalesce("json", F.lit(False))}).drop("pattern", "places", "json")
+    line = _trimmed(F.col("line"))
+
+    def get(column: str) -> Column:
+        at = F.try_element_at("_places", F.lit(column))
+        return F.when(at.isNotNull(), F.call_function("regexp_extract", line, F.col("_pattern"), at)).otherwise("")
+
+    cols = ("client_ip", "method", "uri", "status", "referer", "user_agent", "host", "parse_ok")
+    plain = _named(rows, get, F.call_function("rlike", line, F.col("_pattern"))).select(*rows.columns, held(F.when(~F.col("_json"), F.struct(*cols))).alias("_a"))
+    told = parse_json(plain.withColumnRenamed("line", "_line").withColumn("line", held(F.when(F.col("_json"), F.col("_line"))))).withColumn("line", F.col("_line"))
+    taken = lambda c: F.when(F.col("_json"), F.col(c)).otherwise(F.col("_a")[c])
+    return told.select(*df.columns, *(taken(c).alias(c) for c in cols))
+
+
+_IP = ("client", "client_ip", "remote_addr", "ip")
+_TEXTS = (*_IP, "http_cf_connecting_ip", "http_x_forwarded_for", "method", "request_method", "uri", "path", "request_uri", "request", "referer", "http_referer", "ua", "user_agent", "http_user_agent", "host", "http_host")
 
 
 def parse_json(df: DataFrame, replay: bool = False) -> DataFrame:
-    """The columns of parse_format from JSON lines with the usual key aliases. In replay form the
-    forwarding headers are last resorts, `request` is a whole uri and the first key present
-    counts, whatever its value."""
-    line = F.trim("line")
-    j = F.when(line.startswith("{"), F.from_json(line, ", ".join(f"`{k}` string" for k in _JSON), {"mode": "PERMISSIVE"}))
-    got = df.withColumn("_j", j)
-    f = lambda *keys: F.coalesce(*(F.col(f"_j.{k}") for k in keys))
+    """The columns of parse_format from JSON lines with the usual key aliases.
+
+    A line must be one JSON object and no more. Known keys must be texts written without escapes (or
+    null) and be there once, but for status, which may be a number or a text. In replay form the
+    forwarding headers are last resorts, `request` is a whole uri, and of several aliases the first one
+    present counts, whatever its value: a text, or else nothing. Repeated keys are refused in both forms."""
+    line = _trimmed(F.col("line"))
+    # In brackets, so that what follows the object is no JSON, or a second element.
+    got = df.withColumn("_v", held(F.when(line.startswith("{"), F.try_parse_json(F.concat(F.lit("["), line, F.lit("]"))))))
+    one = F.col("_v").isNotNull() & F.try_variant_get("_v", "$[1]", "variant").isNull()
+    kind = lambda k: F.schema_of_variant(F.try_variant_get("_v", f"$[0].{k}", "variant"))
+    value = lambda k: F.try_variant_get("_v", f"$[0].{k}", "string")
+    got = got.withColumn("_t", held(F.when(one, F.struct(*(kind(k).alias(k) for k in (*_TEXTS, "status")))))).withColumn("_s", held(F.when(one, F.struct(*(value(k).alias(k) for k in (*_TEXTS, "status"))))))
+    text = lambda k: F.when(F.col(f"_t.{k}") == "STRING", F.col(f"_s.{k}"))
+    blank, status = F.lit(""), F.col("_s.status")
     if replay:
-        got = got.withColumn("_m", held(F.when(line.startswith("{"), F.from_json(line, "map<string,string>"))))
 
-        def f(*keys):
-            """The value of the first key that is there, null if it is no string."""
+        def f(*keys: str) -> Column:
             out = F.lit(None).cast("string")
             for k in reversed(keys):
-                text = F.when(line.rlike(f'"{k}"\\s*:\\s*"'), F.element_at("_m", k)) if k != "status" else F.element_at("_m", k)
-                out = F.when(F.map_contains_key("_m", k), text).otherwise(out)
+                out = F.when(F.col(f"_t.{k}").isNotNull(), text(k)).otherwise(out)
             return out
 
-    ip = f("client", "client_ip", "remote_addr", "ip")
-    if replay:
-        ip = F.trim(F.substring_index(f("client", "client_ip", "remote_addr", "ip", "http_cf_connecting_ip", "http_x_forwarded_for"), ",", 1))
-        got = _request(got, F.lit(""), f("method", "request_method"), f("uri", "path", "request_uri", "request"))
+        ok = one
+        ip = F.trim(F.substring_index(f(*_IP, "http_cf_connecting_ip", "http_x_forwarded_for"), ",", 1))
+        got = got.withColumn("method", F.coalesce(f("method", "request_method"), F.lit("GET"))).withColumn("uri", F.coalesce(f("uri", "path", "request_uri", "request"), F.lit("/")))
     else:
-        ip = resolved_ip(f("http_cf_connecting_ip"), f("http_x_forwarded_for"), ip)
+        f = lambda *keys: F.coalesce(*(text(k) for k in keys))
+        # A text that holds no escape is in the line as it is.
+        bare = lambda k: line.contains("\\").isNull() | ~line.contains("\\") | F.call_function("contains", line, F.concat(F.lit('"'), text(k), F.lit('"')))
+        ok = one & _all((F.coalesce(F.col(f"_t.{k}").isin("VOID"), F.lit(True)) | ((F.col(f"_t.{k}") == "STRING") & bare(k))) for k in _TEXTS)
+        ip = resolved_ip(f("http_cf_connecting_ip"), f("http_x_forwarded_for"), f(*_IP))
         got = _request(got, f("request"), f("method", "request_method"), f("uri", "path", "request_uri"))
-    blank = F.lit("")
-    got = got.withColumn("status", F.coalesce(_u16(f("status")), F.lit(200))).withColumn("referer", F.coalesce(f("referer", "http_referer"), blank))
+    # Numbers are cut to 16 bits; texts must fit them.
+    number = F.when(F.col("_t.status") == "BIGINT", F.when(status.try_cast("long") >= 0, status.try_cast("long") % 65536)).when(F.col("_t.status") == "STRING", _u16(status))
+    got = got.withColumn("status", F.coalesce(number, F.lit(200)).cast("int")).withColumn("referer", F.coalesce(f("referer", "http_referer"), blank))
     got = got.withColumn("user_agent", F.coalesce(f("ua", "user_agent", "http_user_agent"), blank)).withColumn("host", F.coalesce(f("host", "http_host"), blank))
-    ok = is_ip(F.col("_ip"))
-    return got.withColumn("_ip", ip).withColumn("client_ip", F.when(ok, F.col("_ip"))).withColumn("parse_ok", ok).drop("_j", "_m", "_ip")
+    got = got.withColumn("_ip", ip).withColumn("parse_ok", F.coalesce(ok, F.lit(False)) & is_ip(F.col("_ip")))
+    return got.withColumn("client_ip", F.when(F.col("parse_ok"), F.col("_ip"))).drop("_v", "_t", "_s", "_ip")
 
 
 def parse_error_log(df: DataFrame) -> DataFrame:
-    """(client_ip, reason) of error lines; the connection marker is dropped from the reason."""
-    ip = F.regexp_extract("line", ", client: ([^, ]+)", 1)
-    said = F.regexp_extract("line", r"\[error\].*?: (.*?), client: ", 1)
-    return df.withColumn("client_ip", F.when(is_ip(ip), ip)).withColumn("reason", F.when(is_ip(ip), F.regexp_replace(said, r"^\*[0-9]+ ", "")))
+    """(client_ip, reason) of error lines: what stands before the client, from the text behind `[error]`
+    and its colon on, or from the line's start for other levels; a connection marker, and what is
+    before it, is left out."""
+    line = F.col("line")
+    tail = lambda text, at: F.substring(text, at, F.char_length(line) + 1)
+    client, level = F.instr(line, ", client: "), F.instr(line, "[error]")
+    after = tail(line, client + 10)
+    end = F.coalesce(F.nullif(F.instr(after, ","), F.lit(0)), F.nullif(F.instr(after, " "), F.lit(0)), F.char_length(after) + 1)
+    ip = F.when(client > 0, F.trim(F.substring(after, F.lit(1), end - 1)))
+    colon = F.instr(tail(line, level + 7), ": ")
+    start = F.when(level == 0, 1).otherwise(level + 7 + F.when(colon > 0, colon + 1).otherwise(0))
+    said = F.when(start < client, F.substring(line, start, client - start)).otherwise(F.substring(line, F.lit(1), client - 1))
+    star = F.instr(said, "*")
+    blank = F.instr(tail(said, star), " ")
+    said = F.when((star > 0) & (blank > 0), tail(said, star + blank)).otherwise(said)
+    return df.withColumn("client_ip", F.when(is_ip(ip), ip)).withColumn("reason", F.when(is_ip(ip), F.trim(said)))
 
 
 def _after(line: Column, *marks: str) -> Column:

@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
+from logshield.functions.ip import ip_v4
 from logshield.operators import verdicts as VD
-from logshield.operators.bans import BAN_SECONDS, build_bans
+from logshield.operators.bans import BAN_SECONDS, COLUMNS, active_bans, build_bans
 from logshield.sources import logs as L
 from logshield.sources.policies import latest
 
@@ -363,6 +364,42 @@ def stream_waf_sync(changes: DataFrame, ledger: str, out: str, checkpoint: str,
     return started(changes, checkpoint, sync, {"availableNow": True} if once else {"processingTime": f"{seconds} seconds"})
 
 
+def _recent(bans: DataFrame, as_of: int, rows: int) -> DataFrame:
+    return active_bans(bans, as_of).where(ip_v4(F.col("target")).isNotNull()).orderBy(F.desc("banned_at"), F.desc("target")).limit(rows)
+
+
+def stream_recent_waf(bans: DataFrame, ledger: str, tops: str, out: str, checkpoint: str, expression, as_of, fit: int, trigger: dict | None = None) -> StreamingQuery:
+    """After each batch of ban rows: `expression(bans)` to a folder by batch id, as if of the whole ledger,
+    where it takes addresses by recency and `fit` of them at most.
+
+    A batch becomes a part of the ledger. Of the ledger, only the 4 * fit most recent active addresses
+    are kept beside it, one small table a batch, so that a batch reads the last of these and its own rows.
+    What was left out is older than all of them; only when so many have ended that fewer than
+    `fit` remain is the ledger read again. `as_of()` tells the moment."""
+    def sync(batch: DataFrame, batch_id: int) -> None:
+        spark, now = batch.sparkSession, as_of()
+        path, kept = f"{ledger}/part={batch_id}", f"{tops}/batch={batch_id}"
+        batch.select(*COLUMNS).write.mode("overwrite").parquet(path)
+        rows = spark.read.parquet(path).withColumn("seq", F.lit(1))
+        whole = True
+        if batch_id:
+            old = spark.read.parquet(f"{tops}/batch={batch_id - 1}")
+            # The row without a target tells whether nothing was left out so far.
+            whole = old.where("target IS NULL").first()["tier_level"] == 1
+            rows = old.where("target IS NOT NULL").select(*COLUMNS, F.lit(0).alias("seq")).unionByName(rows)
+        merged = latest(rows, "target", ("banned_at", "seq")).select(*COLUMNS)
+        live = active_bans(merged, now).where(ip_v4(F.col("target")).isNotNull()).count()
+        if not whole and live < fit:
+            merged, whole = ledger_bans(spark, ledger).select(*COLUMNS), True
+            live = active_bans(merged, now).where(ip_v4(F.col("target")).isNotNull()).count()
+        whole = whole and live <= 4 * fit
+        mark = spark.range(1).select(F.lit(None).cast("string").alias("target"), F.lit(int(whole)).alias("tier_level"), *(F.lit(None).cast(t).alias(c) for c, t in (("banned_at", "long"), ("expires_at", "long"), ("reason", "string"))))
+        _recent(merged, now, 4 * fit).unionByName(mark).write.mode("overwrite").parquet(kept)
+        expression(spark.read.parquet(kept).where("target IS NOT NULL")).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    return started(bans, checkpoint, sync, trigger)
+
+
 def sweep(spark: SparkSession, ledger: str, to: str, as_of: int) -> DataFrame:
     """A compacted ledger without ended bans at `to`, and (kept, removed). Idle strikes leave by the
     timers of their state, old offenses by prune_offenses."""

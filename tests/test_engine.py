@@ -205,3 +205,40 @@ def test_tokens_by_pieces_and_nested_networks(spark):
         except ValueError:
             over = []
         assert got[a] == (("Subnet", *over[0]) if over else (None, None, None))
+
+
+def test_json_lines_are_whole_and_typed(spark):
+    lines = [
+        '{"ip":"1.1.1.1","uri":"/a"}', '{"ip":"1.1.1.1"} trailing', '{"ip":"1.1.1.1"},{"a":1}', '{"ip":"1.1.1.1","ip":"2.2.2.2"}', '{"client":7,"ip":"1.1.1.1"}', '{"client":null,"ip":"1.1.1.1","status":70000}',
+        '{"ip":"1.1.1.1","uri":"\\u002fa"}', '{"ip":"1.1.1.1","uri":"/a","x":"q\\n"}', '{"ip":"1.1.1.1","status":"+404","note":{"client":5}}', '\t{"ip":"1.1.1.1","status":-3,"host":"\\"client\\": 5"} ', '{"ip":"1.1.1.1","status":"70000"}', "{", None, "[1]",
+    ]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, line string")
+    got = {r["i"]: (r["parse_ok"], r["uri"], r["status"]) for r in L.parse_json(rows).collect()}
+    assert [i for i in got if got[i][0]] == [0, 5, 7, 8, 10] and got[0][1] == "/a" and [got[i][2] for i in (5, 8, 10)] == [4464, 404, 200]
+    got = {r["i"]: (r["parse_ok"], r["uri"], r["status"]) for r in L.parse_json(rows, replay=True).collect()}
+    assert [i for i in got if got[i][0]] == [0, 6, 7, 8, 9, 10] and got[6][1] == "/a" and got[9][2] == 200
+
+
+def test_error_reasons_of_every_level(spark):
+    tail = ", client: 1.2.3.4, server: x"
+    lines = {
+        "t [error] 1#0: *5 open() failed (2: No such file)" + tail: "open() failed (2: No such file)", "t [crit] 1#0: *5 SSL failed" + tail: "SSL failed", "t [warn] 1#0: no marker" + tail: "t [warn] 1#0: no marker",
+        "plain text" + tail: "plain text", "[error] no colon" + tail: "[error] no colon", "x, client: 1.2.3.4 [error] a: b": "x", "x, client: nobody, y": None, "no client": None,
+    }
+    rows = spark.createDataFrame([(x,) for x in lines], "line string")
+    assert {r["line"]: r["reason"] for r in L.parse_error_log(rows).collect()} == lines
+
+
+def test_each_file_by_its_format(spark):
+    lines = [
+        ("a", '1.1.1.1 - - [t] "GET /a HTTP/1.1" 404 1 "r" "u"'), ("b", 'h 2.2.2.2 $ "POST /b HTTP/1.1" 500'), ("c", '{"ip":"3.3.3.3","path":"/c"}'), ("d", '9.9.9.9 - - [t] "GET /d HTTP/1.1" 200 1 "-" "u" "4.4.4.4"'),
+        ("e", '5.5.5.5 - - [t] "GET /e HTTP/1.1" 200 1 "-" "u"'), ("b", "does not fit"), ("f", "GET/f 6.6.6.6"),
+    ]
+    catalog = [("a", L.COMBINED), ("b", '${host} $remote_addr $$ "$request" $status'), ("c", '{"ip":"$remote_addr","path":"$uri"}'), ("d", L.EDGE), ("f", "$request_method/$uri $remote_addr"), ("unused", "$x")]
+    rows = spark.createDataFrame([(i, f, x) for i, (f, x) in enumerate(lines)], "i int, src_file string, line string")
+    got = L.parse_by_file(rows, spark.createDataFrame(catalog, "path string, format string")).orderBy("i").collect()
+    assert [(r["parse_ok"], r["client_ip"], r["method"], r["uri"], r["status"]) for r in got] == [
+        (True, "1.1.1.1", "GET", "/a", 404), (True, "2.2.2.2", "POST", "/b", 500), (True, "3.3.3.3", "GET", "/c", 200), (True, "4.4.4.4", "GET", "/d", 200), (True, "5.5.5.5", "GET", "/e", 200),
+        (False, None, "GET", "/", 200), (True, "6.6.6.6", "GET", "f", 200),
+    ]
+    assert got[1]["host"] == "h"
