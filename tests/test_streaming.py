@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from logshield.operators import bans as B
 from logshield.operators import verdicts as VD
 from logshield.sources import logs as L
+from logshield.operators import counters as K
+from logshield.streaming import escalation as E
 from logshield.streaming import live as S
 
 P = VD.Policies(allowed_endpoints=("^/api/.*",))
@@ -131,3 +133,80 @@ def test_landed_lines(spark, folder):
     S.to_parquet(S.stream_access_logs(spark, src).select("client_ip", "uri", "ts_sec"), out, folder("mark")).awaitTermination()
     assert sorted(tuple(r) for r in spark.read.parquet(out).collect()) == [("21.0.0.1", "/.env", 1704067200 + i) for i in range(5)]
     assert S.stream_auth_logs(spark, src).isStreaming
+
+
+def ran(spark, rows, schema, src, out, judged, folder, parts, delay="60 seconds"):
+    """Rows landed part by part, each part in a run of its own; what came out."""
+    mark = folder("mark")
+    for part in parts:
+        random.Random(3).shuffle(part)
+        spark.createDataFrame(part, schema).repartition(2).write.mode("append").parquet(src)
+        stream = S.timed(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src), delay)
+        S.to_parquet(judged(stream), out, mark).awaitTermination()
+    return spark.read.parquet(out)
+
+
+def test_busy_address_and_rows_without_a_time(spark, folder):
+    rng = random.Random(5)
+    paths = ["/x.php", "/tool.py", "/wp-admin/a", "/backup.sql"]
+    # Half of the strikes are of one address: hundreds a span, so that counters end at 255.
+    rows = [(i, 1704067200 + i // 90, "21.3.4.5" if i % 2 else f"22.1.1.{i % 9}", "GET", paths[0] if i % 2 and i < 3500 else rng.choice(paths), 404, "-", "Mozilla/5.0 Firefox/115.0") for i in range(4000)]
+    lost = [(9000 + i, None, "21.3.4.5", "GET", "/x.php", 404, "-", "Mozilla/5.0 Firefox/115.0") for i in range(3)]
+    got = ran(spark, rows, REQUEST, folder("in"), folder("out"), lambda s: S.stream_verdicts(s, P), folder, [rows[:1900], rows[1900:] + lost, [FLUSH]]).collect()
+    want = VD.evaluate_requests(spark.createDataFrame([*rows, FLUSH], REQUEST), P)
+    assert key(r for r in got if not 9000 <= r["row_id"] < 9003) == key(want.collect())
+    assert max(r["strikes"] or 0 for r in got) == 255
+    assert [r["strikes"] for r in got if 9000 <= r["row_id"] < 9003] == [1, 1, 1]
+
+
+def test_offenses_and_escalation_equal_batch(spark, folder):
+    rng = random.Random(6)
+    schema = "row_id long, ts_sec long, client_ip string, instant_permanent boolean"
+    rows = [(i, 1704067200 + i // 7, rng.choice(["1.1.1.1"] * 4 + [f"2.2.2.{i % 5}"]), rng.random() < 0.02) for i in range(900)]
+    end = [(10**6, 1704067200 + 10**5, "9.9.9.9", False)]
+    parts = lambda: [rows[:400], rows[400:], list(end)]
+    frame = spark.createDataFrame(rows, schema)
+    got = ran(spark, rows, schema, folder("in"), folder("out"), lambda s: E.stream_escalate(s, 10, 3, (60, 120, None)), folder, parts())
+    told = lambda df: sorted((r["client_ip"], r["row_id"], r["tier"], r["duration_s"], r["permanent"]) for r in df.collect())
+    assert told(got) == told(K.escalate(frame, 10, 3, (60, 120, None)))
+    got = ran(spark, rows, schema, folder("in"), folder("out"), lambda s: E.stream_offenses(s, 2, max_age=1000), folder, parts())
+    pruned = {r["client_ip"]: (r["count"], r["first_seen"], r["last_seen"]) for r in got.where("pruned").collect()}
+    assert pruned == {r["client_ip"]: (r["count"], r["first_seen"], r["last_seen"]) for r in K.offense_counter(frame, 2).collect()}
+
+
+def test_bans_end_by_themselves(spark, folder):
+    schema = "target string, tier_level int, banned_at long, expires_at long, reason string, row_id long, ts_sec long"
+    ban = lambda t, at, end, r: (t, 1, at, end, r, at, at)
+    rows = [ban("e", 10, 5, "over before"), ban("a", 100, 200, "first"), ban("a", 150, 400, "longer"), ban("b", 100, 180, "x"), ban("b", 300, None, "for good"), ban("c", 120, 500, "y"), ban("d", 130, 390, "z")]
+    out = folder("out")
+    got = ran(spark, rows, schema, folder("in"), out, E.stream_expiry, folder, [rows[:4], rows[4:], [ban("q", 460, 470, "last")]], "60 seconds")
+    events = sorted((r["target"], r["event"], r["at"]) for r in got.where("target <> 'q'").collect())
+    assert events == [("a", "banned", 100), ("a", "banned", 150), ("a", "lifted", 400), ("b", "banned", 100), ("b", "banned", 300), ("b", "lifted", 180), ("c", "banned", 120), ("d", "banned", 130), ("d", "lifted", 390), ("e", "banned", 10), ("e", "lifted", 5)]
+    assert {(r["target"], r["reason"]) for r in E.standing(got).where("target <> 'q'").collect()} >= {("b", "for good"), ("c", "y")}
+
+
+def test_recent_bans_equal_the_whole_ledger(spark, folder):
+    schema = "target string, tier_level int, banned_at long, expires_at long, reason string"
+    rng, src, ledger, tops, out = random.Random(7), folder("in"), folder("ledger"), folder("tops"), folder("waf")
+    moments, ledgers = iter([100, 200, 300, 10_000]), []
+    for k in range(4):
+        rows = [(f"1.1.{rng.randrange(3)}.{rng.randrange(40)}", 0, 100 * k + rng.randrange(90), rng.choice([None, 100 * k + rng.randrange(400)]) if k < 3 else 9000, "r") for _ in range(60)]
+        spark.createDataFrame([*rows, ("::1", 0, 1, None, "six")], schema).coalesce(1).write.mode("append").parquet(src)
+        now = next(moments)
+        told = lambda bans: bans.orderBy(F.desc("banned_at"), F.desc("target")).limit(5).select("target", "banned_at")
+        stream = spark.readStream.schema(schema).parquet(src)
+        S.stream_recent_waf(stream, ledger, tops, out, folder_once(folder), told, lambda now=now: now, 5).awaitTermination()
+        whole = B.active_bans(S.ledger_bans(spark, ledger), now).where("target LIKE '%.%'")
+        want = [tuple(r) for r in whole.orderBy(F.desc("banned_at"), F.desc("target")).limit(5).select("target", "banned_at").collect()]
+        got = [tuple(r) for r in spark.read.parquet(f"{out}/batch={k}").orderBy(F.desc("banned_at"), F.desc("target")).collect()]
+        assert got == want and want
+        ledgers.append(spark.read.parquet(f"{tops}/batch={k}").count())
+    assert max(ledgers) <= 21
+
+
+_MARK = {}
+
+
+def folder_once(folder):
+    """One checkpoint for all runs of a test."""
+    return _MARK.setdefault("mark", folder("mark"))
