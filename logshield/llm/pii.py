@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from logshield.llm.common import slices
 
-#: Surrogates that a task remembers.
-CACHE = 50_000
+#: Surrogates that a task remembers; characters that are permuted as one number.
+CACHE, BLOCK = 50_000, 64
 
 GIVEN = {
     ("f", "latin"): "Alice Anna Barbara Carla Clara Elena Emily Emma Eva Isabel Julia Laura Linda Lucia Maria Marie Martha Mary Nina Olivia Paula Rosa Sarah Sofia Susan Teresa".split(),
@@ -39,10 +39,11 @@ GIVEN = {
 TITLES = "Mr Mrs Ms Miss Dr Prof Herr Frau Monsieur Madame Señor Señora".split()
 
 _LISTED = {n.lower(): k for k, names in GIVEN.items() for n in names}
-_NAME = r"[A-ZÀ-ÖØ-ÞА-ЯЁ][a-zà-öø-ÿа-яё]+"
+# Double names and those with an apostrophe are one word.
+_NAME = r"[A-ZÀ-ÖØ-ÞА-ЯЁ][a-zà-öø-ÿа-яё]+(?:[-'’][A-ZÀ-ÖØ-ÞА-ЯЁ][a-zà-öø-ÿа-яё]+)*"
 _PATTERNS = (
-    ("email", r"(?<![A-Za-z0-9_%+-])[A-Za-z0-9_%+-]{1,64}(?:\.[A-Za-z0-9_%+-]{1,64}){0,8}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}"),
-    ("secret", r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64}|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,48})(?![A-Za-z0-9])"),
+    ("email", r"(?<![A-Za-z0-9_%+-])(?<![A-Za-z0-9_%+-]\.)[A-Za-z0-9_%+-]++(?:\.[A-Za-z0-9_%+-]++)*+@(?:[A-Za-z0-9-]++\.)+[A-Za-z]{2,}"),
+    ("secret", r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+|AKIA[0-9A-Z]{16,}+|gh[pousr]_[A-Za-z0-9]{36,}+|github_pat_[A-Za-z0-9_]{22,}+|sk-[A-Za-z0-9_-]{20,}+)(?![A-Za-z0-9])"),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     ("ip", r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?![0-9]|\.[0-9])"),
     ("phone", r"(?<![0-9A-Za-z])\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9])"),
@@ -56,7 +57,7 @@ _FIND = re.compile("|".join(f"(?P<p{i}>{p.replace(chr(92) + '1', '(?P=sep)').rep
 _NAMED = re.compile(_PATTERNS[-1][1])
 _WORD = re.compile(rf"\b{_NAME}\b")
 # Every entity but a name holds one of these, and they are less than GAP characters apart in it.
-_SIGN, GAP = re.compile(r"[0-9@]|(?<![A-Za-z0-9])(?:sk-|AKIA|gh[pousr]_)"), 100
+_SIGN, GAP = re.compile(r"[0-9@]|(?<![A-Za-z0-9])(?:sk-|AKIA|gh[pousr]_|github_pat_)"), 100
 # What follows a sign may be an account number's last groups, of letters alone.
 _GROUPS = re.compile(r"(?: [A-Z]{1,4}(?![A-Za-z0-9]))+")
 # Calling codes of one and two digits; the others have three.
@@ -120,6 +121,14 @@ def _shaped(text: str, alphabets: list[str | None], key: str, tag: str, allowed=
     """The image of a text under the cycle of its shape; case is kept by position."""
     low = text.lower()
     use = [i for i, a in enumerate(alphabets) if a]
+    if len(use) > BLOCK:
+        # A long text block by block, each under a cycle that what stands before it chooses: still one to one.
+        out, at, chain = [], 0, hashlib.blake2b(str(len(use)).encode(), digest_size=16)
+        for end in [*use[BLOCK::BLOCK], len(text)]:
+            out.append(_shaped(text[at:end], alphabets[at:end], key, f"{tag}|{chain.hexdigest()}"))
+            chain.update(low[at:end].encode())
+            at = end
+        return "".join(out)
     n = 1
     for i in use:
         n *= len(alphabets[i])
@@ -239,7 +248,7 @@ def _name(text: str, key: str) -> str:
 
 
 def _secret(text: str, key: str) -> str:
-    head = next((p for p in ("AKIA", "sk-", "ghp_", "gho_", "ghu_", "ghs_", "ghr_") if text.startswith(p)), "")
+    head = next((p for p in ("AKIA", "sk-proj-", "sk-", "github_pat_", "ghp_", "gho_", "ghu_", "ghs_", "ghr_") if text.startswith(p)), "")
     body = text[len(head) :]
     if not head:
         made = _shaped(body.lower(), ["0123456789abcdef"] * len(body), key, "hex")
