@@ -4,10 +4,12 @@ Every document's fractional copy count is its source's rate. Pairs of documents
 then exchange words at random, keeping the pair's words and each document's expectation, until
 one of the two has a whole number of copies. Chunks of a source do so independently and leave
 one fractional document each; those meet in a tree of fan-in FAN until one is left per source,
-so that a source's words differ from its target by half a short document's size. (A document
-longer than the rest of its source together cannot be balanced and may leave half its own.)
+so that a source's words differ from its target by less than a short document's size: the last
+fraction is drawn by lot. Where a document is so long that the rest of its chunk can balance one of its
+two whole numbers of copies only, it gets that one: its expectation yields to the target, which it would
+miss by its own length. (One that is balanced neither way is left to the next level, or to the lot.)
 
-A long document's partner is all that follows it in its chunk, taken as one: it gains what they
+The partner of a long document, and of the last ones of a chunk, is all that follows it, taken as one: it gains what they
 lose in proportion to their fractions, or loses what they gain in proportion to what is left to
 whole copies. Each such step keeps the words of the two sides and, by the odds down : up, every
 expectation, as a step of two documents does; it is pivoting with a composite partner, needed since
@@ -25,8 +27,9 @@ from logshield.llm.common import cut, maybe_broadcast, mix
 
 #: Documents of a chunk, residuals that meet in one node of the tree.
 CHUNK, FAN = 4096, 64
-#: A document is long if it has more than one in so many of the words that follow it in its chunk.
-LONG = 32
+#: The shortest documents of a chunk, so many at least and with so many times the words of its longest,
+#: are settled last, each against all that are shorter still.
+TAIL, LONG = 64, 8
 
 
 def word_count(text: Column) -> Column:
@@ -55,30 +58,38 @@ def targets(sources: DataFrame, share: float = 1.5, most: float = 2.0, weights:
     return got.select("source", "source_size", "docs", target.alias("target"))
 
 
+def _settled(p: np.ndarray, s: np.ndarray, u: np.ndarray, k: int, rest: np.ndarray) -> np.ndarray:
+    """One step of k against all of rest, taken as one. Where the rest balances k becoming whole one way
+    only, k goes that way."""
+    have, room = float(p[rest] @ s[rest]), float((1 - p[rest]) @ s[rest])
+    if not have or not room:
+        return p
+    up, down = min((1 - p[k]) * s[k], have), min(p[k] * s[k], room)
+    short, tight = up < (1 - p[k]) * s[k], down < p[k] * s[k]
+    gains = tight if short != tight else u[k] * (up + down) < down
+    if gains:
+        p[k], p[rest] = p[k] + up / s[k], p[rest] * (1 - up / have)
+    else:
+        p[k], p[rest] = p[k] - down / s[k], p[rest] + (1 - p[rest]) * (down / room)
+    near = np.round(p)
+    return np.where(np.abs(p - near) < 1e-12, near, p)
+
+
 def _pivot(group: pa.Table, seed: int, level: int, last: bool) -> pa.Table:
-    """Rounds p of all rows of a group but one; with `last`, of that one too. Long documents go
-    first, so that the one left over tends to be short."""
+    """Rounds p of all rows of a group but one; with `last`, of that one too, by lot. Documents meet in
+    pairs, long ones first; what is left of them, and then each of the shortest ones, meets all that are
+    shorter, so that the one left over is short."""
     group = group.sort_by([("size", "descending"), ("h", "ascending"), ("p", "ascending")])
     p, s = group["p"].to_numpy().copy(), group["size"].to_numpy().astype(np.float64)
-    u = mix(group["h"].to_numpy().astype(np.int64).view(np.uint64) ^ np.uint64((seed * 1_000_003 + level * 7919) % (1 << 63)))
-    u = (u >> np.uint64(11)).astype(np.float64) / float(1 << 53)
-    open_ = np.flatnonzero((p > 0) & (p < 1))
-    left, i = open_, None
-    for k in open_.tolist():
-        # A document too long for its fellows to settle one by one meets all that follow at once.
-        left = left[1:]
-        have, room = float(p[left] @ s[left]), float((1 - p[left]) @ s[left])
-        if s[k] * LONG < have + room or not have or not room:
-            left = np.concatenate([[k], left]).astype(np.int64)
-            break
-        up, down = min((1 - p[k]) * s[k], have), min(p[k] * s[k], room)
-        if u[k] * (up + down) < down:
-            p[k], p[left] = p[k] + up / s[k], p[left] * (1 - up / have)
-        else:
-            p[k], p[left] = p[k] - down / s[k], p[left] + (1 - p[left]) * (down / room)
-        near = np.round(p)
-        p = np.where(np.abs(p - near) < 1e-12, near, p)
-    for j in np.flatnonzero((p > 0) & (p < 1)).tolist():
+    random = mix(group["h"].to_numpy().astype(np.int64).view(np.uint64) ^ np.uint64((seed * 1_000_003 + level * 7919) % (1 << 63)))
+    unit = lambda x: (x >> np.uint64(11)).astype(np.float64) / float(1 << 53)
+    u = unit(random)
+    fractions = lambda: np.flatnonzero((p > 0) & (p < 1))
+    i, open_ = None, fractions()
+    # From the shortest on, as many as hold several times the words of the longest.
+    words = np.cumsum(s[open_][::-1])
+    tail = max(TAIL, int(np.searchsorted(words, LONG * s[open_[0]])) + 1) if len(open_) else 0
+    for j in open_[: max(len(open_) - tail, 0)].tolist():
         if i is None:
             i = j
             continue
@@ -92,8 +103,13 @@ def _pivot(group: pa.Table, seed: int, level: int, last: bool) -> pa.Table:
         i = j if full else i
         if not 1e-12 < p[i] < 1 - 1e-12:  # both became whole at once
             p[i], i = round(p[i]), None
-    if last and i is not None:
-        p[i] = round(p[i])
+    u = unit(mix(random))
+    open_ = fractions()
+    for at, k in enumerate(open_.tolist()):
+        if 0 < p[k] < 1:
+            p = _settled(p, s, u, k, open_[at + 1 :])
+    for k in fractions()[:1].tolist() if last else ():
+        p[k] = float(unit(mix(mix(random)))[k] < p[k])
     return group.set_column(group.column_names.index("p"), "p", pa.array(p))
 
 
