@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from logshield.functions import signatures as S
 from logshield.functions.ip import is_ip, is_private
+from logshield.functions.patterns import checked
 
 _BAD_URI = "%00|\\x00|%0[dD]|%0[aA]|\\r|\\n"
 
@@ -118,7 +119,9 @@ def scanner_method(method: Column) -> Column:
 
 
 def allowed_endpoint(uri: Column, patterns: tuple[str, ...]) -> Column:
-    return uri.rlike("|".join(f"(?:{p})" for p in patterns)) if patterns else F.lit(False)
+    """Does any pattern match somewhere in the uri? A pattern without a form for Java is an error here, with
+    its reason, and in no job."""
+    return uri.rlike("|".join(f"(?:{p})" for p in checked(patterns))) if patterns else F.lit(False)
 
 
 def _path_test(path: Column, r: S.Rule) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logshield.functions import classify as C
+from logshield.functions import patterns as PT
 from logshield.functions import signatures as S
 from logshield.operators import bans as B
 from logshield.operators import counters as K
@@ -412,3 +413,13 @@ def a3_formats_by_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     catalog = L.resolve_log_catalog(paths, spark.createDataFrame(list(_KINDS.items()), "format_name string, body string"))
     got = L.parse_by_file(read, catalog).where("parse_ok").withColumn("kind", of)
     return got.groupBy("kind", "client_ip", "method", "uri", "status", "referer", "user_agent", "host").agg(F.count("*").alias("n"))
+
+
+_WRITTEN = r"""SELECT c_custkey AS k, concat(CASE c_custkey % 8 WHEN 0 THEN '^/page/[0-9]+' WHEN 1 THEN '(?i)/PAGE/' WHEN 2 THEN 'a(?=b)' WHEN 3 THEN '(x)\\1' WHEN 4 THEN '[[:digit:]_]{2,3}' WHEN 5 THEN '(?P<n>y)+?' WHEN 6 THEN '*' ELSE '[z-a]' END, CAST(c_custkey AS STRING)) AS pattern FROM customer"""
+
+
+@query(f"""SELECT pattern, CASE k % 8 WHEN 2 THEN 'look-around or unknown group' WHEN 3 THEN 'backreference' WHEN 6 THEN 'nothing to repeat' WHEN 7 THEN 'bad range' END AS reason,
+  CASE k % 8 WHEN 0 THEN '(?Ud)^/page/[0-9]+' || k WHEN 1 THEN '(?Ud)(?i)/PAGE/' || k WHEN 4 THEN '(?Ud)[\\p{{Digit}}_]{{2,3}}' || k WHEN 5 THEN '(?Ud)(y)+?' || k END AS java FROM ({_WRITTEN.replace(chr(92) * 2, chr(92))})""")
+def c10_pattern_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Patterns as data: each with its form for Java or the reason why there is none."""
+    return PT.translated(V._over("customer", V.table(spark, sf_dir, "customer"), _WRITTEN))

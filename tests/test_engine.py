@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from logshield.functions import classify as C
 from logshield.functions import ip as IP
+from logshield.functions import patterns as PT
 from logshield.operators import counters as K
 from logshield.operators import joins as J
 from logshield.operators import verdicts as VD
@@ -242,3 +243,25 @@ def test_each_file_by_its_format(spark):
         (False, None, "GET", "/", 200), (True, "6.6.6.6", "GET", "f", 200),
     ]
     assert got[1]["host"] == "h"
+
+
+KNOWN = {
+    "^/api/.*": "/api/x", r"\d+": "a٣", r"^/v\d{1,2}/(?P<name>\w+)$": "/v12/é", "(?i)ADMIN": "/admin", r"a.b": "a\rb", "[[:alpha:]_-]+$": "12x-", "[]a]+$": "]a", r"[^\]]$": "x", r"\x{2f}q\u{71}": "/qq", "a|": "zz",
+    r"\p{Greek}\p{Lu}": "αΒ", "(?:x|y){2,3}?z": "xyz", "(?m)^b$": "a\nb\nc", "x{2}": "xx", r"\v": "\x0b", "a&b": "a&b", r"[\d.]+\.php": "1.2.php",
+}
+WRONG = {
+    "a(?=b)": "look-around or unknown group", "(?<!a)b": "look-around or unknown group", r"(a)\1": "backreference", r"\Qa\E": "unknown escape", "a++": "repeated repetition", "*a": "nothing to repeat", "(a": "unclosed group", "a)": "unopened group",
+    "[a": "unclosed class", "[z-a]": "bad range", "a{3,2}": "bad repetition", "a{": "bad repetition", "(?x) a": "flag", r"\p{Nope}": "unknown property", "[[:nope:]]": "unknown class", r"\Z": "unknown escape", "\\": "unknown escape", "[a&&b]": "set operation", "(?>a)": "look-around or unknown group",
+}
+
+
+def test_patterns_are_translated_or_refused(spark):
+    for p, text in KNOWN.items():
+        if text is not None:
+            assert spark.createDataFrame([(text,)], "u string").select(C.allowed_endpoint(F.col("u"), ("never", p))).first()[0], p
+    texts = spark.createDataFrame([("ab\n",)], "u string")
+    assert not texts.select(C.allowed_endpoint(F.col("u"), ("b$",))).first()[0]
+    got = {r["pattern"]: r["reason"] for r in PT.translated(spark.createDataFrame([(p,) for p in WRONG], "pattern string")).collect()}
+    assert got == WRONG
+    with pytest.raises(ValueError, match="look-around"):
+        C.allowed_endpoint(F.col("u"), ("ok", "a(?=b)"))
