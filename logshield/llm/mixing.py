@@ -5,9 +5,9 @@ then exchange words at random, keeping the pair's words and each document's expe
 one of the two has a whole number of copies. Chunks of a source do so independently and leave
 one fractional document each; those meet in a tree of fan-in FAN until one is left per source,
 so that a source's words differ from its target by less than a short document's size: the last
-fraction is drawn by lot. Where a document is so long that the rest of its chunk can balance one of its
-two whole numbers of copies only, it gets that one: its expectation yields to the target, which it would
-miss by its own length. (One that is balanced neither way is left to the next level, or to the lot.)
+fraction is drawn by lot. A document that is too long for the rest of its chunk to balance may leave its
+own, but for one that has a chance of SLIGHT at most of another copy (or of one less): it goes without,
+if that can be balanced, since its source would else miss the target by its length.
 
 The partner of a long document, and of the last ones of a chunk, is all that follows it, taken as one: it gains what they
 lose in proportion to their fractions, or loses what they gain in proportion to what is left to
@@ -30,6 +30,8 @@ CHUNK, FAN = 4096, 64
 #: The shortest documents of a chunk, so many at least and with so many times the words of its longest,
 #: are settled last, each against all that are shorter still.
 TAIL, LONG = 64, 8
+#: Up to this chance of a copy more (or less) a document that is too long to be balanced goes without it.
+SLIGHT = 0.1
 
 
 def word_count(text: Column) -> Column:
@@ -60,13 +62,14 @@ def targets(sources: DataFrame, share: float = 1.5, most: float = 2.0, weights:
 
 def _settled(p: np.ndarray, s: np.ndarray, u: np.ndarray, k: int, rest: np.ndarray) -> np.ndarray:
     """One step of k against all of rest, taken as one. Where the rest balances k becoming whole one way
-    only, k goes that way."""
+    only, and the other way is a slight chance, k goes that way."""
     have, room = float(p[rest] @ s[rest]), float((1 - p[rest]) @ s[rest])
     if not have or not room:
         return p
     up, down = min((1 - p[k]) * s[k], have), min(p[k] * s[k], room)
     short, tight = up < (1 - p[k]) * s[k], down < p[k] * s[k]
-    gains = tight if short != tight else u[k] * (up + down) < down
+    sided = short != tight and min(p[k], 1 - p[k]) <= SLIGHT
+    gains = tight if sided else u[k] * (up + down) < down
     if gains:
         p[k], p[rest] = p[k] + up / s[k], p[rest] * (1 - up / have)
     else:
