@@ -117,28 +117,29 @@ def lookup(rows: DataFrame, side: DataFrame, key: str, value: str, default) -> D
     return got.withColumn(value, F.coalesce("_v", F.lit(default))).drop("_v")
 
 
-def _grams(text: Column, size: int) -> Column:
-    """The distinct pieces of `size` characters of a text."""
-    last = F.char_length(text) - size + 1
-    return F.when(last > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(text, i, F.lit(size)))))
+def _joined(rows: DataFrame, side: DataFrame, keys, small: int, how: str = "inner") -> DataFrame:
+    """A join whose side is sent to all tasks only where it is counted to be small. What is read from a
+    cut is compressed, so that Spark, by the size of its files, would send sides far too large for a driver."""
+    return rows.join(F.broadcast(side) if side.count() <= small else side.hint("merge"), keys, how)
 
 
-def blocklist_match(requests: DataFrame, tokens: DataFrame, column: str = "user_agent") -> DataFrame:
+def blocklist_match(requests: DataFrame, tokens: DataFrame, column: str = "user_agent", small: int = 500_000) -> DataFrame:
     """requests with `token`: the first listed token, in order, that the column holds in any case.
 
-    Texts repeat, so distinct ones are matched, through an index of their pieces of three characters
-    (of one or two, for tokens of that length). A token is looked for where its rarest piece is, and
-    nowhere if one of its pieces is in no text; what is found is verified. So any number of tokens is
-    joined by keys."""
+    Texts repeat, so distinct ones are matched. Where a text has the first three characters of tokens (or
+    a whole token of one or two), its pieces of the lengths of these tokens are looked up among all
+    tokens. So a text is looked up as often as tokens of different lengths may begin in it, at any number
+    of tokens, however many of them share their pieces. Tables of at most `small` rows are sent to all tasks."""
     texts = cut(requests.select(column).where(F.col(column).isNotNull()).distinct().withColumn("low", F.lower(column)))
     listed = cut(tokens.select(F.lower("token").alias("token")).where("token <> ''").distinct())
-    wanted = listed.select("token", F.explode(F.coalesce(_grams(F.col("token"), GRAM), F.array("token"))).alias("gram"))
-    sizes = [r[0] for r in listed.select(F.least(F.char_length("token"), F.lit(GRAM))).distinct().collect()]  # GRAM at most
+    size = F.char_length("token")
+    heads = cut(listed.select(F.substring("token", 1, GRAM).alias("head"), size.alias("size")).distinct())
+    sizes = [r[0] for r in heads.select(F.char_length("head")).distinct().collect()]  # GRAM at most
     if not sizes:
         return requests.withColumn("token", F.lit(None).cast("string"))
-    index = texts.select(column, "low", F.explode(F.array_distinct(F.flatten(F.array(*(F.coalesce(_grams(F.col("low"), n), F.array().cast("array<string>")) for n in sizes))))).alias("gram"))
-    known = index.join(wanted.select("gram").distinct(), "gram").groupBy("gram").agg(F.count("*").alias("texts"))
-    rarest = wanted.join(known, "gram", "left").groupBy("token").agg(F.min(F.struct(F.coalesce("texts", F.lit(0)).alias("texts"), "gram")).alias("r")).where("r.texts > 0")
-    some = index.join(rarest.select("token", "r.gram"), "gram").where(F.contains("low", "token"))
-    hits = some.groupBy(column).agg(F.min("token").alias("token"))
-    return requests.join(hits, column, "left").select(*requests.columns, "token")
+    last = F.char_length("low")
+    at = lambda n: F.when(last >= n, F.transform(F.sequence(F.lit(1), F.greatest(last - n + 1, F.lit(1))), lambda i: F.struct(i.alias("at"), F.substring("low", i, F.lit(n)).alias("head"))))
+    places = texts.select(column, "low", F.inline(F.flatten(F.array_compact(F.array(*map(at, sizes))))))
+    pieces = _joined(places, heads, "head", small).select(column, F.substring("low", F.col("at"), F.col("size")).alias("token"))
+    hits = cut(_joined(pieces, listed, "token", small).groupBy(column).agg(F.min("token").alias("token")))
+    return _joined(requests, hits, column, small, "left").select(*requests.columns, "token")

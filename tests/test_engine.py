@@ -208,6 +208,16 @@ def test_tokens_by_pieces_and_nested_networks(spark):
         assert got[a] == (("Subnet", *over[0]) if over else (None, None, None))
 
 
+def test_many_tokens_of_the_same_pieces_are_not_sent_to_all_tasks(spark):
+    texts = [f"Agent{i % 97} REF{i % 40}" for i in range(400)]
+    tokens = [f"ref{i}" for i in range(3000)] + [f"nt{i}" for i in range(0, 90, 7)]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, user_agent string")
+    got = J.blocklist_match(rows, spark.createDataFrame([(t,) for t in tokens], "token string"), small=0)
+    want = {i: min((k for k in tokens if k in t.lower()), default=None) for i, t in enumerate(texts)}
+    assert {r["i"]: r["token"] for r in got.collect()} == want
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_json_lines_are_whole_and_typed(spark):
     lines = [
         '{"ip":"1.1.1.1","uri":"/a"}', '{"ip":"1.1.1.1"} trailing', '{"ip":"1.1.1.1"},{"a":1}', '{"ip":"1.1.1.1","ip":"2.2.2.2"}', '{"client":7,"ip":"1.1.1.1"}', '{"client":null,"ip":"1.1.1.1","status":70000}',
