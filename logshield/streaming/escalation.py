@@ -1,220 +1,158 @@
 """Offense history and tiered bans over streams, and bans that end by themselves.
 
-Offenses wait at a gate by spans of their address (see live), and reach the address's state in their order;
-what is kept of an address is a handful of numbers. Bans that come out are rows of the ban ledger, as
-bans of verdicts are. All results are those of the batch operators over the same rows."""
+Offenses wait until the watermark has come to them, and change what is kept of their addresses in their
+order; that is a handful of numbers an address. Addresses are dealt to keys by hash (see live). Bans that
+come out are rows of the ban ledger, as bans of verdicts are. All results are those of the batch
+operators over the same rows."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
-from logshield.streaming.live import SPAN, Gate, _Ordered, _text
+from logshield.streaming.live import Ordered, dealt
 
 #: Seconds after its last offense at which an address's history ends.
 MAX_AGE = 30 * 86400
-_PASSED = "client_ip string, row_id long, ts_sec long, event_ts timestamp, perm boolean, reason string"
-
-
-class _Passing(Gate):
-    """Offenses of a span, let through in their order."""
-
-    waiting_schema = "row_id long, ts_sec long, perm boolean, reason string"
-
-    def waits(self, row) -> tuple:
-        return (int(row.row_id), int(row.ts_sec), bool(row.perm), _text(row.reason))
-
-    def released(self, key, rows, mark) -> pd.DataFrame:
-        at = pd.Timestamp(mark + 1, unit="ms")
-        return pd.DataFrame([(key[0], row_id, ts, at, perm, reason) for row_id, ts, perm, reason in rows], columns=["client_ip", "row_id", "ts_sec", "event_ts", "perm", "reason"])
-
-
-class _Address(StatefulProcessor):
-    """One address: its offenses, in order, change the numbers that are kept of it."""
-
-    kept: str
-    columns: list[str]
-
-    def init(self, handle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("state", self.kept)
-
-    def read(self) -> tuple | None:
-        return tuple(self.state.get()) if self.state.exists() else None
-
-    def step(self, state: tuple | None, row) -> tuple[tuple, list[tuple]]:
-        raise NotImplementedError
-
-    def ends(self, state: tuple) -> int | None:
-        """The second after which `ended` is asked what is left of the state; never if none."""
-        raise NotImplementedError
 
-    def ended(self, key: tuple, state: tuple, now: int) -> tuple[tuple | None, list[tuple]]:
-        raise NotImplementedError
 
-    def keep(self, state: tuple | None) -> None:
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-        if state is None:
-            self.state.clear()
-            return
-        self.state.update(state)
-        end = self.ends(state)
-        if end is not None:
-            self.handle.registerTimer(end * 1000)
+def _columns(rows: pd.DataFrame, *names: str):
+    """The rows as tuples, null as None."""
+    return zip(*(rows[n].astype(object).where(rows[n].notna(), None) for n in names))
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
-        state, out = self.read(), []
-        for row in pd.concat(list(rows)).sort_values(["ts_sec", "row_id"]).itertuples(index=False):
-            state, made = self.step(state, row)
-            out += made
-        self.keep(state)
-        if out:
-            yield pd.DataFrame(out, columns=self.columns)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
-        state, out = self.read(), []
-        if state is not None:
-            state, out = self.ended(key, state, timerValues.getCurrentWatermarkInMs() // 1000)
-            self.keep(state)
-        if out:
-            yield pd.DataFrame(out, columns=self.columns)
-
-    def close(self) -> None:
-        pass
-
-
-class OffenseHistory(_Address):
+class OffenseHistory(Ordered):
     """count, first_seen and last_seen after each offense; a row with `pruned` when the history ends."""
 
-    kept = "count long, first_seen long, last_seen long"
+    waiting = "client_ip string, row_id long, ts_sec long"
+    kept = "client_ip string, count long, first_seen long, last_seen long"
     columns = ["client_ip", "row_id", "ts_sec", "count", "first_seen", "last_seen", "pruned"]
 
     def __init__(self, window: int, max_age: int):
         self.window, self.max_age = window, max_age
 
-    def step(self, state, row):
-        ts = int(row.ts_sec)
-        count, first, last = state or (0, ts, ts)
-        count, first = (1, ts) if ts - last > self.window else (count + 1, first)
-        return (count, first, ts), [(row.client_ip, int(row.row_id), ts, count, first, ts, False)]
-
-    def ends(self, state):
-        return state[2] + self.max_age
-
-    def ended(self, key, state, now):
-        if now <= self.ends(state):
-            return state, []
-        return None, [(key[0], None, self.ends(state), *state, True)]
-
-
-class Escalation(_Address):
+    def step(self, kept, rows, mark):
+        state, out = {ip: told for ip, *told in _columns(kept, *kept.columns)}, []
+        for ip, row_id, ts in _columns(rows, "client_ip", "row_id", "ts_sec"):
+            count, first, last = state.get(ip) or (0, ts, ts)
+            count, first = (1, ts) if ts - last > self.window else (count + 1, first)
+            state[ip] = (count, first, ts)
+            out.append((ip, row_id, ts, count, first, ts, False))
+        now = mark // 1000
+        for ip, (count, first, last) in list(state.items()):
+            if now > last + self.max_age:
+                out.append((ip, None, last + self.max_age, count, first, last, True))
+                del state[ip]
+        made = pd.DataFrame(out, columns=self.columns).astype({"row_id": "Int64"})
+        return pd.DataFrame([(ip, *told) for ip, told in state.items()], columns=kept.columns), made
+
+    def ends(self, kept):
+        return kept["last_seen"].min() + self.max_age + 1
+
+
+class Escalation(Ordered):
     """The window's count and anchor, and the next tier; a row for each ban."""
 
-    kept = "n int, anchor long, tier int"
+    waiting = "client_ip string, row_id long, ts_sec long, perm boolean, reason string"
+    kept = "client_ip string, n long, anchor long, tier long"
     columns = ["client_ip", "row_id", "ts_sec", "tier", "perm", "reason"]
 
     def __init__(self, find_time: int, max_retry: int, last: int):
         self.find_time, self.max_retry, self.last = find_time, max_retry, last
 
-    def step(self, state, row):
-        n, anchor, tier = state or (0, None, 0)
-        ts = int(row.ts_sec)
-        ban = lambda t, perm: [(row.client_ip, int(row.row_id), ts, t, perm, _text(row.reason))]
-        if row.perm:
-            return (0, None, tier), ban(self.last, True)
-        n, anchor = (1, ts) if anchor is None or ts - anchor > self.find_time else (n + 1, anchor)
-        if n >= self.max_retry:
-            return (0, None, min(tier + 1, self.last)), ban(tier, False)
-        return (n, anchor, tier), []
-
-    def ends(self, state):
+    def step(self, kept, rows, mark):
+        state, out = {ip: told for ip, *told in _columns(kept, *kept.columns)}, []
+        for ip, row_id, ts, perm, reason in _columns(rows, "client_ip", "row_id", "ts_sec", "perm", "reason"):
+            n, anchor, tier = state.get(ip) or (0, None, 0)
+            if perm:
+                state[ip] = (0, None, tier)
+                out.append((ip, row_id, ts, self.last, True, reason))
+                continue
+            n, anchor = (1, ts) if anchor is None or ts - anchor > self.find_time else (n + 1, anchor)
+            state[ip] = (n, anchor, tier)
+            if n >= self.max_retry:
+                state[ip] = (0, None, min(tier + 1, self.last))
+                out.append((ip, row_id, ts, tier, False, reason))
         # Without a tier, an address is forgotten with its window.
-        return None if state[2] else (state[1] or 0) + self.find_time
+        left = [(ip, n, anchor, tier) for ip, (n, anchor, tier) in state.items() if tier or (anchor is not None and mark // 1000 <= anchor + self.find_time)]
+        return pd.DataFrame(left, columns=kept.columns).astype({"anchor": "Int64"}), pd.DataFrame(out, columns=self.columns)
 
-    def ended(self, key, state, now):
-        return (None if now > self.ends(state) else state), []
+    def ends(self, kept):
+        return kept.loc[kept["tier"] == 0, "anchor"].min() + self.find_time + 1
 
 
-def _gated(offenses: DataFrame, span: int) -> DataFrame:
+def _dealt(offenses: DataFrame):
     names = offenses.columns
     reason = F.col("reason") if "reason" in names else F.lit(None).cast("string")
     perm = F.coalesce("instant_permanent", F.lit(False)) if "instant_permanent" in names else F.lit(False)
-    rows = offenses.where("event_ts IS NOT NULL").select("client_ip", "row_id", "ts_sec", "event_ts", perm.alias("perm"), reason.alias("reason"), F.floor(F.col("ts_sec") / span).alias("span"))
-    return rows.groupBy("client_ip", "span").transformWithStateInPandas(_Passing(span), _PASSED, "Append", "EventTime", eventTimeColumnName="event_ts")
+    rows = offenses.where("event_ts IS NOT NULL").select("client_ip", "row_id", "ts_sec", "event_ts", perm.alias("perm"), reason.alias("reason"), dealt("client_ip").alias("of"))
+    return rows.groupBy("of")
 
 
-def stream_offenses(offenses: DataFrame, window: int, max_age: int = MAX_AGE, span: int = SPAN) -> DataFrame:
+def stream_offenses(offenses: DataFrame, window: int, max_age: int = MAX_AGE) -> DataFrame:
     """(client_ip, row_id, ts_sec, count, first_seen, last_seen, pruned): the history of an address after
     each of a stream's offenses(client_ip, row_id, ts_sec, event_ts), see timed; the last row of an
     address is what offense_counter tells. When it has been quiet for max_age seconds, its history ends
     with a row that has `pruned`. Offenses without a time are left out."""
     kind = "client_ip string, row_id long, ts_sec long, count long, first_seen long, last_seen long, pruned boolean"
-    return _gated(offenses, span).groupBy("client_ip").transformWithStateInPandas(OffenseHistory(window, max_age), kind, "Append", "EventTime")
+    return _dealt(offenses).transformWithStateInPandas(OffenseHistory(window, max_age), kind, "Append", "EventTime")
 
 
-def stream_escalate(offenses: DataFrame, find_time: int, max_retry: int, tiers: tuple[int | None, ...], span: int = SPAN) -> DataFrame:
+def stream_escalate(offenses: DataFrame, find_time: int, max_retry: int, tiers: tuple[int | None, ...]) -> DataFrame:
     """The bans of escalate for a stream of offenses, as verdicts: client_ip, row_id, ts_sec, action,
     reason, permanent, tier and duration_s, which stream_bans saves in its ledger with their tiers.
     Offenses without a time are left out."""
     fold = Escalation(find_time, max(max_retry, 1), max(len(tiers) - 1, 0))
-    got = _gated(offenses, span).groupBy("client_ip").transformWithStateInPandas(fold, "client_ip string, row_id long, ts_sec long, tier int, perm boolean, reason string", "Append", "EventTime")
+    got = _dealt(offenses).transformWithStateInPandas(fold, "client_ip string, row_id long, ts_sec long, tier int, perm boolean, reason string", "Append", "EventTime")
     length = F.element_at(F.array(*[F.lit(t).cast("long") for t in tiers]), F.col("tier") + 1) if tiers else F.lit(None).cast("long")
     length = F.when(F.col("perm"), F.lit(None).cast("long")).otherwise(length)
     return got.select("client_ip", "row_id", "ts_sec", F.lit("ban").alias("action"), "reason", length.isNull().alias("permanent"), "tier", length.alias("duration_s"))
 
 
-class BanClock(_Ordered):
-    """The ban of one target: begun by a row, ended by the next one or by its own time."""
-
-    waiting_schema = "row_id long, ts_sec long, tier_level int, expires_at long, reason string"
-
-    def init(self, handle) -> None:
-        super().init(handle)
-        self.ban = handle.getValueState("ban", "banned_at long, tier_level int, expires_at long, reason string")
+class BanClock(Ordered):
+    """The bans of targets: begun by a row, ended by the next one or by their own time."""
 
-    def waits(self, row) -> tuple:
-        whole = lambda x: None if pd.isna(x) else int(x)
-        return (int(row.row_id), int(row.banned_at), int(row.tier_level), whole(row.expires_at), _text(row.reason))
+    waiting = "target string, row_id long, ts_sec long, tier_level long, expires_at long, reason string"
+    kept = "target string, banned_at long, tier_level long, expires_at long, reason string, row_id long"
+    columns = ["target", "event", "at", "tier_level", "banned_at", "expires_at", "reason", "row_id"]
 
-    def released(self, key, rows, mark) -> pd.DataFrame:
-        ban, out, now = tuple(self.ban.get()) if self.ban.exists() else None, [], mark // 1000
-        lifted = lambda b: (key[0], "lifted", b[2], b[1], b[0], b[2], b[3])
-        for _, at, tier, expires, reason in rows:
+    def step(self, kept, rows, mark):
+        state, out, now = {target: told for target, *told in _columns(kept, *kept.columns)}, [], mark // 1000
+        event = lambda target, what, at, ban: out.append((target, what, at, ban[1], ban[0], *ban[2:]))
+        for target, row_id, at, tier, expires, reason in _columns(rows, "target", "row_id", "ts_sec", "tier_level", "expires_at", "reason"):
+            ban = state.get(target)
             if ban is not None and ban[2] is not None and ban[2] <= at:
-                out.append(lifted(ban))
-            ban = (at, tier, expires, reason)
-            out.append((key[0], "banned", at, tier, at, expires, reason))
-        if ban is not None and ban[2] is not None and ban[2] <= now:
-            out.append(lifted(ban))
-            ban = None
-        if ban is None:
-            self.ban.clear()
-        else:
-            self.ban.update(ban)
-            if ban[2] is not None:
-                self.handle.registerTimer(ban[2] * 1000 - 1)
-        return pd.DataFrame(out, columns=["target", "event", "at", "tier_level", "banned_at", "expires_at", "reason"]).astype({"expires_at": "Int64"})
+                event(target, "lifted", ban[2], ban)
+            state[target] = (at, tier, expires, reason, row_id)
+            event(target, "banned", at, state[target])
+        for target, ban in list(state.items()):
+            if ban[2] is not None and ban[2] <= now:
+                event(target, "lifted", ban[2], ban)
+                del state[target]
+        left = pd.DataFrame([(target, *ban) for target, ban in state.items()], columns=kept.columns).astype({"expires_at": "Int64"})
+        return left, pd.DataFrame(out, columns=self.columns).astype({"expires_at": "Int64"})
+
+    def ends(self, kept):
+        return kept["expires_at"].min()
 
 
 def stream_expiry(bans: DataFrame) -> DataFrame:
-    """(target, event, at, tier_level, banned_at, expires_at, reason): `banned` and `lifted` as they come
+    """(target, event, at, tier_level, banned_at, expires_at, reason, row_id): `banned` and `lifted` as they come
     about, of a stream of bans(target, tier_level, banned_at, expires_at, reason, row_id, event_ts), with
     the watermark on event_ts, the time of banned_at. Of a target the last ban counts (row_id breaks
     ties); one that is replaced before its end is not lifted. A ban is lifted when the watermark comes
     to its end, and its state goes with it; permanent ones stay."""
-    kind = "target string, event string, at long, tier_level int, banned_at long, expires_at long, reason string"
-    rows = bans.where("event_ts IS NOT NULL").select("target", "tier_level", "banned_at", "expires_at", "reason", "row_id", "event_ts")
-    return rows.groupBy("target").transformWithStateInPandas(BanClock(), kind, "Append", "EventTime")
-
-
-def standing(events: DataFrame) -> DataFrame:
-    """The ban table of the events of stream_expiry so far: targets whose last event is a ban."""
-    # In one second a ban comes after the end of the one before.
-    order = F.struct("at", (F.col("event") == "banned").cast("int"), "banned_at")
-    last = events.groupBy("target").agg(F.max_by(F.struct("event", "tier_level", "banned_at", "expires_at", "reason"), order).alias("s"))
+    kind = "target string, event string, at long, tier_level int, banned_at long, expires_at long, reason string, row_id long"
+    rows = bans.where("event_ts IS NOT NULL").select("target", F.col("banned_at").alias("ts_sec"), "tier_level", "expires_at", "reason", "row_id", "event_ts", dealt("target").alias("of"))
+    return rows.groupBy("of").transformWithStateInPandas(BanClock(), kind, "Append", "EventTime")
+
+
+def standing(events: DataFrame, as_of: int | None = None) -> DataFrame:
+    """The ban table of the events of stream_expiry so far: targets whose last ban was not lifted, or, with
+    `as_of`, not until then."""
+    # A ban and its end are told by the row that began it; an end may lie before its ban.
+    known = events if as_of is None else events.where((F.col("event") == "banned") | (F.col("at") <= as_of))
+    order = F.struct("banned_at", "row_id", (F.col("event") == "lifted").cast("int"))
+    last = known.groupBy("target").agg(F.max_by(F.struct("event", "tier_level", "banned_at", "expires_at", "reason"), order).alias("s"))
     return last.where("s.event = 'banned'").select("target", "s.tier_level", "s.banned_at", "s.expires_at", "s.reason")

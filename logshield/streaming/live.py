@@ -7,10 +7,12 @@ that of the batch operators over the same rows. Strikes that come after the wate
 counted by Spark (see late_rows). The state of an address goes when none of its pools was hit for
 IDLE seconds.
 
-Rows wait in a state of their own for each span of SPAN seconds of an address, which is read once,
-when the watermark has passed the span. So a busy address is many keys, and no list of it is read or
-written again and again. A span counts its strikes by itself; what depends on the spans before (254
-rows of a pool at most, as counters end at 255) and a summary go on to the address's own state.
+Addresses are dealt to KEYS keys by hash, and the rows of a key are handled as one table, so that the
+costs of a key in Python are not those of an address. What arrives waits in parts as it came, one
+value a part. Strikes wait for each span of SPAN seconds of a key, which is read once, when the
+watermark has passed the span: a busy address is many keys, and no list of it is read or written again
+and again. A span counts its strikes by itself; what depends on the spans before (254 rows of a pool
+at most, as counters end at 255) and a summary go on to the state that follows the addresses.
 
 Streams need ts_sec (seconds since 1970) and row_id, the order within a second. A strike without a
 time stands alone: it is counted as the first of its pool."""
@@ -20,6 +22,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -33,11 +36,11 @@ from logshield.sources.policies import latest
 
 #: Seconds without a strike after which an address is forgotten; seconds of a span; how late a row may come.
 IDLE, SPAN, DELAY = 600, 10, "10 seconds"
-#: Largest count of a counter; keys that finished rows of a busy address are dealt to.
-MOST, DEALT = 255, 64
+#: Largest count of a counter; keys of a state, to which addresses are dealt by hash.
+MOST, KEYS = 255, 32
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _STRIKE = "client_ip string, row_id long, ts_sec long, event_ts timestamp, uri string, pool string, told string, category string, threshold int, window_s int"
-_WAITING = "row_id long, ts_sec long, uri string, pool string, told string, category string, threshold int, window_s int"
+_WAITING = "client_ip string, row_id long, ts_sec long, uri string, pool string, told string, category string, threshold int, window_s int"
 _COUNTED = "client_ip string, part int, kind string, row_id long, ts_sec long, event_ts timestamp, uri string, pool string, told string, category string, threshold int, window_s int, n int"
 _NAMES = lambda schema: [c.split()[0] for c in schema.split(", ")]
 
@@ -73,52 +76,60 @@ def timed(rows: DataFrame, delay: str = DELAY, once_by: tuple[str, ...] = ()) ->
     return rows.dropDuplicatesWithinWatermark(list(once_by)) if once_by else rows
 
 
-class _Ordered(StatefulProcessor):
-    """Rows of a key wait until the watermark passes them; then `released` gets them in order."""
+def dealt(*columns: str, keys: int = KEYS) -> Column:
+    """The key of a state that these values belong to."""
+    return F.pmod(F.xxhash64(*columns), F.lit(keys)).cast("int")
 
-    waiting_schema: str
 
-    def init(self, handle) -> None:
-        self.handle = handle
-        self.waiting = handle.getListState("waiting", self.waiting_schema)
+def _packed(rows: pd.DataFrame, schema: pa.Schema) -> tuple[bytes]:
+    """A table as one value of a state."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, schema) as to:
+        to.write_table(pa.Table.from_pandas(rows, schema, preserve_index=False))
+    return (sink.getvalue().to_pybytes(),)
 
-    def waits(self, row) -> tuple:
-        raise NotImplementedError
 
-    def released(self, key: tuple, rows: list[tuple], mark: int) -> pd.DataFrame:
-        raise NotImplementedError
+def _unpacked(parts, schema: pa.Schema) -> pd.DataFrame:
+    tables = [pa.ipc.open_stream(p[0]).read_all() for p in parts]
+    return pa.concat_tables(tables or [schema.empty_table()]).to_pandas(types_mapper=_KINDS.get)
+
+
+#: Whole numbers and flags that may be null stay what they are.
+_KINDS = {pa.int64(): pd.Int64Dtype(), pa.bool_(): pd.BooleanDtype()}
+
+
+def arrow(schema: str) -> pa.Schema:
+    kinds = {"long": pa.int64(), "int": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
+    return pa.schema([(n, kinds[k]) for n, k in (c.split() for c in schema.split(", "))])
+
+
+class Gate(StatefulProcessor):
+    """Rows of a span of seconds, the last part of the key, wait until the watermark has passed the
+    span; then `released` gets them, once, as one table in the order of (ts_sec, row_id)."""
+
+    waiting: str
 
-    def at(self, row: tuple) -> int:
-        return row[1] * 1000
+    def __init__(self, span: int):
+        self.span = span
 
-    def wake(self, ms: int) -> None:
-        # A timer fires when the watermark is past it; a row is due when the watermark has come to it.
-        timers = list(self.handle.listTimers())
-        if not timers or ms - 1 < min(timers):
-            for t in timers:
-                self.handle.deleteTimer(t)
-            self.handle.registerTimer(ms - 1)
+    def init(self, handle) -> None:
+        self.handle, self.schema = handle, arrow(self.waiting)
+        self.parts = handle.getListState("parts", "rows binary")
+
+    def released(self, key: tuple, rows: pd.DataFrame, at: pd.Timestamp) -> pd.DataFrame:
+        raise NotImplementedError
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
-        new = [self.waits(r) for pdf in rows for r in pdf.itertuples(index=False)]
-        if new:
-            self.waiting.appendList(new)
-            self.wake(min(map(self.at, new)))
+        for pdf in rows:
+            self.parts.appendValue(_packed(pdf[self.schema.names], self.schema))
+        self.handle.registerTimer((int(key[-1]) + 1) * self.span * 1000 - 1)
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
-        mark = timerValues.getCurrentWatermarkInMs()
-        rows = [tuple(r) for r in self.waiting.get()]
-        due = sorted((r for r in rows if self.at(r) <= mark), key=lambda r: (r[1], r[0]))
-        rest = [r for r in rows if self.at(r) > mark]
-        if due:
-            if rest:
-                self.waiting.put(rest)
-            else:
-                self.waiting.clear()
-        out = self.released(key, due, mark)
-        if rest:
-            self.handle.registerTimer(min(map(self.at, rest)) - 1)
+        rows = _unpacked(self.parts.get(), self.schema).sort_values(["ts_sec", "row_id"], ignore_index=True)
+        self.parts.clear()
+        # Spark wants the event time of what is released to be after the watermark; ts_sec keeps the order.
+        out = self.released(key, rows, pd.Timestamp(timerValues.getCurrentWatermarkInMs() + 1, unit="ms"))
         if len(out):
             yield out
 
@@ -126,163 +137,187 @@ class _Ordered(StatefulProcessor):
         pass
 
 
-def _text(x) -> str | None:
-    return None if x is None or x != x else str(x)
+class Ordered(StatefulProcessor):
+    """Rows wait until the watermark has come to them; then `step` gets those of a key as one table in
+    the order of (ts_sec, row_id), with the table that is kept of the key, and returns what is to be kept
+    and what is let out. `ends` tells the next second at which `step` is asked again without rows."""
 
-
-class Gate(StatefulProcessor):
-    """Rows of a span of seconds, the last part of the key, wait until the watermark has passed the
-    span; then `released` gets them in order, once."""
-
-    waiting_schema: str
-
-    def __init__(self, span: int):
-        self.span = span
+    waiting: str
+    kept: str
 
     def init(self, handle) -> None:
-        self.handle = handle
-        self.waiting = handle.getListState("waiting", self.waiting_schema)
+        self.handle, self.schema, self.kind = handle, arrow(self.waiting), arrow(self.kept)
+        self.parts = handle.getListState("parts", "rows binary")
+        self.state = handle.getValueState("state", "rows binary")
 
-    def waits(self, row) -> tuple:
+    def step(self, kept: pd.DataFrame, rows: pd.DataFrame, mark: int) -> tuple[pd.DataFrame, pd.DataFrame | None]:
         raise NotImplementedError
 
-    def released(self, key: tuple, rows: list[tuple], mark: int) -> pd.DataFrame:
-        raise NotImplementedError
+    def ends(self, kept: pd.DataFrame) -> float | None:
+        return None
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
+        first = []
         for pdf in rows:
-            self.waiting.appendList([self.waits(r) for r in pdf.itertuples(index=False)])
-        self.handle.registerTimer((int(key[-1]) + 1) * self.span * 1000 - 1)
+            self.parts.appendValue(_packed(pdf[self.schema.names], self.schema))
+            first.append(int(pdf["ts_sec"].min()))
+        if first:
+            # A timer fires when the watermark is past it; a row is due when the watermark has come to it.
+            ms, timers = min(first) * 1000 - 1, list(self.handle.listTimers())
+            if not timers or ms < min(timers):
+                for t in timers:
+                    self.handle.deleteTimer(t)
+                self.handle.registerTimer(ms)
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
-        rows = sorted((tuple(r) for r in self.waiting.get()), key=lambda r: (r[1], r[0]))
-        self.waiting.clear()
-        # Spark wants the event time of what is released to be after the watermark; ts_sec keeps the order.
-        out = self.released(key, rows, timerValues.getCurrentWatermarkInMs())
-        if len(out):
+        mark = timerValues.getCurrentWatermarkInMs()
+        rows = _unpacked(self.parts.get(), self.schema)
+        late = rows["ts_sec"] * 1000 > mark
+        rest, due = rows[late], rows[~late].sort_values(["ts_sec", "row_id"], ignore_index=True)
+        if len(due):
+            if len(rest):
+                self.parts.put([_packed(rest, self.schema)])
+            else:
+                self.parts.clear()
+        kept = _unpacked([self.state.get()] if self.state.exists() else [], self.kind)
+        kept, out = self.step(kept, due, mark)
+        if len(kept):
+            self.state.update(_packed(kept, self.kind))
+        else:
+            self.state.clear()
+        end = self.ends(kept) if len(kept) else None
+        again = [*([rest["ts_sec"].min()] if len(rest) else []), *([] if end is None or pd.isna(end) else [end])]
+        if again:
+            self.handle.registerTimer(int(min(again)) * 1000 - 1)
+        if out is not None and len(out):
             yield out
 
     def close(self) -> None:
         pass
 
 
+def runs(rows: pd.DataFrame, by: list[str], fresh) -> pd.Series:
+    """For rows in order, the number of their run in its group; a `fresh` row begins the next."""
+    return fresh.astype("int64").groupby([rows[c] for c in by], sort=False, dropna=False).cumsum()
+
+
 class SpanStrikes(Gate):
     """The strikes of a span, counted from its beginning. `done` rows have their count; `lead` rows
     are of the first run of their pool, so that what came before the span adds to them; a `span` row a
     pool tells where the span ends (n of its last run), `cut` if that run began within it."""
 
-    waiting_schema = _WAITING
+    waiting = _WAITING
 
     def __init__(self, span: int, never: bool = False):
         super().__init__(span)
         self.never = never
 
-    def waits(self, row) -> tuple:
-        return (int(row.row_id), int(row.ts_sec), _text(row.uri), row.pool, row.told, _text(row.category), int(row.threshold), int(row.window_s))
-
-    def released(self, key, rows, mark) -> pd.DataFrame:
-        at, out, state = pd.Timestamp(mark + 1, unit="ms"), [], {}
-        for row_id, ts, uri, pool, told, category, threshold, window in rows:
-            last, was, n, cut = state.get(pool, (ts, category, 0, False))
-            fresh = n > 0 and ((not self.never and ts - last > window) or (pool == "isolated" and category != was))
-            n, cut = (1, True) if fresh else (min(n + 1, MOST), cut)
-            state[pool] = (ts, category, n, cut)
-            lead = not cut and n < MOST
-            out.append((key[0], -1 if lead else row_id % DEALT, "lead" if lead else "done", row_id, ts, at, uri, pool, told, category, threshold, window, n))
-        for pool, (ts, category, n, cut) in state.items():
-            out.append((key[0], -1, "cut" if cut else "span", None, ts, at, None, pool, None, category, None, None, n))
-        return pd.DataFrame(out, columns=_NAMES(_COUNTED)).astype({c: "Int64" for c in ("row_id", "threshold", "window_s")})
-
-
+    def released(self, key, rows, at) -> pd.DataFrame:
+        by = ["client_ip", "pool"]
+        before = rows.groupby(by, sort=False, dropna=False)[["ts_sec", "category"]].shift()
+        other = (rows["pool"] == "isolated") & before["ts_sec"].notna() & (rows["category"].fillna("\0") != before["category"].fillna("\0"))
+        gone = False if self.never else (rows["ts_sec"] - before["ts_sec"] > rows["window_s"]).fillna(False).astype(bool)
+        run = runs(rows, by, other | gone)
+        n = (rows.groupby([rows["client_ip"], rows["pool"], run], sort=False, dropna=False).cumcount() + 1).clip(upper=MOST)
+        rows = rows.assign(n=n, event_ts=at)
+        lead = (run == 0) & (n < MOST)
+        last = rows.assign(kind=(run > 0).map({True: "cut", False: "span"})).drop_duplicates(by, keep="last")
+        rows = rows.assign(kind=lead.map({True: "lead", False: "done"}), part=(KEYS + rows["row_id"] % KEYS).mask(lead, key[0]))
+        last = last.assign(part=key[0], row_id=pd.NA, uri=None, told=None, threshold=pd.NA, window_s=pd.NA)
+        return pd.concat([rows, last])[_NAMES(_COUNTED)]
 class StrikeChain(StatefulProcessor):
-    """What spans leave to the address: per pool the last strike's second, its category and the count.
-    All spans that the watermark has passed come in one batch, so that those of a batch, in their
-    order, follow those of the batches before."""
+    """What spans leave to the addresses of a key: per pool the last strike's second, its category and the
+    count. All spans that the watermark has passed come in one batch, so that those of a batch, in
+    their order, follow those of the batches before."""
+
+    kept = arrow("client_ip string, pool string, last long, category string, n long")
 
     def __init__(self, every: int, never: bool = False, idle: int = IDLE):
         self.every, self.never, self.idle = every, never, idle
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.pools = handle.getMapState("pools", "pool string", "last long, category string, n int")
+        self.state = handle.getValueState("state", "rows binary")
+
+    def read(self) -> pd.DataFrame:
+        return _unpacked([self.state.get()] if self.state.exists() else [], self.kept)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
         names, chained = ["client_ip", "row_id", "ts_sec", "uri", "pool", "told", "threshold", "strikes"], []
         for pdf in rows:
-            done = pdf[pdf["kind"] == "done"]
-            if len(done):
-                yield done.rename(columns={"n": "strikes"})[names]
-            chained.append(pdf[pdf["kind"] != "done"])
+            done = pdf["kind"] == "done"
+            if done.any():
+                yield pdf[done].rename(columns={"n": "strikes"})[names]
+            if not done.all():
+                chained.append(pdf[~done])
+        if not chained:
+            return
         # A span's rows in order, its summaries behind them.
         some = pd.concat(chained)
-        if not len(some):
-            return
-        some = some.assign(last=some["kind"] != "lead", place=some["ts_sec"] // self.every).sort_values(["place", "last", "ts_sec", "row_id"])
-        state = {k[0]: tuple(v) for k, v in self.pools.iterator()} if self.pools.exists() else {}
-        out, carry = [], {}
-        for r in some.itertuples(index=False):
-            if r.kind == "lead":
-                if r.pool not in carry:
-                    last, was, n = state.get(r.pool, (None, None, 0))
-                    fresh = last is None or (not self.never and r.ts_sec - last > r.window_s) or (r.pool == "isolated" and _text(r.category) != was)
-                    carry[r.pool] = 0 if fresh else n
-                out.append((key[0], r.row_id, r.ts_sec, _text(r.uri), r.pool, r.told, r.threshold, min(r.n + carry[r.pool], MOST)))
+        some = some.assign(last=some["kind"] != "lead", place=some["ts_sec"] // self.every).sort_values(["place", "last", "ts_sec", "row_id"], ignore_index=True)
+        some["category"] = some["category"].astype(object).where(some["category"].notna(), None)
+        kept = self.read()
+        state = {(ip, pool): (last, was, n) for ip, pool, last, was, n in zip(*(kept[c] for c in kept.columns))}
+        strikes, carry = [0] * len(some), {}
+        for i, (ip, pool, kind, ts, category, window, n) in enumerate(zip(*(some[c] for c in ("client_ip", "pool", "kind", "ts_sec", "category", "window_s", "n")))):
+            of = (ip, pool)
+            if kind == "lead":
+                if of not in carry:
+                    last, was, before = state.get(of, (None, None, 0))
+                    fresh = last is None or (not self.never and ts - last > window) or (pool == "isolated" and category != was)
+                    carry[of] = 0 if fresh else before
+                strikes[i] = min(n + carry[of], MOST)
             else:
-                n = r.n if r.kind == "cut" else min(r.n + carry.get(r.pool, 0), MOST)
-                state[r.pool] = (int(r.ts_sec), _text(r.category), int(n))
-                carry.pop(r.pool, None)
-        for pool, value in state.items():
-            self.pools.updateValue((pool,), value)
-        self._forget(state, timerValues)
-        if out:
-            yield pd.DataFrame(out, columns=names)
+                state[of] = (ts, category, n if kind == "cut" else min(n + carry.get(of, 0), MOST))
+                carry.pop(of, None)
+        self._keep(pd.DataFrame([(*of, *value) for of, value in state.items()], columns=kept.columns), timerValues)
+        lead = some["kind"] == "lead"
+        if lead.any():
+            yield some.assign(strikes=strikes)[lead][names]
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
-        self._forget({k[0]: tuple(v) for k, v in self.pools.iterator()} if self.pools.exists() else {}, timerValues)
+        self._keep(self.read(), timerValues)
         yield from ()
 
-    def _forget(self, state: dict, timerValues) -> None:
-        """State that was idle goes; else a timer is set for when it may."""
-        if state and not self.never:
-            end = (max(v[0] for v in state.values()) + self.idle) * 1000
-            if end < timerValues.getCurrentWatermarkInMs():
-                self.pools.clear()
-            else:
-                self.handle.registerTimer(end)
+    def _keep(self, state: pd.DataFrame, timerValues) -> None:  # noqa: N803
+        """What was idle goes; a timer is set for when the next may."""
+        if not self.never:
+            ends = (state["last"] + self.idle) * 1000
+            state = state[ends >= timerValues.getCurrentWatermarkInMs()]
+        if not len(state):
+            self.state.clear()
+            return
+        self.state.update(_packed(state, self.kept))
+        if not self.never:
+            self.handle.registerTimer(int(state["last"].min() + self.idle) * 1000)
 
     def close(self) -> None:
         pass
 
 
-class SshPairing(_Ordered):
-    """Lines of one sshd process: a marker line makes its next line with an address a probe."""
+class SshPairing(Ordered):
+    """Lines of sshd processes: a marker line makes its process's next line with an address a probe."""
 
-    waiting_schema = "row_id long, ts_sec long, client_ip string, kind string, reason string, mark string, addr string"
+    waiting = "proc string, row_id long, ts_sec long, client_ip string, kind string, reason string, mark string, addr string"
+    kept = "proc string, mark string"
 
-    def init(self, handle) -> None:
-        super().init(handle)
-        self.pending = handle.getValueState("pending", "mark string")
-
-    def waits(self, row) -> tuple:
-        return (int(row.row_id), int(row.ts_sec), *(_text(x) for x in (row.client_ip, row.kind, row.reason, row.mark, row.addr)))
-
-    def released(self, key, rows, mark) -> pd.DataFrame:
-        held = self.pending.get()[0] if self.pending.exists() else None
-        out, before = [], held
-        for row_id, ts, ip, kind, reason, marked, addr in rows:
-            if marked:
-                ip, kind, reason, held = None, "ignore", None, marked
-            elif addr and held:
-                ip, kind, reason, held = addr, "scanner_probe", held, None
-            # Spark wants the event time of what is released to be after the watermark; ts_sec keeps the order.
-            out.append((row_id, ts, pd.Timestamp(mark + 1, unit="ms"), ip, kind, reason))
-        if held != before:
-            if held:
-                self.pending.update((held,))
-            else:
-                self.pending.clear()
-        return pd.DataFrame(out, columns=["row_id", "ts_sec", "event_ts", "client_ip", "kind", "reason"])
+    def step(self, kept, rows, mark):
+        marks, takes = rows["mark"].notna(), rows["addr"].notna()
+        # Of the lines before, the last with a marker or an address tells what is pending.
+        told = pd.concat([kept, rows[["proc"]].assign(mark=rows["mark"].where(marks, takes.map({True: "", False: None})))], ignore_index=True)
+        told["mark"] = told["mark"].astype(object).where(told["mark"].notna(), None)
+        pending = told.groupby("proc", sort=False)["mark"].ffill().groupby(told["proc"], sort=False).shift()[len(kept) :].set_axis(rows.index)
+        fires = ~marks & takes & pending.notna() & (pending != "")
+        last = told[told["mark"].notna()].drop_duplicates("proc", keep="last")
+        if not len(rows):
+            return kept, None
+        # Spark wants the event time of what is released to be after the watermark; ts_sec keeps the order.
+        out = rows.assign(
+            event_ts=pd.Timestamp(mark + 1, unit="ms"), client_ip=rows["client_ip"].mask(marks, None).mask(fires, rows["addr"]),
+            kind=rows["kind"].mask(marks, "ignore").mask(fires, "scanner_probe"), reason=rows["reason"].mask(marks, None).mask(fires, pending),
+        )
+        return last[last["mark"] != ""], out[["row_id", "ts_sec", "event_ts", "client_ip", "kind", "reason"]]
 
 
 def _counted(flat: DataFrame, keep: tuple[str, ...], clock: str, span: int = SPAN) -> DataFrame:
@@ -292,10 +327,11 @@ def _counted(flat: DataFrame, keep: tuple[str, ...], clock: str, span: int = SPA
     if "uri" not in keep:
         strikes = strikes.withColumn("uri", F.lit(None).cast("string"))
     strikes = strikes.select(*_NAMES(_STRIKE))
-    spans = strikes.where("event_ts IS NOT NULL").withColumn("span", F.floor(F.col("ts_sec") / span)).groupBy("client_ip", "span").transformWithStateInPandas(
+    timed_rows = strikes.where("event_ts IS NOT NULL").withColumn("of", dealt("client_ip")).withColumn("span", F.floor(F.col("ts_sec") / span))
+    spans = timed_rows.groupBy("of", "span").transformWithStateInPandas(
         SpanStrikes(span, clock == "none"), _COUNTED, "Append", "EventTime", eventTimeColumnName="event_ts"
     )
-    hits = spans.groupBy("client_ip", "part").transformWithStateInPandas(
+    hits = spans.groupBy("part").transformWithStateInPandas(
         StrikeChain(span, clock == "none"), "client_ip string, row_id long, ts_sec long, uri string, pool string, told string, threshold int, strikes int", "Append", "EventTime"
     )
     alone = strikes.where("event_ts IS NULL").withColumn("strikes", F.lit(1)).select(*hits.columns)
@@ -314,7 +350,7 @@ def stream_ssh(lines: DataFrame, p: VD.Policies = VD.Policies(), key: tuple[str,
     rows = L.with_marks(L.parse_auth_log(lines))
     proc = F.concat_ws("|", *key, F.coalesce(F.col("pid").cast("string"), F.concat(F.lit("row "), F.col("row_id").cast("string"))))
     rows = rows.withColumn("proc", proc).withColumn("mark", F.when(F.col("pid").isNotNull(), F.col("_mark"))).withColumn("addr", F.when(F.col("pid").isNotNull() & F.col("_mark").isNull(), F.col("_ip")))
-    paired = rows.select("proc", "row_id", "ts_sec", "event_ts", "client_ip", "kind", "reason", "mark", "addr").groupBy("proc").transformWithStateInPandas(
+    paired = rows.select("proc", "row_id", "ts_sec", "event_ts", "client_ip", "kind", "reason", "mark", "addr").withColumn("of", dealt("proc")).groupBy("of").transformWithStateInPandas(
         SshPairing(), "row_id long, ts_sec long, event_ts timestamp, client_ip string, kind string, reason string", "Append", "EventTime", eventTimeColumnName="event_ts"
     )
     return _counted(VD.ssh_candidates(paired, p).select("row_id", "ts_sec", "event_ts", "client_ip", "act"), (), "event")
