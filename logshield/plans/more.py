@@ -300,15 +300,16 @@ def h5_stream_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bans landed in files; those that ended are lifted by the timers of their state. What stands is
     what the batch calls active."""
     rows = V.bans(spark, sf_dir).withColumn("row_id", F.monotonically_increasing_id()).withColumn("ts_sec", F.col("banned_at"))
-    # The watermark comes to the moment of the question and no further.
+    # The watermark passes every ban; what ended after the moment of the question stood then.
+    end = max(V.AS_OF, rows.agg(F.max("banned_at")).first()[0] or 0) + 3600
     path, out, mark = landing.landed_parts(rows, "banned_at", 4), folder(spark), folder(spark)
-    for last in (None, (V.AS_OF + 3600, -1)):
+    for last in (None, (end, -1)):
         if last:
             flush = spark.range(1).select(F.lit("10.0.0.1").alias("target"), F.lit(0).alias("tier_level"), F.lit(last[0]).alias("banned_at"), F.lit(last[0]).alias("expires_at"), F.lit("").alias("reason"), F.lit(last[1]).alias("row_id"), F.lit(last[0]).alias("ts_sec"))
             flush.select(*(F.col(f.name).cast(f.dataType) for f in rows.schema)).coalesce(1).write.mode("append").parquet(path)
         stream = live.timed(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 3).parquet(path), "1 hour")
         live.to_parquet(escalation.stream_expiry(stream), out, mark).awaitTermination()
-    return escalation.standing(spark.read.parquet(out)).where("target <> '10.0.0.1'")
+    return escalation.standing(spark.read.parquet(out), V.AS_OF).where("target <> '10.0.0.1'")
 
 
 _NESTED = """SELECT concat(CAST(20 + k % 70 AS STRING), '.', CAST((k * 13) % 256 AS STRING), '.', CAST((k * 7) % 256 AS STRING), '.', CAST(k % 250 AS STRING), '/', CAST(1 + k % 32 AS STRING)) AS target,

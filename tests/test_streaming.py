@@ -185,6 +185,16 @@ def test_bans_end_by_themselves(spark, folder):
     assert {(r["target"], r["reason"]) for r in E.standing(got).where("target <> 'q'").collect()} >= {("b", "for good"), ("c", "y")}
 
 
+def test_what_stood_at_a_moment(spark):
+    schema = "target string, event string, at long, tier_level int, banned_at long, expires_at long, reason string, row_id long"
+    ban = lambda t, at, end, i: [(t, "banned", at, 0, at, end, "r", i), *([(t, "lifted", end, 0, at, end, "r", i)] if end else [])]
+    # Lifted since the moment; over before it began; replaced within its second.
+    rows = ban("a", 100, 400, 1) + ban("b", 300, 50, 2) + ban("c", 100, 50, 3) + ban("c", 100, None, 4) + ban("d", 100, 150, 5)
+    events = spark.createDataFrame(rows, schema)
+    assert {r["target"] for r in E.standing(events, 200).collect()} == {"a", "c"}
+    assert {r["target"] for r in E.standing(events).collect()} == {"c"}
+
+
 def test_recent_bans_equal_the_whole_ledger(spark, folder):
     schema = "target string, tier_level int, banned_at long, expires_at long, reason string"
     rng, src, ledger, tops, out = random.Random(7), folder("in"), folder("ledger"), folder("tops"), folder("waf")
