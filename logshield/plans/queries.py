@@ -154,7 +154,8 @@ def _asn_policies(spark: SparkSession, sf_dir: str) -> VD.Policies:
 FROM verdict JOIN geo USING (row_id) GROUP BY asn, country"""))
 def c13_asn_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = J.enrich_geo(V.access_log(spark, sf_dir), V.ip2asn(spark, sf_dir))
-    got = VD.evaluate_requests(log, _asn_policies(spark, sf_dir)).join(log.select("row_id", "asn", "country"), "row_id")
+    # Network and country go along with the verdicts, so that rows are not joined to themselves.
+    got = VD.counted(VD.candidates(log, _asn_policies(spark, sf_dir)), ("asn", "country"), "event")
     ban = F.col("action") == "ban"
     return got.groupBy("asn", "country").agg(F.count("*").alias("requests"), F.count(F.when(ban, 1)).alias("bans"), F.count(F.when(F.col("reason").contains("asn"), 1)).alias("asn_bans"))
 

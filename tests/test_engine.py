@@ -275,3 +275,10 @@ def test_patterns_are_translated_or_refused(spark):
     assert got == WRONG
     with pytest.raises(ValueError, match="look-around"):
         C.allowed_endpoint(F.col("u"), ("ok", "a(?=b)"))
+
+
+def test_networks_go_along_with_verdicts(spark):
+    from logshield.plans.queries import c13_asn_exposure
+
+    plan = c13_asn_exposure(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "event_id" not in plan and "user_id" not in plan
