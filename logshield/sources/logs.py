@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from logshield.functions.classify import held, resolved_ip
+from logshield.functions.classify import held, resolved_ip, seam
 from logshield.functions.ip import ip_v4, is_ip
 
 COMBINED = '$remote_addr - $remote_user [$time_local] "$request" $status $body_bytes_sent "$http_referer" "$http_user_agent"'
@@ -29,9 +29,13 @@ def scan_lines(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("line", F.col("_metadata.file_path").alias("src_file"), key.alias("line_key"))
 
 
-def _request(df: DataFrame, request: Column, method: Column | None = None, uri: Column | None = None) -> DataFrame:
-    """Method and path of a request line, explicit fields first, GET and / at last."""
-    part = F.split(F.trim(request), "\\s+")
+def _words(request: Column) -> Column:
+    return F.split(F.trim(request), "\\s+")
+
+
+def _request(df: DataFrame, request: Column | None, method: Column | None = None, uri: Column | None = None, words: Column | None = None) -> DataFrame:
+    """Method and path of a request line, or of its words, explicit fields first, GET and / at last."""
+    part = _words(request) if words is None else words
     filled = lambda c: F.when(c != "", c)
     first = [F.lit(None).cast("string") if c is None else filled(c) for c in (method, uri)]
     return df.withColumn("method", F.coalesce(first[0], filled(F.get(part, F.lit(0))), F.lit("GET"))).withColumn("uri", F.coalesce(first[1], filled(F.get(part, F.lit(1))), F.lit("/")))
@@ -47,16 +51,19 @@ def _u16(text: Column) -> Column:
 
 
 def parse_combined(df: DataFrame) -> DataFrame:
-    """client_ip, method, uri, status, referer, user_agent of combined lines. One match splits a
-    line; U+0001, which no server writes, marks the places and reads as a blank."""
-    line = F.translate(_trimmed(F.col("line")), "\x01", " ")
-    shape = r'(?s)^([^ ]*)[^"]*"([^"]*)"\s*(\S+)[^"]*"([^"]*)"[^"]*"([^"]*)".*$'
-    part = held(F.split(F.regexp_replace(line, shape, "$1\x01$2\x01$3\x01$4\x01$5"), "\x01"))
-    got = df.withColumn("_p", part).withColumns({f"_{i}": F.get("_p", F.lit(i - 1)) for i in range(1, 6)})
-    got = _request(got, F.col("_2")).withColumn("status", _u16(F.col("_3")))
-    ok = F.coalesce((F.size("_p") == 5) & is_ip(F.col("_1")) & F.col("status").isNotNull(), F.lit(False))
-    got = got.withColumn("parse_ok", ok).withColumn("client_ip", F.when(F.col("parse_ok"), F.col("_1"))).withColumn("referer", F.col("_4")).withColumn("user_agent", F.col("_5"))
-    return got.drop("_p", *(f"_{i}" for i in range(1, 6)))
+    """client_ip, method, uri, status, referer, user_agent of combined lines. A line is split at its
+    first six quotes, so that it is read once whether it is taken or not; U+0001, which no server writes,
+    reads as a blank. The address ends at a blank, the status at white space. A seam keeps what makes
+    the lines out of the generated method, which is too long to be compiled otherwise."""
+    line = F.replace(_trimmed(F.col("line")), F.lit("\x01"), F.lit(" "))
+    got = seam(df).withColumn("_p", held(F.split(line, '"', 7)))
+    part = lambda i: F.get("_p", F.lit(i))
+    ip, status = F.when(part(0).contains(" "), F.substring_index(part(0), " ", 1)), F.regexp_extract(part(2), r"^\s*+(\+?[0-9]++)\s", 1)
+    got = got.withColumns({"_ip": held(ip), "status": held(status.try_cast("int")), "_words": held(_words(part(1)))})
+    got = got.withColumn("status", held(F.when(F.col("status").between(0, 65535), F.col("status"))))
+    got = got.withColumn("parse_ok", held(F.coalesce((F.size("_p") == 7) & F.col("status").isNotNull() & is_ip(F.col("_ip")), F.lit(False))))
+    got = _request(got, None, words=F.col("_words")).withColumn("client_ip", F.when(F.col("parse_ok"), F.col("_ip"))).withColumn("referer", part(3)).withColumn("user_agent", part(5))
+    return got.drop("_p", "_ip", "_words")
 
 
 def format_pattern(log_format: str) -> tuple[str, list[str]]:
@@ -156,7 +163,9 @@ def parse_json(df: DataFrame, replay: bool = False) -> DataFrame:
     one = F.col("_v").isNotNull() & F.try_variant_get("_v", "$[1]", "variant").isNull()
     kind = lambda k: F.schema_of_variant(F.try_variant_get("_v", f"$[0].{k}", "variant"))
     value = lambda k: F.try_variant_get("_v", f"$[0].{k}", "string")
-    got = got.withColumn("_t", held(F.when(one, F.struct(*(kind(k).alias(k) for k in (*_TEXTS, "status")))))).withColumn("_s", held(F.when(one, F.struct(*(value(k).alias(k) for k in (*_TEXTS, "status"))))))
+    # Only values of keys that are there are looked up. Seams keep the generated methods small.
+    got = seam(seam(got).withColumn("_t", held(F.when(one, F.struct(*(kind(k).alias(k) for k in (*_TEXTS, "status")))))))
+    got = seam(got.withColumn("_s", held(F.when(F.col("_t").isNotNull(), F.struct(*(F.when(F.col(f"_t.{k}").isNotNull(), value(k)).alias(k) for k in (*_TEXTS, "status")))))))
     text = lambda k: F.when(F.col(f"_t.{k}") == "STRING", F.col(f"_s.{k}"))
     blank, status = F.lit(""), F.col("_s.status")
     if replay:
@@ -181,7 +190,7 @@ def parse_json(df: DataFrame, replay: bool = False) -> DataFrame:
     number = F.when(F.col("_t.status") == "BIGINT", F.when(status.try_cast("long") >= 0, status.try_cast("long") % 65536)).when(F.col("_t.status") == "STRING", _u16(status))
     got = got.withColumn("status", F.coalesce(number, F.lit(200)).cast("int")).withColumn("referer", F.coalesce(f("referer", "http_referer"), blank))
     got = got.withColumn("user_agent", F.coalesce(f("ua", "user_agent", "http_user_agent"), blank)).withColumn("host", F.coalesce(f("host", "http_host"), blank))
-    got = got.withColumn("_ip", ip).withColumn("parse_ok", F.coalesce(ok, F.lit(False)) & is_ip(F.col("_ip")))
+    got = got.withColumn("_ip", held(ip)).withColumn("parse_ok", held(F.coalesce(ok, F.lit(False)) & is_ip(F.col("_ip"))))
     return got.withColumn("client_ip", F.when(F.col("parse_ok"), F.col("_ip"))).drop("_v", "_t", "_s", "_ip")
 
 
@@ -205,29 +214,34 @@ def parse_error_log(df: DataFrame) -> DataFrame:
 
 
 def _after(line: Column, *marks: str) -> Column:
-    """The address after one of the marks, cut at white space or a colon."""
-    got = F.regexp_extract(line, "(?:" + "|".join(map(re.escape, marks)) + r")([^\s:]+)", 1)
-    return F.when(is_ip(got), got)
+    """What follows one of the marks, cut at white space or a colon."""
+    return F.regexp_extract(line, "(?:" + "|".join(map(re.escape, marks)) + r")([^\s:]+)", 1)
+
+
+def _address(text: Column) -> Column:
+    return F.when(is_ip(text), text)
 
 
 def parse_auth_log(df: DataFrame) -> DataFrame:
     """kind (auth_failure, scanner_probe, ignore), client_ip, user and reason of ssh lines; a branch
-    whose address does not parse falls through to the next."""
+    whose address does not parse falls through to the next. A text is taken from a line once, and only
+    where the line has what it follows."""
     line = F.col("line")
-    banner, kex, silent = _after(line, "banner exchange: Connection from "), _after(line, "Connection from ", "from ", "by "), _after(line, "Did not receive identification string from ")
-    kex = F.when(line.contains("kex_exchange_identification"), kex)
     failed = r"Failed password for (?:invalid user )?(\S+) from (\S+)"
     unknown = r"Invalid user (\S+) from (\S+)"
-    tries = []
-    for pattern in (failed, unknown):
-        ip = F.regexp_extract(line, pattern, 2)
-        tries.append((F.when(is_ip(ip), ip), F.regexp_extract(line, pattern, 1)))
-    probe = F.when(banner.isNotNull(), "banner_invalid_format").when(kex.isNotNull(), "invalid_protocol_identifier").when(silent.isNotNull(), "no_identification_string")
-    user = F.when(tries[0][0].isNotNull(), tries[0][1]).when(tries[1][0].isNotNull(), tries[1][1])
+    texts = {
+        "_banner": (_after(line, "banner exchange: Connection from "), "banner exchange: "), "_kex": (_after(line, "Connection from ", "from ", "by "), "kex_exchange_identification"),
+        "_silent": (_after(line, "Did not receive identification string from "), "Did not receive identification"),
+        "_failed": (F.regexp_extract(line, failed, 2), "Failed password for "), "_unknown": (F.regexp_extract(line, unknown, 2), "Invalid user "),
+    }
+    got = df.withColumns({k: held(F.when(line.contains(mark), text)) for k, (text, mark) in texts.items()})
+    got = got.withColumns({k: held(_address(F.col(k))) for k in texts})
+    probe = F.when(F.col("_banner").isNotNull(), "banner_invalid_format").when(F.col("_kex").isNotNull(), "invalid_protocol_identifier").when(F.col("_silent").isNotNull(), "no_identification_string")
+    user = F.when(F.col("_failed").isNotNull(), F.regexp_extract(line, failed, 1)).when(F.col("_unknown").isNotNull(), F.regexp_extract(line, unknown, 1))
     return (
-        df.withColumn("reason", probe).withColumn("client_ip", F.coalesce(banner, kex, silent, tries[0][0], tries[1][0]))
+        got.withColumn("reason", held(probe)).withColumn("client_ip", F.coalesce(*texts))
         .withColumn("user", F.when(F.col("reason").isNull(), user))
-        .withColumn("kind", F.when(F.col("reason").isNotNull(), "scanner_probe").when(F.col("client_ip").isNotNull(), "auth_failure").otherwise("ignore"))
+        .withColumn("kind", F.when(F.col("reason").isNotNull(), "scanner_probe").when(F.col("client_ip").isNotNull(), "auth_failure").otherwise("ignore")).drop(*texts)
     )
 
 
@@ -236,8 +250,8 @@ def with_marks(df: DataFrame) -> DataFrame:
     address that would take a pending marker (_ip)."""
     line = F.col("line")
     marker = F.when(line.contains("client sent invalid protocol identifier"), "invalid_protocol_identifier").when(line.contains("banner line contains invalid characters"), "banner_invalid_format")
-    pid = F.nullif(F.regexp_extract("line", r"sshd\[([0-9]+)\]", 1), F.lit("")).cast("long")
-    return df.withColumn("pid", pid).withColumn("_mark", marker).withColumn("_ip", _after(line, "Connection from ", "from "))
+    rows = df.withColumns({"pid": held(F.regexp_extract("line", r"sshd\[([0-9]+)\]", 1)), "_mark": held(marker), "_ip": held(_after(line, "Connection from ", "from "))})
+    return rows.withColumns({"pid": F.nullif("pid", F.lit("")).cast("long"), "_ip": held(_address(F.col("_ip")))})
 
 
 def parse_auth_log_stateful(df: DataFrame, order: tuple[str, ...] = ("ts_sec", "row_id"), key: tuple[str, ...] | None = None) -> DataFrame:
@@ -266,21 +280,35 @@ def parse_auth_log_stateful(df: DataFrame, order: tuple[str, ...] = ("ts_sec", "
 def scan_mixed(df: DataFrame) -> DataFrame:
     """format (combined, json, ssh) and the columns of the first parser that takes the line. Only a
     line with a brace goes to the second, and only what both refuse to the ssh parser, with its
-    pairing by process where rows have ts_sec and row_id."""
+    pairing by process where rows have ts_sec and row_id. Only lines that name a process are paired,
+    and shuffled; they are told apart before any line is parsed, all others are parsed once."""
     cols = ("client_ip", "method", "uri", "status", "referer", "user_agent")
     names = df.columns
-    got = parse_combined(df).select(*names, held(F.when(F.col("parse_ok"), F.struct(*cols))).alias("_a"))
-    brace = F.when(F.col("_a").isNull() & F.ltrim("_line").startswith("{"), F.col("_line"))
-    got = parse_json(got.withColumnRenamed("line", "_line").withColumn("line", held(brace)), replay=True)
-    got = got.select(*("_line" if c == "line" else c for c in names), "_a", held(F.when(F.col("parse_ok"), F.struct(*cols))).alias("_b")).withColumnRenamed("_line", "line")
-    taken = F.coalesce("_a", "_b")
-    web = got.where(taken.isNotNull()).select(*names, F.when(F.col("_a").isNotNull(), "combined").otherwise("json").alias("format"), *(taken[c].alias(c) for c in cols), *(F.lit(None).cast("string").alias(c) for c in ("kind", "reason")))
-    rest = got.where(taken.isNull()).select(*names)
-    ssh = parse_auth_log_stateful(rest) if {"ts_sec", "row_id"} <= set(names) else parse_auth_log(rest)
-    known = F.col("kind") != "ignore"
-    empty = {"status": "int"}
-    ssh = ssh.select(*names, F.when(known, "ssh").alias("format"), "client_ip", *(F.lit(None).cast(empty.get(c, "string")).alias(c) for c in cols[1:]), F.when(known, F.col("kind")).alias("kind"), F.when(known, F.col("reason")).alias("reason"))
-    return web.unionByName(ssh)
+    taken, line, ssh = F.coalesce("_a", "_b"), F.col("line"), ("client_ip", "kind", "reason")
+    process = F.coalesce(line.rlike(r"sshd\[[0-9]+\]"), F.lit(False))
+
+    def web(rows: DataFrame) -> DataFrame:
+        got = seam(parse_combined(rows).select(*names, held(F.when(F.col("parse_ok"), F.struct(*cols))).alias("_a")))
+        brace = F.when(F.col("_a").isNull() & F.ltrim("_line").startswith("{"), F.col("_line"))
+        got = parse_json(got.withColumnRenamed("line", "_line").withColumn("line", held(brace)), replay=True)
+        return seam(got.select(*("_line" if c == "line" else c for c in names), "_a", held(F.when(F.col("parse_ok"), F.struct(*cols))).alias("_b")).withColumnRenamed("_line", "line"))
+
+    def told(rows: DataFrame) -> DataFrame:
+        known = F.coalesce(F.col("_ssh.kind") != "ignore", F.lit(False))
+        kind = F.when(F.col("_a").isNotNull(), "combined").when(F.col("_b").isNotNull(), "json").when(known, "ssh")
+        ip = F.coalesce(taken["client_ip"], F.col("_ssh.client_ip"))
+        return seam(rows.select(*names, kind.alias("format"), ip.alias("client_ip"), *(taken[c].alias(c) for c in cols[1:]), *(F.when(known, F.col(f"_ssh.{c}")).alias(c) for c in ssh[1:])))
+
+    paired = {"ts_sec", "row_id"} <= set(names)
+    alone = web(df)
+    if paired:
+        alone = alone.where(taken.isNotNull() | ~process)
+    alone = alone.withColumnRenamed("line", "_line").withColumn("line", held(F.when(taken.isNull(), F.col("_line"))))
+    alone = parse_auth_log(alone).withColumn("_ssh", held(F.when(taken.isNull(), F.struct(*ssh)))).drop("line").withColumnRenamed("_line", "line")
+    if not paired:
+        return told(alone)
+    rest = parse_auth_log_stateful(web(seam(df).where(held(process))).where(taken.isNull()))
+    return told(alone).unionByName(told(rest.withColumn("_ssh", F.struct(*ssh))))
 
 
 def format_kind(body: Column) -> Column:

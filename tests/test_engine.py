@@ -2,6 +2,7 @@
 
 import ipaddress
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -153,6 +154,20 @@ def test_mixed_lines(spark):
     }
 
 
+def test_lines_are_read_once(spark):
+    # A status that runs into a quote is none; many quotes without a blank are no search; lines of a process go to the pairing, but not if they are requests.
+    ask = '1.2.3.4 - - [x] "GET /a HTTP/1.1" 404{}"-" "{}"'
+    lines = [ask.format("", "x"), ask.format(" ", "sshd[7]: from 9.9.9.9"), "1.2.3.4" + '"a"' * 20_000, "h: Invalid user bob from 5.5.5.5", "h sshd[7]: banner line contains invalid characters", "h sshd[7]: from 6.6.6.6 x"]
+    rows = spark.createDataFrame([(i, i, x) for i, x in enumerate(lines)], "row_id long, ts_sec long, line string")
+    begun = time.monotonic()
+    got = {r["row_id"]: (r["format"], r["client_ip"], r["status"], r["kind"], r["reason"]) for r in L.scan_mixed(rows).collect()}
+    assert time.monotonic() - begun < 60
+    none = (None,) * 5
+    assert got == {0: none, 1: ("combined", "1.2.3.4", 404, None, None), 2: none, 3: ("ssh", "5.5.5.5", None, "auth_failure", None), 4: none, 5: ("ssh", "6.6.6.6", None, "scanner_probe", "banner_invalid_format")}
+    alone = {r["row_id"]: r["kind"] for r in L.scan_mixed(rows.drop("ts_sec")).collect()}
+    assert alone == {0: None, 1: None, 2: None, 3: "auth_failure", 4: None, 5: None}
+
+
 def test_durations_and_formats(spark):
     texts = ["15m", "24h", " 7d ", "PERMANENT", "", "5x", "m", "+3s", "-3s", "99999999999999999999d", "1.5h"]
     got = [tuple(r[0]) for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(C.parsed_duration(F.col("t"))).collect()]
