@@ -6,6 +6,7 @@ so that the cost per document is a handful of numpy passes and memory stays boun
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import re
 import tempfile
@@ -59,6 +60,13 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Have shuffle files deleted whose tables are cut. They stay until the driver collects its garbage,
+    which one with much memory rarely does by itself."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """name, or name with a number behind it if df has such a column already."""
     taken = {c.lower() for c in df.columns}

@@ -29,21 +29,23 @@ is by intersection of the whole sets of 64-bit shingle hashes.
 
 from __future__ import annotations
 
-from functools import partial
+from functools import partial, reduce
 from math import ceil, exp, sqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from logshield.llm.common import Words, chunks, cut, discard, lower_ascii, maybe_broadcast, mix, spaced
+from logshield.llm.common import Words, chunks, cut, discard, lower_ascii, maybe_broadcast, mix, release, spaced
 from logshield.llm.graph import components
 
 #: Ids up to which the documents to verify are picked by a broadcast (16 MB), beyond by a shuffle.
 PICK_ROWS = 2_000_000
 #: Rows of one bucket that one task pairs with each other; larger buckets are dealt in blocks.
 BLOCK = 1024
+#: Parts in which keys are made and moved, one after the other: disk holds the keys of one part.
+PARTS = 2
 #: Rounds in which sets that are apart meet a further hub.
 HUBS = 3
 #: Hashes of the universe that poor sets are tried by.
@@ -237,7 +239,8 @@ def _segment_keys(s: np.ndarray, first: np.ndarray, pick: np.ndarray, at: np.nda
     return keys[use], owner[use], poor
 
 
-def _keys(batches, words: int, band_first: list[int], groups: list[tuple[int, int, int, int]], taken: tuple[int, ...] = ()):
+def _keys(batches, words: int, band_first: list[int], groups: list[tuple[int, int, int, int]], taken: tuple[int, ...] = (), part: int = 0):
+    """The keys that leave `part` modulo PARTS, each with its node."""
     edge, grp = np.array(band_first), np.array(groups, np.int64)
     for batch in batches:
         for _, _, raw, off in chunks(batch.column(1)):
@@ -253,7 +256,8 @@ def _keys(batches, words: int, band_first: list[int], groups: list[tuple[int, in
                 if not len(pick):
                     break
                 keys, owner, poor = _segment_keys(s, first, pick, at, grp, seed, seed == SEEDS - 1)
-                nodes = node[pick][owner]
+                here = keys % np.uint64(PARTS) == np.uint64(part)
+                keys, nodes = keys[here], node[pick][owner[here]]
                 for i in range(0, len(keys), 1 << 16):
                     yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + (1 << 16)].view(np.int64)), pa.array(nodes[i : i + (1 << 16)].view(np.int64))], ["key", "node"])
                 pick, at = pick[poor], at[poor]
@@ -268,14 +272,35 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, n
     the nodes in them."""
     some = cut(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes, "node").select("node", "doc_id"))
     texts = docs.join(maybe_broadcast(some.select("doc_id").distinct(), some.count(), PICK_ROWS), "doc_id", "left_semi")
-    sets = cut(texts.mapInArrow(partial(_whole, words=words, taken=taken), "node long, tokens array<long>").dropDuplicates(["node"]))
-    got = pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a")
-    got = got.join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b")
-    links = cut(got.where(_similar(num, den, F.size(F.array_intersect("x", "y")), F.size("x") + F.size("y"))).select("a", "b"))
+    sets = cut(texts.mapInArrow(partial(_whole, words=words, taken=taken), "node long, tokens array<long>"))
+    # Only rows that share a doc_id bring a set twice; else sets are not moved for this.
+    if not sets.groupBy("node").count().where("count > 1").isEmpty():
+        sets, was = cut(sets.dropDuplicates(["node"])), sets
+        discard(was)
+    # One set of a pair goes to the other; both leave the place they are read at only for that.
+    k = pairs.count()
+    x = sets.join(maybe_broadcast(pairs, k), F.col("node") == F.col("a")).select("a", "b", F.col("tokens").alias("x"))
+    y = sets.join(maybe_broadcast(pairs.select(F.col("b").alias("node")).distinct(), k), "node", "left_semi").select(F.col("node").alias("b"), F.col("tokens").alias("y"))
+    links = cut(x.join(y, "b").where(_similar(num, den, F.size(F.array_intersect("x", "y")), F.size("x") + F.size("y"))).select("a", "b"))
     discard(some, sets)
+    release(docs.sparkSession)
     return links
 
 
+def _once(docs: DataFrame, told: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Rows of docs that bring each set, without most of its copies: those whose doc_id stands for no
+    set go. The shorter one of two lists of doc_ids tells them; if both are long, all rows stay."""
+    reps = nodes.select("doc_id").distinct()
+    ids = told.where("n > 0 AND doc_id IS NOT NULL").select("doc_id").distinct()
+    n = reps.count()
+    more = ids.count() - n
+    if not more or min(n, more) > PICK_ROWS:
+        return docs
+    if n < more:
+        return docs.join(F.broadcast(cut(reps)), "doc_id", "left_semi")
+    return docs.join(F.broadcast(cut(ids.join(reps, "doc_id", "left_anti"))), "doc_id", "left_anti")
+
+
 def _possible(num: int, den: int, x: str, y: str):
     """No proof against the pair: sizes within the bound, and the sketches within the difference."""
     n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
@@ -322,13 +347,15 @@ def jaccard_components(
     # Sets by power-of-1.02 size class are few rows, whatever the number of documents.
     counted = nodes.groupBy(F.floor(F.log(1.02, F.col("n").cast("double"))).alias("c")).agg(F.max("n").alias("n"), F.count("*").alias("k")).collect()
     first, groups = plan({r["n"]: r["k"] for r in counted}, num, den, kinds)
-    entries = docs.where("doc_id IS NOT NULL").mapInArrow(partial(_keys, words=words, band_first=first, groups=groups, taken=taken), "key long, node long")
-
-    # Keys of two rows or more, rows of equal sets among them, are a small part of all keys; they
-    # are known before any node is moved.
-    shared = cut(entries.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key"))
-    members = cut(entries.join(shared, "key").distinct())
-    discard(shared)
+    # Keys of two sets or more are a small part of all keys. Keys are moved once, and their files go
+    # before the next are made.
+    once, of_key, found = _once(docs.where("doc_id IS NOT NULL"), told, nodes), Window.partitionBy("key"), []
+    for part in range(PARTS):
+        entries = once.mapInArrow(partial(_keys, words=words, band_first=first, groups=groups, taken=taken, part=part), "key long, node long")
+        entries = entries.select("key", "node", F.min("node").over(of_key).alias("b"), F.max("node").over(of_key).alias("a"))
+        found.append(cut(entries.where("b < a").select("key", "node").distinct()))
+        release(docs.sparkSession)
+    members = reduce(DataFrame.union, found)
     # Buckets with the same members (their number, least, largest and 128 bits of all) are one.
     same = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"s{i}") for i in range(2)]
     buckets = cut(members.groupBy("key").agg(F.min("node").alias("b"), F.max("node").alias("a"), F.count("*").alias("k"), *same).where("b < a"))
@@ -338,14 +365,26 @@ def jaccard_components(
     pairs = buckets.where("k = 2").select("a", "b").union(to_hub("a")).union(to_hub("b")).distinct()
     pairs = pairs.join(nodes.alias("x"), F.col("a") == F.col("x.node")).join(nodes.alias("y"), F.col("b") == F.col("y.node"))
     pairs = cut(pairs.where(_possible(num, den, "x", "y")).select("a", "b"))
-    discard(members, buckets)
+    discard(*found, buckets)
     if pairs.isEmpty():
         return _labelled(told, nodes, None, rows)
-    links = _verified(pairs, docs, nodes, words, num, den, taken)
+    # A set is in many buckets and meets many hubs of one group: the least one first, others only if that
+    # has not joined them.
+    near = cut(pairs.groupBy("a").agg(F.min("b").alias("b")))
+    links = _verified(near, docs, nodes, words, num, den, taken)
+    known = components(links)
+    root = lambda x: known.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root"))
+    some = pairs.join(near, ["a", "b"], "left_anti").join(root("a"), "a", "left").join(root("b"), "b", "left")
+    some = cut(some.where("coalesce(a_root, a) <> coalesce(b_root, b)").select("a", "b"))
+    if not some.isEmpty():
+        more = _verified(some, docs, nodes, words, num, den, taken)
+        if not more.isEmpty():
+            known = components(known.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
+    discard(near, some)
 
     # Loose groups: sets that are still apart from others of their bucket meet more hubs, another one in
     # every bucket and round, before pairs are looked at.
-    known, tried = components(links), pairs.select("a", "b")
+    tried = pairs.select("a", "b")
     for k in range(HUBS):
         left = large.join(known, "node", "left").select("key", "node", F.coalesce("root", "node").alias("comp"))
         hub = F.min_by(F.struct("node", "comp"), F.xxhash64("node", "key", F.lit(k))).alias("hub")

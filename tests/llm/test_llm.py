@@ -89,6 +89,27 @@ def test_pipeline_keeps_one_row_of_each_group(spark):
     assert corpus_pipeline.drop_copies(spark, docs(spark, alone), "").count() == 2
 
 
+def test_copies_of_a_table_move_no_keys(spark):
+    """A table in eight copies under other doc_ids shuffles little more than the table itself, and sets meet
+    whatever copy stands for them."""
+    rng = np.random.default_rng(8)
+    base = [prose(rng, 400).split() for _ in range(60)]
+    texts = [" ".join(w) for w in base] + [" ".join(["changed", *w[1:]]) for w in base[:20]]
+
+    def run(copies):
+        rows = [(d + 1000 * c, t, None, None) for c in range(copies) for d, t in enumerate(texts)]
+        sc = spark.sparkContext._jsc.sc()
+        stages = lambda: {s.stageId(): s.shuffleWriteBytes() for s in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), spark.sparkContext._jvm.java.util.ArrayList()))}
+        sc.listenerBus().waitUntilEmpty()
+        last = max(stages(), default=-1)
+        got = {r["doc_id"]: r["component_id"] for r in jaccard_components(docs(spark, rows).repartition(4)).collect()}
+        sc.listenerBus().waitUntilEmpty()
+        assert got == {d: d % 1000 - 60 * (d % 1000 >= 60) for d, *_ in rows}
+        return sum(n for i, n in stages().items() if i > last) - 500 * len(rows)
+
+    assert run(8) < 2 * run(1)
+
+
 def test_decontamination_equals_brute_force(spark, corpus):
     long = next(t for _, t, *_ in corpus if t and len(t.split()) == 60)
     items = [(1, " ".join(long.split()[5:30])), (2, "tail, TAIL; tail"), (3, "solo"), (4, None), (5, "..."), (10, " ".join(long.split()[20:35]))]
