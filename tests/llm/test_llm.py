@@ -108,6 +108,9 @@ def test_copies_of_a_table_move_no_keys(spark):
         return sum(n for i, n in stages().items() if i > last) - 500 * len(rows)
 
     assert run(8) < 2 * run(1)
+    rows = [(d + 1000 * c, t, None, None) for c in range(4) for d, t in enumerate(texts[:5])] + [(None, texts[0], None, None)]
+    got = [r["doc_id"] for r in corpus_pipeline.drop_copies(spark, docs(spark, rows), "").collect()]
+    assert sorted(got, key=str) == [0, 1, 2, 3, 4, None]
 
 
 def test_decontamination_equals_brute_force(spark, corpus):
